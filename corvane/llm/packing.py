@@ -18,31 +18,36 @@ CLASSES = 32
 #: A class takes pieces uncut if a bin of them wastes at most this share of the capacity.
 SLACK = 0.01
 #: How many chunks' ids are remembered, and the longest one that is.
-CACHED, CACHED_BYTES = 600_000, 64
+CACHED, CACHED_BYTES = 800_000, 64
+#: Documents tokenized in one call.
+DOCS = 200
 
 
-class ChunkIds(dict):
-    """Ids of white-space free chunks.
+class ChunkIds:
+    """Ids of texts by way of their white-space free chunks.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
-    its chunks' ids, one after the other.
+    its chunks' ids, one after the other.  What is not known yet is encoded in one call.
     """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        out = array("I", self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids).tobytes()
-        if len(chunk) <= CACHED_BYTES:
-            if len(self) >= CACHED:
-                self.clear()
-            self[chunk] = out
+        self.known: dict[bytes, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) >= CACHED:
+            self.known = {}
+        chunks = [text.encode("utf-8", "replace").split() for text in texts]
+        new = list(set().union(*chunks).difference(self.known))
+        found = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
+        ids = self.known
+        ids.update((x, array("I", y.ids).tobytes()) for x, y in zip(new, found, strict=True))
+        out = [b"".join(map(ids.__getitem__, x)) for x in chunks]
+        for x in new:
+            if len(x) > CACHED_BYTES:
+                del ids[x]
         return out
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
-
 
 @lru_cache(maxsize=2)
 def chunk_ids(path: str) -> ChunkIds:
@@ -152,8 +157,9 @@ def harmonic_packing(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capa
         id_kind, names = pa.int64(), ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
             id_kind = batch.column(0).type
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                out.extend(packer.put(doc.as_py(), encode(text.as_py() or "") + last))
+            for few in (batch.slice(i, DOCS) for i in range(0, batch.num_rows, DOCS)):
+                for doc, ids in zip(few.column(0).to_pylist(), encode([x or "" for x in few.column(1).to_pylist()]), strict=True):
+                    out.extend(packer.put(doc, ids + last))
                 if len(out) >= 20_000:
                     yield block(out)
                     out = []
