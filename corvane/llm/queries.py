@@ -7,12 +7,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.bpe import bpe_digests
 from corvane.llm.packing import harmonic_packing
+from corvane.llm.secrets import SECRETS_SQL, secret_scan
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(read(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_packing(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -21,6 +26,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op6_packing": op6_packing, "op10_bpe": op10_bpe}
+QUERIES = {"op2_secrets": op2_secrets, "op6_packing": op6_packing, "op10_bpe": op10_bpe}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_secrets": SECRETS_SQL}
