@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from corvane.llm.bpe import bpe_digests
 from corvane.llm.packing import harmonic_packing
 from corvane.llm.secrets import SECRETS_SQL, secret_scan
+from corvane.llm.url_filter import URL_SQL, judge_urls
+from corvane.llm.vectors import nearest_neighbours, top_products
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -18,14 +20,33 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read(spark, sf_dir, "documents"))
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(read(spark, sf_dir, "embeddings"))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harmonic_packing(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(read(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op2_secrets": op2_secrets, "op6_packing": op6_packing, "op10_bpe": op10_bpe}
+QUERIES = {"op2_secrets": op2_secrets, "op4_ann": op4_ann, "op5_urls": op5_urls, "op6_packing": op6_packing, "op9_topk": op9_topk, "op10_bpe": op10_bpe}
+
+TOPK_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+ WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda p: p[1] * p[2])) AS BIGINT) AS score
+ FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-ORACLES: dict[str, str] = {"op2_secrets": SECRETS_SQL}
+ORACLES: dict[str, str] = {"op5_urls": URL_SQL, "op9_topk": TOPK_SQL, "op2_secrets": SECRETS_SQL}
