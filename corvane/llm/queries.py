@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.bpe import bpe_digests
+from corvane.llm.language import language_id
 from corvane.llm.packing import harmonic_packing
 from corvane.llm.secrets import SECRETS_SQL, secret_scan
+from corvane.llm.toxicity import toxicity
 from corvane.llm.url_filter import URL_SQL, judge_urls
 from corvane.llm.vectors import nearest_neighbours, top_products
 
@@ -16,10 +18,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read(spark, sf_dir, "documents"), read(spark, sf_dir, "pages"))
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan(read(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(read(spark, sf_dir, "embeddings"))
 
@@ -40,7 +50,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op2_secrets": op2_secrets, "op4_ann": op4_ann, "op5_urls": op5_urls, "op6_packing": op6_packing, "op9_topk": op9_topk, "op10_bpe": op10_bpe}
+QUERIES = {"op1_language": op1_language, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_ann": op4_ann, "op5_urls": op5_urls, "op6_packing": op6_packing, "op9_topk": op9_topk, "op10_bpe": op10_bpe}
 
 TOPK_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
