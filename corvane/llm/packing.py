@@ -38,17 +38,28 @@ class ChunkIds:
         if len(self.known) >= CACHED:
             self.known = {}
         chunks = [text.encode("utf-8", "replace").split() for text in texts]
-        new = list(set().union(*chunks).difference(self.known))
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
         ids = self.known
-        ids.update((x, array("I", y.ids).tobytes()) for x, y in zip(new, found, strict=True))
+        new = {x: _parts(x) for x in set().union(*chunks).difference(ids)}
+        ask = list({y for parts in new.values() for y in parts}.difference(ids))
+        found = self.tokenizer.encode_batch_fast([x.decode() for x in ask], add_special_tokens=False)
+        ids.update((x, array("I", y.ids).tobytes()) for x, y in zip(ask, found, strict=True))
+        ids.update((x, b"".join(map(ids.__getitem__, parts))) for x, parts in new.items() if x not in ids)
         out = [b"".join(map(ids.__getitem__, x)) for x in chunks]
-        for x in new:
+        for x in {*new, *ask}:
             if len(x) > CACHED_BYTES:
                 del ids[x]
         return out
 
 
+def _parts(chunk: bytes) -> tuple[bytes, ...]:
+    """Parts that the tokenizer treats alike and apart: lower case, and the full stops and commas after a letter."""
+    if not chunk.isascii() or b"<|" in chunk:
+        return (chunk,)
+    low = chunk.lower()
+    word = low.rstrip(b".,")
+    return (word, low[len(word) :]) if word and len(word) < len(low) and 97 <= word[-1] <= 122 else (low,)
+
+
 @lru_cache(maxsize=2)
 def chunk_ids(path: str) -> ChunkIds:
     return ChunkIds(path)
