@@ -33,16 +33,34 @@ BROADCAST_HOSTS = 200_000
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en"}
 
 
+_LETTER = np.array([chr(i).isalpha() for i in range(0x3000)])
+
+
+def words_alone(text: str) -> np.ndarray:
+    """Code points of the words, one space around each: no digits, signs, or words with digits."""
+    points = code_points(text)
+    gap, digit = points <= 32, (points >= 48) & (points <= 57)
+    keep = _LETTER[np.minimum(points, 0x2FFF)] | (points >= 0x3000)
+    if digit.any():
+        word = np.cumsum(gap)
+        bad = np.zeros(word[-1] + 1, bool)
+        bad[word[digit]] = True
+        keep &= ~bad[word]
+    spaced = np.full(len(points) + 2, 32, np.uint32)
+    spaced[1:-1][keep] = points[keep]
+    letters = spaced != 32
+    return spaced[letters | np.append(letters[1:], False)] if letters.any() else spaced[:0]
+
+
 @dataclass
 class Likelihoods:
     languages: list[str]
     table: np.ndarray  # [gram size, hash, language], the last language being UNKNOWN
 
     def of(self, text: str | None) -> np.ndarray | None:
-        """Bounded log-likelihoods; None for texts without letters."""
-        lowered = (text or "").lower()
-        points = code_points(lowered)
-        if not len(points) or not any(map(str.isalpha, lowered)):
+        """Bounded log-likelihoods; None for texts without words."""
+        points = words_alone((text or "").lower())
+        if len(points) < 2:
             return None
         total, n = np.zeros(self.table.shape[2]), 0
         for table, hashes in zip(self.table, gram_hashes(points, SIZES, BITS), strict=True):
@@ -63,7 +81,7 @@ def learn(docs: DataFrame) -> Likelihoods:
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = counts.setdefault(lang, np.zeros((len(SIZES), 1 << BITS), np.int64))
-                for row, hashes in zip(own, gram_hashes(code_points(text.lower()), SIZES, BITS), strict=True):
+                for row, hashes in zip(own, gram_hashes(words_alone(text.lower()), SIZES, BITS), strict=True):
                     row += np.bincount(hashes, minlength=1 << BITS)
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([x.tobytes() for x in counts.values()], pa.binary())], ["lang", "data"])
