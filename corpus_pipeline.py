@@ -6,16 +6,39 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.common import cut
+from corvane.llm.jaccard import keep_one
+from corvane.llm.language import UNKNOWN, document_languages
 from corvane.llm.packing import harmonic_packing
+from corvane.llm.secrets import redact
+from corvane.llm.suffixes import without_repeats
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a known language."""
+    return document_languages(docs).filter(f"__lang <> '{UNKNOWN}'").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies."""
+    return keep_one(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take repeated passages out of the texts."""
+    return without_repeats(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace secrets by a mark."""
+    return redact(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the texts' tokens into sequences."""
     return harmonic_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packing)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("secrets", secrets), ("packing", packing)]
 
 #: The near-duplicate, suffix and tokenizer stages have no SQL form; tests/llm compares them with brute force.
 ORACLE_SQL = None

@@ -10,6 +10,7 @@ from corvane.llm.jaccard import jaccard_components
 from corvane.llm.language import language_id
 from corvane.llm.packing import harmonic_packing
 from corvane.llm.secrets import SECRETS_SQL, secret_scan
+from corvane.llm.suffixes import suffix_dedup
 from corvane.llm.toxicity import toxicity
 from corvane.llm.url_filter import URL_SQL, judge_urls
 from corvane.llm.vectors import nearest_neighbours, top_products
@@ -47,6 +48,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_products(read(spark, sf_dir, "embeddings"))
 
@@ -55,7 +60,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_language": op1_language, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_ann": op4_ann, "op5_urls": op5_urls, "op6_packing": op6_packing, "op7_jaccard": op7_jaccard, "op9_topk": op9_topk, "op10_bpe": op10_bpe}
+QUERIES = {"op1_language": op1_language, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_ann": op4_ann, "op5_urls": op5_urls, "op6_packing": op6_packing, "op7_jaccard": op7_jaccard, "op8_suffixes": op8_suffixes, "op9_topk": op9_topk, "op10_bpe": op10_bpe}
 
 TOPK_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),

@@ -14,20 +14,21 @@ from pyspark.sql import functions as F
 from corvane.llm.common import cut
 from corvane.llm.grams import Distinct, code_points, gram_hashes
 
-SIZES, BITS = (4, 5), 20
+SIZES, BITS = (5, 6), 20
 #: Labelled rows of each class that the linear weights are fitted on, at most (expected); the log-count ratios count all labelled rows.
 FIT_TOXIC, FIT_CLEAN = 2_000, 4_000
 #: Grams in fewer labelled documents have ratio 0.
-LEAST_DOCS = 3
-ROUNDS, RATE, RIDGE = 60, 0.05, 1e-3
+LEAST_DOCS = 8
+#: Passes of the fit, its step size, its ridge, and how much more a toxic row weighs.
+ROUNDS, RATE, RIDGE, TOXIC_WEIGHT = 60, 0.05, 1.0, 5.0
 #: Labels that may be broadcast to the scan; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 _BLOCKS = 64
 
 
 def features(text: str | None, distinct: Distinct) -> np.ndarray:
-    """Distinct hashed n-grams of the whole lower-case text."""
-    points = code_points((text or "").lower())
+    """Distinct hashed n-grams of the whole lower-case text; white space and control characters are spaces."""
+    points = np.maximum(code_points((text or "").lower()), 32)
     return distinct(np.concatenate(gram_hashes(points, SIZES, BITS))) if len(points) >= SIZES[0] else np.zeros(0, np.uint32)
 
 
@@ -120,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     ratio[counts.sum(0) < LEAST_DOCS] = 0
     sample = found.filter("block < 0").select("toxic", "data").collect()
     toxic = np.array([r.toxic for r in sample])
-    weight = np.where(toxic == 1, 1 / share[1], 1 / share[0])
+    weight = np.where(toxic == 1, TOXIC_WEIGHT / share[1], 1 / share[0])
     return fit([np.frombuffer(r.data, np.uint32) for r in sample], toxic, weight, ratio, total[1] / sum(total))
 
 
