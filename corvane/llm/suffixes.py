@@ -296,7 +296,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([_kept(_bytes(t), f)[0].decode("utf-8", "ignore") for t, f in zip(texts, found, strict=True)], dtype=object)
+        return pd.Series([_kept(_bytes(t), () if f is None else list(f))[0].decode("utf-8", "ignore") for t, f in zip(texts, found, strict=True)], dtype=object)
 
     out = rows.join(spans, ["c1", "c2"], "left")
     return out.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(cleaned(text_col, "spans"))).select(*names)
