@@ -30,7 +30,7 @@ def _names(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows by their three columns, and each row's name: its rank among distinct rows, from 1."""
     if max(int(c.max()) for c in columns) < 1 << 21:
         columns = [columns[0] << 42 | columns[1] << 21 | columns[2]]
-        order = np.argsort(columns[0], kind="stable")
+        order = np.argsort(columns[0])
     else:
         order = np.lexsort(columns[::-1])
     new = np.zeros(len(order), bool)
@@ -65,24 +65,26 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     sampled = sample[order]
     sampled = sampled[sampled < n]
     zeros = np.arange(0, n, 3)
-    zeros = zeros[np.lexsort((rank[zeros + 1], t[zeros]))]
+    zeros = zeros[np.argsort(t[zeros] * (n + 3) + rank[zeros + 1])]
     return _merged(t, rank, sampled, zeros)
 
 
 def _merged(t: np.ndarray, rank: np.ndarray, sampled: np.ndarray, zeros: np.ndarray) -> np.ndarray:
-    """Merge two sorted suffix lists: each zero's place among the sampled, found by halving."""
-    low, high = np.zeros(len(zeros), np.int64), np.full(len(zeros), len(sampled), np.int64)
-    while (open_ := np.flatnonzero(low < high)).size:
-        mid = (low[open_] + high[open_]) // 2
-        z, s = zeros[open_], sampled[mid]
-        one = s % 3 == 1
-        less = np.where(
-            one,
-            (t[s] < t[z]) | (t[s] == t[z]) & (rank[s + 1] < rank[z + 1]),
-            (t[s] < t[z]) | (t[s] == t[z]) & ((t[s + 1] < t[z + 1]) | (t[s + 1] == t[z + 1]) & (rank[s + 2] < rank[z + 2])),
-        )
-        low[open_] = np.where(less, mid + 1, low[open_])
-        high[open_] = np.where(less, high[open_], mid)
+    """Merge two sorted suffix lists.
+
+    Against a suffix at 1 modulo 3 one value decides and then the next suffixes' ranks; at 2 modulo 3
+    two values and the ranks after them.  Each is one whole number, in the lists' own order.
+    """
+    base = len(rank) + 1
+    ones, twos = sampled[sampled % 3 == 1], sampled[sampled % 3 == 2]
+    if (int(t.max()) + 1) ** 2 * base < 1 << 63:
+        pair, size = t[:-1] * (int(t.max()) + 1) + t[1:], base
+    else:
+        pair = np.unique(np.stack([t[:-1], t[1:]], axis=1), axis=0, return_inverse=True)[1].ravel()
+        size = base
+    one = lambda i: t[i] * base + rank[i + 1]
+    two = lambda i: pair[i] * size + rank[i + 2]
+    low = np.searchsorted(one(ones), one(zeros)) + np.searchsorted(two(twos), two(zeros))
     out = np.empty(len(zeros) + len(sampled), np.int64)
     at = low + np.arange(len(zeros))
     rest = np.ones(len(out), bool)
