@@ -215,9 +215,9 @@ def _sorted_fragments(length: int):
     return run
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts with their class names c1 and c2, spans of bytes to remove by class)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def removed_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(``docs`` (id, text, others) with their class names c1 and c2, spans of bytes to remove by class)."""
+    text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.withColumns({"c1": F.xxhash64(text), "c2": F.xxhash64(text, F.lit(1))})
     classes = rows.groupBy("c1", "c2").agg(F.min(id_col).alias("least"), F.count("*").alias("copies"), F.first(F.octet_length(text)).alias("n"))
     classes = cut(classes, "suffix-classes")
@@ -293,12 +293,13 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated bytes taken out of their texts; a character that is cut into goes whole.  All rows and columns stay."""
-    names = docs.columns
-    rows, spans = removed_spans(docs.withColumn("__id", docs[id_col]), length, "__id", text_col)
+    packed = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    rows, spans = removed_spans(packed, length)
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([_kept(_bytes(t), () if f is None else list(f))[0].decode("utf-8", "ignore") for t, f in zip(texts, found, strict=True)], dtype=object)
 
     out = rows.join(spans, ["c1", "c2"], "left")
-    return out.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(cleaned(text_col, "spans"))).select(*names)
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cleaned("text", "spans"))
+    return out.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
