@@ -498,3 +498,113 @@ def scored_predictions(spark, sf_dir):
 def held_out_sample(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     return o.join(o.filter("o_custkey % 10 = 3").select(F.col("o_orderkey").alias("k")), F.col("o_orderkey") == F.col("k"), "left_anti").select("o_orderkey")
+
+
+# ---------------------------------------------------------------- benchmark items, maths, sinks, streams
+
+from corvane.functions import benchmarks as B  # noqa: E402
+from corvane.functions import math_text as M  # noqa: E402
+from corvane.sources import readers, writers  # noqa: E402
+from corvane.streaming import ordered  # noqa: E402
+
+
+@query(
+    "math_forms",
+    r"""SELECT l_orderkey, l_linenumber, '\frac{' || CAST(l_quantity AS INT) || '}{' || l_linenumber || '}' AS short, CAST(CAST(l_quantity AS INT) * 1000 AS VARCHAR) AS final, CAST(l_linenumber AS VARCHAR) AS inside FROM lineitem""",
+)
+def math_forms(spark, sf_dir):
+    q, k = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber").cast("string")
+    thousands = F.concat(F.lit("x = "), q, F.lit(",000 dollars"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", M.short_form(F.concat(q, F.lit(" / "), k)).alias("short"), M.final_form(thousands).alias("final"), M.boxed(F.concat(F.lit(r"so \boxed{"), k, F.lit("} holds"))).alias("inside"))
+
+
+@query("math_solved", "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS INT) % 7 = l_linenumber % 7 AS solved FROM lineitem")
+def math_solved(spark, sf_dir):
+    answer = F.concat(F.lit(r"Thus \boxed{"), (F.col("l_quantity").cast("int") % 7).cast("string"), F.lit("}."))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", M.solved(answer, (F.col("l_linenumber") % 7).cast("string")).alias("solved"))
+
+
+@query("exam_queries", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type || chr(10) ELSE '' END || 'Question: ' || p_name || chr(10) || ' A. ' || p_brand || chr(10) || ' B. none' || chr(10) || 'Answer:' AS prompt FROM part")
+def exam_queries(spark, sf_dir):
+    passage = F.when(F.col("p_size") % 2 == 0, F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", B.exam_query(passage, F.col("p_name"), F.array(F.concat(F.lit("(A) "), "p_brand"), F.lit("B. none"))).alias("prompt"))
+
+
+@query("blanks", "SELECT p_partkey, split_part(p_name || '_x', '_', 1) AS before, substr(p_name || '_x', instr(p_name || '_x', '_') + 1) AS after FROM part")
+def blanks(spark, sf_dir):
+    before, after = B.blank_parts(F.concat("p_name", F.lit("_x")))
+    return table(spark, sf_dir, "part").select("p_partkey", before.alias("before"), after.alias("after"))
+
+
+@query("activity_queries", r"SELECT p_partkey, replace(regexp_replace(regexp_replace(trim(p_brand || ': ' || p_name || ' [title] and [x] ' || upper(substr(p_type, 1, 1)) || lower(substr(p_type, 2))), '\.? \[title\]', '. ', 'g'), '\[.*?\]', '', 'g'), '  ', ' ') AS query FROM part")
+def activity_queries(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", B.activity_query(F.col("p_brand"), F.concat("p_name", F.lit(" [title] and [x]")), F.col("p_type")).alias("query"))
+
+
+@query("gold_places", "SELECT o_orderkey, CAST(o_custkey % 5 AS INT) AS gold FROM orders")
+def gold_places(spark, sf_dir):
+    key = F.when(F.col("o_orderkey") % 2 == 0, F.expr("substring('ABCDE', cast(o_custkey % 5 as int) + 1, 1)")).otherwise((F.col("o_custkey") % 5 + 1).cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", B.gold_index(key).alias("gold"))
+
+
+@query("open_scores", "SELECT event_id, CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END AS em, CASE WHEN event_type = 'click' THEN 1.0 ELSE 0.0 END AS f1 FROM events")
+def open_scores(spark, sf_dir):
+    em, f1 = B.best_open_scores(F.col("event_type"), F.array(F.lit("The Click!"), F.lit(" ")))
+    return table(spark, sf_dir, "events").select("event_id", em, f1)
+
+
+@query(
+    "prompt_messages",
+    "SELECT n_nationkey, 'D qa F|A: one|' || n_name || ' F' AS said FROM nation",
+)
+def prompt_messages(spark, sf_dir):
+    shots = F.array(F.struct(F.lit("qa A:").alias("user"), F.lit("one").alias("assistant")))
+    said = B.prompt_messages(F.col("n_name"), shots, None, True, "D ", " F", "A:")
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(F.transform(said, lambda m: m["content"]), "|").alias("said"))
+
+
+@query("merged_choices", "SELECT n_nationkey, 'x,' || n_name || ',y' AS choices, '1,2' AS places FROM nation")
+def merged_choices(spark, sf_dir):
+    first = F.struct(F.array(F.lit("x"), F.col("n_name")).alias("choices"), F.array(F.lit(1), F.lit(0)).alias("labels"))
+    second = F.struct(F.array(F.col("n_name"), F.lit("y")).alias("choices"), F.array(F.lit(0), F.lit(0)).alias("labels"))
+    choices, places = B.merged_choices(first, second)
+    return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(choices, ",").alias("choices"), F.array_join(places.cast("array<string>"), ",").alias("places"))
+
+
+def _shared(spark, name):
+    import tempfile
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("shard_roundtrip", f"WITH {_PACKED_SQL} SELECT global_seq, CAST(list_sum(tokens) AS BIGINT) AS token_sum FROM r WHERE global_seq >= 100")
+def shard_roundtrip(spark, sf_dir):
+    """Write shards, then read them from row 100 on."""
+    path, rows = _shared(spark, "shards"), _packed(spark, sf_dir)
+    shard, row = corpus.shard_place(F.col("global_seq"), 500)
+    writers.write_shards(rows.select("*", shard, row), path, 12)
+    return readers.shards(spark, path, 100).select("global_seq", _total(F.col("tokens")).alias("token_sum"))
+
+
+@query("ordered_stream", f"WITH {_PACKED_SQL} SELECT global_seq FROM r WHERE file_idx < 40")
+def ordered_stream(spark, sf_dir):
+    """Stream shards into a table, with offsets and markers committed per batch."""
+    path, out = _shared(spark, "stream"), _shared(spark, "stream-out")
+    rows = _packed(spark, sf_dir).filter("file_idx < 40")
+    rows.select("global_seq", "tokens").repartitionByRange(3, "global_seq").write.parquet(path)
+    stream = readers.shard_stream(spark, path, "global_seq long, tokens array<int>", files_per_batch=8)
+    ordered.consume(stream, lambda batch, _: batch.select("global_seq").write.mode("append").parquet(out), f"{out}-state", f"{out}-checkpoint")
+    return spark.read.parquet(out)
+
+
+@query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    events = table(spark, sf_dir, "events")
+    return ordered.windowed_counts(events, "ts", ["event_type"], value=F.col("value")).withColumn("total", F.round("total", 6))
+
+
+@query("corpus_stats", f"WITH {_PACKED_SQL} SELECT count(*) AS n_rows, count(DISTINCT file_idx) AS n_files, count(*) * 64 AS n_tokens FROM r")
+def corpus_stats(spark, sf_dir):
+    return _packed(spark, sf_dir).agg(F.count("*").alias("n_rows"), F.countDistinct("file_idx").alias("n_files"), (F.count("*") * 64).alias("n_tokens"))
