@@ -16,8 +16,12 @@ from corvane.llm.common import cut, prefix_hash, span_hash
 WORDS = 5
 #: Similarity as a fraction, in whole numbers.
 NUM, DEN = 4, 5
-#: Cells of the frequency sketch (its size does not grow), and the blocks it is summed in.
-SKETCH_BITS, SKETCH_BLOCKS = 19, 32
+#: N-grams of a task counted at once; those it counts twice or more are handed on, at most so many, the most frequent.
+COUNTED, HANDED_ON = 2_000_000, 100_000
+#: N-grams known as frequent (a table of at most 9 bytes each); all others count as rare alike.
+FREQUENT = 300_000
+#: Rounds in which n-grams shared by several components get another pivot, before all their pairs are met.
+ROUNDS = 4
 #: Prefix n-grams that one reducer group takes.
 BUCKET = 400_000
 #: Postings a task holds before it hands them on.
@@ -26,7 +30,7 @@ HELD = 1_500_000
 BROADCAST_IDS = 1_000_000
 #: Ranges of the hash space whose counts the suffix filter compares.
 RANGES = 16
-_KINDS = "kind int, id {id}, node long, n int, ranges array<int>, data binary"
+_KINDS = "kind int, id {id}, node long, n int, ranges array<int>"
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -52,19 +56,19 @@ def prefix_length(n: np.ndarray | int) -> np.ndarray | int:
 
 
 def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0: id, node, n, ranges; at the end of kind 1: blocks of the sketch of document frequencies."""
-    cells, held, waiting = np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+    """Rows of kind 0: id, node, n, ranges; of kind 1: n-grams (node) that the task counted n > 1 times."""
+    held, waiting = [], 0
     seen: set[int] = set()
     id_kind = pa.int64()
 
-    def count() -> None:
-        nonlocal held, waiting
-        if held:
-            cells[:] += np.bincount((np.concatenate(held) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells))
-        held, waiting = [], 0
+    def rows(kind: int, ids: pa.Array, node, n, ranges: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(ranges, pa.list_(pa.int32()))], ["kind", "id", "node", "n", "ranges"])
 
-    def rows(kind: int, ids: pa.Array, node: list, n: list, ranges: list, data: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(n), pa.int32()), ids, pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(ranges, pa.list_(pa.int32())), pa.array(data, pa.binary())], ["kind", "id", "node", "n", "ranges", "data"])
+    def counted() -> pa.RecordBatch:
+        grams, counts = np.unique(np.concatenate(held), return_counts=True)
+        some = np.flatnonzero(counts > 1)
+        some = some[np.argsort(-counts[some], kind="stable")[:HANDED_ON]]
+        return rows(1, pa.nulls(len(some), id_kind), grams[some].view(np.int64), counts[some].astype(np.int32), [None] * len(some))
 
     for batch in batches:
         id_kind, node, n, ranges = batch.column(0).type, [], [], []
@@ -78,20 +82,12 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(name)
                 held.append(grams)
                 waiting += len(grams)
-                if waiting > HELD:
-                    count()
-        yield rows(0, batch.column(0), node, n, ranges, [None] * len(n))
-    count()
-    blocks = np.split(cells, SKETCH_BLOCKS)
-    used = [i for i, x in enumerate(blocks) if x.any()]
-    if used:
-        yield rows(1, pa.nulls(len(used), id_kind), used, [0] * len(used), [None] * len(used), [blocks[i].astype("<u4").tobytes() for i in used])
-
-
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in pdf["data"])
-    levels = np.where(total > 0, np.log2(np.maximum(total, 1)) * 2, 0).astype(np.uint8)
-    return pd.DataFrame({"node": pdf["node"].iloc[:1], "data": [levels.tobytes()]})
+                if waiting > COUNTED:
+                    yield counted()
+                    held, waiting = [], 0
+        yield rows(0, batch.column(0), node, n, ranges)
+    if held:
+        yield counted()
 
 
 def _matches(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -155,10 +151,10 @@ def components(links: DataFrame, label: str) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Components of documents linked by word n-gram similarity: id_col, n_shingles, component_id.
 
-    Equal sets are one node.  Each node's rarest n-grams (its prefix, by a sketch of document
-    frequencies over all texts, ties by hash) are dealt by n-gram.  Where several nodes
-    share one, first each meets the n-gram's pivot; only nodes whose components still
-    differ then meet one another.  A pair passes the length, positional and suffix filters and is
+    Equal sets are one node.  Each node's rarest n-grams (its prefix, by the document
+    frequencies of those that tasks find repeated, ties by hash) are dealt by n-gram.  Where several nodes
+    share one, each meets the n-gram's pivot, for some rounds another one each; only nodes
+    whose components still differ then meet one another.  A pair passes the length, positional and suffix filters and is
     verified once, on its whole sets.  So a group of near copies costs its size, and no link between
     components is lost.  Null and wordless texts have no n-grams and stay alone;
     repeated rows share a component; a null id takes no part in the least id.
@@ -171,14 +167,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = nodes.agg(F.coalesce(F.sum(F.expr(f"n - ceil(n * {NUM} / {DEN}) + 1")), F.lit(0))).first()[0]
     if not total:
         return every.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("id").alias("component_id"))
-    levels = np.zeros(1 << SKETCH_BITS, np.uint8)
-    width = len(levels) // SKETCH_BLOCKS
-    for r in survey.filter("kind = 1").select("node", "data").groupBy("node").applyInPandas(_summed, "node long, data binary").collect():
-        levels[r.node * width : (r.node + 1) * width] = np.frombuffer(r.data, np.uint8)
-    held, buckets = docs.sparkSession.sparkContext.broadcast(levels), max(1, -(-int(total) // BUCKET))
+    heavy = survey.filter("kind = 1").groupBy("node").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "node").limit(FREQUENT).collect()
+    heavy = sorted((r.node + (1 << 64) if r.node < 0 else r.node, r.n) for r in heavy)
+    frequent = np.array([x[0] for x in heavy], np.uint64), (2 * np.log2([x[1] for x in heavy])).astype(np.uint8) if heavy else np.zeros(0, np.uint8)
+    held, buckets = docs.sparkSession.sparkContext.broadcast(frequent), max(1, -(-int(total) // BUCKET))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, seen, waiting = held.value, set(), []
+        (known, levels), seen, waiting = held.value, set(), []
+
+        def rarity(grams: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(grams), np.uint8)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+                same = known[at] == grams
+                out[same] = levels[at[same]]
+            return out
 
         def dealt() -> Iterator[pa.RecordBatch]:
             gram, node, size = (np.concatenate(x) for x in zip(*waiting, strict=True))
@@ -197,8 +200,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     continue
                 seen.add(name)
                 m = int(prefix_length(len(grams)))
-                rarity = levels[(grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                first = np.argsort(rarity, kind="stable")[:m]  # the hashes rise, so ties go by hash
+                first = np.argsort(rarity(grams), kind="stable")[:m]  # the hashes rise, so ties go by hash
                 size = np.uint64(len(grams) << 32) + np.arange(m, dtype=np.uint64)
                 waiting.append((grams[first], np.full(m, name, np.int64), size))
                 n_waiting += m
@@ -234,17 +236,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         own = lambda x, y: found.select(F.col("node").alias(x), F.col("grams").alias(y))
         return pairs.join(own("b", "sb"), "b").join(own("a", "sa"), "a").select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long")
 
-    stars = matches.filter((F.col("node") != F.col("pivot")) & _possible("n", "at", "pn", "pat")).select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    links = cut(verified(stars, "jaccard-star"), "jaccard-links")
-    roots = cut(components(links, "jaccard-first"), "jaccard-roots")
-    labelled = matches.select("gram", "node", "n", "at", "pivot").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = cut(labelled, "jaccard-labelled")
-    split = labelled.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("gram")
-    left = cut(labelled.join(split, "gram"), "jaccard-split")
-    x = left.select("gram", "pivot", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "at", "root")])
+    left, links, roots = matches, None, None
+    for round_ in range(ROUNDS):
+        near = (F.col("node") != F.col("pivot")) & _possible("n", "at", "pn", "pat")
+        stars = left.filter(near & (F.col("root") != F.col("pivot_root")) if round_ else near).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        found = verified(stars, f"jaccard-star{round_}")
+        links = cut(found if links is None else links.union(found), f"jaccard-links{round_}")
+        roots = cut(components(links, f"jaccard-round{round_}"), f"jaccard-roots{round_}")
+        labelled = left.select("gram", "node", "n", "at").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        labelled = cut(labelled, f"jaccard-labelled{round_}")
+        pick = F.struct(F.xxhash64("node", F.lit(round_)), F.col("node").alias("pivot"), F.col("n").alias("pn"), F.col("at").alias("pat"), F.col("root").alias("pivot_root"))
+        split = labelled.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(pick).alias("p")).filter("lo <> hi")
+        split = cut(split.select("gram", "p.pivot", "p.pn", "p.pat", "p.pivot_root"), f"jaccard-split{round_}")
+        left = cut(labelled.join(split, "gram"), f"jaccard-left{round_}")
+        if not left.limit(1).count():
+            break
+    x = left.select("gram", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "at", "root")])
     y = left.select("gram", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "at", "root")])
-    met = (F.col("x_root") < F.col("y_root")) & (F.col("x_node") != F.col("pivot")) & (F.col("y_node") != F.col("pivot"))
-    more = cut(x.join(y, "gram").filter(met & _possible("x_n", "x_at", "y_n", "y_at")).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct(), "jaccard-more")
+    met = (F.col("x_root") < F.col("y_root")) & _possible("x_n", "x_at", "y_n", "y_at")
+    more = cut(x.join(y, "gram").filter(met).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct(), "jaccard-more")
     if more.limit(1).count():
         links = cut(links.union(verified(more, "jaccard-cross")), "jaccard-all")
         roots = cut(components(links, "jaccard-last"), "jaccard-roots")
