@@ -16,11 +16,11 @@ from corvane.llm.grams import Distinct, code_points, gram_hashes
 
 SIZES, BITS = (5, 6), 20
 #: Labelled rows of each class that the linear weights are fitted on, at most (expected); the log-count ratios count all labelled rows.
-FIT_TOXIC, FIT_CLEAN = 2_000, 4_000
-#: Grams in fewer labelled documents have ratio 0.
-LEAST_DOCS = 8
+FIT_TOXIC, FIT_CLEAN = 4_000, 8_000
+#: Grams in fewer labelled documents, or with a smaller ratio either way, have ratio 0.
+LEAST_DOCS, LEAST_RATIO = 10, 1.0
 #: Passes of the fit, its step size, its ridge, and how much more a toxic row weighs.
-ROUNDS, RATE, RIDGE, TOXIC_WEIGHT = 60, 0.05, 1.0, 5.0
+ROUNDS, RATE, RIDGE, TOXIC_WEIGHT = 60, 0.05, 1.0, 8.0
 #: Labels that may be broadcast to the scan; more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 _BLOCKS = 64
@@ -118,8 +118,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         flat = (total[1] + 0.5) / (sum(total) + 1)
         return Model(np.zeros(1 << BITS, np.float32), float(np.log(flat / (1 - flat))))
     ratio = np.log((counts[1] + 1) / (total[1] + 2)) - np.log((counts[0] + 1) / (total[0] + 2))
-    ratio[counts.sum(0) < LEAST_DOCS] = 0
-    sample = found.filter("block < 0").select("toxic", "data").collect()
+    ratio[(counts.sum(0) < LEAST_DOCS) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    telling = docs.sparkSession.sparkContext.broadcast(ratio != 0)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [np.frombuffer(x, np.uint32) for x in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([g[telling.value[g]].tobytes() for g in grams], pa.binary())], ["toxic", "data"])
+
+    sample = found.filter("block < 0").select("toxic", "data").mapInArrow(told, "toxic int, data binary").collect()
     toxic = np.array([r.toxic for r in sample])
     weight = np.where(toxic == 1, TOXIC_WEIGHT / share[1], 1 / share[0])
     return fit([np.frombuffer(r.data, np.uint32) for r in sample], toxic, weight, ratio, total[1] / sum(total))
