@@ -1,5 +1,7 @@
 """The pipeline's stages, each against what it must keep, and the registered names."""
 
+import random
+
 import __spark_entry__
 import corpus_pipeline
 from corvane.llm import queries
@@ -13,8 +15,10 @@ def test_names_are_registered():
 
 
 def test_stages_in_order(spark, docs):
-    common = " ".join(f"shared{i} passage" for i in range(60))
-    texts = [f"{'the water and this house with words ' * 8}{'x' * i} {common} and the end {chr(97 + i) * 5}" for i in range(4)]
+    rng = random.Random(1)
+    say = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(5)) for _ in range(n))
+    common = say(100)
+    texts = [f"the water and this house {say(150)} {common} with words {say(20)}" for _ in range(4)]
     texts += [texts[0], None, "0 1 2 3", "token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" the house and water"]
     rows = docs(*texts)
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -23,6 +27,6 @@ def test_stages_in_order(spark, docs):
         rows = spark.createDataFrame(out.collect(), rows.schema)
     kept = {r.doc_id: r.text for r in rows.collect()}
     assert 0 in kept and 4 not in kept and 5 not in kept and 6 not in kept
-    assert kept[7].startswith("[SECRET]") and sum("shared30" in t for t in kept.values()) == 0
+    assert kept[7].startswith("[SECRET]") and not any(common[200:240] in t for t in kept.values()) and {1, 2, 3} <= set(kept)
     packed = corpus_pipeline.STAGES[-1][1](spark, rows, "").toPandas()
     assert set(packed.doc_id) == set(kept)
