@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,8 @@ LENGTH = 400
 BLOCK = 100
 #: Bytes of fragments that one suffix array is built over.
 ARRAY_BYTES = 1_000_000
+#: An anchor with more different fragments is split: strings by how far the anchor is into them, RANGE bytes at a time, and by the bytes that such strings share.
+HOT, RANGE = 2_000, 32
 #: Starts of a text whose anchors are found at once.
 _STARTS = 1 << 23
 
@@ -121,8 +124,8 @@ def repeated_starts(fragments: list[bytes], length: int) -> list[np.ndarray]:
 # ---------------------------------------------------------------- distribution by content
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first start, count of starts, fragment hash) of the text's fragments.
+def anchors(data: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first start, count of starts, fragment hash, anchor's place in the fragment) of the text's fragments.
 
     The anchor of a string of ``length`` bytes is its block of least hash (its upper 40 bits), the
     last of equals.  Equal strings have equal anchors at equal places.  A fragment is
@@ -148,10 +151,10 @@ def anchors(data: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> tuple
         content = span_hash(pre, begin + first, begin + first + count - 1 + length)
         with np.errstate(over="ignore"):
             placed = mix64(content + (anchor[first] - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        found.append((hashes[anchor[first]], begin + first, count, placed))
+        found.append((hashes[anchor[first]], begin + first, count, placed, anchor[first] - first))
     if not found:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none.astype(np.uint64)
+        return none.astype(np.uint64), none, none, none.astype(np.uint64), none
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -163,41 +166,53 @@ def _fragments(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple] = set()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
             for id_, c1, c2, text in zip(*(batch.column(c).to_pylist() for c in ("id", "c1", "c2", "text")), strict=True):
                 if (c1, c2) in done:
                     continue
                 done.add((c1, c2))
-                g, first, count, content = anchors(np.frombuffer(_bytes(text), np.uint8), length)
-                for o, v in zip(out, (g.view(np.int64), content.view(np.int64), np.full(len(g), c1), np.full(len(g), c2), first, count), strict=True):
+                g, first, count, content, at = anchors(np.frombuffer(_bytes(text), np.uint8), length)
+                for o, v in zip(out, (g.view(np.int64), content.view(np.int64), np.full(len(g), c1), np.full(len(g), c2), first, count, at), strict=True):
                     o.append(v)
-            kinds = [pa.int64()] * 5 + [pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]), k) for x, k in zip(out, kinds, strict=True)], ["g", "f", "c1", "c2", "first", "count"])
+            kinds = [pa.int64()] * 5 + [pa.int32()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]), k) for x, k in zip(out, kinds, strict=True)], ["g", "f", "c1", "c2", "first", "count", "at"])
 
     return run
 
 
 def _cutouts(length: int):
-    """Bytes of the asked fragments of each text."""
+    """Bytes of the asked fragments of each text; those of hot anchors in ranges, keyed by what the strings of a range share."""
+
+    def split(data: bytes, x: dict) -> Iterator[tuple]:
+        first, anchor = x["first"], x["first"] + x["at"]
+        for r in range((x["at"] - x["count"] + 1) // RANGE, x["at"] // RANGE + 1):
+            low, high = max(first, anchor - (r + 1) * RANGE + 1), min(first + x["count"] - 1, anchor - r * RANGE)
+            core = data[anchor - r * RANGE : anchor - (r + 1) * RANGE + 1 + length]
+            key = xxhash.xxh3_64_intdigest(core, seed=(x["g"] + r) & (1 << 64) - 1) - (1 << 63)
+            piece = data[low : high + length]
+            yield key, xxhash.xxh3_64_intdigest(piece, seed=(anchor - low) & 0xFFFF) - (1 << 63), x["g"], x["f"], low - first, piece, True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [*[pa.int64()] * 4, pa.int32(), pa.binary(), pa.bool_()]
         for batch in batches:
             for text, asked in zip(batch.column("text"), batch.column("asked").to_pylist(), strict=True):
-                data = _bytes(text.as_py())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x["g"] for x in asked], pa.int64()), pa.array([x["f"] for x in asked], pa.int64()), pa.array([data[x["first"] : x["first"] + x["count"] - 1 + length] for x in asked], pa.binary())],
-                    ["g", "f", "data"],
-                )
+                data, out = _bytes(text.as_py()), []
+                for x in asked:
+                    if x["hot"]:
+                        out.extend(split(data, x))
+                    else:
+                        out.append((x["g"], x["f"], x["g"], x["f"], 0, data[x["first"] : x["first"] + x["count"] - 1 + length], False))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["key", "content", "g", "f", "base", "data", "hot"])
 
     return run
 
 
 def _sorted_fragments(length: int):
-    """The fragments of a group, some megabyte at a time and anchors kept together: (g, f, start, end) runs of repeated starts."""
+    """The fragments of a group, some megabyte at a time and keys kept together: (key, content, low, high) runs of repeated starts."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["g", "f"], kind="stable")
-        g, f, data = pdf["g"].to_numpy(), pdf["f"].to_numpy(), pdf["data"].tolist()
+        pdf = pdf.sort_values(["key", "content"], kind="stable")
+        g, f, data = pdf["key"].to_numpy(), pdf["content"].to_numpy(), pdf["data"].tolist()
         out: list[tuple] = []
         begin, size = 0, 0
         for i in range(len(g) + 1):
@@ -210,7 +225,7 @@ def _sorted_fragments(length: int):
                 begin, size = i, 0
             if i < len(g):
                 size += len(data[i])
-        return pd.DataFrame(out, columns=["g", "f", "low", "high"])
+        return pd.DataFrame(out, columns=["key", "content", "low", "high"])
 
     return run
 
@@ -221,22 +236,38 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "id") ->
     rows = docs.withColumns({"c1": F.xxhash64(text), "c2": F.xxhash64(text, F.lit(1))})
     classes = rows.groupBy("c1", "c2").agg(F.min(id_col).alias("least"), F.count("*").alias("copies"), F.first(F.octet_length(text)).alias("n"))
     classes = cut(classes, "suffix-classes")
-    fragments = rows.select(F.col(id_col).cast("string").alias("id"), "c1", "c2", text.alias("text")).mapInArrow(_fragments(length), "g long, f long, c1 long, c2 long, first long, count int")
+    fragments = rows.select(F.col(id_col).cast("string").alias("id"), "c1", "c2", text.alias("text")).mapInArrow(_fragments(length), "g long, f long, c1 long, c2 long, first long, count int, at int")
     fragments = cut(fragments, "suffix-fragments")
-    place = F.struct("c1", "c2", "first", "count")
+    place = F.struct("c1", "c2", "first", "count", "at")
     kinds = cut(fragments.groupBy("g", "f").agg(F.min(place).alias("one"), F.max(place).alias("other")), "suffix-kinds")
     often = F.col("one") != F.col("other")
-    several = cut(kinds.groupBy("g").count().filter("count > 1").select("g"), "suffix-several")
+    several = cut(kinds.groupBy("g").count().filter("count > 1").select("g", (F.col("count") > HOT).alias("hot")), "suffix-several")
     # fragments that repeat whole need no sorting; where an anchor has several, their bytes are sorted
-    mixed = kinds.join(several, "g").select("g", "f", "one.*")
-    asked = mixed.groupBy("c1", "c2").agg(F.collect_list(F.struct("g", "f", "first", "count")).alias("asked"))
+    mixed = kinds.join(several, "g").select("g", "f", "one.*", "hot")
+    asked = mixed.groupBy("c1", "c2").agg(F.collect_list(F.struct("g", "f", "first", "count", "at", "hot")).alias("asked"))
     asked = cut(asked.join(classes.select("c1", "c2", "least"), ["c1", "c2"]), "suffix-asked")
     near = rows.select(F.col(id_col).alias("least"), "c1", "c2", text.alias("text")).join(asked, ["c1", "c2", "least"]) if not classes.filter("least is null").limit(1).count() else rows.select("c1", "c2", text.alias("text")).join(asked, ["c1", "c2"])
-    pieces = near.select("text", "asked").mapInArrow(_cutouts(length), "g long, f long, data binary")
-    # a group of anchors to a suffix array
+    pieces = near.select("text", "asked").mapInArrow(_cutouts(length), "key long, content long, g long, f long, base int, data binary, hot boolean")
+
+    def in_arrays(some: DataFrame, size: int) -> DataFrame:
+        """Repeated starts of fragments (key, content, data), a group of keys to a suffix array; ``size``: their bytes."""
+        dealt = some.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(max(1, int(size) // (2 * ARRAY_BYTES)))))
+        return dealt.groupBy("group").applyInPandas(_drop(_sorted_fragments(length)), "key long, content long, low int, high int")
+
     n = mixed.agg(F.coalesce(F.sum(F.col("count") + length), F.lit(0))).first()[0]
-    groups = max(1, int(n) // (2 * ARRAY_BYTES))
-    partly = pieces.withColumn("group", F.pmod(F.xxhash64("g"), F.lit(groups))).groupBy("group").applyInPandas(_drop(_sorted_fragments(length)), "g long, f long, low int, high int")
+    hot = several.filter("hot").limit(1).count() > 0
+    pieces = cut(pieces, "suffix-pieces") if hot else pieces
+    partly = in_arrays(pieces.filter("not hot").select("key", "content", "data"), n).select(F.col("key").alias("g"), F.col("content").alias("f"), "low", "high")
+    if hot:
+        # the same again, one level below: pieces equal whole repeat, and one of each kind is sorted with its key's others
+        fine = pieces.filter("hot")
+        own = cut(fine.groupBy("key", "content").agg(F.count_distinct("g", "f").alias("n"), F.first("data").alias("data")), "suffix-fine")
+        others = own.groupBy(F.col("key").alias("key")).count().filter("count > 1").select("key")
+        sorted_ = own.join(others, "key").select("key", "content", "data")
+        size = sorted_.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+        equal = own.filter("n > 1").select("key", "content", F.lit(0).alias("low"), (F.octet_length("data") - length + 1).alias("high"))
+        again = cut(equal.unionByName(in_arrays(sorted_, size)), "suffix-again")
+        partly = partly.unionByName(fine.select("key", "content", "g", "f", "base").join(again, ["key", "content"]).select("g", "f", (F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high")))
     partly = cut(partly.distinct(), "suffix-partly")
     whole = kinds.filter(often).select("g", "f", F.lit(0).alias("low"), F.lit(1 << 30).alias("high"))
     found = fragments.join(whole.unionByName(partly), ["g", "f"])

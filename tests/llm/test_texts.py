@@ -168,6 +168,18 @@ def test_suffix_dedup(docs):
     assert suffixes.suffix_dedup(docs()).count() == 0
 
 
+def test_hot_anchors_are_split(docs, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 1)
+    rng = random.Random(21)
+    texts = passages(rng)
+    base = texts[3]
+    for _ in range(12):
+        at = rng.randrange(len(base))
+        texts.append(base[:at] + "XY" + base[at + 1 :])
+    rows = suffixes.suffix_dedup(docs(*texts)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in rows] == brute_removed(texts, suffixes.LENGTH)
+
+
 def test_long_texts_are_cut_into_chunks(docs, monkeypatch):
     monkeypatch.setattr(suffixes, "_STARTS", 512)
     texts = passages(random.Random(12))
