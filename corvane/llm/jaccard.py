@@ -21,16 +21,16 @@ COUNTED, HANDED_ON = 2_000_000, 100_000
 #: N-grams known as frequent (a table of at most 9 bytes each); all others count as rare alike.
 FREQUENT = 300_000
 #: Rounds in which n-grams shared by several components get another pivot, before all their pairs are met.
-ROUNDS = 4
+ROUNDS = 2
 #: Prefix n-grams that one reducer group takes.
 BUCKET = 400_000
 #: Postings a task holds before it hands them on.
 HELD = 1_500_000
 #: Ids that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Ranges of the hash space whose counts the suffix filter compares.
-RANGES = 16
-_KINDS = "kind int, id {id}, node long, n int, ranges array<int>"
+#: Ranges of the hash space (a power of two) whose counts the suffix filter compares.
+RANGES = 256
+_KINDS = "kind int, id {id}, node long, n int, ranges binary"
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -62,7 +62,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     id_kind = pa.int64()
 
     def rows(kind: int, ids: pa.Array, node, n, ranges: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(ranges, pa.list_(pa.int32()))], ["kind", "id", "node", "n", "ranges"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), ids, pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(ranges, pa.binary())], ["kind", "id", "node", "n", "ranges"])
 
     def counted() -> pa.RecordBatch:
         grams, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -77,7 +77,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name = node_of(grams)
             node.append(name)
             n.append(len(grams))
-            ranges.append(np.bincount((grams >> np.uint64(60)).astype(np.int64), minlength=RANGES).tolist())
+            ranges.append(np.minimum(np.bincount((grams >> np.uint64(65 - RANGES.bit_length())).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes())
             if name not in seen:
                 seen.add(name)
                 held.append(grams)
@@ -125,6 +125,17 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(good, pa.bool_())).select(["a", "b"])
 
 
+def _suffix_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keep pairs whose sets may be similar: differences of the counts in ranges are a lower bound of the sets' difference."""
+    for batch in batches:
+        if batch.num_rows:
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, RANGES).astype(np.int16) for c in ("ra", "rb"))
+            total = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+            most = total - 2 * -(-total * NUM // (NUM + DEN))
+            batch = batch.filter(pa.array(np.abs(a - b).sum(1) <= most))
+        yield batch.select(["a", "b"])
+
+
 def components(links: DataFrame, label: str) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b); root is its component's least node.
 
@@ -215,13 +226,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         """Suffix filter by the sets' counts in ranges of the hash space, then the overlap of the whole sets."""
-        side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("ranges").alias(f"r{x}"))
-        apart = F.aggregate(F.zip_with("ra", "rb", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-        fit = F.col("na") + F.col("nb") - 2 * F.ceil((F.col("na") + F.col("nb")) * NUM / F.lit(NUM + DEN))
-        pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= fit).select("a", "b"), f"{label}-pairs")
-        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        ids = cut(nodes.join(asked, "node").select(F.col("least").alias("id"), "node"), f"{label}-ids")
-        few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+        ends = lambda some: some.select(F.col("a").alias("node")).union(some.select("b")).distinct()
+        side = lambda x: own.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("ranges").alias(f"r{x}"))
+        pairs = cut(pairs, f"{label}-met")
+        own = cut(nodes.join(few(cut(ends(pairs), f"{label}-ends")), "node"), f"{label}-own")
+        pairs = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_suffix_filter, "a long, b long"), f"{label}-pairs")
+        ids = cut(own.join(ends(pairs), "node").select(F.col("least").alias("id"), "node"), f"{label}-ids")
+        known = few(ids)
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done: set[int] = set()
@@ -231,10 +242,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                         done.add(node)
                         yield pa.RecordBatch.from_arrays([pa.array([node], pa.int64()), pa.array([grams.tobytes()], pa.binary())], ["node", "grams"])
 
-        found = rows.join(few, rows["id"].eqNullSafe(few["id"])).select("text", "node") if _has_null(ids) else rows.join(few, "id").select("text", "node")
+        found = rows.join(known, rows["id"].eqNullSafe(known["id"])).select("text", "node") if _has_null(ids) else rows.join(known, "id").select("text", "node")
         found = cut(found.mapInArrow(sets, "node long, grams binary"), f"{label}-sets")
-        own = lambda x, y: found.select(F.col("node").alias(x), F.col("grams").alias(y))
-        return pairs.join(own("b", "sb"), "b").join(own("a", "sa"), "a").select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long")
+        whole = lambda x, y: found.select(F.col("node").alias(x), F.col("grams").alias(y))
+        return pairs.join(whole("b", "sb"), "b").join(whole("a", "sa"), "a").select("a", "b", "sa", "sb").mapInArrow(_overlaps, "a long, b long")
 
     left, links, roots = matches, None, None
     for round_ in range(ROUNDS):
@@ -265,6 +276,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), alone.alias("component_id"))
 
 
+def few(ids: DataFrame) -> DataFrame:
+    """Rows to broadcast if their number allows it."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _has_null(ids: DataFrame) -> bool:
     return ids.filter("id is null").limit(1).count() > 0
 
