@@ -129,25 +129,41 @@ def with_language(docs: DataFrame, likelihoods: Likelihoods, text: Column, host:
     hosts = cut(rows.groupBy("__domain", "__host").agg(*sums("h")), f"hosts-{label}")
     domains = hosts.groupBy("__domain").agg(*[F.sum(f"h{k}").alias(f"d{k}") for k in range(n)])
     total = hosts.agg(*[F.coalesce(F.sum(f"h{k}"), F.lit(0.0)).alias(f"t{k}") for k in range(n)]).first()
-    seen = F.array(*[F.lit(float(x)) for x in total])
     priors = hosts.join(domains, "__domain").select("__domain", "__host", F.array(*[f"h{k}" for k in range(n)]).alias("__h"), F.array(*[f"d{k}" for k in range(n)]).alias("__d"))
     priors = cut(priors, f"priors-{label}")
     priors = F.broadcast(priors) if priors.count() <= BROADCAST_HOSTS else priors
-    own = F.coalesce(soft, flat)
-    less = lambda a: F.zip_with(a, own, lambda x, y: F.greatest(x - y, F.lit(0.0)))
-    add = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
-    lean = lambda counts, above, weight: F.zip_with(counts, above, lambda x, y: (x + weight * y) / (add(counts) + weight))
-    start = F.array(*[F.lit(UNKNOWN_PRIOR if x == UNKNOWN else (1 - UNKNOWN_PRIOR) / max(1, n - 1)) for x in names])
-    given = lambda said, trust: F.when(said.isin(*names[:-1]), F.array(*[F.when(said == x, trust).otherwise((1 - trust) / max(1, n - 1)) for x in names])).otherwise(F.array(*[F.lit(1.0)] * n))
-    out = rows.join(priors, ["__domain", "__host"], "left").withColumns({"__a": lean(less(seen), start, 50.0)})
-    out = out.withColumn("__b", lean(less(F.col("__d")), F.col("__a"), SMOOTHING[0])).withColumn("__c", lean(less(F.col("__h")), F.col("__b"), SMOOTHING[1]))
-    out = out.withColumns({"__x": given(F.col("__declared"), DECLARED_TRUST), "__y": given(F.col("__suffix"), SUFFIX_TRUST)})
-    fused = F.transform(F.coalesce("__logs", flat), lambda x, k: x + F.log(F.element_at("__c", k + 1) + 1e-12) + F.log(F.element_at("__x", k + 1)) + F.log(F.element_at("__y", k + 1)))
-    out = out.withColumn("__p", _normal(fused))
-    best = F.array_position("__p", F.array_max("__p")).cast("int")
-    said = F.element_at(F.array(*map(F.lit, names)), best)
-    out = out.withColumns({"__lang": F.when(F.col("__logs").isNull(), F.lit(UNKNOWN)).otherwise(said), "__posterior": F.when(F.col("__logs").isNotNull(), F.array_max("__p"))})
-    return out.drop("__logs", "__host", "__domain", "__declared", "__suffix", "__a", "__b", "__c", "__x", "__y", "__p", "__h", "__d")
+    names_known, seen = np.array(names[:-1]), np.array([float(x) for x in total])
+    start = np.append(np.full(n - 1, (1 - UNKNOWN_PRIOR) / max(1, n - 1)), UNKNOWN_PRIOR)
+
+    def given(said: pd.Series, trust: float) -> np.ndarray:
+        """Chance of what was said under each language; 1 where nothing known was said."""
+        out = np.ones((len(said), n))
+        for k, name in enumerate(names_known):
+            rows = (said == name).to_numpy(bool)
+            out[rows] = (1 - trust) / max(1, n - 1)
+            out[rows, k] = trust
+        return out
+
+    def fuse(logs: pd.Series, host: pd.Series, domain: pd.Series, declared: pd.Series, suffix: pd.Series) -> pd.DataFrame:
+        wordless = logs.isna().to_numpy()
+        table = lambda xs: np.array([np.zeros(n) if x is None else np.asarray(x, float) for x in xs]).reshape(-1, n)
+        x = table(logs)
+        own = np.exp(x - x.max(1, keepdims=True, initial=-np.inf))
+        own = own / own.sum(1, keepdims=True) * ~wordless[:, None]
+        prior = np.broadcast_to(start, x.shape)
+        for counts, weight in ((seen, 50.0), (table(domain), SMOOTHING[0]), (table(host), SMOOTHING[1])):
+            counts = np.maximum(counts - own, 0)
+            prior = (counts + weight * prior) / (counts.sum(1, keepdims=True) + weight)
+        x = x + np.log(prior + 1e-12) + np.log(given(declared, DECLARED_TRUST)) + np.log(given(suffix, SUFFIX_TRUST))
+        p = np.exp(x - x.max(1, keepdims=True, initial=-np.inf))
+        p /= p.sum(1, keepdims=True)
+        said = np.array(names, object)[p.argmax(1)] if len(p) else np.zeros(0, object)
+        return pd.DataFrame({"lang": np.where(wordless, UNKNOWN, said), "posterior": np.where(wordless, None, p.max(1, initial=0))}).astype({"posterior": float})
+
+    fused = F.pandas_udf(fuse, "lang string, posterior double").asNondeterministic()  # evaluated once, also under a filter
+    out = rows.join(priors, ["__domain", "__host"], "left").withColumn("__found", fused("__logs", "__h", "__d", "__declared", "__suffix"))
+    out = out.withColumns({"__lang": F.col("__found.lang"), "__posterior": F.col("__found.posterior")})
+    return out.drop("__logs", "__host", "__domain", "__declared", "__suffix", "__h", "__d", "__found")
 
 
 def document_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
