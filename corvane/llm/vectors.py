@@ -297,6 +297,7 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
     block of rows, never a row to a row, and k rows a query leave a pair of blocks.  Ties go to the smaller id.
     Vectors that are null or hold null or non-finite components, and null ids, take no part;
     zero vectors do.  Vectors of other lengths are not compared.  Products must fit 64 bits.
+    Repeated rows are rows of their own, as in TOPK_SQL: each copy takes a rank, and each copy of a query meets every row.
     """
     rows = cut(_quantised(vectors, id_col, vec_col, scale, None), "sliced-rows")
     asked = cut(_quantised(vectors, id_col, vec_col, scale, every), "sliced-queries")
@@ -314,7 +315,7 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
                         out.extend((query, row, score) for row, score in index.top(query, q, k))
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    found = numbered.groupBy("block").cogroup(pairs.groupBy("block")).applyInPandas(run, "query_id long, vec_id long, score long").distinct()
+    found = numbered.groupBy("block").cogroup(pairs.groupBy("block")).applyInPandas(run, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")

@@ -62,6 +62,18 @@ def test_top_products(spark):
         assert [(-s, i) for s, i in zip(own.score, own.vec_id, strict=True)] == want
 
 
+def test_top_products_ranks_repeated_rows_one_by_one(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in rng.standard_normal(8)], 0) for i in range(101)]
+    rows += [(7, [9 * v for v in rows[0][1]], 0)] * 10 + [rows[50]]  # row 7 leads query 0; query 50 is stated twice
+    own = top_products(spark.createDataFrame(rows, SCHEMA).coalesce(1)).toPandas()
+    x = [(i, np.floor(256 * np.float32(v).astype(float)).astype(int)) for i, v, _ in rows]
+    for q in (0, 50, 100):
+        pairs = sorted((-int(a @ b), j) for i, a in x if i == q for j, b in x if j != q)[:5]
+        got = own[own.query_id == q].sort_values("rank")
+        assert got["rank"].tolist() == [1, 2, 3, 4, 5] and [(-s, i) for s, i in zip(got.score, got.vec_id, strict=True)] == pairs
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_bit_sliced_block(seed):
     rng = np.random.default_rng(seed)
