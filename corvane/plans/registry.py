@@ -328,6 +328,26 @@ def passage_f1(spark, sf_dir):
     return _ascii_docs(spark, sf_dir).select("doc_id", F.round(T.set_f1(T.passage_bag(F.col("pred")), T.passage_bag(F.col("gold"))), 9).alias("f1"))
 
 
+def _rewritten(spark, sf_dir):
+    """Each document's whole text, and the same without each seventh word."""
+    words = F.filter(T.words(F.col("text")), lambda _, i: i % 7 != 6)
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pred"), F.array_join(words, " ").alias("gold"))
+
+
+@query("squad_f1_whole")
+def squad_f1_whole(spark, sf_dir):
+    """squad_f1 over whole texts of all documents."""
+    rows = _rewritten(spark, sf_dir).select("doc_id", T.squad_normal(F.col("pred")).alias("a"), T.squad_normal(F.col("gold")).alias("b"))
+    return rows.select("doc_id", (F.col("a") == F.col("b")).alias("em"), F.round(T.whole_multiset_f1(F.col("a"), F.col("b")), 9).alias("f1"))
+
+
+@query("passage_f1_whole")
+def passage_f1_whole(spark, sf_dir):
+    """passage_f1 over whole texts of all documents."""
+    rows = _rewritten(spark, sf_dir).select("doc_id", T.passage_bag(F.col("pred")).alias("a"), T.passage_bag(F.col("gold")).alias("b"))
+    return rows.select("doc_id", F.round(T.set_f1(F.col("a"), F.col("b")), 9).alias("f1"))
+
+
 @query(
     "number_answers",
     r"""WITH a AS (SELECT l_orderkey, l_linenumber, 'First 1,234 apples cost $' || l_extendedprice || '. So #### ' || CAST(l_quantity AS INT) || '.' AS t FROM lineitem)
