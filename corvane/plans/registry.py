@@ -437,6 +437,12 @@ def checkers_strict(spark, sf_dir):
     return docs.select("doc_id", *[C.strict(i, F.col("text"), kw).alias(k) for k, (i, kw, _) in _CHECKS.items()])
 
 
+@query("checkers_strict_whole")
+def checkers_strict_whole(spark, sf_dir):
+    """checkers_strict over all documents, in any script."""
+    return table(spark, sf_dir, "documents").select("doc_id", *[C.strict(i, F.col("text"), kw).alias(k) for k, (i, kw, _) in _CHECKS.items()])
+
+
 @query("checkers_loose")
 def checkers_loose(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -447,6 +453,16 @@ def checkers_loose(spark, sf_dir):
 @query("instruction_accuracy", f"WITH d AS (SELECT text AS v FROM documents WHERE {_ASCII}), f AS (SELECT [{', '.join(f'({sql})' for _, (_, _, sql) in list(_CHECKS.items())[:6])}] AS l FROM d) SELECT avg(CASE WHEN list_bool_and(l) THEN 1.0 ELSE 0 END) AS prompt_acc, CAST(sum(len(list_filter(l, lambda x: x))) AS DOUBLE) / sum(len(l)) AS instruction_acc FROM f")
 def instruction_accuracy(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
+    return _accuracy(docs)
+
+
+@query("instruction_accuracy_whole")
+def instruction_accuracy_whole(spark, sf_dir):
+    """instruction_accuracy over all documents, in any script."""
+    return _accuracy(table(spark, sf_dir, "documents"))
+
+
+def _accuracy(docs: DataFrame) -> DataFrame:
     flags = docs.select(F.array(*[C.strict(i, F.col("text"), kw) for i, kw, _ in list(_CHECKS.values())[:6]]).alias("l"))
     return flags.agg(F.avg(F.forall("l", lambda x: x).cast("int")).alias("prompt_acc"), (F.sum(F.size(F.filter("l", lambda x: x))) / F.sum(F.size("l"))).alias("instruction_acc"))
 
