@@ -70,6 +70,12 @@ def fixed_packing(spark, sf_dir):
     return _packed(spark, sf_dir, 64, 100_000).select("file_idx", "seq_in_file", "global_seq", _total(F.col("tokens")).alias("token_sum"))
 
 
+@query("fixed_packing_whole")
+def fixed_packing_whole(spark, sf_dir):
+    """fixed_packing without a budget: all packed rows."""
+    return _packed(spark, sf_dir).select("file_idx", "seq_in_file", "global_seq", _total(F.col("tokens")).alias("token_sum"))
+
+
 @query("shards", f"WITH {_PACKED_SQL} SELECT global_seq // 500 AS shard_id, count(*) AS n_rows, max(global_seq % 500) AS last_row FROM r GROUP BY 1")
 def shards(spark, sf_dir):
     shard, row = corpus.shard_place(F.col("global_seq"), 500)

@@ -71,3 +71,22 @@ def test_predicates_of_all_documents(spark, whole):
     flags = [[bool(v and v.strip() and holds(k, v)) for k in list(_CHECKS)[:6]] for v in TEXTS]
     got = QUERIES["instruction_accuracy_whole"](spark, whole).first()
     assert got.prompt_acc == pytest.approx(sum(map(all, flags)) / len(TEXTS)) and got.instruction_acc == pytest.approx(sum(map(sum, flags)) / len(TEXTS) / 6)
+
+
+def packed(lengths):
+    """file_idx, seq_in_file of all packed rows in their order."""
+    return [(i, k) for i, n in enumerate(lengths) for k in range(n // 64)]
+
+
+@pytest.fixture(scope="module")
+def long_files(spark, tmp_path_factory):
+    root, lengths = tmp_path_factory.mktemp("files"), [5000, 63, 70_000, 0, 64, *[700] * 60, 40_000]
+    spark.createDataFrame([(i, "ab " * n) for i, n in enumerate(lengths)], "doc_id long, text string").repartition(3).write.parquet(f"{root}/documents.parquet")
+    return str(root), packed(lengths)
+
+
+def test_all_rows_are_packed(spark, long_files):
+    path, want = long_files
+    rows = QUERIES["fixed_packing_whole"](spark, path).orderBy("global_seq").collect()
+    assert len(want) > 100_000 // 64
+    assert [(r.file_idx, r.seq_in_file, r.global_seq, r.token_sum) for r in rows] == [(*x, at, 128) for at, x in enumerate(want)]
