@@ -641,6 +641,17 @@ def ordered_stream(spark, sf_dir):
     return spark.read.parquet(out)
 
 
+@query("ordered_stream_whole")
+def ordered_stream_whole(spark, sf_dir):
+    """ordered_stream over all packed rows, in three batches of files in their order."""
+    path, out = _shared(spark, "stream"), _shared(spark, "stream-out")
+    _packed(spark, sf_dir).select("global_seq", "tokens").repartitionByRange(24, "global_seq").write.parquet(path)
+    writers.in_order(spark, path)
+    stream = readers.shard_stream(spark, path, "global_seq long, tokens array<int>", files_per_batch=8)
+    ordered.consume(stream, lambda batch, _: batch.select("global_seq").write.mode("append").parquet(out), f"{out}-state", f"{out}-checkpoint")
+    return spark.read.schema("global_seq long").parquet(out)
+
+
 @query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, sf_dir):
     events = table(spark, sf_dir, "events")
