@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,45 +20,52 @@ CLASSES = 32
 SLACK = 0.01
 #: How many chunks' ids are remembered, and the longest one that is.
 CACHED, CACHED_BYTES = 800_000, 64
-#: Documents tokenized in one call.
-DOCS = 200
+#: Texts of characters up to U+00FF: composed already, and their lower case is one character for each.
+LATIN = re.compile("[\x00-\xff]*").fullmatch
+#: Byte-level tokenizers write the bytes 0-32, 127-160 and 173 as the letters from U+0100 on.
+BYTE_LETTERS = {byte: 0x100 + i for i, byte in enumerate([*range(33), *range(127, 161), 173])}
 
 
-class ChunkIds:
+class ChunkIds(dict):
     """Ids of texts by way of their white-space free chunks.
 
     The tokenizer drops white space and never joins across it, so a text's ids are
-    its chunks' ids, one after the other.  What is not known yet is encoded in one call.
+    its chunks' ids, one after the other.  A chunk that is not known yet is looked up as the
+    lower-case word and the full stops and commas after it, which the tokenizer treats apart;
+    a word of letters up to U+00FF goes to the tokenizer's model at once, anything else through the whole tokenizer.
     """
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) >= CACHED:
-            self.known = {}
-        chunks = [text.encode("utf-8", "replace").split() for text in texts]
-        ids = self.known
-        new = {x: _parts(x) for x in set().union(*chunks).difference(ids)}
-        ask = list({y for parts in new.values() for y in parts}.difference(ids))
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in ask], add_special_tokens=False)
-        ids.update((x, array("I", y.ids).tobytes()) for x, y in zip(ask, found, strict=True))
-        ids.update((x, b"".join(map(ids.__getitem__, parts))) for x, parts in new.items() if x not in ids)
-        out = [b"".join(map(ids.__getitem__, x)) for x in chunks]
-        for x in {*new, *ask}:
-            if len(x) > CACHED_BYTES:
-                del ids[x]
-        return out
-
-
-def _parts(chunk: bytes) -> tuple[bytes, ...]:
-    """Parts that the tokenizer treats alike and apart: lower case, and the full stops and commas after a letter."""
-    if not chunk.isascii() or b"<|" in chunk:
-        return (chunk,)
-    low = chunk.lower()
-    word = low.rstrip(b".,")
-    return (word, low[len(word) :]) if word and len(word) < len(low) and 97 <= word[-1] <= 122 else (low,)
+        self.model = self.tokenizer.model
+
+    def encode(self, text: str) -> bytes:
+        return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split()))
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        low = text.lower() if LATIN(text) else text
+        word = low.rstrip(".,")
+        if word.isalpha() and LATIN(word):
+            ids = self._word(word) + (self[low[len(word) :].encode()] if len(word) < len(low) else b"")
+        else:
+            ids = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self._keep(chunk, ids)
+
+    def _word(self, word: str) -> bytes:
+        name = word.encode()
+        if (ids := self.get(name)) is None:
+            letters = name.decode("latin-1").translate(BYTE_LETTERS)
+            ids = self._keep(name, array("I", [x.id for x in self.model.tokenize(letters)]).tobytes())
+        return ids
+
+    def _keep(self, chunk: bytes, ids: bytes) -> bytes:
+        if len(chunk) <= CACHED_BYTES:
+            if len(self) >= CACHED:
+                self.clear()
+            self[chunk] = ids
+        return ids
 
 
 @lru_cache(maxsize=2)
@@ -168,9 +176,8 @@ def harmonic_packing(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capa
         id_kind, names = pa.int64(), ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         for batch in batches:
             id_kind = batch.column(0).type
-            for few in (batch.slice(i, DOCS) for i in range(0, batch.num_rows, DOCS)):
-                for doc, ids in zip(few.column(0).to_pylist(), encode([x or "" for x in few.column(1).to_pylist()]), strict=True):
-                    out.extend(packer.put(doc, ids + last))
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                out.extend(packer.put(doc, encode(text.as_py() or "") + last))
                 if len(out) >= 20_000:
                     yield block(out)
                     out = []
