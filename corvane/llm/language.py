@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut
+from corvane.llm.common import cut, few, unused
 from corvane.llm.grams import code_points, gram_hashes
 
 SIZES, BITS = (1, 2, 3), 15
-#: Labelled documents that the likelihoods are learned from, at most (expected, chosen by hash).
-FIT_ROWS = 4_000
+#: Labelled texts of each language that the likelihoods are learned from, at most (expected, chosen by hash).
+FIT_ROWS = 2_000
 UNKNOWN = "und"
 #: Log-likelihood of a gram of each size under no known language.
 UNKNOWN_GRAM = (-5.0, -8.0, -9.5)
@@ -27,8 +27,6 @@ DECLARED_TRUST, SUFFIX_TRUST = 0.85, 0.7
 UNKNOWN_PRIOR = 1e-3
 #: Pseudo-counts with which a level of the prior leans on the level above it: domain on all, host on domain.
 SMOOTHING = (20.0, 10.0)
-#: Hosts whose priors may be broadcast; more are joined by a shuffle.
-BROADCAST_HOSTS = 200_000
 #: Languages usual for country suffixes.
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "nz": "en"}
 
@@ -71,10 +69,11 @@ class Likelihoods:
 
 
 def learn(docs: DataFrame) -> Likelihoods:
-    """Multinomial gram likelihoods from a bounded share of ``docs`` (id, text, lang); null languages and texts are left out."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, FIT_ROWS / max(1, known.count()))
-    sample = known.filter(F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < share * (1 << 20)).select("text", "lang")
+    """Multinomial gram likelihoods from a bounded share of each language's rows (text, lang), each text once; null languages and texts are left out."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    sizes = known.groupBy("lang").count().select("lang", F.least(F.lit(1.0), FIT_ROWS / F.col("count")).alias("share"))
+    chosen = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    sample = known.join(F.broadcast(sizes), "lang").filter(chosen).select("text", "lang").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -105,12 +104,13 @@ def _normal(logs: Column) -> Column:
     return F.transform(up, lambda x: x / F.aggregate(up, F.lit(0.0), lambda a, b: a + b))
 
 
-def with_language(docs: DataFrame, likelihoods: Likelihoods, text: Column, host: Column, domain: Column, declared: Column, suffix: Column, label: str) -> DataFrame:
-    """Add __lang and __posterior to ``docs``.
+def with_language(docs: DataFrame, likelihoods: Likelihoods, text: Column, host: Column, domain: Column, declared: Column, suffix: Column, label: str, keep: list[str], lang_col: str = "lang", posterior_col: str = "posterior") -> DataFrame:
+    """The columns ``keep`` of ``docs``, lang_col and posterior_col; one row per input row.
 
     Text likelihoods are computed once and written with the rows; grouped sums of
     their probabilities give counts for all rows, each domain and each host, which smooth one
-    another from the top down, without the row's own share.
+    another from the top down, without the row's own share.  Null hosts and domains count as empty.
+    Of languages that are equally likely the first by name counts.
     """
     spark, names = docs.sparkSession, likelihoods.languages
     held = spark.sparkContext.broadcast(likelihoods)
@@ -122,16 +122,15 @@ def with_language(docs: DataFrame, likelihoods: Likelihoods, text: Column, host:
         return pd.Series([of(x) for x in texts], dtype=object)
 
     flat = F.array(*[F.lit(0.0)] * n)
-    rows = docs.withColumns({"__logs": logs(text), "__host": F.coalesce(host, F.lit("")), "__domain": F.coalesce(domain, F.lit("")), "__declared": declared, "__suffix": suffix})
+    rows = docs.select(F.struct(*[docs[c] for c in keep]).alias("row"), logs(text).alias("logs"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(domain, F.lit("")).alias("domain"), declared.alias("declared"), suffix.alias("suffix"))
     rows = cut(rows, f"language-{label}")
-    soft = F.when(F.col("__logs").isNotNull(), _normal(F.coalesce("__logs", flat)))
+    soft = F.when(F.col("logs").isNotNull(), _normal(F.coalesce("logs", flat)))
     sums = lambda prefix: [F.coalesce(F.sum(soft[k]), F.lit(0.0)).alias(f"{prefix}{k}") for k in range(n)]
-    hosts = cut(rows.groupBy("__domain", "__host").agg(*sums("h")), f"hosts-{label}")
-    domains = hosts.groupBy("__domain").agg(*[F.sum(f"h{k}").alias(f"d{k}") for k in range(n)])
+    hosts = cut(rows.groupBy("domain", "host").agg(*sums("h")), f"hosts-{label}")
+    domains = hosts.groupBy("domain").agg(*[F.sum(f"h{k}").alias(f"d{k}") for k in range(n)])
     total = hosts.agg(*[F.coalesce(F.sum(f"h{k}"), F.lit(0.0)).alias(f"t{k}") for k in range(n)]).first()
-    priors = hosts.join(domains, "__domain").select("__domain", "__host", F.array(*[f"h{k}" for k in range(n)]).alias("__h"), F.array(*[f"d{k}" for k in range(n)]).alias("__d"))
-    priors = cut(priors, f"priors-{label}")
-    priors = F.broadcast(priors) if priors.count() <= BROADCAST_HOSTS else priors
+    priors = hosts.join(domains, "domain").select("domain", "host", F.array(*[f"h{k}" for k in range(n)]).alias("h"), F.array(*[f"d{k}" for k in range(n)]).alias("d"))
+    priors = few(cut(priors, f"priors-{label}"), "domain", "host", width=32 + 16 * n)
     names_known, seen = np.array(names[:-1]), np.array([float(x) for x in total])
     start = np.append(np.full(n - 1, (1 - UNKNOWN_PRIOR) / max(1, n - 1)), UNKNOWN_PRIOR)
 
@@ -161,20 +160,29 @@ def with_language(docs: DataFrame, likelihoods: Likelihoods, text: Column, host:
         return pd.DataFrame({"lang": np.where(wordless, UNKNOWN, said), "posterior": np.where(wordless, None, p.max(1, initial=0))}).astype({"posterior": float})
 
     fused = F.pandas_udf(fuse, "lang string, posterior double").asNondeterministic()  # evaluated once, also under a filter
-    out = rows.join(priors, ["__domain", "__host"], "left").withColumn("__found", fused("__logs", "__h", "__d", "__declared", "__suffix"))
-    out = out.withColumns({"__lang": F.col("__found.lang"), "__posterior": F.col("__found.posterior")})
-    return out.drop("__logs", "__host", "__domain", "__declared", "__suffix", "__h", "__d", "__found")
+    out = rows.join(priors, ["domain", "host"], "left").select("row", fused("logs", "h", "d", "declared", "suffix").alias("found"))
+    return out.select(*[F.col("row")[c].alias(c) for c in keep], F.col("found.lang").alias(lang_col), F.col("found.posterior").alias(posterior_col))
 
 
-def document_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Add __lang and __posterior to documents: their text and their source as host.
+def known_languages(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Likelihoods:
+    return learn(docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang")))
 
-    ``lang_col`` only labels the sample that the likelihoods are learned from.  Texts
-    that are null or hold no letter are ``und`` with a null posterior.  Null sources form one host.
+
+def document_languages(docs: DataFrame, likelihoods: Likelihoods, text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, out_cols: tuple[str, str] = ("detected", "posterior")) -> DataFrame:
+    """The columns ``keep`` (all) of documents, their language and its posterior: evidence is the text, and the source as host.
+
+    Labels only serve to learn the likelihoods.  Texts that are null or hold no letter are ``und`` with a null posterior.
+    Null sources form one host; repeated rows count as often as they stand; an empty table stays empty.
     """
-    likelihoods = learn(docs.select(docs[text_col].alias("text"), docs[lang_col].alias("lang")))
     none = F.lit(None).cast("string")
-    return with_language(docs, likelihoods, F.col(text_col), F.col(source_col), F.lit("documents"), none, none, "documents")
+    return with_language(docs, likelihoods, docs[text_col], docs[source_col], F.lit("documents"), none, none, "documents", keep or docs.columns, *out_cols)
+
+
+def in_known_languages(docs: DataFrame) -> DataFrame:
+    """The rows of documents in a known language, with their own columns, whatever these are named."""
+    lang, posterior = unused(docs, "found_lang"), unused(docs, "found_posterior")
+    found = document_languages(docs, known_languages(docs), out_cols=(lang, posterior))
+    return found.filter(F.col(lang) != UNKNOWN).drop(lang, posterior)
 
 
 def page_text(html: Column) -> Column:
@@ -183,29 +191,32 @@ def page_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(bare, r"(?s)<[^>]*>", " "), r"&#?\w{1,8};", " ")
 
 
-def page_languages(pages: DataFrame, likelihoods: Likelihoods, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Add __lang, __posterior, __declared_lang and __site to pages, with all four kinds of evidence."""
+def page_languages(pages: DataFrame, likelihoods: Likelihoods, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """id_col, site, declared, detected and posterior of pages, from all four kinds of evidence; other columns are not read.
+
+    A null url is an empty site; a null page has no text and is ``und``.
+    """
     host = F.lower(F.regexp_extract(F.coalesce(pages[url_col], F.lit("")), "://([^/?#:]*)", 1))
     declared = F.lower(F.regexp_extract(F.coalesce(pages[html_col], F.lit("")), r"(?i)<html[^>]*\blang\s*=\s*[\"']?([a-z]{2})", 1))
     domain = F.array_join(F.slice(F.split(host, r"\."), -2, 2), ".")
     domain = F.when(F.size(F.split(host, r"\.")) >= 2, domain).otherwise(host)
     suffix = F.create_map(*[F.lit(x) for pair in SUFFIXES.items() for x in pair])[F.substring_index(host, ".", -1)]
-    rows = pages.withColumns({"__declared_lang": F.when(declared != "", declared), "__site": host, "__text": page_text(pages[html_col]), "__under": domain, "__usual": suffix}).drop(html_col)
-    return with_language(rows, likelihoods, F.col("__text"), F.col("__site"), F.col("__under"), F.col("__declared_lang"), F.col("__usual"), "pages").drop("__text", "__under", "__usual")
+    rows = pages.select(pages[id_col].alias(id_col), F.when(declared != "", declared).alias("declared"), host.alias("site"), page_text(pages[html_col]).alias("text"), domain.alias("under"), suffix.alias("usual"))
+    return with_language(rows, likelihoods, rows["text"], rows["site"], rows["under"], rows["declared"], rows["usual"], "pages", [id_col, "site", "declared"], "detected")
 
 
 def language_id(docs: DataFrame, pages: DataFrame) -> DataFrame:
     """All documents and all pages: kind, doc_id, page_id, host, declared, detected, posterior, kept.
 
-    Likelihoods are learned from the documents' labels.  A row is kept if its language is
-    a known one.  Each input row gives one row; ids may be null or repeated; columns of other names are not read.
+    Likelihoods are learned once, from the documents' labels; without any, every text is ``und``.  A row is
+    kept if its language is a known one.  Each input row gives one row; ids may be null or repeated; columns of other
+    names are not read; either table may be empty.
     """
-    docs = docs.select("doc_id", "text", "lang", "source")
-    found = document_languages(docs)
-    likelihoods = learn(docs)
-    sites = page_languages(pages.select("page_id", "url", "html"), likelihoods)
-    kept = (F.col("__lang") != UNKNOWN).alias("kept")
+    likelihoods = known_languages(docs)
+    found = document_languages(docs, likelihoods, keep=["doc_id", "source"])
+    sites = page_languages(pages, likelihoods)
+    kept = (F.col("detected") != UNKNOWN).alias("kept")
     none = lambda kind: F.lit(None).cast(kind)
-    a = found.select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), none("long").alias("page_id"), F.col("source").alias("host"), none("string").alias("declared"), F.col("__lang").alias("detected"), F.col("__posterior").alias("posterior"), kept)
-    b = sites.select(F.lit("page").alias("kind"), none("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), F.col("__site").alias("host"), F.col("__declared_lang").alias("declared"), F.col("__lang").alias("detected"), F.col("__posterior").alias("posterior"), kept)
+    a = found.select(F.lit("document").alias("kind"), F.col("doc_id").cast("long").alias("doc_id"), none("long").alias("page_id"), F.col("source").alias("host"), none("string").alias("declared"), "detected", "posterior", kept)
+    b = sites.select(F.lit("page").alias("kind"), none("long").alias("doc_id"), F.col("page_id").cast("long").alias("page_id"), F.col("site").alias("host"), "declared", "detected", "posterior", kept)
     return a.unionByName(b)

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -189,8 +190,8 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, id_col
 
 # ---------------------------------------------------------------- exact top k by inner product
 
-#: Rows of an index block, and queries of a query block.
-BLOCK_ROWS, BLOCK_QUERIES = 32_768, 64
+#: Rows of an index block, queries of a query block, and bytes of queries that all blocks are asked at once.
+BLOCK_ROWS, BLOCK_QUERIES, QUERY_BYTES = 32_768, 64, 16 << 20
 
 
 def _add_up(columns: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
@@ -293,30 +294,52 @@ def _quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int, every:
 def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k highest integer inner products of floor(scale * x) for rows whose id is divisible by ``every``: query_id, rank, vec_id, score.
 
-    The stated queries meet all rows in blocks: a block of queries is dealt once to each
-    block of rows, never a row to a row, and k rows a query leave a pair of blocks.  Ties go to the smaller id.
+    Rows are dealt evenly in blocks, by number.  The stated queries come by broadcast, QUERY_BYTES at a time, and
+    each block answers them by its bitmaps, in slices where there are fewer blocks than cores; k rows a query leave a block.  The driver keeps 8 bytes a block.  Ties go to the smaller id.
     Vectors that are null or hold null or non-finite components, and null ids, take no part;
     zero vectors do.  Vectors of other lengths are not compared.  Products must fit 64 bits.
     Repeated rows are rows of their own, as in TOPK_SQL: each copy takes a rank, and each copy of a query meets every row.
     """
-    rows = cut(_quantised(vectors, id_col, vec_col, scale, None), "sliced-rows")
-    asked = cut(_quantised(vectors, id_col, vec_col, scale, every), "sliced-queries")
-    n = rows.count()
-    numbered = rows.withColumn("block", F.pmod(F.xxhash64("ids"), F.lit(max(n, 1))).cast("long"))
-    pairs = asked.select("dim", F.col("ids").alias("qids"), F.col("x").alias("qx"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n - 1, 0)).cast("long"))).alias("block"))
-
-    def run(key: tuple, base: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        for dim, ids, x in zip(base["dim"], base["ids"], base["x"], strict=True):
-            index = BitSliced(np.frombuffer(ids, "<i8"), np.frombuffer(x, "<i8").reshape(-1, dim))
-            for qdim, qids, qx in zip(asked["dim"], asked["qids"], asked["qx"], strict=True):
-                if qdim == dim:
-                    for query, q in zip(np.frombuffer(qids, "<i8").tolist(), np.frombuffer(qx, "<i8").reshape(-1, dim), strict=True):
-                        out.extend((query, row, score) for row, score in index.top(query, q, k))
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = numbered.groupBy("block").cogroup(pairs.groupBy("block")).applyInPandas(run, "query_id long, vec_id long, score long")
+    spark = vectors.sparkSession
+    rows = cut(_quantised(vectors, id_col, vec_col, scale, None).withColumn("uid", F.monotonically_increasing_id()), "sliced-rows")
+    asked = cut(_quantised(vectors, id_col, vec_col, scale, every), "sliced-queries").withColumn("size", F.octet_length("x"))
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("ids") / 8), F.lit(0))).first()[0]
+    groups = max(1, math.ceil(total / BLOCK_ROWS))
+    slices = max(1, math.ceil(2 * spark.sparkContext.defaultParallelism / groups))
+    numbers = spark.createDataFrame(pd.DataFrame({"uid": [r.uid for r in rows.select("uid").orderBy("uid").collect()]}).reset_index(names="number").astype("int64"), "number long, uid long")
+    dealt = rows.join(F.broadcast(numbers), "uid").withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    dealt = dealt.withColumn("part", (F.col("number") % groups * slices + F.col("slice")).cast("int")).select("part", "slice", "dim", "ids", "x")
+    dealt = dealt.repartitionById(groups * slices, F.col("part"))
+
+    def matched(queries: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple, list[tuple]] = {}
+            for batch in batches:
+                for part, slice_, dim, ids, x in zip(*(batch.column(c).to_pylist() for c in ("part", "slice", "dim", "ids", "x")), strict=True):
+                    held.setdefault((part, slice_, dim), []).append((np.frombuffer(ids, "<i8"), np.frombuffer(x, "<i8").reshape(-1, dim)))
+            for (_, slice_, dim), blocks in held.items():
+                ids, x = (np.concatenate(c) for c in zip(*blocks, strict=True))
+                for begin in range(0, len(ids), 2 * BLOCK_ROWS):
+                    index, out = BitSliced(ids[begin : begin + 2 * BLOCK_ROWS], x[begin : begin + 2 * BLOCK_ROWS]), []
+                    for qids, qx in queries.value:
+                        if qx.shape[1] == dim:
+                            for query, q in zip(qids[slice_::slices].tolist(), qx[slice_::slices], strict=True):
+                                out.extend((query, row, score) for row, score in index.top(query, q, k))
+                    if out:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+
+        return run
+
+    found, held, size = None, [], 0
+    for r in [*asked.toLocalIterator(), None]:
+        if held and (r is None or size + r.size > QUERY_BYTES):
+            one = cut(dealt.mapInArrow(matched(spark.sparkContext.broadcast(held)), "query_id long, vec_id long, score long"), "sliced-found")
+            found, held, size = one if found is None else found.unionByName(one), [], 0
+        if r is not None:
+            held.append((np.frombuffer(r.ids, "<i8"), np.frombuffer(r.x, "<i8").reshape(-1, r.dim)))
+            size += r.size
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     out = found.withColumn("rank", F.row_number().over(best).cast("int")).filter(F.col("rank") <= k)
     return out.select("query_id", "rank", "vec_id", "score")
-

@@ -1,6 +1,7 @@
 """Operators on texts against plain brute force, with nulls, empty and long texts, repeats, empty tables and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -115,7 +116,39 @@ def test_jaccard_edges(spark, docs):
     assert [tuple(r) for r in jaccard.jaccard_components(docs(None, "")).orderBy("doc_id").collect()] == [(0, 0, 0), (1, 0, 1)]
     rows = spark.createDataFrame([(None, "a b c"), (7, "A B C"), (7, "A B C"), (9, "z")], "doc_id long, text string")
     assert sorted((r.doc_id or -1, r.component_id) for r in jaccard.jaccard_components(rows).collect()) == [(-1, 7), (7, 7), (7, 7), (9, 9)]
-    assert sorted((r.doc_id or -1) for r in jaccard.keep_one(rows).collect()) == [-1, 7, 9]
+    assert sorted(r.doc_id for r in jaccard.keep_one(rows).collect()) == [7, 9]
+
+
+def test_names_of_words_do_not_collide(docs):
+    """Words that polynomial hashes modulo a power of two confuse: a Thue-Morse word and its complement."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    texts = [word + " w x y z", word.translate(str.maketrans("ab", "ba")) + " w x y z"]
+    rows = jaccard.jaccard_components(docs(*texts)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == brute_components(texts)
+
+
+def test_frequent_shingles_are_met_in_blocks(docs, monkeypatch):
+    """Near copies of one text beside it, with n-grams split over groups, blocks and shares, sets in parts."""
+    for name, value in (("BLOCK", 7), ("GROUP", 40), ("PAIRS", 30), ("BUCKET", 60), ("HELD", 500), ("COUNTED", 400), ("PART", 16)):
+        monkeypatch.setattr(jaccard, name, value)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(90):
+        words = list(base)
+        for _ in range(rng.randrange(1, 5)):
+            words[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = jaccard.jaccard_components(docs(*texts)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows) == brute_components(texts)
+
+
+def test_keep_one_keeps_unlike_texts_of_one_id(spark):
+    rows = [(1, "a b c d e f", "p"), (1, "u v w x y z", "q"), (1, "a b c d e f", "p"), (2, "A b c d e f", "r"), (None, "a b c d e f", "s"), (None, "k l m", "t"), (None, None, "u"), (3, "", "v"), (3, "", "w")]
+    out = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, kept_id string"))
+    assert sorted(tuple(map(str, r)) for r in out.collect()) == sorted(tuple(map(str, r)) for r in [rows[0], rows[1], *rows[5:]])
+    empty = spark.createDataFrame([], "doc_id long, text string, own_t1 string")
+    assert jaccard.keep_one(empty).count() == 0 and jaccard.keep_one(empty).columns == empty.columns
 
 
 def test_components_of_chains_and_stars(spark):
@@ -269,26 +302,82 @@ def test_toxicity_without_labels(spark, docs):
     assert toxicity.toxicity(docs(), none).count() == 0
 
 
-def test_language_of_documents(spark):
-    rng = random.Random(4)
+def sayings(rng):
     words = {"en": ["the", "and", "with", "this", "house", "water"], "fr": ["le", "des", "avec", "cette", "maison", "était"], "de": ["der", "und", "mit", "diese", "häuser", "wasser"]}
     rows = [(i, " ".join(rng.choice(words[k]) for _ in range(30)), k, f"s{i % 3}", 1) for i, k in enumerate(list(words) * 40)]
-    rows += [(900, None, "en", "s0", 0), (901, "", None, None, 0), (902, "12 34 !!", "en", "s1", 8), (903, "cette maison", None, None, 1)]
-    found = {r.doc_id: r["__lang"] for r in language.document_languages(clashing(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))).collect()}
+    return rows + [(900, None, "en", "s0", 0), (901, "", None, None, 0), (902, "12 34 !!", "en", "s1", 8), (903, "cette maison", None, None, 1), (903, "cette maison", None, None, 1)]
+
+
+LANGUAGE_CLASHES = ["row", "logs", "host", "domain", "declared", "suffix", "found", "found_lang", "posterior"]
+PAGES = "page_id long, url string, html string"
+
+
+def test_language_of_documents(spark):
+    rows = sayings(random.Random(4))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit("x").alias(c) for c in LANGUAGE_CLASHES])
+    kept = language.in_known_languages(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(120), 903, 903] and kept.filter("host = 'x'").count() == 122
+    found = {r.doc_id: r.detected for r in language.document_languages(docs, language.known_languages(docs), keep=["doc_id"]).collect()}
     assert all(found[i] == k for i, _, k, _, _ in rows[:120])
     assert found[900] == found[901] == found[902] == "und" and found[903] == "fr"
 
 
-def test_language_evidence_is_fused(spark):
-    rng = random.Random(4)
-    train = spark.createDataFrame([(" ".join(rng.choice(w) for _ in range(30)), k) for k, w in (("en", ["the", "and", "water"]), ("de", ["der", "und", "wasser"])) for _ in range(50)], "text string, lang string")
-    pages = [(i, f"http://www.seite.de/{i}", '<html lang="de"><p>der und wasser</p>') for i in range(20)] + [(50, "http://www.seite.de/x", "<html><p>w a n d</p>"), (51, None, None)]
-    found = {r.page_id: r for r in language.page_languages(spark.createDataFrame(pages, "page_id long, url string, html string"), language.learn(train)).collect()}
-    assert all(found[i]["__lang"] == "de" for i in [*range(20), 50]) and found[51]["__lang"] == "und"
+def brute_language(known, texts, hosts, domains, said, usual):
+    """Every step of the fusion in plain Python, one row at a time: (language, posterior)."""
+    names, n = known.languages, len(known.languages)
+    logs = [known.of(t) for t in texts]
+    soft = []
+    for x in logs:
+        up = [0.0] * n if x is None else [math.exp(v - max(x)) for v in x]
+        soft.append([v / sum(up) if x is not None else 0.0 for v in up])
+    out = []
+    for i, x in enumerate(logs):
+        if x is None:
+            out.append(("und", None))
+            continue
+        prior = [(1 - language.UNKNOWN_PRIOR) / (n - 1)] * (n - 1) + [language.UNKNOWN_PRIOR]
+        near = lambda j: (True, domains[j] == domains[i], domains[j] == domains[i] and hosts[j] == hosts[i])
+        for level, weight in enumerate((50.0, *language.SMOOTHING)):
+            counts = [sum(soft[j][k] for j in range(len(texts)) if near(j)[level] and j != i) for k in range(n)]
+            prior = [(c + weight * p) / (sum(counts) + weight) for c, p in zip(counts, prior, strict=True)]
+        z = [v + math.log(p + 1e-12) for v, p in zip(x, prior, strict=True)]
+        for word, trust in ((said[i], language.DECLARED_TRUST), (usual[i], language.SUFFIX_TRUST)):
+            if word in names[:-1]:
+                z = [v + math.log(trust if name == word else (1 - trust) / (n - 1)) for v, name in zip(z, names, strict=True)]
+        up = [math.exp(v - max(z)) for v in z]
+        out.append((names[z.index(max(z))], max(up) / sum(up)))
+    return out
 
 
-def test_language_of_an_empty_table(docs):
-    assert language.document_languages(docs()).count() == 0
+def test_language_id_equals_brute_force(spark):
+    """Documents and pages with nulls, empties, repeats and clashing columns, against the fusion recomputed."""
+    docs = sayings(random.Random(6))
+    rng = random.Random(7)
+    words = ["der", "und", "le", "des", "the", "water", "maison", "häuser"]
+    pages = [(i, f"http://{rng.choice(['a.site.de', 'b.site.de', 'x.org', 'y.co.uk', 'localhost'])}/p", rng.choice(["", '<html lang="de">', "<HTML lang=fr-FR>", "<html lang='xx'>"]) + "<p>" + " ".join(rng.choice(words) for _ in range(rng.randrange(4))) + "</p>") for i in range(60)]
+    pages += [(5, None, "<p>und der wasser</p>"), (None, "http://a.site.de", None), (61, "no url", ""), (61, "no url", "")]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").select("*", *[F.lit("x").alias(c) for c in LANGUAGE_CLASHES])
+    p = spark.createDataFrame(pages, PAGES).select("*", *[F.lit("x").alias(c) for c in LANGUAGE_CLASHES])
+    known = language.known_languages(d)
+    rows = language.language_id(d, p).collect()
+    blank = [None] * len(docs)
+    want = [("document", r[0], None, *x) for r, x in zip(docs, brute_language(known, [r[1] for r in docs], [r[3] or "" for r in docs], blank, blank, blank), strict=True)]
+    hosts = [re.search("://([^/?#:]*)", u or "")[1] if "://" in (u or "") else "" for _, u, _ in pages]
+    said = [m[1].lower() if (m := re.search("(?i)<html[^>]*lang=[\"']?([a-z]{2})", h or "")) else None for _, _, h in pages]
+    visible = [None if h is None else re.sub("<[^>]*>", " ", h) for _, _, h in pages]
+    found = brute_language(known, visible, hosts, [".".join(h.split(".")[-2:]) for h in hosts], said, [language.SUFFIXES.get(h.split(".")[-1]) for h in hosts])
+    want += [("page", None, r[0], *x) for r, x in zip(pages, found, strict=True)]
+    key = lambda x: tuple(str(v) if not isinstance(v, float) else f"{v:.6f}" for v in x)
+    assert sorted(key((r.kind, r.doc_id, r.page_id, r.detected, r.posterior)) for r in rows) == sorted(key(x) for x in want)
+    assert all(r.kept == (r.detected != "und") for r in rows)
+
+
+def test_language_of_empty_tables(spark, docs):
+    none = spark.createDataFrame([], PAGES)
+    assert language.language_id(docs(), none).count() == 0 and language.in_known_languages(docs()).count() == 0
+    assert language.language_id(docs("the house"), none).count() == 1
+    assert [r.detected for r in language.language_id(docs(), spark.createDataFrame([(1, "http://a.de", "<p>und der</p>")], PAGES)).collect()] == ["und"]
 
 
 def test_groups_do_not_grow_with_copies(docs):
