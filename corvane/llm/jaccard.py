@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, few, mix64, unused
+from corvane.llm.common import cut, few, mix64, release, released, unused
 
 WORDS = 5
 #: Similarity as a fraction, in whole numbers.
@@ -39,8 +39,7 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 def shingles(text: str | None) -> np.ndarray:
     """Sorted distinct hashes of the text's word n-grams; of the whole sequence if it is shorter; none without words.
 
-    Words are hashed as strings and their hashes combined in order, so no two n-grams
-    share a hash but by the chance of 64 bits.
+    Words are hashed as strings and their hashes combined in order, so no two n-grams share a hash but by the chance of 64 bits.
     """
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
@@ -125,16 +124,26 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _matches(pdf: pd.DataFrame) -> pd.DataFrame:
     """Postings of the n-grams that several sets have in their prefixes, or that are dealt to several groups."""
-    gram, h1, h2, size = (np.concatenate([np.frombuffer(x, kind) for x in pdf[c]]) for c, kind in (("grams", "<i8"), ("h1", "<i8"), ("h2", "<i8"), ("sizes", "<u8")))
-    order = np.lexsort((h2, h1, gram))
-    gram, h1, h2, size = gram[order], h1[order], h2[order], size[order]
-    first = np.append(True, (gram[1:] != gram[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]))  # copies from several tasks count once
-    gram, h1, h2, size = gram[first], h1[first], h2[first], size[first]
+    gram, node = (np.concatenate([np.frombuffer(x, "<i8") for x in pdf[c]]) for c in ("grams", "nodes"))
+    size = np.concatenate([_planes(x, back=True) for x in pdf["sizes"]])
+    order = np.lexsort((node, gram))
+    gram, node, size = gram[order], node[order], size[order]
+    first = np.append(True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1]))  # copies from several tasks count once
+    gram, node, size = gram[first], node[first], size[first]
     start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
     length = np.diff(np.append(start, len(gram)))
     keep = np.repeat(length > 1, length) | (size & np.uint64(1)).astype(bool)
-    out = {"gram": gram, "h1": h1, "h2": h2, "n": (size >> np.uint64(32)).astype(np.int64), "at": (size >> np.uint64(1) & np.uint64(0x7FFFFFFF)).astype(np.int32)}
-    return pd.DataFrame({k: v[keep] for k, v in out.items()})
+    out = {"gram": gram, "node": node, "n": (size >> np.uint64(32)).astype(np.int64), "at": (size >> np.uint64(1) & np.uint64(0x7FFFFFFF)).astype(np.int32)}
+    out = pd.DataFrame({k: v[keep] for k, v in out.items()})
+    release()
+    return out
+
+
+def _planes(values: np.ndarray | bytes, back: bool = False) -> np.ndarray | bytes:
+    """Whole numbers with all first bytes before all second ones, and back: small numbers' zero bytes compress to nothing."""
+    if back:
+        return np.ascontiguousarray(np.frombuffer(values, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
 def _possible(n: str, at: str, m: str, bt: str) -> Column:
@@ -243,7 +252,7 @@ def _parts(n: Column) -> Column:
     return F.greatest(F.lit(0), F.ceil(F.log2(n / F.lit(float(PART))))).cast("int")
 
 
-def _prefixes(held, buckets: int):
+def _prefixes(held, shared: set[int], buckets: int):
     """Each set's rarest n-grams, rarest first, dealt to groups by n-gram; those of very frequent ones also by set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,29 +267,31 @@ def _prefixes(held, buckets: int):
             return out
 
         def dealt() -> pa.RecordBatch:
-            gram, bucket, h1, h2, size = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            gram, bucket, node, size = (np.concatenate(x) for x in zip(*waiting, strict=True))
             order = np.argsort(bucket, kind="stable")
             ends = np.flatnonzero(np.append(np.diff(bucket[order]) != 0, True)) + 1
             parts = [order[a:b] for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([int(bucket[p[0]]) for p in parts], pa.int32()), *(pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (gram, h1, h2, size))], ["bucket", "grams", "h1", "h2", "sizes"])
+            columns = [[int(bucket[p[0]]) for p in parts], [gram[p].tobytes() for p in parts], [node[p].tobytes() for p in parts], [_planes(size[p]) for p in parts]]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int32(), *[pa.binary()] * 3), strict=True)], ["bucket", "grams", "nodes", "sizes"])
 
         for batch in batches:
             for text in batch.column("text"):
                 grams = shingles(text.as_py())
-                name = name_of(grams)
-                if not len(grams) or name in seen:
+                h1, h2 = name_of(grams)
+                node = h2 if h1 in shared else h1
+                if not len(grams) or node in seen:
                     continue
-                seen.add(name)
+                seen.add(node)
                 m = int(prefix_length(len(grams)))
                 level = rarity(grams)
                 first = np.argsort(level, kind="stable")[:m]  # the hashes rise, so ties go by hash
                 chosen = grams[first]
                 split = np.ceil(np.exp2(level[first] / 2) / (BUCKET / 8)).astype(np.uint64)
                 with np.errstate(over="ignore"):
-                    spread = np.uint64(name[1] + (1 << 63)) % np.maximum(split, 1)
+                    spread = np.uint64(node + (1 << 63)) % np.maximum(split, 1)
                     bucket = ((chosen + spread * _ODD) % np.uint64(buckets)).astype(np.int32)
                 size = (np.uint64(len(grams)) << np.uint64(32)) + (np.arange(m, dtype=np.uint64) << np.uint64(1)) + (split > 1)
-                waiting.append((chosen, bucket, np.full(m, name[0], np.int64), np.full(m, name[1], np.int64), size.astype(np.uint64)))
+                waiting.append((chosen, bucket, np.full(m, node, np.int64), size.astype(np.uint64)))
                 n_waiting += m
                 if n_waiting > HELD:
                     yield dealt()
@@ -307,7 +318,7 @@ def _fetched(rows: DataFrame, nodes: DataFrame, make, schema: str) -> DataFrame:
     kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[x.split(" ")[1]] for x in schema.split(", ")]
     known = few(nodes.select(F.col("least").alias("id"), "node", "h1", "h2"), "id")
     same = rows["id"].eqNullSafe(known["id"]) if nodes.filter("least is null").limit(1).count() else rows["id"] == known["id"]
-    return rows.join(known, same).select("text", "node", "h1", "h2").mapInArrow(run, schema)
+    return rows.join(known, same).select("text", "node", "h1", "h2").mapInArrow(released(run), schema)
 
 
 def _sets(part: int):
@@ -328,11 +339,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    survey = rows.select("id", "text", *text_names(F.col("text"))).mapInArrow(_survey, f"kind int, id {kind}, t1 long, t2 long, h1 long, h2 long, n long")
+    survey = rows.select("id", "text", *text_names(F.col("text"))).mapInArrow(released(_survey), f"kind int, id {kind}, t1 long, t2 long, h1 long, h2 long, n long")
     survey = cut(survey, "jaccard-survey")
     every = survey.filter("kind = 0").drop("kind")
-    nodes = every.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("n").alias("n"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()), "jaccard-nodes")
+    nodes = cut(every.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("n").alias("n")), "jaccard-sets")
+    # a set goes by the first half of its name, unless two sets share it: by chance, some three pairs of 10**10 sets
+    shared = [r.h1 for r in nodes.groupBy("h1").count().filter("count > 1").select("h1").collect()]
+    nodes = nodes.withColumn("node", F.when(F.col("h1").isin(*shared), F.col("h2")).otherwise(F.col("h1")) if shared else F.col("h1"))
     total = nodes.agg(F.coalesce(F.sum(F.expr(f"n - ceil(n * {NUM} / {DEN}) + 1")), F.lit(0))).first()[0]
     if not total:
         return every.select("id", "t1", "t2", "n", F.col("id").alias("component_id"))
@@ -340,9 +353,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     frequent, n = heavy.column("h1").to_numpy().view(np.uint64), heavy.column("n").to_numpy()
     order = np.argsort(frequent)
     held = spark.sparkContext.broadcast((frequent[order], np.minimum(255, 2 * np.log2(np.maximum(n, 1)))[order].astype(np.uint8)))
-    dealt = rows.select("text").mapInArrow(_prefixes(held, max(1, -(-int(total) // BUCKET))), "bucket int, grams binary, h1 binary, h2 binary, sizes binary")
-    matches = cut(dealt.groupBy("bucket").applyInPandas(_matches, "gram long, h1 long, h2 long, n long, at int"), "jaccard-matches")
-    postings = matches.join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("gram", "node", "n", "at")
+    dealt = rows.select("text").mapInArrow(released(_prefixes(held, set(shared), max(1, -(-int(total) // BUCKET)))), "bucket int, grams binary, nodes binary, sizes binary")
+    postings = cut(dealt.groupBy("bucket").applyInPandas(_matches, "gram long, node long, n long, at int"), "jaccard-matches")
     # an n-gram's pivot has the fewest rarer n-grams of its own: of near copies the one least changed
     pivots = postings.groupBy("gram").agg(F.min(F.struct("at", "node", "n")).alias("p")).select("gram", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"))
     postings = cut(postings.join(pivots, "gram"), "jaccard-postings")
@@ -383,8 +395,8 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             break
         dealt = left.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-        busy = left.groupBy("pivot").agg(F.ceil(F.sum("blocks") / F.lit(GROUP)).alias("shares"))
-        dealt = dealt.join(busy, "pivot").withColumn("share", F.when(F.col("shares") > 1, F.pmod(F.xxhash64("gram", "i", "j"), F.col("shares"))).otherwise(F.lit(0)))
+        busy = left.groupBy("pivot").agg(F.ceil(F.sum("blocks") / F.lit(GROUP)).alias("shares")).filter("shares > 1")  # at most a row for GROUP postings
+        dealt = dealt.join(F.broadcast(busy), "pivot", "left").withColumn("share", F.when(F.col("shares") > 1, F.pmod(F.xxhash64("gram", "i", "j"), F.col("shares"))).otherwise(F.lit(0)))
         dealt = dealt.withColumn("group", F.pmod(F.xxhash64("pivot", "share"), F.lit(max(1, int(size) // GROUP))))
         dealt = dealt.groupBy("group", "node", "n", "root").agg(*[F.collect_list(x).alias(y) for x, y in (("gram", "grams"), ("at", "ats"), ("i", "is"), ("j", "js"), ("own", "own"))])
         dealt = dealt.join(signatures.select("node", "sig"), "node")

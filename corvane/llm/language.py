@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, few, unused
+from corvane.llm.common import cut, few, released, unused
 from corvane.llm.grams import code_points, gram_hashes
 
 SIZES, BITS = (1, 2, 3), 15
@@ -88,7 +88,7 @@ def learn(docs: DataFrame) -> Likelihoods:
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "data": [sum(np.frombuffer(x, np.int64) for x in pdf["data"]).tobytes()]})
 
-    rows = sorted(sample.mapInArrow(run, "lang string, data binary").groupBy("lang").applyInPandas(added, "lang string, data binary").collect())
+    rows = sorted(sample.mapInArrow(released(run), "lang string, data binary").groupBy("lang").applyInPandas(added, "lang string, data binary").collect())
     table = np.empty((len(SIZES), 1 << BITS, len(rows) + 1), np.float32)
     for k, r in enumerate(rows):
         counts = np.frombuffer(r.data, np.int64).reshape(len(SIZES), -1) + 0.2

@@ -13,13 +13,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from corvane.llm.common import released
+
 CAPACITY = 2048
 #: Pieces of at most CAPACITY / CLASSES tokens share bins filled one after the other.
 CLASSES = 32
 #: A class takes pieces uncut if a bin of them wastes at most this share of the capacity.
 SLACK = 0.01
 #: How many chunks' ids are remembered, and the longest one that is.
-CACHED, CACHED_BYTES = 800_000, 64
+CACHED, CACHED_BYTES = 400_000, 64
 #: Texts of characters up to U+00FF: composed already, and their lower case is one character for each.
 LATIN = re.compile("[\x00-\xff]*").fullmatch
 #: Byte-level tokenizers write the bytes 0-32, 127-160 and 173 as the letters from U+0100 on.
@@ -186,5 +188,5 @@ def harmonic_packing(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capa
             yield block(out)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(released(run), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

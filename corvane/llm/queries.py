@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.bpe import bpe_digests
+from corvane.llm.common import small_batches
 from corvane.llm.jaccard import jaccard_components
 from corvane.llm.language import language_id
 from corvane.llm.packing import harmonic_packing
@@ -17,7 +18,7 @@ from corvane.llm.vectors import nearest_neighbours, top_products
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

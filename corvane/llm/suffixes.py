@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, mix64, prefix_hash, span_hash
+from corvane.llm.common import cut, mix64, release, released, prefix_hash, span_hash
 
 #: Bytes of a string that counts as repeated.
 LENGTH = 400
@@ -225,6 +225,7 @@ def _sorted_fragments(length: int):
                 begin, size = i, 0
             if i < len(g):
                 size += len(data[i])
+        release()
         return pd.DataFrame(out, columns=["key", "content", "low", "high"])
 
     return run
@@ -236,7 +237,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "id") ->
     rows = docs.withColumns({"c1": F.xxhash64(text), "c2": F.xxhash64(text, F.lit(1))})
     classes = rows.groupBy("c1", "c2").agg(F.min(id_col).alias("least"), F.count("*").alias("copies"), F.first(F.octet_length(text)).alias("n"))
     classes = cut(classes, "suffix-classes")
-    fragments = rows.select(F.col(id_col).cast("string").alias("id"), "c1", "c2", text.alias("text")).mapInArrow(_fragments(length), "g long, f long, c1 long, c2 long, first long, count int, at int")
+    fragments = rows.select(F.col(id_col).cast("string").alias("id"), "c1", "c2", text.alias("text")).mapInArrow(released(_fragments(length)), "g long, f long, c1 long, c2 long, first long, count int, at int")
     fragments = cut(fragments, "suffix-fragments")
     place = F.struct("c1", "c2", "first", "count", "at")
     kinds = cut(fragments.groupBy("g", "f").agg(F.min(place).alias("one"), F.max(place).alias("other")), "suffix-kinds")
@@ -247,7 +248,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "id") ->
     asked = mixed.groupBy("c1", "c2").agg(F.collect_list(F.struct("g", "f", "first", "count", "at", "hot")).alias("asked"))
     asked = cut(asked.join(classes.select("c1", "c2", "least"), ["c1", "c2"]), "suffix-asked")
     near = rows.select(F.col(id_col).alias("least"), "c1", "c2", text.alias("text")).join(asked, ["c1", "c2", "least"]) if not classes.filter("least is null").limit(1).count() else rows.select("c1", "c2", text.alias("text")).join(asked, ["c1", "c2"])
-    pieces = near.select("text", "asked").mapInArrow(_cutouts(length), "key long, content long, g long, f long, base int, data binary, hot boolean")
+    pieces = near.select("text", "asked").mapInArrow(released(_cutouts(length)), "key long, content long, g long, f long, base int, data binary, hot boolean")
 
     def in_arrays(some: DataFrame, size: int) -> DataFrame:
         """Repeated starts of fragments (key, content, data), a group of keys to a suffix array; ``size``: their bytes."""
@@ -319,7 +320,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in columns[:3]), pa.array(columns[3], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     out = rows.join(spans, ["c1", "c2"], "left").select("id", "text", "spans")
-    return out.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    return out.mapInArrow(released(run), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
