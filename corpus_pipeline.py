@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm.common import cut
+from corvane.llm.common import cut, small_batches
 from corvane.llm.jaccard import keep_one
 from corvane.llm.language import in_known_languages
 from corvane.llm.packing import harmonic_packing
@@ -20,6 +20,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     and ids each stand for themselves; of equally likely languages the first by name counts.  Extra columns
     stay, whatever their names; long texts are read whole; an empty table stays empty.
     """
+    small_batches(spark)
     return in_known_languages(docs)
 
 
@@ -29,6 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     The least id stays, null ids last; of one id in a group one row.  Unlike texts under one id all stay, as do null and
     wordless texts.  Extra columns stay, whatever their names; an empty table stays empty.
     """
+    small_batches(spark)
     return keep_one(docs)
 
 
@@ -38,6 +40,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     All rows stay, with null texts null and others perhaps empty; ids may be null or repeated, and a repeated row loses its
     whole text if that is long enough.  Extra columns stay, whatever their names; an empty table stays empty.
     """
+    small_batches(spark)
     return without_repeats(docs)
 
 
@@ -56,6 +59,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are their end token alone; ids may be null or repeated, and each row is a document; other
     columns are not read; an empty table gives no pieces.
     """
+    small_batches(spark)
     return harmonic_packing(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
