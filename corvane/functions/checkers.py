@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ast
 import re
 from collections.abc import Callable
 from functools import reduce
+from itertools import pairwise
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,9 +19,9 @@ REGISTRY: dict[str, Check] = {}
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values.
 CONJUNCTIONS = ["and", "but", "for", "nor", "or", "so", "yet"]
-PRONOUNS = "i me my mine myself we us our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves".split()
-NAMES = "Emma Liam Sophia Jackson Olivia Noah Ava Lucas Isabella Mason Mia Ethan Charlotte Alexander Amelia Benjamin Harper Leo Zoe Daniel Chloe Samuel Lily Matthew Grace Owen Abigail Gabriel Ella Jacob Scarlett Nathan Victoria Elijah Layla Nicholas Audrey David Hannah Christopher Penelope Thomas Nora Andrew Aria Joseph Claire Ryan Stella Jonathan".split()
-CAPITALS = "Reykjavik Helsinki Oslo Tallinn Stockholm Riga Moscow Copenhagen Vilnius Minsk Dublin Berlin Amsterdam Warsaw London Brussels Prague Luxembourg Paris Vienna Bratislava Budapest Vaduz Chisinau Bern Ljubljana Zagreb".split()
+PRONOUNS = ["i", "me", "my", "mine", "myself", "we", "us", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves"]
+NAMES = ["Emma", "Liam", "Sophia", "Jackson", "Olivia", "Noah", "Ava", "Lucas", "Isabella", "Mason", "Mia", "Ethan", "Charlotte", "Alexander", "Amelia", "Benjamin", "Harper", "Leo", "Zoe", "Daniel", "Chloe", "Samuel", "Lily", "Matthew", "Grace", "Owen", "Abigail", "Gabriel", "Ella", "Jacob", "Scarlett", "Nathan", "Victoria", "Elijah", "Layla", "Nicholas", "Audrey", "David", "Hannah", "Christopher", "Penelope", "Thomas", "Nora", "Andrew", "Aria", "Joseph", "Claire", "Ryan", "Stella", "Jonathan"]
+CAPITALS = ["Reykjavik", "Helsinki", "Oslo", "Tallinn", "Stockholm", "Riga", "Moscow", "Copenhagen", "Vilnius", "Minsk", "Dublin", "Berlin", "Amsterdam", "Warsaw", "London", "Brussels", "Prague", "Luxembourg", "Paris", "Vienna", "Bratislava", "Budapest", "Vaduz", "Chisinau", "Bern", "Ljubljana", "Zagreb"]
 CANNED = ("My answer is yes.", "My answer is no.", "My answer is maybe.")
 HEADINGS = ("My Answer:", "My Conclusion:", "Future Outlook:")
 
@@ -260,8 +263,14 @@ def person_names(v, N):
 
 
 def _trigrams(v: Column) -> Column:
-    n = F.length(v)
-    return F.when(n < 3, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(v, i, F.lit(3)))))
+    """Distinct runs of three characters; none of a shorter text."""
+    n = F.length(v) - 2
+
+    def runs(c: Column) -> Column:
+        joined = lambda x, y: F.concat(x, y)
+        return F.zip_with(F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), joined), F.slice(c, F.lit(3), n), joined)
+
+    return F.when(n < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.array(_chars(v)), runs)[0]))
 
 
 @check("ratio:overlap")
@@ -381,9 +390,13 @@ def word_a_line(v):
 @check("format:emoji")
 def emoji(v):
     """Each sentence ends with a pictograph, or the next begins with one."""
-    s, pictograph = T.sentences(v), r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}]"
-    ends = F.transform(s, lambda x, i: T.strip_chars(x, T.PUNCT + " ").rlike(pictograph + r"\x{FE0F}?$") | F.coalesce(F.get(s, i + 1), F.lit("")).rlike("^" + pictograph))
-    return _all(ends, lambda x: x)
+    pictograph = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{2B00}-\x{2BFF}]"
+
+    def ends(s: Column) -> Column:
+        after = F.concat(F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))), F.array(F.lit("")))
+        return F.zip_with(s, after, lambda x, y: T.strip_chars(x, T.PUNCT + " ").rlike(pictograph + r"\x{FE0F}?$") | F.coalesce(y, F.lit("")).rlike("^" + pictograph))
+
+    return _all(F.transform(F.array(T.sentences(v)), ends)[0], lambda x: x)
 
 
 @check("count:words_japanese")
@@ -412,13 +425,13 @@ def pronouns(v, N):
 @check("words:last_first")
 def last_first(v):
     w = F.transform(T.sentences(v), lambda s: T.words(F.lower(T.strip_chars(s, T.PUNCT + " "))))
-    return _pairs(w, lambda a, b: T.strip_chars(F.element_at(a, -1), T.PUNCT) == T.strip_chars(F.element_at(b, 1), T.PUNCT))
+    return _pairs(w, lambda a, b: T.strip_chars(F.try_element_at(a, F.lit(-1)), T.PUNCT) == T.strip_chars(F.try_element_at(b, F.lit(1)), T.PUNCT))
 
 
 @check("words:paragraph_last_first")
 def paragraph_ends(v):
     lines = F.filter(F.transform(F.split(F.lower(v), "\n", -1), lambda x: T.words(T.strip_chars(x, T.PUNCT + " "))), lambda w: F.size(w) > 0)
-    return _all(lines, lambda w: F.element_at(w, 1) == F.element_at(w, -1))
+    return _all(lines, lambda w: F.try_element_at(w, F.lit(1)) == F.try_element_at(w, F.lit(-1)))
 
 
 @check("sentence:increment")
@@ -762,6 +775,42 @@ def three_parts(v: Column) -> Column:
     return F.size(F.split(v, ",", -1)) == 3
 
 
+def named_countries(v: Column, places: list[str], n: int) -> Column:
+    """At least n different places of a list stand in the response as whole words; the list takes the part of a trained tagger."""
+    found = [F.when(v.rlike(rf"(?U)(?<!\w){re.escape(p)}(?!\w)"), F.lit(p)) for p in places]
+    return F.size(F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))) >= n
+
+
+def variable_names(code: str) -> list[str] | None:
+    """All names that Python code reads or writes; None if it cannot be parsed."""
+    try:
+        return sorted({x.id for x in ast.walk(ast.parse(code)) if isinstance(x, ast.Name)})
+    except (SyntaxError, ValueError):
+        return None
+
+
+def camel_case(name: str) -> bool:
+    """Letters and digits, a small letter first, and never two capitals in a row; an empty name counts as one."""
+    return not name or name[0].islower() and name.isalnum() and not any(a.isupper() and b.isupper() for a, b in pairwise(name))
+
+
+def camel_case_variables(v: Column) -> Column:
+    """The response is Python code whose variables are all in camel case."""
+
+    @F.pandas_udf("boolean")
+    def run(texts: pd.Series) -> pd.Series:
+        names = [variable_names(t) if t is not None else None for t in texts]
+        return pd.Series([x is not None and all(map(camel_case, x)) for x in names], dtype=bool)
+
+    return run(v)
+
+
+def reversed_words(v: Column, dictionary: Column) -> Column:
+    """Of the words fewer than a fifth are, read backwards, not in the dictionary (an array of lower-case words); false without words."""
+    bare = F.transform(T.words(v), lambda w: F.reverse(F.lower(T.strip_chars(w, T.PUNCT + " "))))
+    return (F.size(bare) > 0) & (F.size(F.filter(bare, lambda w: ~F.array_contains(dictionary, w))) < 0.2 * F.size(bare))
+
+
 # ------------------------------------------------------------------ evaluation
 
 

@@ -112,8 +112,10 @@ def pack_best_fit(rows: DataFrame, capacity: int, id_col: str = "row_id", len_co
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["len", "id"], ascending=[False, True], kind="stable")
+        if len(pdf) and pdf["len"].iloc[0] > capacity:
+            raise ValueError(f"row {pdf['id'].iloc[0]} has {pdf['len'].iloc[0]} tokens; a bin has {capacity}")
         packer, count = BestFit(capacity), {}
-        placed = [packer.place(min(int(n), capacity)) for n in pdf["len"]]
+        placed = [packer.place(int(n)) for n in pdf["len"]]
         segment = []
         for which, _ in placed:
             segment.append(count.get(which, 0))
@@ -154,3 +156,35 @@ def few_shot_prefix(shots: DataFrame, group_cols: list[str], order_col: str, tex
     first = shots.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= k)
     listed = F.sort_array(F.collect_list(F.struct("__n", F.col(text_col).alias("t"))))
     return first.groupBy(*group_cols).agg(F.array_join(F.transform(listed, lambda x: x["t"]), "\n\n").alias("prefix"))
+
+
+def packed_rows(placed: DataFrame, rows: DataFrame, capacity: int, id_col: str = "row_id", group_col: str | None = None) -> DataFrame:
+    """(group,) bin, input_ids, loss_mask, segment_ids, positions, labels, label_mask: the rows of bins from :func:`pack_best_fit`.
+
+    ``rows``: id_col, ids, loss_mask.  Segments count from 0, -1 pads; positions start anew in each; a label is the next token, valid
+    within its segment only.  A bin's pieces fit its capacity, so a group is small.
+    """
+    keys = [group_col] if group_col else []
+    one = F.struct("offset", "segment", "ids", "loss_mask")
+    bins = placed.join(rows.select(id_col, "ids", "loss_mask"), id_col).groupBy(*keys, "bin").agg(F.sort_array(F.collect_list(one)).alias("parts"))
+    flat = lambda f: F.flatten(F.transform("parts", f))
+    pad = lambda x, v: F.concat(x, F.array_repeat(F.lit(v).cast("int"), F.lit(capacity) - F.size(x)))
+    out = bins.select(
+        *keys, "bin", pad(flat(lambda p: p["ids"]), 0).alias("input_ids"), pad(flat(lambda p: p["loss_mask"]), 0).alias("loss_mask"),
+        pad(flat(lambda p: F.transform(p["ids"], lambda _: p["segment"])), -1).alias("segment_ids"), pad(flat(lambda p: F.transform(p["ids"], lambda _, i: i)), 0).alias("positions"),
+    )
+    labels, valid = next_targets(F.col("input_ids"), F.col("segment_ids"))
+    return out.withColumns({"labels": labels, "label_mask": F.zip_with(valid, F.concat(F.slice("loss_mask", 2, capacity - 1), F.array(F.lit(0))), lambda a, b: a * b)})
+
+
+def packing_statistics(placed: DataFrame, lengths: DataFrame, capacity: int, id_col: str = "row_id", group_col: str | None = None) -> DataFrame:
+    """(group,) n_docs, n_bins, docs_per_bin, utilisation; one row without a group."""
+    bins = F.count_distinct("bin")
+    out = placed.join(lengths.select(id_col, "len"), id_col).groupBy(*([group_col] if group_col else [])).agg(F.count("*").alias("n_docs"), bins.alias("n_bins"), F.sum("len").alias("n_tokens"))
+    return out.withColumns({"docs_per_bin": F.col("n_docs") / F.greatest("n_bins", F.lit(1)), "utilisation": F.col("n_tokens") / F.greatest(F.col("n_bins") * capacity, F.lit(1))})
+
+
+def drop_counts(chats: DataFrame) -> DataFrame:
+    """One row of tokenized chats: n, n_dropped, and n_truncated of those that stay."""
+    n = lambda c: F.coalesce(F.sum(c.cast("int")), F.lit(0)).cast("long")
+    return chats.agg(F.count("*").alias("n"), n(F.col("dropped")).alias("n_dropped"), n(~F.col("dropped") & F.col("truncated")).alias("n_truncated"))

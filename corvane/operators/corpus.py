@@ -120,3 +120,113 @@ def resume_row(valid: DataFrame, consumed: int, seq_col: str = "global_seq") ->
     own = own.filter((F.col("__before") < consumed) & (F.col("__before") + F.col("count") >= consumed))
     at = rows.join(F.broadcast(own), "__block").withColumn("__n", F.col("__before") + F.row_number().over(Window.partitionBy("__block").orderBy(seq_col)))
     return at.filter(F.col("__n") == consumed).select((F.col(seq_col) + 1).alias("resume_at"))
+
+
+def micro_batches(rows: DataFrame, accumulate: int, batch: int) -> DataFrame:
+    """Places of a step's rows in [accumulate, batch]: micro_batch and slot, from pos_in_batch."""
+    at = F.col("pos_in_batch")
+    return rows.withColumns({"micro_batch": F.floor(at / batch).cast("int"), "slot": (at % batch).cast("int")}).filter(F.col("micro_batch") < accumulate)
+
+
+def remaining(total: int, shard_size: int, start_shard: int = 0, start_row: int = 0) -> int:
+    """Rows from a start on, dropped ones counted."""
+    return total - (start_shard * shard_size + start_row)
+
+
+def cycled(rows: DataFrame, start: int, cycles: int, batch: int, seq_col: str = "global_seq") -> DataFrame:
+    """Batches of several passes, each from the original start; every pass drops its last batch if that is not full.
+
+    Adds cycle, batch_id (running over all passes) and pos_in_batch.
+    """
+    own = rows.filter(F.col(seq_col) >= start)
+    bounds = own.agg(F.count("*").alias("n_rows"))
+    out = own.join(F.broadcast(bounds)).withColumn("full", F.floor(F.col("n_rows") / batch))
+    at = F.col(seq_col) - start
+    out = out.withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(cycles - 1)))).filter(F.floor(at / batch) < F.col("full"))
+    return out.withColumns({"batch_id": (F.col("cycle") * F.col("full") + F.floor(at / batch)).cast("long"), "pos_in_batch": (at % batch).cast("int")}).drop("n_rows", "full")
+
+
+def max_steps(total_tokens: int, batch: int, accumulate: int, length: int) -> int:
+    """Whole steps of a token budget."""
+    return total_tokens // (batch * accumulate * length)
+
+
+def epoch_steps(epochs: Column, n: Column, batch: int) -> Column:
+    """Steps of so many epochs, the last one perhaps not full; one at least."""
+    return F.greatest(F.ceil(epochs * n / batch), F.lit(1)).cast("long")
+
+
+def running_tokens(steps: DataFrame, step_col: str, batch: int, length: int, start: int = 0) -> DataFrame:
+    """Steps with total_tokens: what all steps up to theirs have read."""
+    return steps.withColumn("total_tokens", (start + F.col(step_col) * batch * length).cast("long"))
+
+
+def throughput(log: DataFrame, run_col: str, step_col: str, time_col: str, tokens_per_step: int) -> DataFrame:
+    """Per logged step: steps, seconds and tokens a second since the run's last log; null for the first."""
+    w = Window.partitionBy(run_col).orderBy(step_col)
+    seconds = F.unix_micros(F.col(time_col).cast("timestamp")) / 1e6
+    out = log.withColumns({"steps": F.col(step_col) - F.lag(step_col).over(w), "seconds": seconds - F.lag(seconds).over(w)})
+    return out.withColumn("tokens_per_second", F.when(F.col("seconds") > 0, F.col("steps") * tokens_per_step / F.col("seconds")))
+
+
+def underfilled(rows: DataFrame, n: int, shard_size: int) -> DataFrame:
+    """Shards whose rows are not exactly those that n rows give: shard_id, filled, expected; none if the shuffle is whole."""
+    shards = -(-n // shard_size)
+    want = rows.sparkSession.range(shards).select(F.col("id").alias("shard_id"), F.least(F.lit(shard_size), F.lit(n) - F.col("id") * shard_size).alias("expected"))
+    have = rows.groupBy("shard_id").agg(F.countDistinct("row_in_shard").alias("distinct_rows"), F.count("*").alias("filled"))
+    out = want.join(have, "shard_id", "full").fillna(0, ["expected", "filled", "distinct_rows"])
+    return out.filter((F.col("filled") != F.col("expected")) | (F.col("distinct_rows") != F.col("expected"))).select("shard_id", "filled", "expected")
+
+
+def check_whole(rows: DataFrame, n: int, shard_size: int) -> DataFrame:
+    """``rows``; raises, naming a shard, if one is not filled exactly."""
+    bad = underfilled(rows, n, shard_size).orderBy("shard_id").first()
+    if bad:
+        raise ValueError(f"shard {bad.shard_id} has {bad.filled} of {bad.expected} rows")
+    return rows
+
+
+def source_places(order: DataFrame, shard_size: int) -> DataFrame:
+    """Where each source row lands: src_pos, out_pos, out_shard, out_row."""
+    return order.select("src_pos", "out_pos", F.floor(F.col("out_pos") / shard_size).alias("out_shard"), (F.col("out_pos") % shard_size).alias("out_row"))
+
+
+def keyed_place(seq: Column, n: int, seed: int, rounds: int = 6) -> Column:
+    """A place in 0 .. n-1 for each row, without a table: a Feistel network over the next power of four, walked until it falls inside.
+
+    A bijection that every task computes alone, for corpora too large to draw a permutation on the driver; its order
+    is not the generator's.
+    """
+    half = max(1, -(-max(1, (n - 1).bit_length()) // 2))
+    mask = (1 << half) - 1
+
+    def once(x: Column) -> Column:
+        left, right = F.shiftright(x, half), x.bitwiseAND(F.lit(mask))
+        for r in range(rounds):
+            left, right = right, left.bitwiseXOR(F.xxhash64(right, F.lit(seed), F.lit(r)).bitwiseAND(F.lit(mask)))
+        return F.shiftleft(left, half).bitwiseOR(right)
+
+    def walk(x: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.lit(64))
+        return F.aggregate(steps, once(x), lambda at, _: F.when(at < n, at).otherwise(once(at)))
+
+    place = walk(seq.cast("long"))
+    return F.when(place < n, place).otherwise(F.raise_error(F.lit("no place was found")).cast("long"))
+
+
+def shuffled_manifest(manifest: dict, seed: int, source: str) -> dict:
+    """The manifest of a shuffled corpus: the source's fields without those that no longer hold, and how it was shuffled."""
+    kept = {k: v for k, v in manifest.items() if k not in ("file_shuffle_seed", "file_order", "packing")}
+    return kept | {"globally_preshuffled": True, "shuffle_seed": seed, "shuffle_algorithm": "numpy.random.PCG64.shuffle(np.arange(total_sequences, dtype=uint32))", "shuffled_from": source, "file_order": "PCG64(seed).shuffle of source file-order"}
+
+
+def check_unshuffled(manifest: dict) -> dict:
+    """The manifest if its rows are still in file order; otherwise an error."""
+    if "none at repack" not in manifest.get("shuffle_policy", ""):
+        raise ValueError(f"the corpus is not in file order: {manifest.get('shuffle_policy')!r}")
+    return manifest
+
+
+def decayed(shape: Column, vocabulary: int) -> Column:
+    """Whether a parameter decays: all do whose first dimension is not the vocabulary's."""
+    return F.element_at(shape, 1) != vocabulary

@@ -39,11 +39,18 @@ def paired_delta(rows: DataFrame, key: str, kind_col: str, value_col: str, befor
     """key, before, after and their difference in points with a sign; a dash where one is missing."""
     pick = lambda k: F.max(F.when(F.col(kind_col) == k, F.col(value_col)))
     out = rows.groupBy(key).agg(pick(before).alias("before"), pick(after).alias("after"))
-    return out.withColumn("delta", F.coalesce(F.format_string("%+.1f", (F.col("after") - F.col("before")) * 100), F.lit("—")))
+    return out.withColumn("delta", signed_points(F.col("before"), F.col("after")))
 
 
 def shown(v: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", v), F.lit("—"))
+    """Four places; a dash for null."""
+    return F.when(v.isNotNull(), F.format_string("%.4f", v)).otherwise(F.lit("—"))
+
+
+def signed_points(before: Column, after: Column) -> Column:
+    """The difference in points with its sign; a dash where either is null."""
+    points = (after - before) * 100
+    return F.when(points.isNotNull(), F.format_string("%+.1f", points)).otherwise(F.lit("—"))
 
 
 def primary_metric(metrics: Column, names: list[str]) -> Column:

@@ -65,14 +65,8 @@ p AS (SELECT file_idx, CAST(unnest(range(len(tokens) // 64)) AS INT) AS seq_in_f
 r AS (SELECT file_idx, seq_in_file, row_number() OVER (ORDER BY file_idx, seq_in_file) - 1 AS global_seq, tokens[seq_in_file * 64 + 1 : seq_in_file * 64 + 64] AS tokens FROM p)"""
 
 
-@query("fixed_packing", f"WITH {_PACKED_SQL} SELECT file_idx, seq_in_file, global_seq, CAST(list_sum(tokens) AS BIGINT) AS token_sum FROM r WHERE global_seq < 100000 // 64")
+@query("fixed_packing", f"WITH {_PACKED_SQL} SELECT file_idx, seq_in_file, global_seq, CAST(list_sum(tokens) AS BIGINT) AS token_sum FROM r")
 def fixed_packing(spark, sf_dir):
-    return _packed(spark, sf_dir, 64, 100_000).select("file_idx", "seq_in_file", "global_seq", _total(F.col("tokens")).alias("token_sum"))
-
-
-@query("fixed_packing_whole")
-def fixed_packing_whole(spark, sf_dir):
-    """fixed_packing without a budget: all packed rows."""
     return _packed(spark, sf_dir).select("file_idx", "seq_in_file", "global_seq", _total(F.col("tokens")).alias("token_sum"))
 
 
@@ -212,18 +206,6 @@ def few_shot(spark, sf_dir):
     return s.join(prefix, s["s_nationkey"] == prefix["c_nationkey"]).select("s_suppkey", F.concat("prefix", F.lit("\n\n"), "s_name").alias("prompt"))
 
 
-@query(
-    "few_shot_pool",
-    """SELECT a.n_nationkey, string_agg(b.n_name, ',' ORDER BY b.n_nationkey) AS shots FROM nation a JOIN nation b ON a.n_regionkey <> b.n_regionkey GROUP BY 1""",
-)
-def few_shot_pool(spark, sf_dir):
-    """All shots but the item's own group's: the pool is one small array, filtered for each item."""
-    n = table(spark, sf_dir, "nation")
-    pool = n.agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_regionkey", "n_name"))).alias("pool"))
-    others = F.transform(F.filter("pool", lambda x: x["n_regionkey"] != F.col("n_regionkey")), lambda x: x["n_name"])
-    return n.join(F.broadcast(pool)).select("n_nationkey", F.array_join(others, ",").alias("shots"))
-
-
 # ---------------------------------------------------------------- scores
 
 _SCORES_SQL = "s AS (SELECT vec_id, label, list_transform(embedding, lambda x: round(CAST(x AS DOUBLE), 1)) AS v FROM embeddings), b AS (SELECT vec_id, label, v, list_position(v[1:4], list_max(v[1:4])) - 1 AS best FROM s)"
@@ -296,60 +278,42 @@ def adamw(spark, sf_dir):
 
 # ---------------------------------------------------------------- answers and normal forms
 
-_LETTERS_SQL = "regexp_replace(regexp_replace(lower({0}), '[^a-z0-9\\s]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g')"
-_ASCII = "regexp_full_match(text, '[\\x00-\\x7F]*')"
+_PUNCT_SQL = "'[!-/:-@\\[-`{-~]'"
 
 
-def _ascii_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return docs.select("doc_id", F.substring("text", 1, 300).alias("pred"), F.substring("text", 60, 300).alias("gold"))
+def _rewritten(spark, sf_dir):
+    """Each document's whole text, and the same without each seventh word."""
+    words = F.filter(T.words(F.col("text")), lambda _, i: i % 7 != 6)
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pred"), F.array_join(words, " ").alias("gold"))
 
 
-_PUNCT_SQL = "'[!-/:-@\\[-`{-~]'"
+def _bags_sql(distinct: str) -> str:
+    """Normal words of a text and of the same without each seventh word: articles are whole words here, since what else could stand beside one is deleted."""
+    normal = lambda x: f"list_filter(regexp_split_to_array(regexp_replace(lower({x}), {_PUNCT_SQL}, '', 'g'), '\\s+'), lambda x: x <> '' AND x NOT IN ('a', 'an', 'the'))"
+    return f"""WITH w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS ws FROM documents),
+d AS (SELECT doc_id, text AS pred, array_to_string(list_filter(ws, lambda x, i: (i - 1) % 7 <> 6), ' ') AS gold FROM w),
+n AS (SELECT doc_id, {distinct}({normal('pred')}) AS a, {distinct}({normal('gold')}) AS b FROM d),"""
 
 
 @query(
     "squad_f1",
-    f"""WITH d AS (SELECT doc_id, substr(text, 1, 300) AS pred, substr(text, 60, 300) AS gold FROM documents WHERE {_ASCII}),
-n AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(pred), {_PUNCT_SQL}, '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+'), lambda x: x <> '') AS a,
- list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(gold), {_PUNCT_SQL}, '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '\\s+'), lambda x: x <> '') AS b FROM d),
-x AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(a) AS w FROM n) GROUP BY ALL), y AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(b) AS w FROM n) GROUP BY ALL),
+    _bags_sql("")
+    + """x AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(a) AS w FROM n) GROUP BY ALL), y AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(b) AS w FROM n) GROUP BY ALL),
 s AS (SELECT doc_id, CAST(sum(least(x.c, y.c)) AS DOUBLE) AS same FROM x JOIN y USING (doc_id, w) GROUP BY 1)
-SELECT n.doc_id, array_to_string(a, ' ') = array_to_string(b, ' ') AS em, round(CASE WHEN same IS NULL THEN 0 ELSE 2 * (same / len(a)) * (same / len(b)) / (same / len(a) + same / len(b)) END, 9) AS f1 FROM n LEFT JOIN s USING (doc_id)""",
+SELECT n.doc_id, array_to_string(a, ' ') = array_to_string(b, ' ') AS em, round(CASE WHEN a IS NULL THEN NULL WHEN same IS NULL THEN 0 ELSE 2 * (same / len(a)) * (same / len(b)) / (same / len(a) + same / len(b)) END, 9) AS f1 FROM n LEFT JOIN s USING (doc_id)""",
 )
 def squad_f1(spark, sf_dir):
-    p, g = F.col("pred"), F.col("gold")
-    return _ascii_docs(spark, sf_dir).select("doc_id", (T.squad_normal(p) == T.squad_normal(g)).alias("em"), F.round(T.multiset_f1(p, g), 9).alias("f1"))
+    rows = _rewritten(spark, sf_dir).select("doc_id", T.squad_normal(F.col("pred")).alias("a"), T.squad_normal(F.col("gold")).alias("b"))
+    return rows.select("doc_id", (F.col("a") == F.col("b")).alias("em"), F.round(T.whole_multiset_f1(F.col("a"), F.col("b")), 9).alias("f1"))
 
 
 @query(
     "passage_f1",
-    f"""WITH d AS (SELECT doc_id, substr(text, 1, 300) AS pred, substr(text, 60, 300) AS gold FROM documents WHERE {_ASCII}),
-n AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(pred), '\\b(a|an|the)\\b', ' ', 'g'), {_PUNCT_SQL}, '', 'g'), '\\s+'), lambda x: x <> '')) AS a,
- list_distinct(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(lower(gold), '\\b(a|an|the)\\b', ' ', 'g'), {_PUNCT_SQL}, '', 'g'), '\\s+'), lambda x: x <> '')) AS b FROM d),
-s AS (SELECT *, CAST(len(list_intersect(a, b)) AS DOUBLE) AS same FROM n)
+    _bags_sql("list_distinct")
+    + """s AS (SELECT *, CAST(len(list_intersect(a, b)) AS DOUBLE) AS same FROM n)
 SELECT doc_id, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1 WHEN same = 0 THEN 0 ELSE 2 * (same / len(a)) * (same / len(b)) / (same / len(a) + same / len(b)) END, 9) AS f1 FROM s""",
 )
 def passage_f1(spark, sf_dir):
-    return _ascii_docs(spark, sf_dir).select("doc_id", F.round(T.set_f1(T.passage_bag(F.col("pred")), T.passage_bag(F.col("gold"))), 9).alias("f1"))
-
-
-def _rewritten(spark, sf_dir):
-    """Each document's whole text, and the same without each seventh word."""
-    words = F.filter(T.words(F.col("text")), lambda _, i: i % 7 != 6)
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pred"), F.array_join(words, " ").alias("gold"))
-
-
-@query("squad_f1_whole")
-def squad_f1_whole(spark, sf_dir):
-    """squad_f1 over whole texts of all documents."""
-    rows = _rewritten(spark, sf_dir).select("doc_id", T.squad_normal(F.col("pred")).alias("a"), T.squad_normal(F.col("gold")).alias("b"))
-    return rows.select("doc_id", (F.col("a") == F.col("b")).alias("em"), F.round(T.whole_multiset_f1(F.col("a"), F.col("b")), 9).alias("f1"))
-
-
-@query("passage_f1_whole")
-def passage_f1_whole(spark, sf_dir):
-    """passage_f1 over whole texts of all documents."""
     rows = _rewritten(spark, sf_dir).select("doc_id", T.passage_bag(F.col("pred")).alias("a"), T.passage_bag(F.col("gold")).alias("b"))
     return rows.select("doc_id", F.round(T.set_f1(F.col("a"), F.col("b")), 9).alias("f1"))
 
@@ -414,12 +378,12 @@ def _bare(x: str) -> str:
 _CHECKS: dict[str, tuple[str, dict, str]] = {
     "placeholders": ("detectable_content:number_placeholders", {"num_placeholders": 1}, r"len(regexp_extract_all(v, '\[.*?\]')) >= 1"),
     "no_comma": ("punctuation:no_comma", {}, "NOT contains(v, ',')"),
-    "words": ("length_constraints:number_words", {"num_words": 200, "relation": "at least"}, r"len(regexp_extract_all(v, '[\w]+')) >= 200"),
+    "words": ("length_constraints:number_words", {"num_words": 200, "relation": "at least"}, r"len(regexp_extract_all(v, '[\p{L}\p{M}\p{N}_]+')) >= 200"),
     "letter": ("keywords:letter_frequency", {"letter": "q", "let_frequency": 3, "let_relation": "at least"}, "length(v) - length(replace(lower(v), 'q', '')) >= 3"),
     "existence": ("keywords:existence", {"keywords": ["the", "that"]}, "regexp_matches(v, '(?i)the') AND regexp_matches(v, '(?i)that')"),
     "forbidden": ("keywords:forbidden_words", {"forbidden_words": ["idiot", "moron"]}, r"NOT regexp_matches(v, '(?i)\bidiot\b') AND NOT regexp_matches(v, '(?i)\bmoron\b')"),
     "frequency": ("keywords:frequency", {"keyword": "the", "frequency": 10, "relation": "less than"}, "len(regexp_extract_all(v, '(?i)the')) < 10"),
-    "range": ("count:word_count_range", {"min_words": 100, "max_words": 300}, r"len(regexp_extract_all(v, '\w+')) BETWEEN 100 AND 300"),
+    "range": ("count:word_count_range", {"min_words": 100, "max_words": 300}, r"len(regexp_extract_all(v, '[\p{L}\p{M}\p{N}_]+')) BETWEEN 100 AND 300"),
     "numbers": ("count:numbers", {"N": 1}, rf"len(regexp_extract_all({_bare('v')}, '\d+')) = 1"),
     "pronouns": ("count:pronouns", {"N": 1}, f"len(list_filter({_WORDS.format(_bare('lower(v)'))}, lambda x: list_contains([{', '.join(repr(x) for x in C.PRONOUNS)}], x))) >= 1"),
     "newline": ("format:newline", {}, rf"len(list_filter(string_split(trim({_bare('v')}, chr(10) || chr(9) || chr(13) || ' '), chr(10)), lambda x: x <> '')) = len({_WORDS.format(_bare('v'))})"),
@@ -437,15 +401,8 @@ _CHECKS: dict[str, tuple[str, dict, str]] = {
 }
 
 
-@query("checkers_strict", f"WITH d AS (SELECT doc_id, text AS v FROM documents WHERE {_ASCII}) SELECT doc_id, " + ", ".join(f"trim(v, chr(10) || ' ') <> '' AND ({sql}) AS {k}" for k, (_, _, sql) in _CHECKS.items()) + " FROM d")
+@query("checkers_strict", "SELECT doc_id, " + ", ".join(f"coalesce(trim(v, chr(10) || ' ') <> '' AND ({sql}), false) AS {k}" for k, (_, _, sql) in _CHECKS.items()) + " FROM (SELECT doc_id, text AS v FROM documents)")
 def checkers_strict(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return docs.select("doc_id", *[C.strict(i, F.col("text"), kw).alias(k) for k, (i, kw, _) in _CHECKS.items()])
-
-
-@query("checkers_strict_whole")
-def checkers_strict_whole(spark, sf_dir):
-    """checkers_strict over all documents, in any script."""
     return table(spark, sf_dir, "documents").select("doc_id", *[C.strict(i, F.col("text"), kw).alias(k) for k, (i, kw, _) in _CHECKS.items()])
 
 
@@ -456,15 +413,8 @@ def checkers_loose(spark, sf_dir):
     return docs.select("doc_id", *[C.loose(_CHECKS[k][0], F.col("text"), _CHECKS[k][1]).alias(k) for k in some])
 
 
-@query("instruction_accuracy", f"WITH d AS (SELECT text AS v FROM documents WHERE {_ASCII}), f AS (SELECT [{', '.join(f'({sql})' for _, (_, _, sql) in list(_CHECKS.items())[:6])}] AS l FROM d) SELECT avg(CASE WHEN list_bool_and(l) THEN 1.0 ELSE 0 END) AS prompt_acc, CAST(sum(len(list_filter(l, lambda x: x))) AS DOUBLE) / sum(len(l)) AS instruction_acc FROM f")
+@query("instruction_accuracy", f"WITH f AS (SELECT [{', '.join(f'coalesce(({sql}), false)' for _, (_, _, sql) in list(_CHECKS.items())[:6])}] AS l FROM (SELECT text AS v FROM documents)) SELECT avg(CASE WHEN list_bool_and(l) THEN 1.0 ELSE 0 END) AS prompt_acc, CAST(sum(len(list_filter(l, lambda x: x))) AS DOUBLE) / sum(len(l)) AS instruction_acc FROM f")
 def instruction_accuracy(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return _accuracy(docs)
-
-
-@query("instruction_accuracy_whole")
-def instruction_accuracy_whole(spark, sf_dir):
-    """instruction_accuracy over all documents, in any script."""
     return _accuracy(table(spark, sf_dir, "documents"))
 
 
@@ -482,10 +432,10 @@ def latest_per_key(spark, sf_dir):
     return results.latest(rows, ["user_id", "event_type"], "ts", "event_id")
 
 
-@query("paired_delta", "WITH m AS (SELECT user_id, event_type, max(round(value, 3)) AS x FROM events GROUP BY ALL) SELECT user_id, max(CASE WHEN event_type = 'click' THEN x END) AS \"before\", max(CASE WHEN event_type = 'view' THEN x END) AS \"after\" FROM m GROUP BY 1")
+@query("paired_delta", "WITH m AS (SELECT user_id, event_type, max(round(value, 3)) AS x FROM events GROUP BY ALL) SELECT user_id, max(CASE WHEN event_type = 'click' THEN x END) AS \"before\", max(CASE WHEN event_type = 'view' THEN x END) AS \"after\", coalesce(printf('%+.1f', (max(CASE WHEN event_type = 'view' THEN x END) - max(CASE WHEN event_type = 'click' THEN x END)) * 100), '—') AS delta FROM m GROUP BY 1")
 def paired_delta(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max(F.round("value", 3)).alias("x"))
-    return results.paired_delta(rows, "user_id", "event_type", "x", "click", "view").select("user_id", "before", "after")
+    return results.paired_delta(rows, "user_id", "event_type", "x", "click", "view")
 
 
 @query("leaderboard", "SELECT o_orderpriority AS task, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
@@ -524,24 +474,12 @@ def complete_steps(spark, sf_dir):
     return results.complete_steps(n.select(F.concat(stem, F.lit("/")).alias("path")).union(n.filter("n_nationkey % 3 = 0").select(F.concat(stem, F.lit("_COMPLETE")))).union(n.select(F.lit("ckpt/junk").alias("path"))))
 
 
-@query("throughput", "SELECT event_id, event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS steps FROM events")
-def throughput(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") - F.lag("event_id").over(w)).alias("steps"))
-
-
 @query("scored_predictions", "SELECT d.source, sum(CASE WHEN coalesce(l.toxic, 0) = 0 THEN 1 ELSE 0 END) / count(*) AS score FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
 def scored_predictions(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return rows.groupBy("source").agg(scoring.accuracy(F.coalesce("toxic", F.lit(0)) == 0).alias("score"))
 
 
-@query("held_out_sample", "SELECT o_orderkey FROM orders WHERE o_custkey % 10 <> 3")
-def held_out_sample(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    return o.join(o.filter("o_custkey % 10 = 3").select(F.col("o_orderkey").alias("k")), F.col("o_orderkey") == F.col("k"), "left_anti").select("o_orderkey")
-
-
 # ---------------------------------------------------------------- benchmark items, maths, sinks, streams
 
 from corvane.functions import benchmarks as B  # noqa: E402
@@ -614,11 +552,14 @@ def merged_choices(spark, sf_dir):
 
 
 def _shared(spark, name):
+    import re
     import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corvane-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='corvane-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("shard_roundtrip", f"WITH {_PACKED_SQL} SELECT global_seq, CAST(list_sum(tokens) AS BIGINT) AS token_sum FROM r WHERE global_seq >= 100")
@@ -630,20 +571,9 @@ def shard_roundtrip(spark, sf_dir):
     return readers.shards(spark, path, 100).select("global_seq", _total(F.col("tokens")).alias("token_sum"))
 
 
-@query("ordered_stream", f"WITH {_PACKED_SQL} SELECT global_seq FROM r WHERE file_idx < 40")
+@query("ordered_stream", f"WITH {_PACKED_SQL} SELECT global_seq FROM r")
 def ordered_stream(spark, sf_dir):
-    """Stream shards into a table, with offsets and markers committed per batch."""
-    path, out = _shared(spark, "stream"), _shared(spark, "stream-out")
-    rows = _packed(spark, sf_dir).filter("file_idx < 40")
-    rows.select("global_seq", "tokens").repartitionByRange(3, "global_seq").write.parquet(path)
-    stream = readers.shard_stream(spark, path, "global_seq long, tokens array<int>", files_per_batch=8)
-    ordered.consume(stream, lambda batch, _: batch.select("global_seq").write.mode("append").parquet(out), f"{out}-state", f"{out}-checkpoint")
-    return spark.read.parquet(out)
-
-
-@query("ordered_stream_whole")
-def ordered_stream_whole(spark, sf_dir):
-    """ordered_stream over all packed rows, in three batches of files in their order."""
+    """Stream all shards into a table, files in their order, with offsets and markers committed per batch."""
     path, out = _shared(spark, "stream"), _shared(spark, "stream-out")
     _packed(spark, sf_dir).select("global_seq", "tokens").repartitionByRange(24, "global_seq").write.parquet(path)
     writers.in_order(spark, path)

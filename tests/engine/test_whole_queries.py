@@ -37,8 +37,8 @@ def share(same, n, m):
 
 
 def test_f1_of_whole_texts(spark, whole):
-    squad = {r.doc_id: (r.em, r.f1) for r in QUERIES["squad_f1_whole"](spark, whole).collect()}
-    passage = {r.doc_id: r.f1 for r in QUERIES["passage_f1_whole"](spark, whole).collect()}
+    squad = {r.doc_id: (r.em, r.f1) for r in QUERIES["squad_f1"](spark, whole).collect()}
+    passage = {r.doc_id: r.f1 for r in QUERIES["passage_f1"](spark, whole).collect()}
     assert set(squad) == set(passage) == set(range(len(TEXTS)))
     for i, v in enumerate(TEXTS):
         if v is None:
@@ -65,12 +65,12 @@ def holds(name, v):
 
 
 def test_predicates_of_all_documents(spark, whole):
-    rows = {r.doc_id: r.asDict() for r in QUERIES["checkers_strict_whole"](spark, whole).collect()}
+    rows = {r.doc_id: r.asDict() for r in QUERIES["checkers_strict"](spark, whole).collect()}
     assert set(rows) == set(range(len(TEXTS)))
     wrong = [(i, k, rows[i][k]) for i, v in enumerate(TEXTS) for k in _CHECKS if rows[i][k] != bool(v and v.strip() and holds(k, v))]
     assert not wrong
     flags = [[bool(v and v.strip() and holds(k, v)) for k in list(_CHECKS)[:6]] for v in TEXTS]
-    got = QUERIES["instruction_accuracy_whole"](spark, whole).first()
+    got = QUERIES["instruction_accuracy"](spark, whole).first()
     assert got.prompt_acc == pytest.approx(sum(map(all, flags)) / len(TEXTS)) and got.instruction_acc == pytest.approx(sum(map(sum, flags)) / len(TEXTS) / 6)
 
 
@@ -88,14 +88,14 @@ def long_files(spark, tmp_path_factory):
 
 def test_all_rows_are_packed(spark, long_files):
     path, want = long_files
-    rows = QUERIES["fixed_packing_whole"](spark, path).orderBy("global_seq").collect()
+    rows = QUERIES["fixed_packing"](spark, path).orderBy("global_seq").collect()
     assert len(want) > 100_000 // 64
     assert [(r.file_idx, r.seq_in_file, r.global_seq, r.token_sum) for r in rows] == [(*x, at, 128) for at, x in enumerate(want)]
 
 
 def test_all_rows_are_streamed(spark, long_files):
     path, want = long_files
-    rows = [r.global_seq for r in QUERIES["ordered_stream_whole"](spark, path).collect()]
+    rows = [r.global_seq for r in QUERIES["ordered_stream"](spark, path).collect()]
     assert sorted(rows) == list(range(len(want)))
 
 
