@@ -837,4 +837,4 @@ def variants(v: Column) -> Column:
 
 def loose(instruction: str, v: Column, kwargs: dict) -> Column:
     """Some variant of the response that is not blank satisfies the predicate."""
-    return F.exists(variants(v), lambda x: (T.strip(x) != "") & F.coalesce(applied(instruction, x, kwargs), F.lit(False)))
+    return F.exists(variants(v), lambda x: F.coalesce((T.strip(x) != "") & applied(instruction, x, kwargs), F.lit(False)))

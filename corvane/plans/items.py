@@ -367,12 +367,6 @@ def checkers_all(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *every_predicate(F.col("text"), C.strict))
 
 
-@query("checkers_all_loose")
-def checkers_all_loose(spark, sf_dir):
-    """Every registered predicate, loosely, over all documents."""
-    return table(spark, sf_dir, "documents").select("doc_id", *every_predicate(F.col("text"), C.loose))
-
-
 @query("named_countries", "SELECT n_nationkey, n_nationkey % 2 = 0 AS kept FROM nation")
 def named_countries(spark, sf_dir):
     text = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("From France, via "), "n_name", F.lit(", to Peru."))).otherwise(F.concat(F.lit("Francesca and "), "n_name", F.lit(" and Peru, Peru")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from corvane.functions import checkers as C
 from corvane.functions import text as T
 from corvane.operators import chat, corpus, results, scoring
+from corvane.sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,8 +26,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: Tables whose queries spend their time on texts or on many expressions a row.
+_HEAVY = ("documents", "lineitem")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return readers.spread(rows) if name in _HEAVY else rows
 
 
 # Tokens of a document, for queries: its words' lengths.
@@ -484,7 +490,7 @@ def scored_predictions(spark, sf_dir):
 
 from corvane.functions import benchmarks as B  # noqa: E402
 from corvane.functions import math_text as M  # noqa: E402
-from corvane.sources import readers, writers  # noqa: E402
+from corvane.sources import writers  # noqa: E402
 from corvane.streaming import ordered  # noqa: E402
 
 

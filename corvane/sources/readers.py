@@ -26,6 +26,12 @@ def token_files(spark: SparkSession, path: str, dtype: str = "<u4") -> DataFrame
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, tokens array<int>")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt over all cores where their scan has fewer parts than there are cores, as a small file of one row group has; large tables stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON lines; blank lines give nothing, malformed ones nulls."""
     return spark.read.schema(schema).json(path)
