@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Odd multipliers and byte weights of the 64-bit hashes below.
@@ -42,10 +42,29 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame, *keys: str, width: int = 32) -> DataFrame:
+class Scratch:
+    """Tables written by :func:`cut` that are removed once nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def cut(self, df: DataFrame, label: str) -> DataFrame:
+        out = cut(df, label)
+        self.paths += [x.rsplit("/", 1)[0] for x in out.inputFiles()[:1]]
+        return out
+
+    def clear(self) -> None:
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+        self.paths = []
+
+
+def few(df: DataFrame, *keys: str, width: int | Column = 32) -> DataFrame:
     """``df``, to be broadcast if its rows' bytes allow it: those of ``keys`` and ``width`` for the other columns."""
     own = [F.coalesce(F.octet_length(F.col(k).cast("string")), F.lit(0)) for k in keys]
-    size = df.agg(F.coalesce(F.sum(sum(own, F.lit(width))), F.lit(0))).first()[0]
+    size = df.agg(F.coalesce(F.sum(sum(own, width if isinstance(width, Column) else F.lit(width))), F.lit(0))).first()[0]
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
@@ -134,3 +153,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     with np.errstate(over="ignore"):
         body = (prefix[end] - prefix[start]) * _power(_INV, len(prefix))[start]
         return mix64(body + (end - start).astype(np.uint64) * _M2)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Whole numbers with all first bytes before all second ones: small numbers' zero bytes compress to nothing."""
+    return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, few, mix64, release, released, unused
+from corvane.llm.common import Scratch, cut, few, from_planes, mix64, planes, release, released, unused
 
 WORDS = 5
 #: Similarity as a fraction, in whole numbers.
@@ -125,7 +125,7 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _matches(pdf: pd.DataFrame) -> pd.DataFrame:
     """Postings of the n-grams that several sets have in their prefixes, or that are dealt to several groups."""
     gram, node = (np.concatenate([np.frombuffer(x, "<i8") for x in pdf[c]]) for c in ("grams", "nodes"))
-    size = np.concatenate([_planes(x, back=True) for x in pdf["sizes"]])
+    size = np.concatenate([from_planes(x) for x in pdf["sizes"]]).view(np.uint64)
     order = np.lexsort((node, gram))
     gram, node, size = gram[order], node[order], size[order]
     first = np.append(True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1]))  # copies from several tasks count once
@@ -139,13 +139,6 @@ def _matches(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
-def _planes(values: np.ndarray | bytes, back: bool = False) -> np.ndarray | bytes:
-    """Whole numbers with all first bytes before all second ones, and back: small numbers' zero bytes compress to nothing."""
-    if back:
-        return np.ascontiguousarray(np.frombuffer(values, np.uint8).reshape(8, -1).T).view("<u8").ravel()
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
 def _possible(n: str, at: str, m: str, bt: str) -> Column:
     """Length filter, and positional filter for a first common n-gram at these places."""
     n, at, m, bt = map(F.col, (n, at, m, bt))
@@ -224,7 +217,7 @@ def _met(nearest: bool):
     return run
 
 
-def components(links: DataFrame, label: str) -> DataFrame:
+def components(links: DataFrame, label: str, scratch: Scratch | None = None) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b); root is its component's least node.
 
     Alternates large-star and small-star steps; each writes its links, and the driver sees only counts.
@@ -237,13 +230,14 @@ def components(links: DataFrame, label: str) -> DataFrame:
         moved = near.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else near.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return moved.filter("a <> b").distinct()
 
-    edges, before = cut(links.filter("a <> b").distinct(), f"{label}-links"), None
+    write = scratch.cut if scratch else cut
+    edges, before = write(links.filter("a <> b").distinct(), f"{label}-links"), None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-        edges = cut(star(star(edges, True), False), f"{label}-stars")
+        edges = write(star(star(edges, True), False), f"{label}-stars")
     return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node").union(edges.select("b", "b").distinct())
 
 
@@ -271,7 +265,7 @@ def _prefixes(held, shared: set[int], buckets: int):
             order = np.argsort(bucket, kind="stable")
             ends = np.flatnonzero(np.append(np.diff(bucket[order]) != 0, True)) + 1
             parts = [order[a:b] for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
-            columns = [[int(bucket[p[0]]) for p in parts], [gram[p].tobytes() for p in parts], [node[p].tobytes() for p in parts], [_planes(size[p]) for p in parts]]
+            columns = [[int(bucket[p[0]]) for p in parts], [gram[p].tobytes() for p in parts], [node[p].tobytes() for p in parts], [planes(size[p].view(np.int64)) for p in parts]]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.int32(), *[pa.binary()] * 3), strict=True)], ["bucket", "grams", "nodes", "sizes"])
 
         for batch in batches:
@@ -340,9 +334,10 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     survey = rows.select("id", "text", *text_names(F.col("text"))).mapInArrow(released(_survey), f"kind int, id {kind}, t1 long, t2 long, h1 long, h2 long, n long")
+    scratch = Scratch(spark)
     survey = cut(survey, "jaccard-survey")
     every = survey.filter("kind = 0").drop("kind")
-    nodes = cut(every.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("n").alias("n")), "jaccard-sets")
+    nodes = scratch.cut(every.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("n").alias("n")), "jaccard-sets")
     # a set goes by the first half of its name, unless two sets share it: by chance, some three pairs of 10**10 sets
     shared = [r.h1 for r in nodes.groupBy("h1").count().filter("count > 1").select("h1").collect()]
     nodes = nodes.withColumn("node", F.when(F.col("h1").isin(*shared), F.col("h2")).otherwise(F.col("h1")) if shared else F.col("h1"))
@@ -354,19 +349,19 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     order = np.argsort(frequent)
     held = spark.sparkContext.broadcast((frequent[order], np.minimum(255, 2 * np.log2(np.maximum(n, 1)))[order].astype(np.uint8)))
     dealt = rows.select("text").mapInArrow(released(_prefixes(held, set(shared), max(1, -(-int(total) // BUCKET)))), "bucket int, grams binary, nodes binary, sizes binary")
-    postings = cut(dealt.groupBy("bucket").applyInPandas(_matches, "gram long, node long, n long, at int"), "jaccard-matches")
+    postings = scratch.cut(dealt.groupBy("bucket").applyInPandas(_matches, "gram long, node long, n long, at int"), "jaccard-matches")
     # an n-gram's pivot has the fewest rarer n-grams of its own: of near copies the one least changed
     pivots = postings.groupBy("gram").agg(F.min(F.struct("at", "node", "n")).alias("p")).select("gram", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"), F.col("p.at").alias("pat"))
-    postings = cut(postings.join(pivots, "gram"), "jaccard-postings")
+    postings = scratch.cut(postings.join(pivots, "gram"), "jaccard-postings")
     own = postings.select("node").distinct().join(nodes, "node")
-    signatures = cut(_fetched(rows, cut(own, "jaccard-own"), lambda node, grams: [(node, len(grams), signature(grams))], "node long, n long, sig binary"), "jaccard-signatures")
+    signatures = scratch.cut(_fetched(rows, scratch.cut(own, "jaccard-own"), lambda node, grams: [(node, len(grams), signature(grams))], "node long, n long, sig binary"), "jaccard-signatures")
     side = lambda x: signatures.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"x{x}"))
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         """The pairs whose whole sets are similar enough."""
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        own = cut(ends.join(nodes, "node"), f"{label}-ends")
-        sets = cut(_fetched(rows, own, _sets(PART), "node long, p int, part int, grams array<long>"), f"{label}-sets")
+        own = scratch.cut(ends.join(nodes, "node"), f"{label}-ends")
+        sets = scratch.cut(_fetched(rows, own, _sets(PART), "node long, p int, part int, grams array<long>"), f"{label}-sets")
         n_of = lambda x: few(own.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")), x)
         sized = pairs.join(n_of("a"), "a").join(n_of("b"), "b").withColumn("p", _parts(F.greatest("na", "nb")))
         one = sets.select(F.col("node").alias("a"), "p", "part", F.col("grams").alias("ga"))
@@ -376,20 +371,20 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     near = (F.col("node") != F.col("pivot")) & _possible("n", "at", "pn", "pat")
     stars = postings.filter(near).select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-    met = cut(stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_apart, "a long, b long"), "jaccard-met0")
+    met = scratch.cut(stars.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(_apart, "a long, b long"), "jaccard-met0")
     links, roots, left, tried = None, None, postings, met
     for round_ in range(1, NEAREST + 3):
         if met.limit(1).count():
             found = verified(met, f"jaccard-round{round_}")
-            links = cut(found if links is None else links.union(found), f"jaccard-links{round_}")
-            roots = cut(components(links, f"jaccard-{round_}"), f"jaccard-roots{round_}")
+            links = scratch.cut(found if links is None else links.union(found), f"jaccard-links{round_}")
+            roots = scratch.cut(components(links, f"jaccard-{round_}", scratch), f"jaccard-roots{round_}")
         if round_ == NEAREST + 2:
             break
         named = left.select("gram", "node", "n", "at", "pivot")
         named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else named.withColumn("root", F.col("node"))
-        named = cut(named, f"jaccard-named{round_}")
+        named = scratch.cut(named, f"jaccard-named{round_}")
         split = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")).filter("lo <> hi").select("gram", "blocks")
-        left = cut(named.join(split, "gram"), f"jaccard-left{round_}")
+        left = scratch.cut(named.join(split, "gram"), f"jaccard-left{round_}")
         size = left.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
         if not size:
             break
@@ -401,12 +396,13 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         dealt = dealt.groupBy("group", "node", "n", "root").agg(*[F.collect_list(x).alias(y) for x, y in (("gram", "grams"), ("at", "ats"), ("i", "is"), ("j", "js"), ("own", "own"))])
         dealt = dealt.join(signatures.select("node", "sig"), "node")
         again = dealt.groupBy("group").applyInPandas(_met(round_ <= NEAREST), "a long, b long").distinct()
-        met = cut(again.join(tried, ["a", "b"], "left_anti"), f"jaccard-met{round_}")
+        met = scratch.cut(again.join(tried, ["a", "b"], "left_anti"), f"jaccard-met{round_}")
         tried = tried.union(met)
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).select("h1", "h2", "root", "least")
     named = cut(named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("h1", "h2", "root", "component_id"), "jaccard-components")
+    scratch.clear()  # what follows reads the survey and the components only
     out = every.join(named, ["h1", "h2"], "left")
     return out.select("id", "t1", "t2", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), "root")
 

@@ -15,10 +15,12 @@ from corvane.llm.suffixes import suffix_dedup
 from corvane.llm.toxicity import toxicity
 from corvane.llm.url_filter import URL_SQL, judge_urls
 from corvane.llm.vectors import nearest_neighbours, top_products
+from corvane.sources.readers import spread
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return small_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    rows = small_batches(spark).read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(rows) if table == "documents" else rows
 
 
 def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,14 +12,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, mix64, release, released, prefix_hash, span_hash
+from corvane.llm.common import Scratch, few, from_planes, mix64, planes, prefix_hash, release, released, span_hash
+from corvane.llm.common import cut as common_cut
 
-#: Bytes of a string that counts as repeated.
-LENGTH = 400
+#: Bytes of a string that counts as repeated, and of a passage: some fifty words.
+LENGTH, PASSAGE = 400, 250
 #: Bytes of the blocks whose hashes choose a string's anchor.
 BLOCK = 100
 #: Bytes of fragments that one suffix array is built over.
-ARRAY_BYTES = 1_000_000
+ARRAY_BYTES = 400_000
+#: Fragments that a task holds before it deals them, and that one group takes.
+HELD, GROUP = 200_000, 400_000
 #: An anchor with more different fragments is split: strings by how far the anchor is into them, RANGE bytes at a time, and by the bytes that such strings share.
 HOT, RANGE = 2_000, 32
 #: Starts of a text whose anchors are found at once.
@@ -124,8 +127,8 @@ def repeated_starts(fragments: list[bytes], length: int) -> list[np.ndarray]:
 # ---------------------------------------------------------------- distribution by content
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first start, count of starts, fragment hash, anchor's place in the fragment) of the text's fragments.
+def anchors(data: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, first start, count of starts, anchor's place in the fragment) of the text's fragments.
 
     The anchor of a string of ``length`` bytes is its block of least hash (its upper 40 bits), the
     last of equals.  Equal strings have equal anchors at equal places.  A fragment is
@@ -148,38 +151,86 @@ def anchors(data: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> tuple
         anchor = (mask - (np.minimum(rest[:n], start[window - 1 : window - 1 + n]) & mask)).astype(np.int64)
         first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         count = np.diff(np.append(first, n))
-        content = span_hash(pre, begin + first, begin + first + count - 1 + length)
-        with np.errstate(over="ignore"):
-            placed = mix64(content + (anchor[first] - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        found.append((hashes[anchor[first]], begin + first, count, placed, anchor[first] - first))
+        found.append((hashes[anchor[first]].view(np.int64), begin + first, count, anchor[first] - first))
     if not found:
-        none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none, none.astype(np.uint64), none
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "replace")
+def _bytes(text: str | bytes | None) -> bytes:
+    return text if isinstance(text, bytes) else (text or "").encode("utf-8", "replace")
 
 
-def _fragments(length: int):
+_PLACE = ("g", "f", "c1", "c2", "first", "size")
+#: Kinds of dealt fragments: alone with its anchor in the task's share; one for many there; one of many.
+_ALONE, _ONE, _MANY = 0, 1, 2
+
+
+def _fragments(length: int, groups: int):
+    """Fragments dealt by anchor.  Of an anchor that a task meets twice, one is dealt so; the others, surely needed, are spread evenly."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple] = set()
+        waiting, n_waiting = [], 0
+
+        def dealt() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*waiting, strict=True)]
+            order = np.argsort(columns[0], kind="stable")
+            columns = [c[order] for c in columns]
+            g = columns[0]
+            first = np.append(True, g[1:] != g[:-1])
+            many = np.repeat(np.diff(np.append(np.flatnonzero(first), len(g))) > 1, np.diff(np.append(np.flatnonzero(first), len(g))))
+            one = np.flatnonzero(first & many)
+            kind = np.concatenate([np.where(many, _MANY, _ALONE), np.full(len(one), _ONE)]).astype(np.uint8)
+            columns = [np.concatenate([c, c[one]]) for c in columns]
+            with np.errstate(over="ignore"):
+                spread = mix64(columns[2].view(np.uint64) + columns[4].view(np.uint64))
+            group = (np.where(kind == _MANY, spread, columns[0].view(np.uint64)) % np.uint64(groups)).astype(np.int32)
+            order = np.argsort(group, kind="stable")
+            ends = np.flatnonzero(np.append(np.diff(group[order]) != 0, True)) + 1
+            parts = [order[a:b] for a, b in zip(np.append(0, ends[:-1]), ends, strict=True)]
+            arrays = [pa.array([int(group[p[0]]) for p in parts], pa.int32()), pa.array([kind[p].tobytes() for p in parts], pa.binary())]
+            return pa.RecordBatch.from_arrays([*arrays, *(pa.array([planes(c[p]) for p in parts], pa.binary()) for c in columns)], ["group", "kind", *_PLACE])
+
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
-            for id_, c1, c2, text in zip(*(batch.column(c).to_pylist() for c in ("id", "c1", "c2", "text")), strict=True):
+            for c1, c2, text in zip(batch.column("c1").to_pylist(), batch.column("c2").to_pylist(), batch.column("text"), strict=True):
                 if (c1, c2) in done:
                     continue
                 done.add((c1, c2))
-                g, first, count, content, at = anchors(np.frombuffer(_bytes(text), np.uint8), length)
-                for o, v in zip(out, (g.view(np.int64), content.view(np.int64), np.full(len(g), c1), np.full(len(g), c2), first, count, at), strict=True):
-                    o.append(v)
-            kinds = [pa.int64()] * 5 + [pa.int32()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)]), k) for x, k in zip(out, kinds, strict=True)], ["g", "f", "c1", "c2", "first", "count", "at"])
+                data = _bytes(text.as_py())
+                g, first, count, at = anchors(np.frombuffer(data, np.uint8), length)
+                names = [xxhash.xxh3_64_intdigest(data[a : a + n - 1 + length], seed=s) for a, n, s in zip(first.tolist(), count.tolist(), at.tolist(), strict=True)]
+                waiting.append((g, np.array(names, np.uint64).view(np.int64), np.full(len(g), c1), np.full(len(g), c2), first, count << 32 | at))
+                n_waiting += len(g)
+                if n_waiting > HELD:
+                    yield dealt()
+                    waiting, n_waiting = [], 0
+        if n_waiting:
+            yield dealt()
 
     return run
 
 
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The fragments whose anchor stands at two places at least."""
+    kind = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["kind"]])
+    columns = [np.concatenate([from_planes(x) for x in pdf[c]]) for c in _PLACE]
+    sure, rest = np.flatnonzero(kind == _MANY), np.flatnonzero(kind != _MANY)
+    g, f, c1, c2, first, _ = (c[rest] for c in columns)
+    order = np.lexsort((first, c2, c1, g))
+    rest, g, c1, c2, first = rest[order], g[order], c1[order], c2[order], first[order]
+    new = np.append(True, g[1:] != g[:-1])
+    place = new | np.append(True, (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1]) | (first[1:] != first[:-1]))
+    start = np.flatnonzero(new)
+    several = (np.add.reduceat(place.astype(np.int64), start) > 1) | (np.maximum.reduceat((kind[rest] == _ONE).astype(np.int64), start) > 0) if len(g) else np.zeros(0, bool)
+    keep = np.repeat(several, np.diff(np.append(start, len(g)))) & (kind[rest] == _ALONE)
+    chosen = np.concatenate([sure, rest[keep]])
+    out = {c: x[chosen] for c, x in zip(_PLACE, columns, strict=True)}
+    size = out.pop("size")
+    release()
+    return pd.DataFrame(out | {"count": (size >> 32).astype(np.int32), "at": (size & 0xFFFFFFFF).astype(np.int32)})
+
+
 def _cutouts(length: int):
     """Bytes of the asked fragments of each text; those of hot anchors in ranges, keyed by what the strings of a range share."""
 
@@ -231,14 +282,25 @@ def _sorted_fragments(length: int):
     return run
 
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
-    """(``docs`` (id, text, others) with their class names c1 and c2, spans of bytes to remove by class)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"c1": F.xxhash64(text), "c2": F.xxhash64(text, F.lit(1))})
-    classes = rows.groupBy("c1", "c2").agg(F.min(id_col).alias("least"), F.count("*").alias("copies"), F.first(F.octet_length(text)).alias("n"))
+def named(docs: DataFrame) -> DataFrame:
+    """``docs`` with the two halves of their texts' 128-bit names, c1 and c2; null texts are empty."""
+    empty = F.lit("").cast(docs.schema["text"].dataType)
+    return docs.withColumn("text", F.coalesce("text", empty)).withColumns({"c1": F.xxhash64("text"), "c2": F.xxhash64("text", F.lit(1))})
+
+
+def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
+    """Spans of bytes under a string of ``length`` bytes that also starts elsewhere, by text: c1, c2, spans (sorted), and of the text least (an id that has it), copies and n (bytes).
+
+    ``rows``: id, text (or bytes), c1, c2.
+    """
+    scratch = Scratch(rows.sparkSession)
+    cut = scratch.cut
+    classes = rows.groupBy("c1", "c2").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first(F.octet_length("text")).alias("n"))
     classes = cut(classes, "suffix-classes")
-    fragments = rows.select(F.col(id_col).cast("string").alias("id"), "c1", "c2", text.alias("text")).mapInArrow(released(_fragments(length)), "g long, f long, c1 long, c2 long, first long, count int, at int")
-    fragments = cut(fragments, "suffix-fragments")
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    groups = max(1, -(-2 * int(total) // (length - BLOCK) // GROUP))
+    dealt = rows.select("c1", "c2", "text").mapInArrow(released(_fragments(length, groups)), "group int, kind binary, " + ", ".join(f"{c} binary" for c in _PLACE))
+    fragments = cut(dealt.groupBy("group").applyInPandas(_shared, "g long, f long, c1 long, c2 long, first long, count int, at int"), "suffix-fragments")
     place = F.struct("c1", "c2", "first", "count", "at")
     kinds = cut(fragments.groupBy("g", "f").agg(F.min(place).alias("one"), F.max(place).alias("other")), "suffix-kinds")
     often = F.col("one") != F.col("other")
@@ -247,7 +309,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "id") ->
     mixed = kinds.join(several, "g").select("g", "f", "one.*", "hot")
     asked = mixed.groupBy("c1", "c2").agg(F.collect_list(F.struct("g", "f", "first", "count", "at", "hot")).alias("asked"))
     asked = cut(asked.join(classes.select("c1", "c2", "least"), ["c1", "c2"]), "suffix-asked")
-    near = rows.select(F.col(id_col).alias("least"), "c1", "c2", text.alias("text")).join(asked, ["c1", "c2", "least"]) if not classes.filter("least is null").limit(1).count() else rows.select("c1", "c2", text.alias("text")).join(asked, ["c1", "c2"])
+    near = of_classes(rows, asked)
     pieces = near.select("text", "asked").mapInArrow(released(_cutouts(length)), "key long, content long, g long, f long, base int, data binary, hot boolean")
 
     def in_arrays(some: DataFrame, size: int) -> DataFrame:
@@ -276,7 +338,69 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, id_col: str = "id") ->
     spans = found.select("c1", "c2", start.alias("start"), (F.col("first") + F.least("high", "count") - 1 + length).alias("end"))
     copied = classes.filter((F.col("copies") > 1) & (F.col("n") >= length)).select("c1", "c2", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))
     merged = spans.unionByName(copied).groupBy("c1", "c2").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    return rows, cut(merged, "suffix-spans")
+    out = common_cut(_whole(merged).join(classes, ["c1", "c2"]), "suffix-spans")
+    scratch.clear()
+    return out
+
+
+def of_classes(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` (c1, c2, least, ...) with a text of each class."""
+    own = rows.select(F.col("id").alias("least"), "c1", "c2", "text")
+    if asked.filter("least is null").limit(1).count():
+        return own.drop("least").join(asked, ["c1", "c2"])
+    return own.join(asked, ["c1", "c2", "least"])
+
+
+def _regions(length: int):
+    """(c1, c2, start, text) of the merged spans of ``length`` bytes or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for c1, c2, text, spans in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "text", "spans")), strict=True):
+                data = _bytes(text)
+                out.extend((c1, c2, a, data[a:b]) for a, b in _joined(spans) if b - a >= length)
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, [*[pa.int64()] * 3, pa.binary()], strict=True)], ["c1", "c2", "start", "text"])
+
+    return run
+
+
+def repeated_within(rows: DataFrame, wide: DataFrame, length: int) -> DataFrame:
+    """Spans of ``length`` bytes as :func:`repeated_spans`, looked for in the spans of fewer bytes alone, in which they all lie."""
+    regions = of_classes(rows, wide).select("c1", "c2", "text", "spans").mapInArrow(released(_regions(length)), "c1 long, c2 long, start long, text binary")
+    regions = common_cut(named(regions.withColumnsRenamed({"c1": "d1", "c2": "d2"}).withColumn("id", F.xxhash64("d1", "d2", "start"))), "suffix-regions")
+    found = repeated_spans(regions, length).select("c1", "c2", F.explode("spans").alias("span"))
+    each = regions.select("c1", "c2", "d1", "d2", "start").join(found, ["c1", "c2"])
+    each = each.select(F.col("d1").alias("c1"), F.col("d2").alias("c2"), F.struct((F.col("start") + F.col("span.start")).alias("start"), (F.col("start") + F.col("span.end")).alias("end")).alias("span"))
+    copied = wide.filter((F.col("copies") > 1) & (F.col("n") >= length)).select("c1", "c2", F.struct(F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end")).alias("span"))
+    each = each.unionByName(copied)
+    return common_cut(_whole(each.groupBy("c1", "c2").agg(F.sort_array(F.collect_set("span")).alias("spans"))), "suffix-within")
+
+
+def _whole(spans: DataFrame) -> DataFrame:
+    """c1, c2 and their spans, overlapping and touching ones as one."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined = [[{"start": a, "end": b} for a, b in _joined(x)] for x in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("c1"), batch.column("c2"), pa.array(joined, kind)], ["c1", "c2", "spans"])
+
+    return spans.select("c1", "c2", "spans").mapInArrow(run, "c1 long, c2 long, spans array<struct<start: long, end: long>>")
+
+
+def _joined(spans: list) -> Iterator[tuple[int, int]]:
+    """Overlapping and touching spans as one, of spans sorted by start."""
+    start, end = None, None
+    for s in spans or ():
+        if start is None or s["start"] > end:
+            if start is not None:
+                yield start, end
+            start, end = s["start"], s["end"]
+        end = max(end, s["end"])
+    if start is not None:
+        yield start, end
 
 
 def _drop(run):
@@ -286,52 +410,61 @@ def _drop(run):
 def _kept(data: bytes, spans: list) -> tuple[bytes, int]:
     """The bytes outside all spans, and the number of maximal runs inside."""
     out, at, runs = [], 0, 0
-    for s in spans or ():
-        start, end = s["start"], s["end"]
-        if start > at or not runs:
-            out.append(data[at:start])
-            runs += 1
-        at = max(at, end)
-    out.append(data[at:])
-    return b"".join(out), runs
+    for start, end in _joined(spans):
+        out.append(data[at:start])
+        at, runs = end, runs + 1
+    return b"".join([*out, data[at:]]), runs
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Remove every byte under a string of ``length`` bytes that starts anywhere else too: id_col, n_bytes, n_removed, n_spans, kept_sha256.
+def _with_spans(rows: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """``rows`` with their class's spans as ``name``: by broadcast if these are few bytes, else by a join that splits large classes."""
+    own = spans.select("c1", "c2", F.col("spans").alias(name))
+    return rows.join(few(own, "c1", width=F.lit(48) + 24 * F.size(name)), ["c1", "c2"], "left")
 
-    Every such string has an anchor chosen by content, and equal strings have equal anchors, so
+
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, passage: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Remove every byte under a string of ``length`` bytes that starts anywhere else too: id_col, n_bytes, n_removed, n_spans, kept_sha256, n_shared.
+
+    n_shared counts the bytes under such strings of ``passage`` (at most ``length``) bytes, which are not removed.
+    Every string has an anchor chosen by content, and equal strings have equal anchors, so
     strings are dealt by anchor as fragments.  Fragments that are equal whole are
     known by hash; of the others one copy each is sorted by a difference-cover suffix array with
-    its anchor's other fragments, and neighbours' prefixes are compared.  Equal texts are one class.
+    its anchor's other fragments, and neighbours' prefixes are compared.  Equal texts are one class.  The longer strings
+    are sorted anew, within what the shorter ones cover.
     Texts are judged as UTF-8 bytes and never joined; null texts are empty; overlaps and
-    repeats inside a text count; null and repeated ids are rows like others.
+    repeats inside a text count; null and repeated ids are rows like others; other columns are not read.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows, spans = removed_spans(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), length)
+    rows = named(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")))
+    wide = repeated_spans(rows, passage)
+    removed = repeated_within(rows, wide, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            for text, found in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+            for text, gone, shared in zip(batch.column("text"), batch.column("gone").to_pylist(), batch.column("shared").to_pylist(), strict=True):
                 data = _bytes(text.as_py())
-                kept, runs = _kept(data, found)
-                out.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in columns[:3]), pa.array(columns[3], pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                kept, runs = _kept(data, gone)
+                out.append((len(data), len(data) - len(kept), runs, hashlib.sha256(kept).hexdigest(), sum(b - a for a, b in _joined(shared))))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, k) for x, k in zip(columns, kinds, strict=True))], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
 
-    out = rows.join(spans, ["c1", "c2"], "left").select("id", "text", "spans")
-    return out.mapInArrow(released(run), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string").withColumnRenamed("id", id_col)
+    out = _with_spans(_with_spans(rows, removed, "gone"), wide, "shared").select("id", "text", "gone", "shared")
+    return out.mapInArrow(released(run), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long").withColumnRenamed("id", id_col)
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the repeated bytes taken out of their texts; a character that is cut into goes whole.  All rows and columns stay."""
-    packed = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    rows, spans = removed_spans(packed, length)
+def without_repeats(docs: DataFrame, length: int = PASSAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with every byte under a string of ``length`` bytes that starts anywhere else too taken out of their texts; a character that is cut into goes whole.
+
+    All rows and columns stay, whatever their names; null texts stay null; an empty table stays empty.
+    """
+    rows = named(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row")))
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series, found: pd.Series) -> pd.Series:
-        return pd.Series([_kept(_bytes(t), () if f is None else list(f))[0].decode("utf-8", "ignore") for t, f in zip(texts, found, strict=True)], dtype=object)
+        return pd.Series([_kept(_bytes(t), f)[0].decode("utf-8", "ignore") for t, f in zip(texts, found.map(lambda f: () if f is None else list(f)), strict=True)], dtype=object)
 
-    out = rows.join(spans, ["c1", "c2"], "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(cleaned("text", "spans"))
+    out = _with_spans(rows, repeated_spans(rows, length), "gone")
+    text = F.when(F.col("gone").isNull(), F.col("row")[text_col]).otherwise(cleaned("text", "gone"))
     return out.select(*[text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

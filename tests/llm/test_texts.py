@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -186,6 +187,10 @@ def brute_removed(texts, length):
     return out
 
 
+def brute_dedup(texts):
+    return [(*x, y[1]) for x, y in zip(brute_removed(texts, suffixes.LENGTH), brute_removed(texts, suffixes.PASSAGE), strict=True)]
+
+
 def passages(rng):
     say = lambda n: "".join(rng.choice("abcdé ") for _ in range(n))
     shared, other = say(700), say(450)
@@ -197,7 +202,7 @@ def passages(rng):
 def test_suffix_dedup(docs):
     texts = passages(random.Random(11))
     rows = suffixes.suffix_dedup(clashing(docs(*texts))).orderBy("doc_id").collect()
-    assert [tuple(r)[1:] for r in rows] == brute_removed(texts, suffixes.LENGTH)
+    assert [tuple(r)[1:] for r in rows] == brute_dedup(texts)
     assert suffixes.suffix_dedup(docs()).count() == 0
 
 
@@ -210,7 +215,7 @@ def test_hot_anchors_are_split(docs, monkeypatch):
         at = rng.randrange(len(base))
         texts.append(base[:at] + "XY" + base[at + 1 :])
     rows = suffixes.suffix_dedup(docs(*texts)).orderBy("doc_id").collect()
-    assert [tuple(r)[1:] for r in rows] == brute_removed(texts, suffixes.LENGTH)
+    assert [tuple(r)[1:] for r in rows] == brute_dedup(texts)
 
 
 def test_long_texts_are_cut_into_chunks(docs, monkeypatch):
@@ -269,6 +274,57 @@ def test_redaction(docs):
     assert secrets.redact(docs()).count() == 0
 
 
+def test_secrets_of_very_long_texts(spark):
+    """A candidate of 200,000 characters, 20,000 matches and 20,000 candidates beside base spans, each in seconds."""
+    rng = random.Random(1)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    texts = [say(200_000), " ".join(f"é token = abcdef{i}" for i in range(20_000)), " ".join(say(25) for _ in range(20_000)), " ".join(f"secret={say(24)} {say(24)}." for _ in range(5_000))]
+    for i, text in enumerate(texts):
+        d = spark.createDataFrame([(i, text)], "doc_id long, text string")
+        began = time.time()
+        row = secrets.secret_scan(d).first()
+        base = brute_base(text)
+        assert row.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        spans = [tuple(x.split(":")) for x in row.spans.split(",")]
+        want = sorted((int(a), int(b)) for _, a, b in spans)
+        kept = secrets.redact(d).first().text
+        merged, at, out = [], 0, []
+        for a, b in want:
+            if merged and a < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], b)
+            else:
+                merged.append([a, b])
+        for a, b in merged:
+            out += [text[at:a], "[SECRET]"]
+            at = b
+        assert kept == "".join([*out, text[at:]])
+        assert time.time() - began < 60
+
+
+def test_entropy_equals_windows_counted_from_scratch(docs):
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(rng.choice(["abcdef0123456789", "ab1", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"])) for _ in range(rng.randrange(15, 70))) for _ in range(300)]
+    rows = {r.doc_id: r.spans for r in secrets.secret_scan(docs(*texts)).collect()}
+    for i, text in enumerate(texts):
+        base = brute_base(text)
+        want = set(base)
+        for m in re.finditer(secrets.CANDIDATE, text):
+            kind = next((c for c in secrets.CLASSES if re.search(c[1], m[0]) and re.search(c[2], m[0])), None)
+            inside = any(int(x.split(":")[1]) <= m.start() and m.end() <= int(x.split(":")[2]) for x in base)
+            if kind is None or inside or any(re.search(p, m[0]) for p in secrets.ALLOWED):
+                continue
+            least = min(sum(round(c * math.log2(c) * (1 << 16)) for c in Counter(m[0][j : j + 20]).values()) for j in range(len(m[0]) - 19))
+            if least <= secrets.most_sum(kind[3]):
+                want.add(f"{kind[0]}:{m.start()}:{m.end()}")
+        assert set(rows[i].split(",")) - {""} == want, text
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "token=abcdefgh", "p", "q"), (None, None, "r", "s"), (1, "", "t", "u")], "doc_id long, text string, base_spans string, all_spans string")
+    out = secrets.redact(rows)
+    assert out.columns == rows.columns and {tuple(r) for r in out.collect()} == {(1, "[SECRET]", "p", "q"), (None, None, "r", "s"), (1, "", "t", "u")}
+
+
 # ------------------------------------------------------------------ toxicity and language
 
 
@@ -296,6 +352,53 @@ def test_toxicity_on_held_out_rows(spark):
     assert (held.predicted == (held.doc_id % 4 == 0)).mean() > 0.95
 
 
+def test_toxicity_equals_brute_force(spark, monkeypatch):
+    """Document counts, log-count ratios, the fit's input and every score recomputed from the texts, gram by gram."""
+    monkeypatch.setattr(toxicity, "LEAST_DOCS", 2)
+    docs, labels = labelled(random.Random(8), 120)
+    docs += [(500, None), (501, "hey"), (502, "Zonkish ZONKISH"), (502, "w1"), (None, "zonkish w2")]
+    d, y = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*labels, (None, 1), (4, 1), (7, 2)], "doc_id long, toxic int")
+    want = {i: t for i, t in labels if i != 4} | {4: 1}
+    want = {i: t for i, t in want.items() if zlib.crc32(str(i).encode()) % 5}
+    grams = {}
+    for i, text in docs:
+        points = "".join(max(c, " ") for c in (text or "").lower())
+        grams.setdefault(i, []).append({int(h) for n in toxicity.SIZES for h in one_gram_hashes(points, n)})
+    n = [sum(t == k for t in want.values()) for k in (0, 1)]
+    counts = [Counter(), Counter()]
+    for i, t in want.items():
+        counts[t].update(grams[i][0])
+    ratio = {}
+    for h in set(counts[0]) | set(counts[1]):
+        r = math.log((counts[1][h] + 1) / (n[1] + 2)) - math.log((counts[0][h] + 1) / (n[0] + 2))
+        if counts[0][h] + counts[1][h] >= 2 and abs(r) >= toxicity.LEAST_RATIO:
+            ratio[h] = r
+    model = toxicity.train(d.select(F.col("doc_id").alias("id"), "text"), y.select(F.col("doc_id").alias("id"), "toxic"))
+    assert set(np.flatnonzero(model.weights).tolist()) <= set(ratio)
+    whole = np.zeros(1 << toxicity.BITS)
+    whole[list(ratio)] = list(ratio.values())
+    order = sorted(want)
+    weight = np.array([toxicity.TOXIC_WEIGHT if want[i] else 1.0 for i in order])
+    again = toxicity.fit([np.array(sorted(grams[i][0]), np.uint32) for i in order], np.array([want[i] for i in order]), weight, whole, n[1] / sum(n))
+    assert np.allclose(model.weights, again.weights, atol=1e-4) and abs(model.bias - again.bias) < 1e-4
+    rows = toxicity.toxicity(clashing(d), y).collect()
+    assert len(rows) == len(docs)
+    found = sorted((str(r.doc_id), round(r.score, 4)) for r in rows)
+    plain = lambda own: 1 / (1 + math.exp(-(again.bias + sum(float(again.weights[h]) for h in own))))
+    assert [x[0] for x in found] == sorted(str(i) for i, _ in docs)
+    for (_, got), expected in zip(found, sorted((str(i), plain(own)) for i, each in grams.items() for own in each), strict=True):
+        assert abs(got - expected[1]) < 2e-3
+
+
+def one_gram_hashes(text, n):
+    """The hash of each n-gram, from its characters one at a time."""
+    m = (1 << 32) - 1
+    for i in range(len(text) - n + 1):
+        h = sum(ord(c) * pow(0x9E3779B1, k + 1, 1 << 32) for k, c in enumerate(text[i : i + n])) & m
+        x = (h ^ h >> 15) * 0x85EBCA6B & m
+        yield ((x ^ x >> 13) * 0x9E3779B1 & m) >> 32 - toxicity.BITS
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in toxicity.toxicity(docs("a", None), none).collect()} <= {0, 1}
