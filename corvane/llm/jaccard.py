@@ -123,22 +123,31 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matches(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Postings of the n-grams that several sets have in their prefixes, or that are dealt to several groups."""
+    """Postings of the n-grams that several sets have in their prefixes and that may be the first common one of two of them, or that are dealt to several groups."""
     gram, node = (np.concatenate([np.frombuffer(x, "<i8") for x in pdf[c]]) for c in ("grams", "nodes"))
     size = np.concatenate([from_planes(x) for x in pdf["sizes"]]).view(np.uint64)
     order = np.lexsort((node, gram))
     gram, node, size = gram[order], node[order], size[order]
     first = np.append(True, (gram[1:] != gram[:-1]) | (node[1:] != node[:-1]))  # copies from several tasks count once
     gram, node, size = gram[first], node[first], size[first]
-    start = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
-    length = np.diff(np.append(start, len(gram)))
-    keep = np.repeat(length > 1, length) | (size & np.uint64(1)).astype(bool)
-    out = {"gram": gram, "node": node, "n": (size >> np.uint64(32)).astype(np.int64), "at": (size >> np.uint64(1) & np.uint64(0x7FFFFFFF)).astype(np.int32)}
-    out = pd.DataFrame({k: v[keep] for k, v in out.items()})
+    n, at, split = (size >> np.uint64(32)).astype(np.int64), (size >> np.uint64(1) & np.uint64(0x7FFFFFFF)).astype(np.int64), (size & np.uint64(1)).astype(bool)
+    keep = np.arange(len(gram))
+    for _ in range(2):  # what goes first may have been another's only partner
+        keep = keep[_has_partner(gram[keep], n[keep], at[keep]) | split[keep]]
+    out = pd.DataFrame({"gram": gram[keep], "node": node[keep], "n": n[keep], "at": at[keep].astype(np.int32)})
     release()
     return out
 
 
+def _has_partner(gram: np.ndarray, n: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether another set with the same n-gram (they are sorted) has a size that the length and positional filters let pass: from 0.8 n to the one of which too much is left."""
+    run = np.cumsum(np.append(True, gram[1:] != gram[:-1])) << 32
+    most = ((n - at) * (NUM + DEN) // NUM) - n
+    sizes = np.sort(run + n)
+    found = np.searchsorted(sizes, run + most, "right") - np.searchsorted(sizes, run + -(-n * NUM // DEN))
+    return found > (n <= most)
+
+
 def _possible(n: str, at: str, m: str, bt: str) -> Column:
     """Length filter, and positional filter for a first common n-gram at these places."""
     n, at, m, bt = map(F.col, (n, at, m, bt))
@@ -451,3 +460,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows_of = found.groupBy("id", "t1", "t2").count().filter("count > 1").limit(1).count()
     out = out.dropDuplicates([id_col, a, b]) if rows_of else out
     return out.drop(a, b).unionByName(docs.filter(~words))
+
+
+#: The same in DuckDB: every pair of documents that share an n-gram, and all that is reachable by links.
+JACCARD_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh FROM w),
+e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM e a JOIN e b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * same >= 80 * (len(x.sh) + len(y.sh) - same)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT b AS doc_id, root FROM reach JOIN both_ways ON a = reach.doc_id)
+SELECT s.doc_id, any_value(len(sh)) AS n_shingles, min(root) AS component_id FROM s JOIN reach USING (doc_id) GROUP BY s.doc_id"""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.bpe import bpe_digests
 from corvane.llm.common import small_batches
-from corvane.llm.jaccard import jaccard_components
+from corvane.llm.jaccard import JACCARD_SQL, jaccard_components
 from corvane.llm.language import language_id
 from corvane.llm.packing import harmonic_packing
 from corvane.llm.secrets import SECRETS_SQL, secret_scan
@@ -72,4 +72,4 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-ORACLES: dict[str, str] = {"op5_urls": URL_SQL, "op9_topk": TOPK_SQL, "op2_secrets": SECRETS_SQL}
+ORACLES: dict[str, str] = {"op7_jaccard": JACCARD_SQL, "op5_urls": URL_SQL, "op9_topk": TOPK_SQL, "op2_secrets": SECRETS_SQL}

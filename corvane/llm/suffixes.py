@@ -309,7 +309,7 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     mixed = kinds.join(several, "g").select("g", "f", "one.*", "hot")
     asked = mixed.groupBy("c1", "c2").agg(F.collect_list(F.struct("g", "f", "first", "count", "at", "hot")).alias("asked"))
     asked = cut(asked.join(classes.select("c1", "c2", "least"), ["c1", "c2"]), "suffix-asked")
-    near = of_classes(rows, asked)
+    near = of_classes(rows, asked, "asked", 48)
     pieces = near.select("text", "asked").mapInArrow(released(_cutouts(length)), "key long, content long, g long, f long, base int, data binary, hot boolean")
 
     def in_arrays(some: DataFrame, size: int) -> DataFrame:
@@ -343,8 +343,9 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     return out
 
 
-def of_classes(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """``asked`` (c1, c2, least, ...) with a text of each class."""
+def of_classes(rows: DataFrame, asked: DataFrame, lists: str, width: int) -> DataFrame:
+    """``asked`` (c1, c2, least, an array of ``width`` bytes an element) with a text of each class; by broadcast if it is few bytes."""
+    asked = few(asked, "least", width=F.lit(48) + width * F.size(lists))
     own = rows.select(F.col("id").alias("least"), "c1", "c2", "text")
     if asked.filter("least is null").limit(1).count():
         return own.drop("least").join(asked, ["c1", "c2"])
@@ -368,7 +369,7 @@ def _regions(length: int):
 
 def repeated_within(rows: DataFrame, wide: DataFrame, length: int) -> DataFrame:
     """Spans of ``length`` bytes as :func:`repeated_spans`, looked for in the spans of fewer bytes alone, in which they all lie."""
-    regions = of_classes(rows, wide).select("c1", "c2", "text", "spans").mapInArrow(released(_regions(length)), "c1 long, c2 long, start long, text binary")
+    regions = of_classes(rows, wide, "spans", 24).select("c1", "c2", "text", "spans").mapInArrow(released(_regions(length)), "c1 long, c2 long, start long, text binary")
     regions = common_cut(named(regions.withColumnsRenamed({"c1": "d1", "c2": "d2"}).withColumn("id", F.xxhash64("d1", "d2", "start"))), "suffix-regions")
     found = repeated_spans(regions, length).select("c1", "c2", F.explode("spans").alias("span"))
     each = regions.select("c1", "c2", "d1", "d2", "start").join(found, ["c1", "c2"])

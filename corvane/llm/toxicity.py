@@ -17,6 +17,8 @@ from corvane.llm.grams import Distinct, code_points, gram_hashes
 SIZES, BITS = (5, 6), 20
 #: Labelled rows of each class that the linear weights are fitted on, at most (expected); the log-count ratios count all labelled rows.
 FIT_TOXIC, FIT_CLEAN = 4_000, 8_000
+#: Bytes of telling grams (4 each) that the driver fits on, at most (expected); where the rows have more, a share of them is chosen by hash.
+FIT_BYTES = 64 << 20
 #: Grams in fewer labelled documents, or with a smaller ratio either way, have ratio 0.
 LEAST_DOCS, LEAST_RATIO = 10, 1.0
 #: Passes of the fit, its step size, its ridge, and how much more a toxic row weighs.
@@ -126,10 +128,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             grams = [np.frombuffer(x, np.uint32) for x in batch.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([g[telling.value[g]].tobytes() for g in grams], pa.binary())], ["toxic", "data"])
 
-    sample = found.filter("block < 0").select("toxic", "data").mapInArrow(told, "toxic int, data binary").collect()
-    toxic = np.array([r.toxic for r in sample])
+    sample = cut(found.filter("block < 0").select("toxic", "data").mapInArrow(told, "toxic int, data binary"), "toxicity-sample")
+    size = sample.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
+    chosen = F.pmod(F.xxhash64("data"), F.lit(1 << 20)) < FIT_BYTES / max(1, size) * (1 << 20)
+    sample = (sample.filter(chosen) if size > FIT_BYTES else sample).toArrow()
+    toxic = sample.column("toxic").to_numpy()
     weight = np.where(toxic == 1, TOXIC_WEIGHT / share[1], 1 / share[0])
-    return fit([np.frombuffer(r.data, np.uint32) for r in sample], toxic, weight, ratio, total[1] / sum(total))
+    return fit([np.frombuffer(x.as_buffer(), np.uint32) for x in sample.column("data")], toxic, weight, ratio, total[1] / sum(total))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

@@ -132,10 +132,11 @@ def build_cascade(universe: DataFrame, shards: int) -> Cascade:
         inside, outside, turn = mistaken, inside, not turn
 
 
-def judge_urls(pages: DataFrame, rules: tuple = RULES, labels: tuple = LISTED_LABELS, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: tuple = RULES, labels: tuple = LISTED_LABELS, listed: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per page: id_col, host, path, rule, verdict, listed.
 
-    The longest fitting rule decides; without one, hosts in the list are blocked.  The
+    The longest fitting rule decides; without one, hosts in the list are blocked: those with one of the
+    labels, and those of ``listed``, a table of lower-case hosts (host), of any size, which may hold nulls, repeats and hosts that no page has.  The
     list's membership comes from a Bloom filter cascade, exact for every host of the corpus: no
     join with the pages.  Hosts are counted once each, so a common host costs nothing more.
     Keys are dealt over shards of bounded size; when there are more shards than may be
@@ -145,8 +146,11 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, labels: tuple = LISTED_LA
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url"))
     rows = pages.select(pages[id_col].alias("id"), pages[url_col].alias("url"))
-    listed = F.exists(F.split("host", r"\."), lambda x: x.isin(*labels)) if labels else F.lit(False)
-    hosts = rows.select(host.alias("host")).distinct().withColumn("listed", listed)
+    labelled = F.exists(F.split("host", r"\."), lambda x: x.isin(*labels)) if labels else F.lit(False)
+    hosts = rows.select(host.alias("host")).distinct().withColumn("listed", labelled)
+    if listed is not None:
+        keys = listed.select(F.col("host").alias("key")).filter("key is not null").distinct()
+        hosts = hosts.join(keys, F.col("host") == F.col("key"), "left").select("host", (F.col("listed") | F.col("key").isNotNull()).alias("listed"))
     universe = cut(_hashed(hosts, F.col("host"), 1).drop("shard"), "hosts")
     shards = max(1, -(-universe.filter("listed").count() // SHARD_KEYS))
     universe = cut(_hashed(universe.drop("h1", "h2"), F.col("host"), shards), "hosts-dealt") if shards > 1 else universe.withColumn("shard", F.lit(0))

@@ -109,3 +109,13 @@ def test_cascade_is_exact(spark, monkeypatch):
     rows = keys.toPandas()
     assert len(cascade.levels) > 3
     assert (cascade.listed(rows.shard.to_numpy(), rows.h1.to_numpy(), rows.h2.to_numpy()) == rows.listed.to_numpy()).all()
+
+
+def test_hosts_of_a_table_are_listed(spark):
+    """Keys beside the labels, with nulls, repeats and hosts that no page has; common and empty hosts, repeated ids and clashing columns."""
+    urls = ["http://a.example/x", "https://B.example/", "ftp://c.example", None, "nothing", "http://a.example/y", "http://casino-win.example/"]
+    pages = spark.createDataFrame([(i % 5, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, listed string")
+    keys = spark.createDataFrame([("b.example",), ("b.example",), (None,), ("z.example",), ("",)], "host string")
+    rows = judge_urls(pages, listed=keys).collect()
+    assert sorted((r.host, r.listed) for r in rows) == [("", True), ("", True), ("a.example", False), ("a.example", False), ("b.example", True), ("c.example", False), ("casino-win.example", True)]
+    assert judge_urls(pages, listed=keys.limit(0)).filter("listed").count() == 1
