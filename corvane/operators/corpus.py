@@ -22,12 +22,12 @@ def manifest(lines: DataFrame, bucket_prefix: str = "s3://", url_prefix: str = "
     return rows.select((F.row_number().over(order) - 1).cast("long").alias("file_idx"), "source", "url")
 
 
-def with_global_index(rows: DataFrame, file_col: str, within_col: str, out: str = "global_seq") -> DataFrame:
+def with_global_index(rows: DataFrame, file_col: str, within_col: str, out: str = "global_seq", counts: DataFrame | None = None) -> DataFrame:
     """Number rows by file and place within it, in file order.
 
-    Only the files' counts are summed in order; each row adds its file's offset.
+    Only the files' counts (``counts``: __file, n, if they are known) are summed in order; each row adds its file's offset.
     """
-    counts = rows.groupBy(F.col(file_col).alias("__file")).agg((F.max(within_col) + 1).alias("n"))
+    counts = counts if counts is not None else rows.groupBy(F.col(file_col).alias("__file")).agg((F.max(within_col) + 1).alias("n"))
     before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
     return rows.join(offsets, rows[file_col] == offsets["__file"]).withColumn(out, F.col("__offset") + F.col(within_col)).drop("__file", "__offset")
@@ -41,7 +41,7 @@ def pack_fixed(files: DataFrame, length: int, max_tokens: int | None = None, fil
     n = F.floor(F.size(tokens_col) / length).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.slice(F.col(tokens_col), k * length + 1, F.lit(length)))
     rows = files.filter(n > 0).select(file_col, F.posexplode(cut).alias("seq_in_file", "tokens"))
-    rows = with_global_index(rows, file_col, "seq_in_file")
+    rows = with_global_index(rows, file_col, "seq_in_file", counts=files.groupBy(F.col(file_col).alias("__file")).agg(F.max(n).alias("n")))
     return rows if max_tokens is None else rows.filter(F.col("global_seq") < max_tokens // length)
 
 

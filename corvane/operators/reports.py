@@ -109,3 +109,23 @@ def without_exceptions(keys: DataFrame, exceptions: DataFrame, key_col: str) ->
     names = exceptions.select("name").distinct()
     pairs = names.join(F.broadcast(keys.select(F.col(key_col).alias("key")).distinct()), F.col("name") != F.col("key"))
     return pairs.join(exceptions.select("name", "key"), ["name", "key"], "left_anti")
+
+
+def reproduced(latest: DataFrame, benches: DataFrame, prefix: str) -> DataFrame:
+    """Of each bench the latest result whose label begins so: task, label, value.  ``latest``: label, task, ts, metrics."""
+    own = latest.filter(F.col("label").startswith(prefix)).groupBy("task").agg(F.max_by(F.struct("label", "metrics"), "ts").alias("best"))
+    out = F.broadcast(benches.select("task", "primary")).join(own, "task", "left")
+    return out.select("task", F.col("best.label").alias("label"), primary_value(F.col("best.metrics"), F.col("primary")).alias("value"))
+
+
+def task_block(primary: str, pairs: DataFrame, rows: DataFrame, extras: list[str]) -> str:
+    """Markdown of a task: the pairs of its steps, and all results by falling primary metric; both are short."""
+    line = lambda xs: "| " + " | ".join(xs) + " |"
+    number = lambda x: DASH if x is None else f"{x:.4f}"
+    steps = [line([r.step, number(r.before), number(r.after), r.delta]) for r in pairs.orderBy("place").collect()]
+    listed = [line([*r[:-1], f"`{r[-1]}`"]) for r in results_table(rows, primary, extras).collect()]
+    heads = ["step", "stage1 (pretrain only)", "midtrained (50B Dolmino)", "Δ"], ["label", primary, *extras, "model_path"]
+    return "\n".join(
+        ["", f"### Pretrain → midtrain pairs (primary: `{primary}`)", "", line(heads[0]), "|" + "---|" * 4, *steps]
+        + ["", "### All results (sorted by primary metric)", "", line(heads[1]), line(["---"] * len(heads[1])), *listed, ""]
+    )

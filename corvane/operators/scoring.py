@@ -101,3 +101,22 @@ def adamw(rows: DataFrame, step: int, rate: float, betas: tuple[float, float] =
 def logged_step(step: Column) -> Column:
     """The first step, every fifth up to 20, and every twentieth after."""
     return (step == 1) | (step <= 20) & (step % 5 == 0) | (step % 20 == 0)
+
+
+def true_mass_means(rows: DataFrame, mc1: Column, mc2: Column) -> DataFrame:
+    """One row: mc1, mc2, n; nulls without rows."""
+    return rows.agg(F.avg(mc1.cast("int")).alias("mc1"), F.avg(mc2).alias("mc2"), F.count("*").alias("n"))
+
+
+def instruction_accuracies(rows: DataFrame, strict: Column, loose: Column) -> DataFrame:
+    """One row of two arrays of flags a prompt: prompt- and instruction-level accuracy, strict and loose; a prompt without instructions counts as followed."""
+    each = []
+    for name, flags in (("strict", strict), ("loose", loose)):
+        each.append(F.avg(F.forall(flags, lambda x: x).cast("int")).alias(f"prompt_level_{name}_acc"))
+        each.append((F.sum(F.size(F.filter(flags, lambda x: x))) / F.greatest(F.sum(F.size(flags)), F.lit(1))).alias(f"inst_level_{name}_acc"))
+    return rows.agg(*each)
+
+
+def masked_mean(loss: Column, mask: Column) -> Column:
+    """Mean of a loss over the rows that the mask keeps; 0 without any."""
+    return F.coalesce(F.sum(loss * mask) / F.greatest(F.sum(mask), F.lit(1)), F.lit(0.0))

@@ -72,3 +72,39 @@ class Registry(dict):
 
     def __missing__(self, name: str):
         raise KeyError(f"unknown name {name!r}; known: {', '.join(sorted(self))}")
+
+
+def from_row(rows: DataFrame, start: int, total: int, seq_col: str = "global_seq") -> DataFrame:
+    """Rows from ``start`` on; a start past the end raises."""
+    if start > total:
+        raise ValueError(f"row {start} is past the end, {total}")
+    return rows.filter(F.col(seq_col) >= start)
+
+
+def dataset(spark: SparkSession, specs: Registry, name: str, split: str | None = None, max_samples: int | None = None, order_col: str = "id") -> DataFrame:
+    """A named table by its specification: path, and if it has them subset (a folder), splits (a column) and a default split.
+
+    A sample of ``max_samples`` rows is the first of the seeded shuffle.
+    """
+    from corvane.operators.items import shuffled_sample
+
+    spec = specs[name]
+    rows = spark.read.parquet("/".join([spec["path"], *filter(None, [spec.get("subset")])]))
+    if "splits" in spec:
+        rows = rows.filter(F.col(spec["splits"]) == (split or spec["split"]))
+    return rows if max_samples is None else shuffled_sample(rows, rows.count(), max_samples, order_col)
+
+
+def listing(spark: SparkSession, folder: str, suffix: str = "", parts: tuple[str, ...] = ()) -> DataFrame:
+    """(path, name, size) of a folder's files that end so and hold one of the parts, if any are given; names alone are listed, nothing is read."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    found = [(f.getPath().toString(), f.getPath().getName(), f.getLen()) for f in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where) if f.isFile()]
+    kept = sorted(x for x in found if x[1].endswith(suffix) and (not parts or any(p in x[1] for p in parts)))
+    return spark.createDataFrame(kept, "path string, name string, size long")
+
+
+def padded_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows written by ``write_padded``, with the attention mask made anew from their lengths: 0 may be a token."""
+    rows = spark.read.parquet(path)
+    return rows.withColumn("attention_mask", F.transform("input_ids", lambda _, i: (i < F.col("length")).cast("int")))

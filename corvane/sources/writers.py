@@ -84,3 +84,35 @@ def latest_commit(spark: SparkSession, folder: str) -> tuple[int, dict] | None:
     if not steps or not exists(spark, f"{folder}/step_{max(steps):07d}/meta.json"):
         return None
     return max(steps), json.loads(get_text(spark, f"{folder}/step_{max(steps):07d}/meta.json"))
+
+
+def write_padded(rows: DataFrame, path: str, mask_col: str = "attention_mask") -> None:
+    """Padded rows with their lengths in place of the mask."""
+    length = F.aggregate(mask_col, F.lit(0), lambda n, x: n + x.cast("int"))
+    rows.withColumn("length", length).drop(mask_col).write.mode("overwrite").parquet(path)
+
+
+def write_permutation(order: DataFrame, folder: str, seed: int) -> str:
+    """The order of a shuffle as a table beside it, so that it can be checked."""
+    path = f"{folder}/global_indices_seed{seed}"
+    order.select("out_pos", "src_pos").write.mode("overwrite").parquet(path)
+    return path
+
+
+def cached_in_tiers(spark: SparkSession, paths: list[str], make: Callable[[], DataFrame]) -> DataFrame:
+    """The table under the first path where a run completed it, copied to those before it; otherwise it is made and written to all, the last one first."""
+    at = next((i for i, p in enumerate(paths) if exists(spark, f"{p}/_SUCCESS")), len(paths))
+    rows = make() if at == len(paths) else spark.read.parquet(paths[at])
+    for path in reversed(paths[:at]):
+        rows.write.mode("overwrite").parquet(path)
+        rows = spark.read.parquet(path)
+    return rows
+
+
+def once(spark: SparkSession, folder: str, step: int, run: Callable[[], dict]) -> bool:
+    """Run and commit a step unless it or a later one is whole already; whether it ran."""
+    done = latest_commit(spark, folder)
+    if done and done[0] >= step:
+        return False
+    commit(spark, folder, step, run())
+    return True
