@@ -321,7 +321,7 @@ def _fetched(rows: DataFrame, nodes: DataFrame, make, schema: str) -> DataFrame:
     kinds = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[x.split(" ")[1]] for x in schema.split(", ")]
     known = few(nodes.select(F.col("least").alias("id"), "node", "h1", "h2"), "id")
     same = rows["id"].eqNullSafe(known["id"]) if nodes.filter("least is null").limit(1).count() else rows["id"] == known["id"]
-    return rows.join(known, same).select("text", "node", "h1", "h2").mapInArrow(released(run), schema)
+    return rows.join(known, same).select("text", "node", "h1", "h2").mapInArrow(released(run), schema).hint("rebalance")
 
 
 def _sets(part: int):
@@ -344,7 +344,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     survey = rows.select("id", "text", *text_names(F.col("text"))).mapInArrow(released(_survey), f"kind int, id {kind}, t1 long, t2 long, h1 long, h2 long, n long")
     scratch = Scratch(spark)
-    survey = cut(survey, "jaccard-survey")
+    survey = cut(survey.hint("rebalance"), "jaccard-survey")  # few files: a task has little to say
     every = survey.filter("kind = 0").drop("kind")
     nodes = scratch.cut(every.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("least"), F.first("n").alias("n")), "jaccard-sets")
     # a set goes by the first half of its name, unless two sets share it: by chance, some three pairs of 10**10 sets
