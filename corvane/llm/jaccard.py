@@ -352,6 +352,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     nodes = nodes.withColumn("node", F.when(F.col("h1").isin(*shared), F.col("h2")).otherwise(F.col("h1")) if shared else F.col("h1"))
     total = nodes.agg(F.coalesce(F.sum(F.expr(f"n - ceil(n * {NUM} / {DEN}) + 1")), F.lit(0))).first()[0]
     if not total:
+        scratch.clear()
         return every.select("id", "t1", "t2", "n", F.col("id").alias("component_id"))
     heavy = survey.filter("kind = 1").groupBy("h1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h1").limit(FREQUENT).toArrow()
     frequent, n = heavy.column("h1").to_numpy().view(np.uint64), heavy.column("n").to_numpy()
