@@ -34,11 +34,15 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Intermediate tables are compressed and have no marker file: only the job that wrote one reads it.
+_PLAIN = {"compression": "zstd", "mapreduce.fileoutputcommitter.marksuccessfuljobs": "false"}
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later reads survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**_PLAIN).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

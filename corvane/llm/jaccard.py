@@ -227,7 +227,7 @@ def _met(nearest: bool):
 
 
 def components(links: DataFrame, label: str, scratch: Scratch | None = None) -> DataFrame:
-    """(node, root) of every node in ``links`` (a, b); root is its component's least node.
+    """(node, root) of every node in ``links`` (a, b, a written table of different nodes); root is its component's least node.
 
     Alternates large-star and small-star steps; each writes its links, and the driver sees only counts.
     """
@@ -240,7 +240,7 @@ def components(links: DataFrame, label: str, scratch: Scratch | None = None) ->
         return moved.filter("a <> b").distinct()
 
     write = scratch.cut if scratch else cut
-    edges, before = write(links.filter("a <> b").distinct(), f"{label}-links"), None
+    edges, before = links, None
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
@@ -392,7 +392,6 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             break
         named = left.select("gram", "node", "n", "at", "pivot")
         named = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")) if roots is not None else named.withColumn("root", F.col("node"))
-        named = scratch.cut(named, f"jaccard-named{round_}")
         split = named.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")).filter("lo <> hi").select("gram", "blocks")
         left = scratch.cut(named.join(split, "gram"), f"jaccard-left{round_}")
         size = left.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
