@@ -164,8 +164,11 @@ def padded_rows(spark, sf_dir):
 
 @query("best_fit_packing")
 def best_fit_packing(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("row_id"), F.least(F.size(_tokens(F.col("text"))), F.lit(2048)).alias("len"))
-    return chat.pack_best_fit(rows.filter("len > 0"), 2048, group_col="source")
+    """All documents in pieces of at most a bin: a longer one gives several."""
+    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.size(_tokens(F.col("text"))).alias("n")).filter("n > 0")
+    rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 2048).cast("int"))))
+    pieces = rows.select("source", F.concat_ws("-", "doc_id", "piece").alias("row_id"), F.least(F.col("n") - F.col("piece") * 2048, F.lit(2048)).alias("len"))
+    return chat.pack_best_fit(pieces, 2048, group_col="source")
 
 
 @query(
