@@ -1,4 +1,4 @@
-"""The ten operators' queries over their whole tables, with production parameters."""
+"""The numbered operators' queries over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm.bpe import bpe_digests
 from corvane.llm.common import small_batches
+from corvane.llm.divergence import DIVERGENCE_SQL, source_divergence
 from corvane.llm.jaccard import JACCARD_SQL, jaccard_components
 from corvane.llm.language import language_id
 from corvane.llm.packing import harmonic_packing
@@ -63,7 +64,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_language": op1_language, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_ann": op4_ann, "op5_urls": op5_urls, "op6_packing": op6_packing, "op7_jaccard": op7_jaccard, "op8_suffixes": op8_suffixes, "op9_topk": op9_topk, "op10_bpe": op10_bpe}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_language": op1_language, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_ann": op4_ann, "op5_urls": op5_urls, "op6_packing": op6_packing, "op7_jaccard": op7_jaccard, "op8_suffixes": op8_suffixes, "op9_topk": op9_topk, "op10_bpe": op10_bpe, "op13_divergence": op13_divergence}
 
 TOPK_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
@@ -72,4 +77,4 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-ORACLES: dict[str, str] = {"op7_jaccard": JACCARD_SQL, "op5_urls": URL_SQL, "op9_topk": TOPK_SQL, "op2_secrets": SECRETS_SQL}
+ORACLES: dict[str, str] = {"op7_jaccard": JACCARD_SQL, "op5_urls": URL_SQL, "op9_topk": TOPK_SQL, "op2_secrets": SECRETS_SQL, "op13_divergence": DIVERGENCE_SQL}
