@@ -159,6 +159,23 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return mix64(body + (end - start).astype(np.uint64) * _M2)
 
 
+#: Hashes whose windows are compared at once; their places take the lower bits of a key.
+STARTS = 1 << 23
+
+
+def least_places(hashes: np.ndarray, window: int) -> np.ndarray:
+    """Place of the least of each ``window`` neighbouring hashes (by their upper 40 bits), the last of equals; at most 2 * STARTS hashes."""
+    mask, m = np.uint64(STARTS * 2 - 1), len(hashes)
+    keys = np.full(-(-m // window) * window, np.iinfo(np.uint64).max, np.uint64)
+    keys[:m] = hashes & ~mask | mask - np.arange(m, dtype=np.uint64)
+    # sliding minimum: the rest of one block of the window's size and the beginning of the next meet in each window
+    grid = keys.reshape(-1, window)
+    rest = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    start = np.minimum.accumulate(grid, axis=1).ravel()
+    n = m - window + 1
+    return (mask - (np.minimum(rest[:n], start[window - 1 : window - 1 + n]) & mask)).astype(np.int64)
+
+
 def planes(values: np.ndarray) -> bytes:
     """Whole numbers with all first bytes before all second ones: small numbers' zero bytes compress to nothing."""
     return np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()

@@ -13,6 +13,7 @@ from corvane.llm.language import language_id
 from corvane.llm.merkle import MERKLE_SQL, merkle_manifest
 from corvane.llm.packing import harmonic_packing
 from corvane.llm.secrets import SECRETS_SQL, secret_scan
+from corvane.llm.substrings import SUBSTRING_SQL, substring_dedup
 from corvane.llm.suffixes import suffix_dedup
 from corvane.llm.toxicity import toxicity
 from corvane.llm.url_filter import URL_SQL, judge_urls
@@ -65,6 +66,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(read(spark, sf_dir, "documents"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(read(spark, sf_dir, "documents"))
 
@@ -73,7 +78,7 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_language": op1_language, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_ann": op4_ann, "op5_urls": op5_urls, "op6_packing": op6_packing, "op7_jaccard": op7_jaccard, "op8_suffixes": op8_suffixes, "op9_topk": op9_topk, "op10_bpe": op10_bpe, "op12_merkle": op12_merkle, "op13_divergence": op13_divergence}
+QUERIES = {"op1_language": op1_language, "op2_secrets": op2_secrets, "op3_toxicity": op3_toxicity, "op4_ann": op4_ann, "op5_urls": op5_urls, "op6_packing": op6_packing, "op7_jaccard": op7_jaccard, "op8_suffixes": op8_suffixes, "op9_topk": op9_topk, "op10_bpe": op10_bpe, "op11_substrings": op11_substrings, "op12_merkle": op12_merkle, "op13_divergence": op13_divergence}
 
 TOPK_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
@@ -82,4 +87,4 @@ s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_z
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-ORACLES: dict[str, str] = {"op7_jaccard": JACCARD_SQL, "op5_urls": URL_SQL, "op9_topk": TOPK_SQL, "op2_secrets": SECRETS_SQL, "op12_merkle": MERKLE_SQL, "op13_divergence": DIVERGENCE_SQL}
+ORACLES: dict[str, str] = {"op7_jaccard": JACCARD_SQL, "op5_urls": URL_SQL, "op9_topk": TOPK_SQL, "op2_secrets": SECRETS_SQL, "op11_substrings": SUBSTRING_SQL, "op12_merkle": MERKLE_SQL, "op13_divergence": DIVERGENCE_SQL}

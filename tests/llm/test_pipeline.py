@@ -11,7 +11,7 @@ from corvane.llm import queries
 
 def test_names_are_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and set(queries.ORACLES) <= set(queries.QUERIES)
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
