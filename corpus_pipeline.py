@@ -35,7 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take passages of 400 bytes or more that stand elsewhere too out of the texts.
+    """Take passages of 250 bytes (some fifty words) or more that stand elsewhere too out of the texts.
 
     All rows stay, with null texts null and others perhaps empty; ids may be null or repeated, and a repeated row loses its
     whole text if that is long enough.  Extra columns stay, whatever their names; an empty table stays empty.

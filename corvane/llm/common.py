@@ -72,6 +72,19 @@ def few(df: DataFrame, *keys: str, width: int | Column = 32) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
+#: Keys that may hold more than a ten-thousandth of all rows, and HEAVY at least, are joined by broadcast; there are at most as many.
+HOT_KEYS, HEAVY = 10_000, 1_000
+
+
+def joined_by(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """``rows`` joined with ``facts``, a row a key; a key that may hold more than a ten-thousandth of the rows (by ``n``) is broadcast, not shuffled."""
+    heavy, light = (facts.filter(x) for x in (F.col(n) > max(HEAVY, total // HOT_KEYS), F.col(n) <= max(HEAVY, total // HOT_KEYS)))
+    if not heavy.limit(1).count():
+        return rows.join(facts, keys)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, or the first longer one that is no column of ``df``."""
     taken = {c.lower() for c in df.columns}

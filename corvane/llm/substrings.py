@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import STARTS, Scratch, few, least_places, mix64, prefix_hash, release, released, span_hash
+from corvane.llm.common import STARTS, Scratch, few, joined_by, least_places, mix64, prefix_hash, release, released, span_hash
 from corvane.llm.common import cut as common_cut
 
 #: Words of a passage, and of the blocks whose hashes choose the word where its suffixes are grouped.
@@ -20,8 +20,6 @@ LENGTH, BLOCK = 50, 8
 HOT, RANGES = 2_000, (8, 1)
 #: Words of the strings that one task's trees are built over.
 TREE_WORDS = 300_000
-#: Keys that may hold more than a ten-thousandth of all rows, and HEAVY at least, are joined by broadcast; there are at most as many.
-HOT_KEYS, HEAVY = 10_000, 1_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -181,15 +179,6 @@ def _trees(length: int):
     return run
 
 
-def _joined_by(rows: DataFrame, facts: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
-    """``rows`` joined with ``facts``, a row a key; a key that may hold more than a ten-thousandth of the rows (by ``n``) is broadcast, not shuffled."""
-    heavy, light = (facts.filter(x) for x in (F.col(n) > max(HEAVY, total // HOT_KEYS), F.col(n) <= max(HEAVY, total // HOT_KEYS)))
-    if not heavy.limit(1).count():
-        return rows.join(facts, keys)
-    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys))
-
-
 def _cut_from(texts: DataFrame, places: DataFrame) -> DataFrame:
     """``texts`` that hold one of the ``places`` (id, c1, key, digest, first, count, at), with those as ``asked``."""
     asked = places.groupBy("id", "c1").agg(F.collect_list(F.struct("key", "digest", "first", "count", "at")).alias("asked"))
@@ -210,8 +199,8 @@ def _resolved(rows: DataFrame, texts: DataFrame, length: int, level: int, hot: i
     kinds = cut(rows.groupBy("key", "digest").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")), f"substring-kinds-{level}")
     keys = kinds.groupBy("key").agg(F.min("least").alias("low"), F.max("most").alias("high"), F.count("*").alias("kinds")).filter("low < high").select("key", "kinds")
     keys = cut(keys, f"substring-keys-{level}")
-    facts = cut(_joined_by(kinds, keys, ["key"], "kinds", total).filter("kinds > 1 or least < most").select("key", "digest", "least", "n", "kinds"), f"substring-facts-{level}")
-    shared = cut(_joined_by(rows, facts, ["key", "digest"], "n", total), f"substring-shared-{level}")
+    facts = cut(joined_by(kinds, keys, ["key"], "kinds", total).filter("kinds > 1 or least < most").select("key", "digest", "least", "n", "kinds"), f"substring-facts-{level}")
+    shared = cut(joined_by(rows, facts, ["key", "digest"], "n", total), f"substring-shared-{level}")
     whole = shared.filter("id > least").select("ref", F.col("base").alias("low"), (F.col("base") + F.col("count")).alias("high"))
 
     first = shared.filter("id = least and kinds > 1").groupBy("key", "digest", "id", "kinds").agg(F.min(F.struct("c1", "first", "count", "at")).alias("one"))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import Scratch, few, from_planes, mix64, planes, prefix_hash, release, released, span_hash
+from corvane.llm.common import STARTS, Scratch, few, from_planes, joined_by, least_places, mix64, planes, prefix_hash, release, released, span_hash
 from corvane.llm.common import cut as common_cut
 
 #: Bytes of a string that counts as repeated, and of a passage: some fifty words.
@@ -23,10 +23,11 @@ BLOCK = 100
 ARRAY_BYTES = 400_000
 #: Fragments that a task holds before it deals them, and that one group takes.
 HELD, GROUP = 200_000, 400_000
-#: An anchor with more different fragments is split: strings by how far the anchor is into them, RANGE bytes at a time, and by the bytes that such strings share.
+#: An anchor with more different fragments is split: strings by how far the anchor is into them, RANGE bytes at a time, and by the bytes that such strings
+#: share; where more different pieces share these, into the strings themselves.
 HOT, RANGE = 2_000, 32
 #: Starts of a text whose anchors are found at once.
-_STARTS = 1 << 23
+_STARTS = STARTS
 
 
 # ---------------------------------------------------------------- difference cover
@@ -99,14 +100,31 @@ def _merged(t: np.ndarray, rank: np.ndarray, sampled: np.ndarray, zeros: np.ndar
     return out
 
 
-def common_prefixes(data: np.ndarray, room: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
-    """For neighbours i and i + 1 of the order: whether they share ``least`` bytes at least, by 64-bit hash; room: bytes up to the fragment's end."""
-    a, b = order[:-1], order[1:]
-    fit = np.flatnonzero(np.minimum(room[a], room[b]) >= least)
-    out = np.zeros(len(a), bool)
-    pre = prefix_hash(data)
-    out[fit] = span_hash(pre, a[fit], a[fit] + least) == span_hash(pre, b[fit], b[fit] + least)
-    return out
+def common_prefixes(data: np.ndarray, text: np.ndarray, room: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Lengths of the common prefixes of neighbours of the order, by their bytes; ``room``: bytes up to the fragment's end.
+
+    Where a suffix and the one before it in the order follow equal values, their prefix is that of the place before, less one; only the
+    others are compared, eight bytes at a time.
+    """
+    n = len(order)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    at = np.arange(n)
+    new = (at == 0) | (before <= 0) | (text[at - 1] != text[before - 1])
+    eights = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
+    length = np.zeros(n, np.int64)
+    a = np.flatnonzero(new & (before >= 0))
+    b, most = before[a], np.minimum(room[a], room[before[a]])
+    same = np.zeros(len(a), np.int64)
+    going = np.flatnonzero(most > 0)
+    while len(going):
+        x, y = a[going] + same[going], b[going] + same[going]
+        differ = np.ascontiguousarray(eights[x]) != np.ascontiguousarray(eights[y])
+        same[going] += np.where(differ.any(axis=1), differ.argmax(axis=1), 8)
+        going = going[~differ.any(axis=1) & (same[going] < most[going])]
+    length[a] = np.minimum(same, most)
+    last = np.maximum.accumulate(np.where(new, at, 0))
+    return (length[last] - (at - last))[order[1:]]
 
 
 def repeated_starts(fragments: list[bytes], length: int) -> list[np.ndarray]:
@@ -118,7 +136,7 @@ def repeated_starts(fragments: list[bytes], length: int) -> list[np.ndarray]:
     text[end - 1] = 257 + np.arange(len(fragments))  # ends are all different, so no order depends on what follows them
     order = suffix_array(text)
     room = np.repeat(end - 1, sizes) - np.arange(len(text))
-    shared = common_prefixes(data, room, order, length)
+    shared = common_prefixes(data, text, room, order) >= length
     flags = np.zeros(len(text), bool)
     flags[order[:-1][shared]] = flags[order[1:][shared]] = True
     return [np.flatnonzero(x) for x in np.split(flags, end[:-1])]
@@ -135,20 +153,13 @@ def anchors(data: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> tuple
     the run of strings with one anchor.
     """
     found = []
-    window, mask = length - block + 1, np.uint64(_STARTS * 2 - 1)
+    window = length - block + 1
     pre = prefix_hash(data)
     for begin in range(0, len(data) - length + 1, _STARTS):
         at = np.arange(begin, min(len(data) - block + 1, begin + _STARTS + window - 1))
         hashes = span_hash(pre, at, at + block)
-        m = len(hashes)
-        keys = np.full(-(-m // window) * window, np.iinfo(np.uint64).max, np.uint64)
-        keys[:m] = hashes & ~mask | mask - np.arange(m, dtype=np.uint64)
-        # sliding minimum: the rest of one block of the window's size and the beginning of the next meet in each window
-        grid = keys.reshape(-1, window)
-        rest = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        start = np.minimum.accumulate(grid, axis=1).ravel()
-        n = m - window + 1
-        anchor = (mask - (np.minimum(rest[:n], start[window - 1 : window - 1 + n]) & mask)).astype(np.int64)
+        anchor = least_places(hashes, window)
+        n = len(anchor)
         first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
         count = np.diff(np.append(first, n))
         found.append((hashes[anchor[first]].view(np.int64), begin + first, count, anchor[first] - first))
@@ -258,6 +269,23 @@ def _cutouts(length: int):
     return run
 
 
+def _strings(length: int):
+    """Each string of the pieces, by its own digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [
+                (hashlib.blake2b(data[i : i + length], digest_size=16).digest(), key, content, i)
+                for key, content, data in zip(*(batch.column(c).to_pylist() for c in ("key", "content", "data")), strict=True)
+                for i in range(len(data) - length + 1)
+            ]
+            if out:
+                kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["name", "key", "content", "low"])
+
+    return run
+
+
 def _sorted_fragments(length: int):
     """The fragments of a group, some megabyte at a time and keys kept together: (key, content, low, high) runs of repeated starts."""
 
@@ -302,7 +330,7 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
     dealt = rows.select("c1", "c2", "text").mapInArrow(released(_fragments(length, groups)), "group int, kind binary, " + ", ".join(f"{c} binary" for c in _PLACE))
     fragments = cut(dealt.groupBy("group").applyInPandas(_shared, "g long, f long, c1 long, c2 long, first long, count int, at int"), "suffix-fragments")
     place = F.struct("c1", "c2", "first", "count", "at")
-    kinds = cut(fragments.groupBy("g", "f").agg(F.min(place).alias("one"), F.max(place).alias("other")), "suffix-kinds")
+    kinds = cut(fragments.groupBy("g", "f").agg(F.min(place).alias("one"), F.max(place).alias("other"), F.count("*").alias("n")), "suffix-kinds")
     often = F.col("one") != F.col("other")
     several = cut(kinds.groupBy("g").count().filter("count > 1").select("g", (F.col("count") > HOT).alias("hot")), "suffix-several")
     # fragments that repeat whole need no sorting; where an anchor has several, their bytes are sorted
@@ -325,15 +353,24 @@ def repeated_spans(rows: DataFrame, length: int) -> DataFrame:
         # the same again, one level below: pieces equal whole repeat, and one of each kind is sorted with its key's others
         fine = pieces.filter("hot")
         own = cut(fine.groupBy("key", "content").agg(F.count_distinct("g", "f").alias("n"), F.first("data").alias("data")), "suffix-fine")
-        others = own.groupBy(F.col("key").alias("key")).count().filter("count > 1").select("key")
-        sorted_ = own.join(others, "key").select("key", "content", "data")
+        others = cut(own.groupBy("key").count().filter("count > 1"), "suffix-others")
+        split = cut(others.filter(F.col("count") > HOT).select("key"), "suffix-split")
+        sorted_ = own.join(others.filter(F.col("count") <= HOT).select("key"), "key").select("key", "content", "data")
         size = sorted_.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
         equal = own.filter("n > 1").select("key", "content", F.lit(0).alias("low"), (F.octet_length("data") - length + 1).alias("high"))
-        again = cut(equal.unionByName(in_arrays(sorted_, size)), "suffix-again")
+        again = equal.unionByName(in_arrays(sorted_, size))
+        if split.limit(1).count():
+            # once more, string by string: those of a key that stand in two pieces are counted, in grouped sums
+            strings = cut(own.join(few(split, "key", width=0), "key").select("key", "content", "data").mapInArrow(released(_strings(length)), "name binary, key long, content long, low int"), "suffix-strings")
+            twice = cut(strings.groupBy("name").agg(F.count("*").alias("n")).filter("n > 1"), "suffix-twice")
+            again = again.unionByName(joined_by(strings, twice, ["name"], "n", strings.count()).select("key", "content", "low", (F.col("low") + 1).alias("high")))
+        again = cut(again, "suffix-again")
         partly = partly.unionByName(fine.select("key", "content", "g", "f", "base").join(again, ["key", "content"]).select("g", "f", (F.col("base") + F.col("low")).alias("low"), (F.col("base") + F.col("high")).alias("high")))
     partly = cut(partly.distinct(), "suffix-partly")
-    whole = kinds.filter(often).select("g", "f", F.lit(0).alias("low"), F.lit(1 << 30).alias("high"))
-    found = fragments.join(whole.unionByName(partly), ["g", "f"])
+    whole = kinds.filter(often).select("g", "f", "n", F.array(F.struct(F.lit(0).alias("low"), F.lit(1 << 30).alias("high"))).alias("runs"))
+    partly = partly.groupBy("g", "f").agg(F.collect_list(F.struct("low", "high")).alias("runs")).join(kinds.filter(~often).select("g", "f", "n"), ["g", "f"])
+    facts = cut(whole.unionByName(partly.select("g", "f", "n", "runs")), "suffix-facts")
+    found = joined_by(fragments, facts, ["g", "f"], "n", fragments.count()).select("c1", "c2", "first", "count", F.explode("runs").alias("run")).select("*", "run.*")
     start = F.col("first") + F.col("low")
     spans = found.select("c1", "c2", start.alias("start"), (F.col("first") + F.least("high", "count") - 1 + length).alias("end"))
     copied = classes.filter((F.col("copies") > 1) & (F.col("n") >= length)).select("c1", "c2", F.lit(0).cast("long").alias("start"), F.col("n").cast("long").alias("end"))

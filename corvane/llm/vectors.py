@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -295,7 +296,8 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
     """The k highest integer inner products of floor(scale * x) for rows whose id is divisible by ``every``: query_id, rank, vec_id, score.
 
     Rows are dealt evenly in blocks, by number.  The stated queries come by broadcast, QUERY_BYTES at a time, and
-    each block answers them by its bitmaps, in slices where there are fewer blocks than cores; k rows a query leave a block.  The driver keeps 8 bytes a block.  Ties go to the smaller id.
+    each block answers them by its bitmaps, in slices where there are fewer blocks than cores; k rows a query leave a block.  The driver keeps 8 bytes a block,
+    one batch of queries and what Spark hands it at a time, a part of the queries' table.  Ties go to the smaller id.
     Vectors that are null or hold null or non-finite components, and null ids, take no part;
     zero vectors do.  Vectors of other lengths are not compared.  Products must fit 64 bits.
     Repeated rows are rows of their own, as in TOPK_SQL: each copy takes a rank, and each copy of a query meets every row.
@@ -311,13 +313,24 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
     dealt = dealt.withColumn("part", (F.col("number") % groups * slices + F.col("slice")).cast("int")).select("part", "slice", "dim", "ids", "x")
     dealt = dealt.repartitionById(groups * slices, F.col("part"))
 
+    if asked.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] > QUERY_BYTES:
+        dealt = cut(dealt, "sliced-dealt")  # every batch of queries reads it; dealt and written once
+
     def matched(queries: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[tuple, list[tuple]]]:
             held: dict[tuple, list[tuple]] = {}
+            now = None
             for batch in batches:
                 for part, slice_, dim, ids, x in zip(*(batch.column(c).to_pylist() for c in ("part", "slice", "dim", "ids", "x")), strict=True):
+                    if part != now and held:
+                        yield held
+                        held = {}
+                    now = part
                     held.setdefault((part, slice_, dim), []).append((np.frombuffer(ids, "<i8"), np.frombuffer(x, "<i8").reshape(-1, dim)))
-            for (_, slice_, dim), blocks in held.items():
+            yield held
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for (_, slice_, dim), blocks in (x for held in groups_of(batches) for x in held.items()):
                 ids, x = (np.concatenate(c) for c in zip(*blocks, strict=True))
                 for begin in range(0, len(ids), 2 * BLOCK_ROWS):
                     index, out = BitSliced(ids[begin : begin + 2 * BLOCK_ROWS], x[begin : begin + 2 * BLOCK_ROWS]), []
@@ -331,7 +344,7 @@ def top_products(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 2
         return run
 
     found, held, size = None, [], 0
-    for r in [*asked.toLocalIterator(), None]:
+    for r in chain(asked.toLocalIterator(), [None]):
         if held and (r is None or size + r.size > QUERY_BYTES):
             one = cut(dealt.mapInArrow(matched(spark.sparkContext.broadcast(held)), "query_id long, vec_id long, score long"), "sliced-found")
             found, held, size = one if found is None else found.unionByName(one), [], 0

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import substrings
+from corvane.llm import common, substrings
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -51,7 +51,7 @@ def made(length, seed=4):
 
 @pytest.mark.parametrize("length, hot, heavy", [(12, 2_000, 1_000), (12, 1, 2), (20, 2, 1_000)])
 def test_equals_all_windows(spark, monkeypatch, length, hot, heavy):
-    monkeypatch.setattr(substrings, "HEAVY", heavy)
+    monkeypatch.setattr(common, "HEAVY", heavy)
     monkeypatch.setattr(substrings, "TREE_WORDS", 500)
     rows = made(length)
     docs = spark.createDataFrame(rows, DOC).repartition(4)

@@ -15,7 +15,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corvane.llm import jaccard, language, secrets, suffixes, toxicity
+from corvane.llm import common, jaccard, language, secrets, suffixes, toxicity
 from corvane.llm.bpe import bpe_digests, load
 from corvane.llm.packing import CAPACITY, harmonic_packing, pieces
 from corvane.llm.suffixes import repeated_starts, suffix_array
@@ -218,6 +218,81 @@ def test_hot_anchors_are_split(docs, monkeypatch):
     assert [tuple(r)[1:] for r in rows] == brute_dedup(texts)
 
 
+def equal_by_hash():
+    """Two unlike strings of 128 bytes whose sums of weights times powers are equal modulo 2^64: four Thue-Morse blocks, their letters chosen by meeting in the middle."""
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", np.uint8)
+    base = int(common._B)
+    factor = 1
+    for k in range(5):
+        factor = factor * (1 - pow(base, 1 << k, 1 << 64)) % (1 << 64)
+    free = 64 - ((factor & -factor).bit_length() - 1)
+    x, y = (v.ravel() for v in np.meshgrid(letters, letters))
+    x, y = x[x != y], y[x != y]
+    with np.errstate(over="ignore"):
+        delta = common._BYTE[x] - common._BYTE[y]
+        power = [np.uint64(pow(base, 32 * m, 1 << 64)) for m in range(4)]
+        mask = np.uint64((1 << free) - 1)
+        near = (delta[:, None] + power[1] * delta[None, :]).ravel() & mask
+        far = (-(power[2] * delta[:, None] + power[3] * delta[None, :])).ravel() & mask
+    order = np.argsort(near)
+    at = np.minimum(np.searchsorted(near[order], far), len(near) - 1)
+    hit = np.flatnonzero(near[order][at] == far)
+    i, j = divmod(int(order[at[hit[0]]]), len(x)), divmod(int(hit[0]), len(x))
+    turn = [bin(t).count("1") % 2 for t in range(32)]
+    one = b"".join(bytes([int(x[k]), int(y[k])][t] for t in turn) for k in (*i, *j))
+    two = b"".join(bytes([int(y[k]), int(x[k])][t] for t in turn) for k in (*i, *j))
+    return one, two
+
+
+def test_strings_of_equal_hash_are_not_taken_for_repeats(docs):
+    one, two = equal_by_hash()
+    assert one != two and common.prefix_hash(np.frombuffer(one, np.uint8))[-1] == common.prefix_hash(np.frombuffer(two, np.uint8))[-1]
+    rng = np.random.default_rng(5)
+    blocks = rng.integers(97, 123, (40_000, 100), dtype=np.uint8)
+    low = min(blocks, key=lambda b: int(common.span_hash(common.prefix_hash(b), np.array([0]), np.array([100]))[0]))
+    left, right = rng.integers(97, 123, 200, dtype=np.uint8).tobytes() + low.tobytes(), rng.integers(97, 123, 300, dtype=np.uint8).tobytes()
+    texts = [(left + x + right).decode() for x in (one, two)]
+    shared = suffixes.repeated_starts([t.encode() for t in texts], 400)
+    assert [len(x) for x in shared] == [0, 0]
+    rows = suffixes.suffix_dedup(docs(*texts)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in rows] == brute_dedup(texts) and rows[0].n_removed == 0
+    kept = suffixes.without_repeats(docs(*texts), length=400).orderBy("doc_id").collect()
+    assert [r.text for r in kept] == texts
+
+
+def test_common_prefixes_are_exact():
+    rng = random.Random(31)
+    parts = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(1, 60))) for _ in range(8)]
+    pieces = [b"".join(rng.choice(parts) for _ in range(rng.randrange(5))) for _ in range(30)] + [b"", b"a" * 300, b"a" * 290]
+    for length in (1, 3, 8, 17, 64, 200):
+        seen = Counter(x[i : i + length] for x in pieces for i in range(len(x) - length + 1))
+        want = [[i for i in range(len(x) - length + 1) if seen[x[i : i + length]] > 1] for x in pieces]
+        assert [x.tolist() for x in repeated_starts(pieces, length)] == want
+
+
+def test_passage_in_many_unlike_texts(docs, monkeypatch):
+    """No group of one key holds more than HOT pieces, however many unlike texts have a passage."""
+    monkeypatch.setattr(suffixes, "HOT", 20)
+    rng, build, made = random.Random(41), suffixes._sorted_fragments, []
+    say = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    passage = say(500)
+    texts = [say(60) + passage + say(60) for _ in range(200)] + [say(1000)]
+
+    def limited(length):
+        run, most = build(length), suffixes.HOT
+        made.append(length)
+
+        def checked(pdf):
+            assert pdf.groupby("key").size().max() <= most
+            return run(pdf)
+
+        return checked
+
+    monkeypatch.setattr(suffixes, "_sorted_fragments", limited)
+    rows = suffixes.suffix_dedup(docs(*texts).repartition(4)).orderBy("doc_id").collect()
+    assert [tuple(r)[1:] for r in rows] == brute_dedup(texts) and made
+
+
 def test_long_texts_are_cut_into_chunks(docs, monkeypatch):
     monkeypatch.setattr(suffixes, "_STARTS", 512)
     texts = passages(random.Random(12))

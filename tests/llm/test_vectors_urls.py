@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import url_filter
+from corvane.llm import vectors as searches
 from corvane.llm.url_filter import build_cascade, judge_urls
 from corvane.llm.vectors import BitSliced, nearest_neighbours, top_products
 
@@ -62,6 +63,16 @@ def test_top_products(spark):
         assert [(-s, i) for s, i in zip(own.score, own.vec_id, strict=True)] == want
 
 
+def test_top_products_in_batches_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=4 + i % 2).tolist(), 0) for i in range(700)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    whole = top_products(df, every=7).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(searches, "QUERY_BYTES", 1000)
+    monkeypatch.setattr(searches, "BLOCK_QUERIES", 9)
+    assert top_products(df, every=7).orderBy("query_id", "rank").collect() == whole and len(whole) == 500
+
+
 def test_top_products_ranks_repeated_rows_one_by_one(spark):
     rng = np.random.default_rng(5)
     rows = [(i, [float(v) for v in rng.standard_normal(8)], 0) for i in range(101)]
