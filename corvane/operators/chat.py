@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.scans import numbered, running
+
 USER, ASSISTANT, SYSTEM = "<|user|>\n", "<|assistant|>\n", "<|system|>\n"
 
 
@@ -73,56 +76,77 @@ def padded(ids: Column, mask: Column, length: int) -> tuple[Column, Column, Colu
     return fill(ids, 0).alias("input_ids"), fill(ones, 0).alias("attention_mask"), fill(mask.cast("array<int>"), 0).alias("loss_mask")
 
 
-class BestFit:
-    """Longest first, each into the fullest bin with room; of equal bins the first made."""
+#: A run's items from ``low`` to ``high``, by their rank among those of their length, fill bins from ``bin`` on, ``per_bin`` in each.
+_RUN = "len int, low long, high long, bin long, per_bin long, offset int, segment int"
 
-    def __init__(self, capacity: int) -> None:
-        self.capacity, self.rooms = capacity, [[] for _ in range(capacity + 1)]
-        self.open, self.bins = 0, 0
 
-    def place(self, length: int) -> tuple[int, int]:
-        """(bin, tokens before): ``open`` has a bit for each room left that some bin has."""
-        from heapq import heappop, heappush
+def best_fit_runs(counts: list[tuple[int, int]], capacity: int) -> list[tuple]:
+    """Best-fit decreasing of (length, count) items as runs (length, low, high, bin, per_bin, offset, segment).
 
-        fit = self.open >> length
-        if fit:
-            room = length + (fit & -fit).bit_length() - 1
-            which = heappop(self.rooms[room])
-            if not self.rooms[room]:
-                self.open ^= 1 << room
-        else:
-            room, which = self.capacity, self.bins
-            self.bins += 1
-        left = room - length
-        if left:
-            heappush(self.rooms[left], which)
-            self.open |= 1 << left
-        return which, self.capacity - room
+    The longest go first, each into the fullest bin with room, of equal bins the first made.  Items of one length fill a bin as
+    far as they fit before the next is fullest, so open bins are kept as intervals of neighbours with equal room and equally many
+    items: a length adds three at most, and one that is filled has less than half its room left.  Work and result depend on the
+    capacity, not on the items.
+    """
+    rooms: list[list[tuple[int, int, int]]] = [[] for _ in range(capacity + 1)]
+    open_, bins, out = 0, 0, []
+
+    def put(room: int, first: int, end: int, items: int) -> None:
+        nonlocal open_
+        if room and first < end:
+            heappush(rooms[room], (first, end, items))
+            open_ |= 1 << room
+
+    for length, n in sorted(counts, reverse=True):
+        if length > capacity:
+            raise ValueError(f"a row has {length} tokens; a bin has {capacity}")
+        at = 0
+        while at < n:
+            fit = open_ >> length
+            if fit:
+                room = length + (fit & -fit).bit_length() - 1
+                first, end, items = heappop(rooms[room])
+                if not rooms[room]:
+                    open_ ^= 1 << room
+            else:
+                room, first, items = capacity, bins, 0
+                end = bins = bins + (-(-(n - at) // (capacity // length)) if length else 1)
+            each = room // length if length else n - at
+            whole = min(end - first, (n - at) // each)
+            if whole:
+                out.append((length, at, at + whole * each, first, each, capacity - room, items))
+                put(room - each * length, first, first + whole, items + each)
+            at, first = at + whole * each, first + whole
+            if at < n and first < end:
+                out.append((length, at, n, first, each, capacity - room, items))
+                put(room - (n - at) * length, first, first + 1, items + n - at)
+                at, first = n, first + 1
+            put(room, first, end, items)
+    return out
 
 
 def pack_best_fit(rows: DataFrame, capacity: int, id_col: str = "row_id", len_col: str = "len", group_col: str | None = None) -> DataFrame:
-    """(group,) id, bin, offset, segment: best-fit decreasing within each group.
+    """(group,) id, bin, offset, segment: best-fit decreasing of the whole table, or within each group; ties by id.
 
-    The order is sequential, so a group is packed in one task, on ids and lengths alone; at scale
-    give a group column that splits the corpus (without one the whole table is one group, as exact parity needs).
+    Only a group's histogram of lengths, ``capacity`` entries at most, is packed in one task.  Rows are ranked within their length by
+    sorted blocks, and take their bin from the last run that begins at or before their rank, carried forward in the same way: no task and
+    no driver holds the rows of a group or a length.
     """
     key = F.col(group_col) if group_col else F.lit(0)
-    kind = rows.select(key.alias("g")).schema["g"].dataType.simpleString()
-    id_kind = rows.schema[id_col].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["len", "id"], ascending=[False, True], kind="stable")
-        if len(pdf) and pdf["len"].iloc[0] > capacity:
-            raise ValueError(f"row {pdf['id'].iloc[0]} has {pdf['len'].iloc[0]} tokens; a bin has {capacity}")
-        packer, count = BestFit(capacity), {}
-        placed = [packer.place(int(n)) for n in pdf["len"]]
-        segment = []
-        for which, _ in placed:
-            segment.append(count.get(which, 0))
-            count[which] = segment[-1] + 1
-        return pd.DataFrame({"g": pdf["g"], "id": pdf["id"], "bin": [p[0] for p in placed], "offset": [p[1] for p in placed], "segment": segment})
-
-    out = rows.select(key.alias("g"), F.col(id_col).alias("id"), F.col(len_col).cast("int").alias("len")).groupBy("g").applyInPandas(run, f"g {kind}, id {id_kind}, bin long, offset int, segment int")
+    own = rows.select(key.alias("g"), F.col(id_col).alias("id"), F.col(len_col).cast("int").alias("len"))
+    kind = own.schema["g"].dataType.simpleString()
+
+    def runs(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pd.DataFrame(best_fit_runs(list(zip(pdf["len"].tolist(), pdf["count"].tolist(), strict=True)), capacity), columns=["len", "low", "high", "bin", "per_bin", "offset", "segment"])
+        return out.assign(g=pdf["g"].iloc[0])
+
+    ranked = numbered(own, ["id"], ["g", "len"], "rank")
+    plans = ranked.groupBy("g", "len").count().groupBy("g").applyInPandas(runs, f"{_RUN}, g {kind}")
+    starts = plans.select("g", "len", F.col("low").alias("rank"), F.struct("low", "bin", "per_bin", "offset", "segment").alias("run"))
+    steps = ranked.withColumns({"row": F.lit(1), "begins": F.lit(None).cast(starts.schema["run"].dataType)}).unionByName(starts.withColumnRenamed("run", "begins").withColumn("row", F.lit(0)), allowMissingColumns=True)
+    out = running(steps, ["rank", "row"], lasts={"run": "begins"}, within=["g", "len"]).filter("row = 1")
+    step = F.expr("(rank - run.low) % run.per_bin")
+    out = out.select("g", "id", F.expr("run.bin + (rank - run.low) DIV run.per_bin").alias("bin"), (F.col("run.offset") + step * F.col("len")).cast("int").alias("offset"), (F.col("run.segment") + step).cast("int").alias("segment"))
     out = out.withColumnRenamed("id", id_col)
     return out.withColumnRenamed("g", group_col) if group_col else out.drop("g")
 

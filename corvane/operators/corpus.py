@@ -2,34 +2,38 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.scans import running
+from corvane.sources.writers import exists, put_text
+
 
 def manifest(lines: DataFrame, bucket_prefix: str = "s3://", url_prefix: str = "https://") -> DataFrame:
     """Ordered (file_idx, source, url) of manifest lines (line_no, line).
 
     A ``#SOURCE:`` line names the source of what follows; other lines that are not
-    addresses are passed over.  A manifest is a small file, so one window over it is enough.
+    addresses are passed over.  The last name and the number of addresses so far are carried from block to block of the sorted lines.
     """
     text = F.trim("line")
     named = F.when(text.startswith("#SOURCE:"), F.split(F.trim(F.substring(text, 9, 1 << 30)), r"\s+")[0])
-    order = Window.orderBy("line_no")
-    rows = lines.withColumn("source", F.coalesce(F.last(named, ignorenulls=True).over(order), F.lit("unknown")))
-    rows = rows.filter(text.startswith(bucket_prefix)).withColumn("url", F.regexp_replace(text, "^" + bucket_prefix, url_prefix))
-    return rows.select((F.row_number().over(order) - 1).cast("long").alias("file_idx"), "source", "url")
+    marked = lines.select("line_no", text.alias("text"), named.alias("named"), text.startswith(bucket_prefix).cast("long").alias("is_file"))
+    rows = running(marked.filter("named is not null or is_file = 1"), ["line_no"], {"file_idx": "is_file"}, {"source": "named"}).filter("is_file = 1")
+    return rows.select(F.col("file_idx").cast("long").alias("file_idx"), F.coalesce("source", F.lit("unknown")).alias("source"), F.regexp_replace("text", "^" + bucket_prefix, url_prefix).alias("url"))
 
 
 def with_global_index(rows: DataFrame, file_col: str, within_col: str, out: str = "global_seq", counts: DataFrame | None = None) -> DataFrame:
     """Number rows by file and place within it, in file order.
 
-    Only the files' counts (``counts``: __file, n, if they are known) are summed in order; each row adds its file's offset.
+    Only the files' counts (``counts``: __file, n, if they are known) are summed in order, by sorted blocks; each row adds its file's offset.
     """
     counts = counts if counts is not None else rows.groupBy(F.col(file_col).alias("__file")).agg((F.max(within_col) + 1).alias("n"))
-    before = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__offset"))
+    offsets = running(counts, ["__file"], {"__offset": "n"}).select("__file", "__offset")
     return rows.join(offsets, rows[file_col] == offsets["__file"]).withColumn(out, F.col("__offset") + F.col(within_col)).drop("__file", "__offset")
 
 
@@ -54,34 +58,77 @@ def shard_sizes(n: int, shard_size: int) -> list[int]:
     return [min(shard_size, n - at) for at in range(0, n, shard_size)]
 
 
+#: Places that a task hands on at once.
+_CHUNK = 1 << 20
+
+
 def permutation(spark, n: int, seed: int) -> DataFrame:
     """(src_pos, out_pos) of the seeded order: the k-th row out is row shuffle[k] of PCG64 over 0 .. n-1.
 
-    The generator is sequential, so the order is drawn whole: 8 bytes a row on the driver.
+    The generator is sequential, so one task draws the order whole (4 bytes a row below 2^32 rows) and hands it on in chunks, past the
+    driver; for corpora too large for that there is :func:`keyed_place`.
     """
-    order = np.arange(n, dtype=np.uint32 if n < 1 << 32 else np.uint64)
-    np.random.Generator(np.random.PCG64(seed)).shuffle(order)
-    return spark.createDataFrame(pd.DataFrame({"src_pos": order.astype(np.int64), "out_pos": np.arange(n, dtype=np.int64)}))
 
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            order = np.arange(n, dtype=np.uint32 if n < 1 << 32 else np.uint64)
+            np.random.Generator(np.random.PCG64(seed)).shuffle(order)
+            for at in range(0, n, _CHUNK):
+                part = order[at : at + _CHUNK].astype(np.int64)
+                yield pd.DataFrame({"src_pos": part, "out_pos": np.arange(at, at + len(part), dtype=np.int64)})
+
+    return spark.range(1, numPartitions=1).mapInPandas(draw, "src_pos long, out_pos long")
 
-def shuffle_globally(rows: DataFrame, n: int, seed: int, shard_size: int, seq_col: str = "global_seq") -> DataFrame:
-    """Deal rows to their place in the seeded order, with one shuffle, sorted within shards."""
-    order = permutation(rows.sparkSession, n, seed)
+
+def shuffle_globally(rows: DataFrame, n: int, seed: int, shard_size: int, seq_col: str = "global_seq", order: DataFrame | None = None) -> DataFrame:
+    """``rows`` with their place in the seeded order (or ``order``: src_pos, out_pos) as out_pos, shard_id and row_in_shard; :func:`bake` sorts and writes them."""
+    order = permutation(rows.sparkSession, n, seed) if order is None else order
     shard, row = shard_place(F.col("out_pos"), shard_size)
     return rows.join(order, rows[seq_col] == order["src_pos"]).drop("src_pos").withColumns({"shard_id": shard, "row_in_shard": row})
 
 
+def bake(placed: DataFrame, folder: str, n: int, shard_size: int, shards_per_batch: int = 4096) -> DataFrame:
+    """Write rows of :func:`shuffle_globally` as one sorted file a shard; returns them read back, in which a file's rows stand in their order.
+
+    Each row goes straight to its shard's task, which sorts it.  A batch of shards is checked (each place filled once) and then
+    committed by a marker beside the files; a restart passes over batches that have one and writes the others anew.
+    """
+    spark, shards = placed.sparkSession, -(-n // shard_size)
+    for first in range(0, shards, shards_per_batch):
+        count = min(shards_per_batch, shards - first)
+        marker = f"{folder}/_batch_{first:07d}_{count}_COMPLETE"
+        if exists(spark, marker):
+            continue
+        own = placed.filter((F.col("shard_id") >= first) & (F.col("shard_id") < first + count))
+        own = own.withColumn("__to", (F.col("shard_id") - first).cast("int")).repartitionById(count, F.col("__to")).drop("__to").sortWithinPartitions("shard_id", "row_in_shard")
+        path = f"{folder}/batch={first}"
+        own.write.mode("overwrite").partitionBy("shard_id").parquet(path)
+        kind = placed.schema
+        check_whole(spark.read.schema(kind).parquet(path), n, shard_size, first, count)
+        put_text(spark, marker, "")
+    out = spark.read.schema(placed.schema.add("batch", "long")).option("basePath", folder).parquet(folder)
+    return out.drop("batch")
+
+
 def epoch_order(spark, n: int, batch: int, steps: int, seed: int) -> DataFrame:
-    """(step, slot, row_id): one generator over all epochs; a tail shorter than a batch is passed over."""
+    """(step, slot, row_id): one generator over all epochs; a tail shorter than a batch is passed over.
+
+    One task draws an epoch's order after the other (8 bytes a row) and hands on its batches; nothing passes the driver.
+    """
     if n < batch:
         raise ValueError(f"{n} rows are fewer than a batch of {batch}")
-    rng, out, at, order = np.random.default_rng(seed), [], n, np.zeros(0, np.int64)
-    for step in range(steps):
-        if at + batch > n:
-            order, at = rng.permutation(n), 0
-        out.extend((step, slot, int(x)) for slot, x in enumerate(order[at : at + batch]))
-        at += batch
-    return spark.createDataFrame(out, "step long, slot int, row_id long")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            rng, per_epoch = np.random.default_rng(seed), n // batch
+            for first in range(0, steps, per_epoch):
+                order = rng.permutation(n)[: min(per_epoch, steps - first) * batch]
+                for at in range(0, len(order), _CHUNK):
+                    part = order[at : at + _CHUNK]
+                    place = np.arange(at, at + len(part))
+                    yield pd.DataFrame({"step": first + place // batch, "slot": (place % batch).astype(np.int32), "row_id": part})
+
+    return spark.range(1, numPartitions=1).mapInPandas(draw, "step long, slot int, row_id long")
 
 
 def repeats_too_much(tokens: Column, max_period: int = 13, min_period: int = 1, max_count: int = 32) -> Column:
@@ -114,9 +161,7 @@ def resume_row(valid: DataFrame, consumed: int, seq_col: str = "global_seq") ->
     """Row after the ``consumed``-th valid one, by order: only counts of blocks are summed in order."""
     block = F.floor(F.col(seq_col) / 10_000)
     rows = valid.withColumn("__block", block)
-    counts = rows.groupBy("__block").count()
-    before = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    own = counts.select("__block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__before"), "count")
+    own = running(rows.groupBy(F.col("__block").alias("part")).count(), ["part"], {"__before": "count"}).withColumnRenamed("part", "__block")
     own = own.filter((F.col("__before") < consumed) & (F.col("__before") + F.col("count") >= consumed))
     at = rows.join(F.broadcast(own), "__block").withColumn("__n", F.col("__before") + F.row_number().over(Window.partitionBy("__block").orderBy(seq_col)))
     return at.filter(F.col("__n") == consumed).select((F.col(seq_col) + 1).alias("resume_at"))
@@ -169,23 +214,51 @@ def throughput(log: DataFrame, run_col: str, step_col: str, time_col: str, token
     return out.withColumn("tokens_per_second", F.when(F.col("seconds") > 0, F.col("steps") * tokens_per_step / F.col("seconds")))
 
 
-def underfilled(rows: DataFrame, n: int, shard_size: int) -> DataFrame:
-    """Shards whose rows are not exactly those that n rows give: shard_id, filled, expected; none if the shuffle is whole."""
-    shards = -(-n // shard_size)
-    want = rows.sparkSession.range(shards).select(F.col("id").alias("shard_id"), F.least(F.lit(shard_size), F.lit(n) - F.col("id") * shard_size).alias("expected"))
+def underfilled(rows: DataFrame, n: int, shard_size: int, first: int = 0, count: int | None = None) -> DataFrame:
+    """Shards (of ``count`` from ``first`` on) whose rows are not exactly those that n rows give: shard_id, filled, expected; none if the shuffle is whole."""
+    shards = -(-n // shard_size) if count is None else first + count
+    want = rows.sparkSession.range(first, shards).select(F.col("id").alias("shard_id"), F.least(F.lit(shard_size), F.lit(n) - F.col("id") * shard_size).alias("expected"))
     have = rows.groupBy("shard_id").agg(F.countDistinct("row_in_shard").alias("distinct_rows"), F.count("*").alias("filled"))
     out = want.join(have, "shard_id", "full").fillna(0, ["expected", "filled", "distinct_rows"])
     return out.filter((F.col("filled") != F.col("expected")) | (F.col("distinct_rows") != F.col("expected"))).select("shard_id", "filled", "expected")
 
 
-def check_whole(rows: DataFrame, n: int, shard_size: int) -> DataFrame:
+def check_whole(rows: DataFrame, n: int, shard_size: int, first: int = 0, count: int | None = None) -> DataFrame:
     """``rows``; raises, naming a shard, if one is not filled exactly."""
-    bad = underfilled(rows, n, shard_size).orderBy("shard_id").first()
+    bad = underfilled(rows, n, shard_size, first, count).orderBy("shard_id").first()
     if bad:
         raise ValueError(f"shard {bad.shard_id} has {bad.filled} of {bad.expected} rows")
     return rows
 
 
+def periodic_runs(rows: DataFrame, id_col: str, tokens_col: str = "tokens", max_period: int = 13, min_period: int = 1) -> DataFrame:
+    """id_col, start, end, period, times: the longest runs in which every token equals the one a period before, of three whole periods or more.
+
+    Each period up to a third of the sequence is compared in one pass over its tokens; a sequence that holds -1 has none, nulls have none.
+    """
+    kind = rows.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple] = []
+            for i, tokens in enumerate(batch.column("tokens")):
+                x = np.asarray(tokens.values) if tokens.is_valid else np.zeros(0, np.int64)
+                if (x == -1).any():
+                    continue
+                for p in range(min_period, min(max_period, len(x) // 3) + 1):
+                    same = np.concatenate([[False], x[p:] == x[:-p], [False]])
+                    edge = np.flatnonzero(same[1:] != same[:-1])
+                    first, last = edge[::2], edge[1::2]
+                    for a, b in zip(first[last - first >= 2 * p].tolist(), last[last - first >= 2 * p].tolist(), strict=True):
+                        found.append((i, a, b + p, p, (b + p - a) // p))
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            ids = batch.column("id").take(pa.array(columns[0], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int32()) for c in columns[1:])], ["id", "start", "end", "period", "times"])
+
+    own = rows.select(F.col(id_col).alias("id"), F.col(tokens_col).cast("array<long>").alias("tokens"))
+    return own.mapInArrow(run, f"id {kind}, start int, end int, period int, times int").withColumnRenamed("id", id_col)
+
+
 def source_places(order: DataFrame, shard_size: int) -> DataFrame:
     """Where each source row lands: src_pos, out_pos, out_shard, out_row."""
     return order.select("src_pos", "out_pos", F.floor(F.col("out_pos") / shard_size).alias("out_shard"), (F.col("out_pos") % shard_size).alias("out_row"))
@@ -214,10 +287,14 @@ def keyed_place(seq: Column, n: int, seed: int, rounds: int = 6) -> Column:
     return F.when(place < n, place).otherwise(F.raise_error(F.lit("no place was found")).cast("long"))
 
 
+#: Strings that a shuffled corpus's manifest must hold.
+_ALGORITHM, _FILE_ORDER = "numpy.random.PCG64.shuffle(np.arange(total_sequences, dtype=uint32))", "PCG64(seed).shuffle of source file-order"
+
+
 def shuffled_manifest(manifest: dict, seed: int, source: str) -> dict:
     """The manifest of a shuffled corpus: the source's fields without those that no longer hold, and how it was shuffled."""
     kept = {k: v for k, v in manifest.items() if k not in ("file_shuffle_seed", "file_order", "packing")}
-    return kept | {"globally_preshuffled": True, "shuffle_seed": seed, "shuffle_algorithm": "numpy.random.PCG64.shuffle(np.arange(total_sequences, dtype=uint32))", "shuffled_from": source, "file_order": "PCG64(seed).shuffle of source file-order"}
+    return kept | {"globally_preshuffled": True, "shuffle_seed": seed, "shuffle_algorithm": _ALGORITHM, "shuffled_from": source, "file_order": _FILE_ORDER}
 
 
 def check_unshuffled(manifest: dict) -> dict:

@@ -11,6 +11,7 @@ from corvane.functions import checkers as C
 from corvane.functions import text as T
 from corvane.operators import chat, corpus, results, scoring
 from corvane.sources import readers
+from corvane.sources.shared import shared_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,8 +85,36 @@ def shards(spark, sf_dir):
 
 @query("global_shuffle")
 def global_shuffle(spark, sf_dir):
-    rows = _packed(spark, sf_dir)
-    return corpus.shuffle_globally(rows, rows.count(), 42, 500).select("out_pos", "global_seq", "shard_id", "row_in_shard")
+    """The rows of the baked shards, as they stand in their files."""
+    rows = written(_packed(spark, sf_dir), "packed")
+    n = rows.count()
+    baked = corpus.bake(corpus.shuffle_globally(rows, n, 42, 500), shared_path(spark, "baked"), n, 500)
+    return baked.select("out_pos", "global_seq", "shard_id", "row_in_shard")
+
+
+@query("baked_shards", f"WITH {_PACKED_SQL} SELECT s AS shard_id, least(500, n - 500 * s) AS n_rows, true AS in_order FROM (SELECT count(*) AS n, unnest(range((count(*) + 499) // 500)) AS s FROM r)")
+def baked_shards(spark, sf_dir):
+    """Every shard is filled, and its file's rows stand in their order."""
+    rows = written(_packed(spark, sf_dir).select("global_seq"), "packed")
+    n = rows.count()
+    baked = corpus.bake(corpus.shuffle_globally(rows, n, 42, 500), shared_path(spark, "baked"), n, 500, 7)
+    place = baked.select("shard_id", "row_in_shard", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    step = F.lag("at").over(Window.partitionBy("file").orderBy("row_in_shard"))
+    return place.withColumn("rises", F.coalesce(F.col("at") == step + 1, F.lit(True))).groupBy("shard_id").agg(F.count("*").alias("n_rows"), F.min("rises").alias("in_order"))
+
+
+@query(
+    "periodic_runs",
+    f"""WITH f AS (SELECT doc_id, {_TOKENS_SQL} AS t FROM documents),
+q AS (SELECT doc_id, t, unnest(range(1, 14)) AS p FROM f), e AS (SELECT doc_id, p, t, unnest(range(p, len(t))) AS i FROM q WHERE len(t) >= 3 * p),
+s AS (SELECT doc_id, p, i, t[i + 1] = t[i + 1 - p] AS same FROM e),
+g AS (SELECT doc_id, p, i, same, i - row_number() OVER (PARTITION BY doc_id, p, same ORDER BY i) AS island FROM s),
+c AS (SELECT doc_id, p, min(i) - p AS a, max(i) + 1 AS b FROM g WHERE same GROUP BY doc_id, p, island)
+SELECT doc_id, CAST(a AS INT) AS start, CAST(b AS INT) AS "end", CAST(p AS INT) AS period, CAST((b - a) // p AS INT) AS times FROM c WHERE (b - a) // p > 2""",
+)
+def periodic_runs(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", _tokens(F.col("text")).alias("tokens"))
+    return corpus.periodic_runs(docs, "doc_id")
 
 
 @query(
@@ -120,7 +149,12 @@ def resumed_stream(spark, sf_dir):
 
 @query("epoch_batches")
 def epoch_batches(spark, sf_dir):
-    return corpus.epoch_order(spark, 1000, 64, 40, 7)
+    """Two epochs of all packed rows in seeded batches: the tokens of each step."""
+    rows = written(_packed(spark, sf_dir), "packed")
+    n = rows.count()
+    order = corpus.epoch_order(spark, n, 16, 2 * (n // 16), 7)
+    tokens = rows.select(F.col("global_seq").alias("row_id"), _total(F.col("tokens")).alias("total"))
+    return order.join(tokens, "row_id").groupBy("step").agg(F.count("*").alias("n"), F.sum("total").alias("token_sum"), F.sum((F.col("slot") + 1) * F.col("row_id")).alias("places"))
 
 
 # ---------------------------------------------------------------- chats
@@ -162,13 +196,22 @@ def padded_rows(spark, sf_dir):
     return rows.select("doc_id", _total(F.col("attention_mask")).alias("n_real"), F.size("input_ids").alias("n_padded"), _total(F.col("input_ids")).alias("token_sum"), (F.size("t") > 128).alias("truncated"))
 
 
-@query("best_fit_packing")
+@query(
+    "best_fit_packing",
+    f"""WITH RECURSIVE f AS (SELECT doc_id, len({_TOKENS_SQL}) AS n FROM documents),
+p AS (SELECT doc_id || '-' || piece AS row_id, least(n - piece * 2048, 2048) AS len FROM (SELECT doc_id, n, unnest(range((n + 2047) // 2048)) AS piece FROM f)),
+o AS (SELECT row_number() OVER (ORDER BY len DESC, row_id) AS k, row_id, len FROM p), a AS (SELECT list(len ORDER BY k) AS lens FROM o),
+s AS (SELECT 0 AS k, CAST([] AS BIGINT[]) AS rooms, CAST(0 AS BIGINT) AS bin, CAST(0 AS BIGINT) AS off
+ UNION ALL SELECT k + 1, CASE WHEN b IS NULL THEN list_append(rooms, 2048 - l) ELSE list_concat(list_append(rooms[1:b], rooms[b + 1] - l), rooms[b + 2:]) END, coalesce(b, len(rooms)), CASE WHEN b IS NULL THEN 0 ELSE 2048 - rooms[b + 1] END
+ FROM (SELECT s.k, s.rooms, a.lens[s.k + 1] AS l, list_min(list_filter(list_transform(range(len(s.rooms)), lambda i: CASE WHEN s.rooms[i + 1] > 0 AND s.rooms[i + 1] >= a.lens[s.k + 1] THEN s.rooms[i + 1] * 1000000000 + i END), lambda x: x IS NOT NULL)) % 1000000000 AS b FROM s, a WHERE s.k < len(a.lens)))
+SELECT row_id, bin, CAST(off AS INT) AS "offset", CAST(row_number() OVER (PARTITION BY bin ORDER BY k) - 1 AS INT) AS segment FROM s JOIN o USING (k)""",
+)
 def best_fit_packing(spark, sf_dir):
-    """All documents in pieces of at most a bin: a longer one gives several."""
-    rows = table(spark, sf_dir, "documents").select("source", "doc_id", F.size(_tokens(F.col("text"))).alias("n")).filter("n > 0")
+    """All documents as one group, in pieces of at most a bin: a longer one gives several."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.size(_tokens(F.col("text"))).alias("n")).filter("n > 0")
     rows = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 2048).cast("int"))))
-    pieces = rows.select("source", F.concat_ws("-", "doc_id", "piece").alias("row_id"), F.least(F.col("n") - F.col("piece") * 2048, F.lit(2048)).alias("len"))
-    return chat.pack_best_fit(pieces, 2048, group_col="source")
+    pieces = rows.select(F.concat_ws("-", "doc_id", "piece").alias("row_id"), F.least(F.col("n") - F.col("piece") * 2048, F.lit(2048)).alias("len"))
+    return chat.pack_best_fit(pieces, 2048)
 
 
 @query(
@@ -560,15 +603,7 @@ def merged_choices(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", F.array_join(choices, ",").alias("choices"), F.array_join(places.cast("array<string>"), ",").alias("places"))
 
 
-def _shared(spark, name):
-    import re
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(root or tempfile.mkdtemp(prefix='corvane-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_shared = shared_path
 
 
 @query("shard_roundtrip", f"WITH {_PACKED_SQL} SELECT global_seq, CAST(list_sum(tokens) AS BIGINT) AS token_sum FROM r WHERE global_seq >= 100")

@@ -1,8 +1,10 @@
 """Corpora and chats against plain Python."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +93,75 @@ def test_best_fit(spark):
     assert found == plain_best_fit(rows, 32)
 
 
+def test_best_fit_runs_equal_the_sequential_packer(spark):
+    rng = random.Random(6)
+    for capacity, n, most in ((7, 60, 7), (32, 300, 32), (32, 300, 5), (100, 500, 100), (64, 1, 64), (10, 40, 1)):
+        rows = [(i, rng.randrange(1, most + 1)) for i in range(n)]
+        runs = chat.best_fit_runs(list(Counter(x for _, x in rows).items()), capacity)
+        rank, found = Counter(), {}
+        for key, x in sorted(rows):
+            r = next(r for r in runs if r[0] == x and r[1] <= rank[x] < r[2])
+            step = (rank[x] - r[1]) % r[4]
+            found[key] = (r[3] + (rank[x] - r[1]) // r[4], r[5] + step * x)
+            rank[x] += 1
+        assert found == plain_best_fit(rows, capacity)
+    many = chat.best_fit_runs([(x, 10**9 + x) for x in range(1, 2049)], 2048)
+    assert sum(r[2] - r[1] for r in many) == sum(10**9 + x for x in range(1, 2049)) and len(many) < 3 * 2048 * 11
+
+
+def test_best_fit_in_groups_and_empty_rows(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([None, "a", "b"]), rng.randrange(1, 17)) for i in range(90)]
+    out = chat.pack_best_fit(spark.createDataFrame(rows, "row_id int, g string, len int").repartition(3), 16, group_col="g").collect()
+    for g in (None, "a", "b"):
+        assert {r.row_id: (r.bin, r.offset) for r in out if r.g == g} == plain_best_fit([(i, n) for i, k, n in rows if k == g], 16)
+    out = {r.row_id: tuple(r)[1:] for r in chat.pack_best_fit(spark.createDataFrame([(1, 0), (2, 16), (3, 0), (4, 9)], "row_id int, len int"), 16).collect()}
+    assert out == {2: (0, 0, 0), 4: (1, 0, 0), 1: (1, 9, 1), 3: (1, 9, 2)}
+    assert chat.pack_best_fit(spark.createDataFrame([], "row_id int, len int"), 16).count() == 0
+
+
+def test_baked_shards_hold_the_seeded_order(spark, tmp_path):
+    n, size = 103, 10
+    rows = spark.range(n).select(F.col("id").alias("global_seq"), (F.col("id") * 7).alias("x")).repartition(4)
+    folder = f"{tmp_path}/baked"
+    placed = corpus.shuffle_globally(rows, n, 42, size)
+    broken = placed.filter("shard_id <> 8")
+    with pytest.raises(ValueError, match="shard 8 has 0 of 10"):
+        corpus.bake(broken, folder, n, size, 4)
+    done = sorted(p.name for p in (tmp_path / "baked").iterdir() if p.name.endswith("COMPLETE"))
+    assert done == ["_batch_0000000_4_COMPLETE", "_batch_0000004_4_COMPLETE"]
+    before = {p: p.stat().st_mtime_ns for k in (0, 4) for p in (tmp_path / "baked" / f"batch={k}").rglob("*.parquet")}
+    out = corpus.bake(placed, folder, n, size, 4)
+    assert out.count() == n and all(p.stat().st_mtime_ns == t for p, t in before.items()), "whole batches are not written again"
+    order = np.arange(n, dtype=np.uint32)
+    np.random.Generator(np.random.PCG64(42)).shuffle(order)
+    for shard in range(11):
+        files = list((tmp_path / "baked").glob(f"batch=*/shard_id={shard}/*.parquet"))
+        assert len(files) == 1 and pq.read_table(files[0], partitioning=None).column("global_seq").to_pylist() == order[shard * size : (shard + 1) * size].tolist()
+
+
+def plain_runs(x, low, high):
+    out = []
+    for p in range(low, min(high, len(x) // 3) + 1):
+        i = p
+        while i < len(x):
+            j = i
+            while j < len(x) and x[j] == x[j - p]:
+                j += 1
+            if (j - i + p) // p > 2:
+                out.append((i - p, j, p, (j - i + p) // p))
+            i = max(j, i) + 1
+    return out
+
+
+def test_periodic_runs(spark):
+    rng = random.Random(14)
+    seqs = [[rng.randrange(3) for _ in range(rng.randrange(80))] for _ in range(60)]
+    seqs += [[1] * 50, [1, 2] * 30 + [9] + [4, 5, 6] * 20, list(range(13)) * 4, [1, -1] * 20, [], None]
+    out = corpus.periodic_runs(spark.createDataFrame(list(enumerate(seqs)), "id int, tokens array<int>"), "id")
+    assert sorted(map(tuple, out.collect())) == sorted((i, *r) for i, x in enumerate(seqs) if x and -1 not in x for r in plain_runs(x, 1, 13))
+
+
 def test_targets_and_context(spark):
     df = spark.createDataFrame([([5, 6, 7, 8], [0, 0, 1, -1]), ([], [])], "t array<int>, s array<int>")
     rows = df.select(*chat.next_targets(F.col("t"), F.col("s"))).collect()
