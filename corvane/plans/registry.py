@@ -615,15 +615,23 @@ def shard_roundtrip(spark, sf_dir):
     return readers.shards(spark, path, 100).select("global_seq", _total(F.col("tokens")).alias("token_sum"))
 
 
-@query("ordered_stream", f"WITH {_PACKED_SQL} SELECT global_seq FROM r")
+@query(
+    "ordered_stream",
+    f"""WITH {_PACKED_SQL}, n AS (SELECT count(*) - 100 AS n FROM r), k AS (SELECT n, unnest(range(2 * n)) AS k FROM n)
+SELECT 100 + k % n AS global_seq, k // n AS cycle, k // (n // 3 + 1) * (n // 3 + 1) AS batch, k % (n // 3 + 1) AS place FROM k""",
+)
 def ordered_stream(spark, sf_dir):
-    """Stream all shards into a table, files in their order, with offsets and markers committed per batch."""
-    path, out = _shared(spark, "stream"), _shared(spark, "stream-out")
-    _packed(spark, sf_dir).select("global_seq", "tokens").repartitionByRange(24, "global_seq").write.parquet(path)
-    writers.in_order(spark, path)
-    stream = readers.shard_stream(spark, path, "global_seq long, tokens array<int>", files_per_batch=8)
-    ordered.consume(stream, lambda batch, _: batch.select("global_seq").write.mode("append").parquet(out), f"{out}-state", f"{out}-checkpoint")
-    return spark.read.schema("global_seq long").parquet(out)
+    """Two passes over all shards from row 100 on, in batches that end inside shards and passes; the place is that in the batch's files."""
+    path = _shared(spark, "stream")
+    shard, row = corpus.shard_place(F.col("global_seq"), 500)
+    packed = written(_packed(spark, sf_dir).select("global_seq", "tokens"), "packed")
+    writers.write_shards(packed.select("*", shard, row), path, 12)
+    n, sink = packed.count(), ordered.BatchSink(spark, _shared(spark, "stream-out"))
+    rows = spark.read.schema("global_seq long, tokens array<int>, row_in_shard long, shard_id long").parquet(path)
+    ordered.follow(rows, n, lambda batch, at, following: sink.take(batch.select("global_seq", "cycle"), at, following), _shared(spark, "stream-state"), 100, (n - 100) // 3 + 1, 2, shard_size=500)
+    out = sink.rows("global_seq long, cycle long").select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    place = F.row_number().over(Window.partitionBy("batch").orderBy("file", "row")) - 1
+    return out.select("global_seq", "cycle", "batch", place.cast("long").alias("place"))
 
 
 @query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")

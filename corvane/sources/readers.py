@@ -53,11 +53,6 @@ def shards(spark: SparkSession, path: str, start: int = 0) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("global_seq") >= start)
 
 
-def shard_stream(spark: SparkSession, path: str, schema: str, start: int = 0, files_per_batch: int = 1) -> DataFrame:
-    """The same as a stream, a bounded number of files a batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path).filter(F.col("global_seq") >= start)
-
-
 def check_manifest(manifest: dict, length: int) -> dict:
     """The manifest if its rows are in their global order and of the expected length; otherwise an error."""
     if not manifest.get("globally_preshuffled"):

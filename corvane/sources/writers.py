@@ -30,6 +30,26 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Move a file or folder to where nothing stands yet, at once."""
+    fs, where = _fs(spark, path)
+    _, there = _fs(spark, to)
+    fs.mkdirs(there.getParent())
+    if not fs.rename(where, there):
+        raise OSError(f"{path} could not be renamed to {to}")
+
+
+def names_in(spark: SparkSession, folder: str) -> list[str]:
+    """Names of a folder's entries; none if it does not exist."""
+    fs, where = _fs(spark, folder)
+    return [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+
+
 def get_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
@@ -40,15 +60,6 @@ def write_shards(rows: DataFrame, path: str, n_shards: int, start_shard: int = 0
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_id").parquet(path)
 
 
-def in_order(spark: SparkSession, folder: str) -> None:
-    """Give a folder's files times a second apart in the order of their names, which is the order that streams read them in."""
-    fs, where = _fs(spark, folder)
-    files = sorted((f for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")), key=lambda f: f.getPath().getName())
-    first = min((f.getModificationTime() for f in files), default=0)
-    for k, f in enumerate(files):
-        fs.setTimes(f.getPath(), first + 1000 * k, -1)
-
-
 def write_manifest(spark: SparkSession, path: str, manifest: dict) -> None:
     put_text(spark, path, json.dumps(manifest, indent=2, sort_keys=True))
 
