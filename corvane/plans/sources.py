@@ -11,46 +11,43 @@ from corvane.functions import text as T
 from corvane.operators import chat, corpus, reports, scoring
 from corvane.plans.items import _BENCHES
 from corvane.plans.registry import _CHECKS, _PACKED_SQL, _TOKENS_SQL, _packed, _shared, _tokens, _total, query, table
-from corvane.sources import readers, writers
+from corvane.sources import arrays, readers, writers
+from corvane.sources.shared import written
 
 # ------------------------------------------------------------------ sources and sinks
 
 
-@query("manifest_file", "SELECT n_nationkey AS file_idx, 'src' || n_regionkey AS source, 'https://' || n_name || '.npy' AS url FROM nation")
+@query("manifest_file", "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS file_idx, o_orderstatus AS source, 'https://' || o_orderkey || '.npy' AS url FROM orders")
 def manifest_file(spark, sf_dir):
-    """A manifest written as text and read by lines."""
-    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+    """A manifest of all orders, written as text in several files and read by lines."""
     path = _shared(spark, "manifest")
-    writers.put_text(spark, path, "\n".join(f"#SOURCE: src{r.n_regionkey} (x)\n\n# note\ns3://{r.n_name}.npy" for r in rows))
+    text = F.concat(F.lit("#SOURCE: "), "o_orderstatus", F.lit(" (x)\n\n# note\ns3://"), F.col("o_orderkey").cast("string"), F.lit(".npy"))
+    table(spark, sf_dir, "orders").repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").select(text.alias("value")).write.text(path)
     return corpus.manifest(readers.manifest_lines(spark, path))
 
 
-@query("token_file_scan", "SELECT s_suppkey, s_suppkey * 7 + 3 AS first, 3 AS n FROM supplier")
+@query("token_file_scan", f"WITH {_PACKED_SQL} SELECT global_seq // 500 AS shard_id, count(*) AS n_rows, CAST(sum(list_sum(tokens)) AS BIGINT) AS token_sum, CAST(sum((global_seq % 500 + 1) * tokens[64]) AS BIGINT) AS places, true AS in_ranges FROM r GROUP BY 1")
 def token_file_scan(spark, sf_dir):
-    """Raw little-endian token files, one a supplier, read back."""
-    import struct
+    """All packed rows as an array file a shard, read back by byte ranges, several a file."""
+    path, packed = _shared(spark, "tokens"), written(_packed(spark, sf_dir).select("global_seq", "tokens"), "packed")
+    n = packed.count()
+    arrays.write_array_shards(packed.select("tokens", *corpus.shard_place(F.col("global_seq"), 500)), path, -(-n // 500))
+    rows = arrays.array_files(spark, path, suffix=".npy", range_bytes=64 * 4 * 200).withColumn("part", F.spark_partition_id())
+    own = rows.withColumn("shard_id", F.regexp_extract("path", r"shard_(\d+)\.npy$", 1).cast("long")).groupBy("shard_id")
+    out = own.agg(F.count("*").alias("n_rows"), F.sum(_total(F.col("tokens"))).alias("token_sum"), F.sum((F.col("at") + 1) * F.element_at("tokens", -1)).alias("places"), F.count_distinct("part").alias("parts"))
+    return out.select("shard_id", "n_rows", "token_sum", "places", (F.col("parts") == F.ceil(F.col("n_rows") / 200)).alias("in_ranges"))
 
-    path = _shared(spark, "tokens")
-    fs, where = writers._fs(spark, path)
-    for r in table(spark, sf_dir, "supplier").select("s_suppkey").collect():
-        out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{r.s_suppkey}.npy"), True)
-        out.write(bytearray(struct.pack("<3I", r.s_suppkey * 7 + 3, 1, 2)))
-        out.close()
-    rows = readers.token_files(spark, path)
-    return rows.select(F.regexp_extract("path", r"(\d+)\.npy$", 1).cast("long").alias("s_suppkey"), F.col("tokens")[0].cast("long").alias("first"), F.size("tokens").alias("n"))
 
-
-@query("json_scans", "SELECT n_nationkey AS k, n_name AS name FROM nation")
+@query("json_scans", "SELECT c_custkey AS k, c_name AS name FROM customer")
 def json_scans(spark, sf_dir):
-    """JSON lines with blank ones between, and the same as one array, joined."""
-    import json
-
-    rows = [{"k": r.n_nationkey, "name": r.n_name} for r in table(spark, sf_dir, "nation").collect()]
-    lines, array = _shared(spark, "lines"), _shared(spark, "array")
-    writers.put_text(spark, lines, "\n\n".join(map(json.dumps, rows)))
-    writers.put_text(spark, array, json.dumps(rows))
-    a, b = (f(spark, p, "k int, name string") for f, p in ((readers.json_lines, lines), (readers.json_document, array)))
-    return a.join(b.withColumnRenamed("name", "other"), "k").filter("name = other").select("k", "name")
+    """JSON lines of all customers with blank ones between, and the same as an array a nation, joined."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), "c_nationkey")
+    lines, lists = _shared(spark, "lines"), _shared(spark, "arrays")
+    own = F.struct("k", "name")
+    rows.select(F.concat(F.to_json(own), F.lit("\n")).alias("value")).write.text(lines)
+    rows.groupBy("c_nationkey").agg(F.to_json(F.collect_list(own)).alias("value")).repartition("c_nationkey").write.partitionBy("c_nationkey").text(lists)
+    a, b = (f(spark, p, "k long, name string") for f, p in ((readers.json_lines, lines), (readers.json_document, lists)))
+    return a.filter("k is not null").join(b.select("k", F.col("name").alias("other")), "k").filter("name = other").select("k", "name")
 
 
 @query("summary_files", "SELECT 'task' || n_regionkey AS task, n_name AS label, n_nationkey * 0.01 AS em, n_nationkey AS n FROM nation WHERE n_nationkey % 2 = 0")

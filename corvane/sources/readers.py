@@ -2,28 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def manifest_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of a text file, in file order; the file is one small object and read whole."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
-
-
-def token_files(spark: SparkSession, path: str, dtype: str = "<u4") -> DataFrame:
-    """(path, tokens) of raw token files; unsigned values are read as signed 32-bit.  A failed read is the task's to retry."""
-
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({"path": pdf["path"], "tokens": [np.frombuffer(x, dtype).astype(np.int32) for x in pdf["content"]]})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(decode, "path string, tokens array<int>")
+    """(line_no, line) of a text file or a folder of them: line_no is a place (file, block of the file, line in it) to order by, so that a large file is read in parts."""
+    rows = spark.read.text(path).select("value", "_metadata.file_name", "_metadata.file_block_start")
+    return rows.select(F.struct("file_name", "file_block_start", F.monotonically_increasing_id().alias("line")).alias("line_no"), F.col("value").alias("line"))
 
 
 def spread(rows: DataFrame) -> DataFrame:
