@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corvane.functions.algebra import algebraic_any
+
 from corvane.functions import text as T
 
 #: What is replaced, and what is removed, in this order.
@@ -87,4 +89,10 @@ def equivalent(a: Column, b: Column, algebra: Callable[[Column, Column], Column]
 
 def solved(answer: Column, gold: Column) -> Column:
     """Whether some candidate is equivalent to the gold answer's form."""
-    return F.exists(candidates(answer), lambda c: equivalent(c, gold))
+    return solved_among(candidates(answer), gold)
+
+
+def solved_among(found: Column, gold: Column, algebra: bool = False) -> Column:
+    """The same of an array of candidates; with ``algebra`` one may also equal ``gold`` as a function.  The array is best a column of its own, as it is read twice then."""
+    plain = F.exists(found, lambda c: equivalent(c, gold))
+    return F.coalesce(plain, F.lit(False)) | algebraic_any(found, gold) if algebra else plain
