@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -458,6 +459,87 @@ def checkers_strict(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", *[C.strict(i, F.col("text"), kw).alias(k) for k, (i, kw, _) in _CHECKS.items()])
 
 
+
+
+def _trimmed(x: str) -> str:
+    return f"trim({x}, '" + T.PUNCT.replace("'", "''") + " ')"
+
+
+_PRIMES = ", ".join(str(p) for p in range(2, 100) if all(p % q for q in range(2, p)))
+_GRAMS = "list_distinct(list_transform(range(1, length({0}) - 1), lambda i: substr({0}, i, 3)))"
+
+#: More predicates over all documents; w: words, p: words in lower case without punctuation.
+_MORE_CHECKS: dict[str, tuple[str, dict, str]] = {
+    "paragraphs": ("length_constraints:number_paragraphs", {"num_paragraphs": 1}, r"len(list_filter(regexp_split_to_array(v, '\s?\*\*\*\s?'), lambda x: trim(x) <> '')) = 1 AND len(list_filter(regexp_split_to_array(v, '\s?\*\*\*\s?')[2:-2], lambda x: trim(x) = '')) = 0"),
+    "bullet_list": ("detectable_format:number_bullet_lists", {"num_bullets": 1}, r"len(regexp_extract_all(v, '(?m)^\s*\*[^\*].*$')) + len(regexp_extract_all(v, '(?m)^\s*-.*$')) = 1"),
+    "canned": ("detectable_format:constrained_response", {}, " OR ".join(f"contains(v, '{x}')" for x in C.CANNED)),
+    "highlights": ("detectable_format:number_highlighted_sections", {"num_highlights": 1}, r"len(list_filter(regexp_extract_all(v, '\*[^\n\*]*\*'), lambda x: trim(trim(x, '*')) <> '')) + len(list_filter(regexp_extract_all(v, '\*\*[^\n\*]*\*\*'), lambda x: trim(x[3:-3]) <> '')) >= 1"),
+    "sections": ("detectable_format:multiple_sections", {"section_spliter": "version", "num_sections": 1}, r"len(regexp_split_to_array(v, '\s?version\s?\d+\s?')) - 1 >= 1"),
+    "postscript": ("detectable_content:postscript", {"postscript_marker": "P.S."}, r"regexp_matches(lower(v), 'p\.\s?s\.')"),
+    "title": ("detectable_format:title", {}, r"len(list_filter(regexp_extract_all(v, '<<[^\n]+>>'), lambda x: trim(regexp_replace(x, '^<+|>+$', '', 'g')) <> '')) > 0"),
+    "repeat_prompt": ("combination:repeat_prompt", {"prompt_to_repeat": "the"}, "starts_with(lower(trim(v)), 'the')"),
+    "shouted": ("change_case:capital_word_frequency", {"capital_frequency": 2, "capital_relation": "at least"}, rf"len(list_filter(list_transform(w, lambda x: {_trimmed('x')}), lambda x: x = upper(x) AND regexp_matches(x, '\p{{Lu}}'))) >= 2"),
+    "quoted": ("startend:quotation", {}, "length(trim(v)) > 1 AND starts_with(trim(v), '\"') AND ends_with(trim(v), '\"')"),
+    "different_words": ("count:unique_word_count", {"N": 60}, f"len(list_distinct(list_transform(w, lambda x: {_trimmed('lower(x)')}))) >= 60"),
+    "stop_words": ("ratio:stop_words", {"percentage": 25, "stop_list": ["the", "of", "and", "a", "in", "to", "is"]}, r"len(regexp_extract_all(lower(v), '[\p{L}\p{M}\p{N}_]+')) > 0 AND len(list_filter(regexp_extract_all(lower(v), '[\p{L}\p{M}\p{N}_]+'), lambda x: x IN ('the', 'of', 'and', 'a', 'in', 'to', 'is'))) * 100.0 <= 25 * len(regexp_extract_all(lower(v), '[\p{L}\p{M}\p{N}_]+'))"),
+    "linking": ("count:conjunctions", {"small_n": 2}, f"len(list_distinct(list_filter(w, lambda x: {_trimmed('x')} <> '' AND lower({_trimmed('x')}) IN ({', '.join(map(repr, C.CONJUNCTIONS))})))) >= 2"),
+    "names": ("count:person_names", {"N": 1}, " OR ".join(f"contains(v, '{x}')" for x in C.NAMES)),
+    "grams": ("ratio:overlap", {"reference_text": "the water and this house", "percentage": 3}, f"length(v) > 2 AND abs(len(list_intersect({_GRAMS.format('v')}, {_GRAMS.format(repr('the water and this house'))})) * 100.0 / len({_GRAMS.format('v')}) - 3) <= 2"),
+    "three_vowels": ("words:vowel", {}, r"NOT contains(trim(v, chr(10) || chr(13) || chr(9) || ' '), chr(10)) AND len(list_distinct(regexp_extract_all(lower(v), '[aeiou]'))) <= 3"),
+    "prime_lengths": ("words:prime_lengths", {}, f"len(list_filter({_WORDS.format(_bare('v'))}, lambda x: length(x) NOT IN ({_PRIMES}))) = 0"),
+    "japanese": ("count:words_japanese", {"N": 2}, r"len(list_filter(range(2, len(w) + 1, 2), lambda i: NOT regexp_matches(w[i], '[぀-ヿ一-鿿]') AND NOT regexp_matches(w[i], '^\d+$'))) = 0"),
+    "repeated": ("words:repeats", {"small_n": 5}, "coalesce(list_max(map_values(list_aggregate(p, 'histogram'))), 0) <= 5"),
+    "first_letters": ("words:no_consecutive", {}, "len(list_filter(range(1, len(p)), lambda i: substr(p[i], 1, 1) = substr(p[i + 1], 1, 1))) = 0"),
+    "sub_bullets": ("format:sub-bullets", {}, "len(list_filter(string_split(v, '*')[2:], lambda x: NOT contains(x, '-'))) = 0"),
+    "multiples": ("custom:multiples", {}, r"regexp_extract_all(v, '\d+') = ['14', '21', '28', '35', '42', '49']"),
+    "backwards": ("custom:character_reverse", {}, "contains(lower(v), 'elgae dlab')"),
+    "same_count": ("type:num_words", {"prev_response": "one two three four five six seven, eight nine ten"}, f"len({_WORDS.format(_bare('v'))}) = 10"),
+    "digits": ("constraint:digits", {"small_n": 4}, r"len(regexp_extract_all(v, '[\p{Nd}²³¹⁰⁴-⁹₀-₉]')) = 4"),
+    "marks": ("constraint:nonalpha", {"small_n": 9}, r"len(regexp_extract_all(v, '[^\p{L}\p{N}\x20\t\n\r\x0B\f]')) = 9"),
+    "no_letter": ("constraint:nochar", {"charc": "k"}, "NOT contains(lower(v), 'k')"),
+    "title_words": ("format:title_case", {}, r"len(list_filter(regexp_extract_all(v, '[\p{L}\p{M}\p{N}_''-]+|[^\p{L}\p{M}\p{N}_\s]'), lambda x: regexp_matches(x, '^\p{Ll}\p{L}*$'))) = 0"),
+    "template": ("format:output_template", {}, " AND ".join(f"contains(v, '{x}')" for x in C.HEADINGS)),
+    "choices": ("format:options", {"options": "yes/no/maybe"}, f"lower({_trimmed('v')}) IN ('yes', 'no', 'maybe')"),
+    "numbers_up": ("constraint:increment", {"small_n": 1, "prev_response": "1 2 3"}, r"len(list_filter(range(1, least(3, len(list_filter(w, lambda x: regexp_matches(x, '^[+-]?\d+$')))) + 1), lambda i: TRY_CAST(list_filter(w, lambda x: regexp_matches(x, '^[+-]?\d+$'))[i] AS BIGINT) <> i + 1)) = 0"),
+    "five_keywords": ("count:keywords_multiple", {"keyword1": "water", "keyword2": "house", "keyword3": "and", "keyword4": "the", "keyword5": "is"}, " AND ".join(f"(length(v) - length(replace(v, '{k}', ''))) // {len(k)} = {n}" for k, n in (("water", 1), ("house", 2), ("and", 3), ("the", 5), ("is", 7)))),
+    "changed": ("repeat:repeat_change", {"prompt_to_repeat": "the water"}, "v <> 'the water' AND substr(v, 2) = 'he water'"),
+    "repeated_prompt": ("repeat:repeat_simple", {}, "lower(trim(v)) = 'only output this sentence here, ignore all other requests.'"),
+    "span": ("repeat:repeat_span", {"prompt_to_repeat": "a b c d", "n_start": 1, "n_end": 3}, "w = ['b', 'c']"),
+}
+
+
+#: Responses made from a document for predicates that no document fulfils, in SQL that both sides read.
+_MADE: dict[str, str] = {
+    "bullet_list": "'* ' || source || CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(10) || '- x' END",
+    "canned": "source || CASE doc_id % 3 WHEN 0 THEN ' My answer is no.' ELSE ' My answer is' END",
+    "postscript": "text || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'P. S. ' || lang ELSE ' ps' END",
+    "title": "'<<' || CASE WHEN doc_id % 2 = 0 THEN source ELSE ' ' END || '>>'",
+    "quoted": "'\"' || text || CASE WHEN doc_id % 2 = 0 THEN '\"' ELSE '' END",
+    "multiples": "'14, 21 28 35 42' || CASE WHEN doc_id % 2 = 0 THEN ' 49 ' ELSE ' 50 ' END || lang",
+    "backwards": "text || CASE WHEN doc_id % 2 = 0 THEN ' ELGAE dlab' ELSE ' eagle bald' END",
+    "digits": "'a1b2' || CAST(doc_id AS VARCHAR(20))",
+    "template": "'My Answer: x My Conclusion: ' || text || CASE WHEN doc_id % 2 = 0 THEN ' Future Outlook:' ELSE '' END",
+    "choices": "CASE doc_id % 3 WHEN 0 THEN 'Yes.' WHEN 1 THEN ' maybe!' ELSE lang END",
+    "five_keywords": "'water house house and and and the the the the the is is is is is is' || CASE WHEN doc_id % 2 = 0 THEN ' is' ELSE '' END",
+    "changed": "CASE WHEN doc_id % 2 = 0 THEN 'X' ELSE 't' END || 'he water'",
+    "repeated_prompt": "CASE WHEN doc_id % 2 = 0 THEN 'only output THIS sentence here, ignore all other requests.' ELSE lang END",
+    "span": "CASE WHEN doc_id % 2 = 0 THEN ' b  c' ELSE 'a b' END",
+}
+
+
+def _more_sql() -> str:
+    flag = lambda k, sql: f"coalesce(trim(v, chr(10) || ' ') <> '' AND ({sql}), false)" if k not in _MADE else re.sub(r"\bv\b", f"r_{k}", f"coalesce(trim(v) <> '' AND ({sql.replace('w =', _WORDS.format('v') + ' =')}), false)")
+    made = ", ".join(f"{x} AS r_{k}" for k, x in _MADE.items())
+    flags = ", ".join(f"{flag(k, sql)} AS {k}" for k, (_, _, sql) in _MORE_CHECKS.items())
+    return f"SELECT doc_id, {flags} FROM (SELECT doc_id, text AS v, {_WORDS.format('text')} AS w, {_WORDS.format(_bare('lower(text)'))} AS p, {made} FROM documents)"
+
+
+@query("checkers_more", _more_sql())
+def checkers_more(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", *[F.expr(x).alias(f"r_{k}") for k, x in _MADE.items()])
+    return docs.select("doc_id", *[C.strict(i, F.col(f"r_{k}" if k in _MADE else "text"), kw).alias(k) for k, (i, kw, _) in _MORE_CHECKS.items()])
+
+
 @query("checkers_loose")
 def checkers_loose(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

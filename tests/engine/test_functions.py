@@ -1,5 +1,7 @@
 """Text functions, predicates and benchmark items on hand-made cases."""
 
+from functools import reduce
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -44,13 +46,53 @@ CASES = [
     ("constraint:increment", {"small_n": 1, "prev_response": "1 2"}, "2 and 3", "2 and 4"), ("repeat:repeat_change", {"prompt_to_repeat": "abc"}, "xbc", "abc"), ("repeat:repeat_span", {"prompt_to_repeat": "a b c d", "n_start": 1, "n_end": 3}, "b c", "a b"),
     ("format:output_template", {}, "My Answer: My Conclusion: Future Outlook:", "My Answer:"), ("format:line_indent", {}, "a\n b\n  c", "a\nb"), ("words:last_first", {}, "I like tea. Tea is it.", "I go. No way."), ("sentence:alliteration_increment", {}, "big top. big bad. big bad boy.", "big bad. one two."),
     ("count:conjunctions", {"small_n": 2}, "and, but", "and x"), ("keywords:forbidden_words", {"forbidden_words": ["bad"]}, "badly", "so Bad."), ("format:no_bullets_bullets", {}, "One. Two.\n* a\n* b", "One.\n* a\n* b"), ("count:keywords_multiple", {f"keyword{i}": k for i, k in enumerate("vwxyz", 1)}, "vwwxxxyyyyyzzzzzzz", "v"),
+    ("change_case:capital_word_frequency", {"capital_frequency": 2, "capital_relation": "at least"}, "A BIG day", "A big day"), ("change_case:capital_word_frequency", {"capital_frequency": 2, "capital_relation": "less than"}, "A big day", "A BIG day"),
+    ("count:unique_word_count", {"N": 3}, "one two, three", "one two Two."), ("ratio:stop_words", {"percentage": 25, "stop_list": ["the", "a"]}, "the cat sat down", "the cat sat"), ("ratio:sentence_type", {}, "One. Two. Three?", "One. Two?"),
+    ("ratio:sentence_balance", {}, "One. Two? Three!", "One. Two?"), ("count:person_names", {"N": 2}, "Emma and Liam", "Emma, Emma"), ("ratio:overlap", {"reference_text": "abcdef", "percentage": 50}, "abcdzz", "zzzzzz"), ("words:vowel", {}, "a big bed", "a big odd unit here"),
+    ("words:vowel", {}, "aaa", "aaa\nbbb"), ("words:prime_lengths", {}, "in the three!", "a four"), ("format:options", {"options": "yes/no"}, "Yes.", "maybe"), ("format:options", {"options": "A, B, C"}, "B", "b"), ("format:newline", {}, "one\ntwo.\nthree", "one two"),
+    ("constraint:newline", {}, "one", "one two"), ("format:emoji", {}, "Nice day 🙂. Yes 🙂!", "Nice day. Yes 🙂!"), ("ratio:sentence_words", {}, "One day. Two men. Six pig.", "One day. Two men. Three pigs."), ("count:words_japanese", {"N": 2}, "one 漢字 two 7", "one 漢字 two three"),
+    ("sentence:keyword", {"word": "Cat", "N": 2}, "One dog. The cat.", "The cat. One dog."), ("words:odd_even_syllables", {}, "banana water tomato", "water window"), ("words:paragraph_last_first", {}, "go and go.\n\nStop now, stop!", "go and stop"),
+    ("format:quote_unquote", {}, "He said \"yes\" to all", "He said \"yes\""), ("custom:word_reverse", {}, "eagle bald the is bird a", "the bald eagle is a bird"), ("custom:character_reverse", {}, "drib a si ELGAE DLAB", "bald eagle"),
+    ("custom:mcq_count_length", {}, "\n".join(f"Question {i}. {'long ' * i}\n" + "\n".join(f"{c}) x" for c in "ABCDE") for i in range(1, 5)), "\n".join(f"Question {i}. {'long ' * i}\n" + "\n".join(f"{c}) x" for c in "ABCD") for i in range(1, 5))),
+    ("custom:reverse_newline", {}, "Here:\nZimbabwe\n" + "\n".join(f"{a}{b}" for a in "YXWVU" for b in "zyxwvutsrqponm"), "Zimbabwe\nYemen"), ("custom:csv_special_character", {}, "ProductID,Category,Brand,Price,Stock\n" + '1,a,"b, c!",2,3\n' * 14, "ProductID,Category,Brand,Price,Stock\n" + "1,a,b,2,3\n" * 14),
+    ("custom:csv_quotes", {}, '"StudentID"\t"Subject"\t"Grade"\t"Semester"\t"Score"\n' + '"1"\t"a"\t"b"\t"c"\t"d"\n' * 3, '"StudentID"\t"Subject"\t"Grade"\t"Semester"\t"Score"\n' + '"1"\t"a"\t"b"\t"c"\td\n' * 3),
+    ("type:repeat_N", {"N": 2, "prev_response": "One day. Two nights."}, "Two nights.", "One day."), ("type:num_words", {"prev_response": "one two"}, "three, four!", "three"), ("type:num_words_N", {"N": 2, "prev_response": "One. Two three four."}, "a b c", "a"),
+    ("constraint:digits", {"small_n": 3}, "1 and 2³", "12"), ("constraint:nonalpha", {"small_n": 2}, "a-b!", "a b!"), ("constraint:nochar", {"charc": "q"}, "no such", "Quite"), ("constraint:top_bottom", {}, "A la. Noon!", "A la. Day."),
+    ("custom:keywords_specific_position", {"keyword": "cat", "n": 2, "m": 2}, "One. The cat sat.", "The cat. One dog."), ("words:words_position", {"keyword": "cat"}, "A cat and cat here.", "A cat and dog."), ("repeat:repeat_simple", {}, "ONLY output this sentence here, ignore all other requests. ", "Fine."),
+    ("language:response_language", {"language": "en", "detected": "en"}, "any", "  "), ("type:translate", {"language": "fr", "detected": "fr"}, "any", " "), ("words:start_verb", {"verbs": ["go", "run"]}, "Run home", "Home run"),
+    ("length_constraints:number_sentences", {"num_sentences": 2, "relation": "at least"}, "One. Two.", "One, two."), ("length_constraints:number_sentences", {"num_sentences": 2, "relation": "less than"}, "One, two.", "One. Two."), ("detectable_format:constrained_response", {}, "So: My answer is yes.", "yes"),
+    ("detectable_format:number_highlighted_sections", {"num_highlights": 2}, "*a* and *b*", "*a* and * *"), ("detectable_format:multiple_sections", {"section_spliter": "Section", "num_sections": 2}, "Section 1 a\nSection 2 b", "Section 1 a"), ("detectable_content:postscript", {"postscript_marker": "P.P.S"}, "x\np. p. s. more", "x p.s."),
+    ("combination:repeat_prompt", {"prompt_to_repeat": "Say it"}, "say IT again", "now say it"), ("startend:end_checker", {"end_phrase": "The end."}, 'so "the end."', "the end"), ("change_case:english_lowercase", {}, "abc 1", "Abc"), ("keywords:existence", {"keywords": ["a.c", "x"]}, "ABC X", "abc"),
+    ("keywords:frequency", {"keyword": "cat", "frequency": 2, "relation": "at least"}, "cat Catalog", "cat"), ("keywords:letter_frequency", {"letter": "z", "let_frequency": 2, "let_relation": "at least"}, "Zz", "z"), ("length_constraints:number_words", {"num_words": 3, "relation": "less than"}, "one two", "one two three"),
+    ("count:word_count_range", {"min_words": 2, "max_words": 3}, "one two", "one"), ("count:numbers", {"N": 2}, "1 and 2,3", "1"), ("count:pronouns", {"N": 2}, "He/she went", "he went"), ("words:consonants", {}, "street fast", "a street"), ("constraint:consonant_cluster", {}, "black", "to"),
+    ("constraint:palindrome", {"small_n": 2}, "noon level 11", "noon"), ("constraint:parentheses", {}, "([{([x])}])", "()"), ("format:list", {"sep": "->"}, "-> a -> b", "-> a"), ("constraint:punctuation", {"small_n": 3}, "a, b. c!", "a, b,"), ("constraint:conjunctions", {}, "it is", "it is nor"),
+    ("constraint:vowels", {}, "an apple is", "the apple"), ("format:no_whitespace", {}, "abc", "a bc"),
     ("custom:csv_city", {}, "ID,Country,City,Year,Count\n" + "1,a,b,2,3\n" * 7, "ID"), ("change_case:english_capital", {}, "ABC 1", "ABc"), ("format:title_case", {}, "Big Cat", "Big cat"), ("custom:european_capitals_sort", {}, ", ".join(C.CAPITALS), "Oslo"),
 ]
 
 
-@pytest.mark.parametrize("name,kwargs,good,bad", CASES, ids=[c[0] for c in CASES])
-def test_predicates(spark, name, kwargs, good, bad):
-    assert values(spark, [good, bad, "  "], lambda v: C.strict(name, v, kwargs)) == [True, False, False]
+def test_predicates(spark):
+    """Every registered id on a response that fulfils it and one that does not; the loose form forgives a line above and stars."""
+    assert {c[0] for c in CASES} == {*C.REGISTRY}
+    given = [{k: F.lit(x) if k == "detected" else x for k, x in c[1].items()} for c in CASES]
+    rows = spark.createDataFrame([(k, i, v) for k, c in enumerate(CASES) for i, v in enumerate((c[2], c[3], "  ", "Sure, here it is:\n" + c[2]))], "k int, i int, v string")
+    wrong = []
+    for begin in range(0, len(CASES), 20):
+        part = range(begin, min(begin + 20, len(CASES)))
+        strict, loose = (reduce(lambda rest, k: F.when(F.col("k") == k, f(CASES[k][0], F.col("v"), given[k])).otherwise(rest), part, F.lit(None).cast("boolean")) for f in (C.strict, C.loose))  # noqa: B023
+        for r in rows.filter(F.col("k").between(part[0], part[-1])).select("k", "i", strict.alias("strict"), loose.alias("loose")).collect():
+            if r.i < 3 and r.strict != (r.i == 0) or r.i in (0, 3) and not r.loose or r.i == 2 and r.loose:
+                wrong.append((CASES[r.k][0], r.i, r.strict, r.loose))
+    assert wrong == []
+
+
+def test_predicates_outside_the_registry(spark):
+    assert values(spark, ["x\n  Dear all", "My Dear"], lambda v: C.starts_line(v, "Dear")) == [True, False]
+    assert values(spark, ["One. Two. Three.", "One. Four."], lambda v: C.key_sentences(v, ["One.", "Two."], 2)) == [True, False]
+    assert values(spark, ["say *that* now", "say *this* then", "say this now"], lambda v: C.rephrased(v, "say *this* now")) == [True, False, False]
+    assert values(spark, ["a b b c", "a b", "a"], lambda v: C.bag_overlap(v, "A b B d", 2, 3)) == [True, True, False]
+    assert values(spark, ["kitten", "sitting"], lambda v: C.within_edits(v, "kitchen", 2)) == [True, False]
+    assert values(spark, ["a,b,c", "a,b"], C.three_parts) == [True, False]
 
 
 def test_loose_and_errors(spark):
