@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from corvane.functions import checkers as C
 from corvane.functions import text as T
 from corvane.operators import chat, corpus, items, reports, results, scoring
+from corvane.operators.scans import numbered
 from corvane.plans.registry import _PACKED_SQL, _TOKENS_SQL, _packed, _tokens, _total, query, table
+from corvane.sources.shared import shared_path
+from corvane.streaming.counters import in_row_order, running_counters, write_all
 
 # ------------------------------------------------------------------ choices, scores, prompts
 
@@ -321,6 +324,16 @@ def logged_throughput(spark, sf_dir):
     return out.select("event_id", "steps", F.round("seconds", 6).alias("seconds"), F.round("tokens_per_second", 6).alias("tokens_per_second"))
 
 
+@query("streamed_throughput", "WITH w AS (SELECT user_id, event_id, event_id - lag(event_id) OVER v AS steps, (epoch_us(ts) - lag(epoch_us(ts)) OVER v) / 1e6 AS seconds FROM events WINDOW v AS (PARTITION BY user_id ORDER BY event_id)) SELECT event_id, event_id * 8 AS total_tokens, steps, round(seconds, 6) AS seconds, round(CASE WHEN seconds > 0 THEN steps * 8 / seconds END, 6) AS tokens_per_second FROM w")
+def streamed_throughput(spark, sf_dir):
+    """The same from a stream of all events in their order, with the runs' counters as state."""
+    log = numbered(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["event_id"], out="seq")
+    n, out = log.count(), shared_path(spark, "counters")
+    write_all(running_counters(in_row_order(log, n, n // 3 + 1, "seq"), "user_id", "event_id", "ts", 8), out, f"{out}-state")
+    rows = spark.read.parquet(out)
+    return rows.select(F.col("step").alias("event_id"), "total_tokens", "steps", F.round("seconds", 6).alias("seconds"), F.round("tokens_per_second", 6).alias("tokens_per_second"))
+
+
 @query("underfilled_shards", f"WITH {_PACKED_SQL} SELECT global_seq // 500 AS shard_id, count(*) AS filled, least(500, (SELECT count(*) FROM r) - 500 * (global_seq // 500)) AS expected FROM r WHERE global_seq % 1000 <> 3 GROUP BY 1 HAVING count(*) <> 500 AND count(*) <> (SELECT count(*) FROM r) % 500")
 def underfilled_shards(spark, sf_dir):
     """Rows that are missing, found by shard."""
