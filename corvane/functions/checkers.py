@@ -74,9 +74,9 @@ def _chars(v: Column) -> Column:
 
 
 @check("length_constraints:number_sentences")
-def number_sentences(v, num_sentences, relation):
-    """By the rule splitter; a trained splitter may count otherwise."""
-    return _relation(F.size(T.sentences(v)), relation, num_sentences)
+def number_sentences(v, num_sentences, relation, counted=None):
+    """By the rule splitter, or ``counted``: a column with the number that ``operators.sentences`` found by learned abbreviations."""
+    return _relation(F.size(T.sentences(v)) if counted is None else counted, relation, num_sentences)
 
 
 @check("length_constraints:number_words")
@@ -726,7 +726,7 @@ def no_white_space(v):
 
 @check("language:response_language", "type:translate")
 def response_language(v, language, detected):
-    """``detected``: a column with the language that was found; null counts as fitting."""
+    """``detected``: a column with the language that was found (as by ``operators.languages``); null counts as fitting."""
     return F.coalesce(detected == language, F.lit(True))
 
 
