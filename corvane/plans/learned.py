@@ -44,7 +44,7 @@ def abbreviations(spark, sf_dir):
     rf"""WITH {_STATISTICS}, e AS (SELECT doc_id, {_on(_NAME, "word")} AS name, {_on(_NAME, "after")} AS next, {_on(_CAPITAL, "after")} AS capital, regexp_matches({_on(_CORE, "word")}, '[!?]$') AS hard, NOT {_on(_STOP, "word")} AS stops
  FROM p WHERE after IS NOT NULL AND regexp_matches({_on(_CORE, "word")}, '[.!?…]$')),
 j AS (SELECT doc_id, NOT hard AND (name IN (SELECT name FROM a) OR stops OR regexp_matches(name, '^(\p{{L}}|0)$')) AS short, capital AND next IN (SELECT name FROM st WHERE n_small > 0 AND n_inside = 0) AS opens FROM e),
-c AS (SELECT doc_id, count(*) AS n FROM j WHERE NOT short OR opens GROUP BY 1)
+c AS (SELECT doc_id, count(*) AS n FROM j WHERE NOT short OR opens GROUP BY 1),
 k AS (SELECT doc_id, CAST(CASE WHEN coalesce(len(ws), 0) > 0 THEN 1 ELSE 0 END + coalesce(n, 0) AS BIGINT) AS n_sentences FROM w LEFT JOIN c USING (doc_id))
 SELECT doc_id, n_sentences, coalesce(trim(text, chr(10) || ' ') <> '' AND n_sentences >= 20, false) AS at_least_20 FROM k JOIN documents USING (doc_id)""",
 )
