@@ -1,13 +1,16 @@
-"""Queries of what is learned from the corpus: abbreviations and sentence counts, language profiles."""
+"""Queries of what is learned from the corpus (abbreviations and sentence counts, language profiles), of answers by subtask in whole texts, and of a written permutation."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from corvane.functions import checkers as C
-from corvane.operators import languages, sentences
+from corvane.functions import text as T
+from corvane.operators import corpus, languages, sentences
+from corvane.operators.scans import numbered
 from corvane.plans.registry import query, table
-from corvane.sources.shared import written
+from corvane.sources import writers
+from corvane.sources.shared import shared_path, written
 
 _CORE = r"""regexp_replace({0}, '^["''(\[{{“‘«]+|["'')\]}}”’»]+$', '', 'g')"""
 _NAME = rf"regexp_replace(lower(regexp_replace({_CORE}, '[.!?,;:…]+$', '')), '^[0-9]+$', '0')"
@@ -74,3 +77,76 @@ def response_languages(spark, sf_dir):
     language = languages.detector(languages.profiles(docs.filter("not held_out")))
     found = docs.withColumn("detected", language(F.col("text")))
     return found.select("doc_id", "held_out", "detected", C.strict("language:response_language", F.col("text"), {"language": "en", "detected": F.col("detected")}).alias("in_english"))
+
+
+#: The subtasks with an answer in each one's form, beside those of several choices.
+SUBTASKS = {
+    "boolean_expressions": "True",
+    "causal_judgement": "No",
+    "date_understanding": "(C)",
+    "disambiguation_qa": "B",
+    "dyck_languages": "] ) }",
+    "formal_fallacies": "invalid",
+    "geometric_shapes": "(K)",
+    "hyperbaton": "(A)",
+    "logical_deduction_five_objects": "(E)",
+    "logical_deduction_seven_objects": "(G)",
+    "logical_deduction_three_objects": "(B)",
+    "movie_recommendation": "(D)",
+    "multistep_arithmetic_two": "-17",
+    "navigate": "Yes",
+    "object_counting": "12",
+    "penguins_in_a_table": "**(B)**",
+    "reasoning_about_colored_objects": "$(F)$",
+    "ruin_names": "`(C)`",
+    "salient_translation_error_detection": "(E)",
+    "snarks": "(A)",
+    "sports_understanding": "no",
+    "temporal_sequences": "(D)",
+    "tracking_shuffled_objects_five_objects": "(E)",
+    "tracking_shuffled_objects_seven_objects": "(G)",
+    "tracking_shuffled_objects_three_objects": "(C)",
+    "web_of_lies": "yes",
+    "word_sorting": "apple pear plum",
+}
+_PHRASES = ("So the answer is %s.", "thus the ANSWER IS %s", "Answer: %s, I think", "my answer would then be %s", "%s it is")
+
+
+def _bbh_sql() -> str:
+    name = "CASE doc_id % 27 " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(SUBTASKS)) + " END"
+    answer = "CASE doc_id % 27 " + " ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(SUBTASKS.values())) + " END"
+    phrase = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '{p.split('%s')[0]}' || answer || '{p.split('%s')[1]}'" for i, p in enumerate(_PHRASES)) + " ELSE '' END"
+    found = []
+    for k in SUBTASKS:
+        pattern = T.BBH_ANSWERS.get(k, T.BBH_CHOICE)
+        last = lambda p, t="t": f"regexp_extract_all({t}, '{p}', 1)[-1]"
+        tries = [last((x % pattern).replace("(?id)", "(?i)")) for x in T.BBH_TEMPLATES]
+        if k not in T.BBH_ANSWERS:
+            tries.append(last(r"\b([A-Z])\b", r"regexp_replace(t, '[^\x00-\x7F]', 'x', 'g')"))
+        found.append(rf"WHEN '{k}' THEN coalesce({', '.join([*tries, last(f'(?i)({pattern})')])}, '')")
+    out = f"trim(CASE subtask {' '.join(found)} END)"
+    choice = "subtask NOT IN (" + ", ".join(f"'{k}'" for k in T.BBH_ANSWERS) + ")"
+    return rf"""WITH n AS (SELECT doc_id, text, {name} AS subtask, {answer} AS answer FROM documents), x AS (SELECT doc_id, subtask, text || chr(10) || {phrase} AS t FROM n),
+f AS (SELECT doc_id, subtask, {out} AS found FROM x), s AS (SELECT doc_id, subtask, CASE WHEN {choice} THEN regexp_replace(found, '^\((.*)\)$', '\1') ELSE found END AS bare, {choice} AS choice FROM f)
+SELECT doc_id, subtask, CASE WHEN choice AND bare <> '' THEN '(' || bare || ')' ELSE bare END AS answer FROM s"""
+
+
+@query("subtask_answers", _bbh_sql())
+def subtask_answers(spark, sf_dir):
+    """All 27 subtasks over whole documents that end in an answer, in five wordings or none."""
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("doc_id") % len(xs) + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", pick(list(SUBTASKS)).alias("subtask"), pick(list(SUBTASKS.values())).alias("answer"))
+    wording = F.coalesce(*[F.when(F.col("doc_id") % 6 == i, F.concat(F.lit(p.split("%s")[0]), "answer", F.lit(p.split("%s")[1]))) for i, p in enumerate(_PHRASES)], F.lit(""))
+    return docs.select("doc_id", "subtask", T.bbh_answers(F.concat("text", F.lit("\n"), wording), F.col("subtask")).alias("answer"))
+
+
+@query(
+    "source_places",
+    "WITH o AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS src_pos, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS out_pos FROM orders) SELECT src_pos, out_pos, out_pos // 500 AS out_shard, out_pos % 500 AS out_row FROM o",
+)
+def source_places(spark, sf_dir):
+    """Where each order lands when orders are written by date, 500 to a shard; the permutation is written and read as a table."""
+    orders = numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderkey"], out="src_pos")
+    placed = numbered(orders, ["o_orderdate", "o_orderkey"], out="out_pos").select(F.col("src_pos").cast("long"), F.col("out_pos").cast("long"))
+    order = spark.read.parquet(writers.write_permutation(placed, shared_path(spark, "permutation"), 42))
+    return corpus.source_places(order, 500)
