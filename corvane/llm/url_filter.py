@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 #: Host labels whose hosts are listed.
 LISTED_LABELS = ("casino-win", "cheap-pills", "free-bets", "spam-farm")
 BITS_PER_KEY, HASHES = 10, 7
-#: Listed keys of one shard; shards whose filters are broadcast at once (each under 2 MB at these sizes).
+#: Keys of one shard's filters, all levels together; shards whose filters are broadcast at once (each under 2 MB at these sizes).
 SHARD_KEYS, SHARDS_AT_ONCE = 1_000_000, 32
 
 
@@ -82,26 +82,18 @@ def _hashed(df: DataFrame, key: Column, shards: int) -> DataFrame:
 
 
 def _encode(keys: DataFrame, level: int) -> dict[int, np.ndarray]:
-    """One filter a shard for ``keys`` (shard, h1, h2): bits are set where the keys lie, then joined by OR."""
-    counts = {r["shard"]: r["count"] for r in keys.groupBy("shard").count().collect()}
-    size = {s: max(8, -(-n * BITS_PER_KEY // 8)) for s, n in counts.items()}
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
-        for batch in batches:
-            shard, h1, h2 = (batch.column(c).to_numpy() for c in ("shard", "h1", "h2"))
-            for s in np.unique(shard).tolist():
-                at = Cascade.places(h1[shard == s], h2[shard == s], level, 8 * size[s]).ravel()
-                np.bitwise_or.at(own.setdefault(s, np.zeros(size[s], np.uint8)), at >> 3, (1 << (at & 7)).astype(np.uint8))
-        if own:
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([x.tobytes() for x in own.values()], pa.binary())], ["shard", "bits"])
-
-    def union(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in pdf["bits"]])
+    """One filter a shard for ``keys`` (shard, h1, h2), each made in one task from the shard's keys, which are of bounded number."""
+
+    def bits(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(max(8, -(-len(pdf) * BITS_PER_KEY // 8)), np.uint8)
+        for first in range(0, len(pdf), 1 << 16):
+            some = pdf.iloc[first : first + (1 << 16)]
+            at = Cascade.places(some["h1"].to_numpy(), some["h2"].to_numpy(), level, 8 * len(out)).ravel()
+            np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
         return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "bits": [out.tobytes()]})
 
-    parts = keys.select("shard", "h1", "h2").mapInArrow(bits, "shard int, bits binary")
-    return {r.shard: np.frombuffer(r.bits, np.uint8) for r in parts.groupBy("shard").applyInPandas(union, "shard int, bits binary").collect()}
+    made = keys.select("shard", "h1", "h2").groupBy("shard").applyInPandas(bits, "shard int, bits binary")
+    return {r.shard: np.frombuffer(r.bits, np.uint8) for r in made.collect()}
 
 
 def _asked(held: Broadcast, level: int | None) -> Callable[..., Column]:
@@ -114,11 +106,21 @@ def _asked(held: Broadcast, level: int | None) -> Callable[..., Column]:
     return F.pandas_udf(run, "boolean")
 
 
+def shards_for(listed: int, others: int) -> int:
+    """Shards that keep the keys of all filters of one at about SHARD_KEYS: each level passes its share of mistakes on from the level two before.
+
+    Of m keys that are not in a filter of b bits a key and h hashes m * (1 - exp(-h / b)) ** h are taken for its own.
+    """
+    mistakes = (1 - math.exp(-HASHES / BITS_PER_KEY)) ** HASHES
+    held = (listed + (mistakes * others if listed else 0)) / (1 - mistakes)
+    return max(1, math.ceil(held / SHARD_KEYS))
+
+
 def build_cascade(universe: DataFrame, shards: int) -> Cascade:
     """A cascade over ``universe`` (shard, h1, h2, listed), which holds every key that will be asked for, once.
 
-    Levels alternate until none takes a wrong key.  Filters have BITS_PER_KEY bits a key, so
-    those of the shards passed here stay under SHARDS_AT_ONCE * SHARD_KEYS keys' worth.
+    Levels alternate until none takes a wrong key.  Filters have BITS_PER_KEY bits a key; with as many shards as
+    ``shards_for`` says those of SHARDS_AT_ONCE stay at about that many times SHARD_KEYS keys' worth, 40 MB, however many keys are not listed.
     """
     cascade, turn = Cascade(shards), True
     inside, outside = universe.filter("listed"), universe.filter("not listed")
@@ -139,7 +141,7 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, labels: tuple = LISTED_LA
     labels, and those of ``listed``, a table of lower-case hosts (host), of any size, which may hold nulls, repeats and hosts that no page has.  The
     list's membership comes from a Bloom filter cascade, exact for every host of the corpus: no
     join with the pages.  Hosts are counted once each, so a common host costs nothing more.
-    Keys are dealt over shards of bounded size; when there are more shards than may be
+    Keys are dealt over shards, as many as the listed hosts and the mistakes expected of the others need; when there are more shards than may be
     broadcast at once, the pages are judged in several passes, each for its shards.
     Null urls and urls without ``://`` have empty host and path, no rule, and are allowed.
     """
@@ -152,7 +154,8 @@ def judge_urls(pages: DataFrame, rules: tuple = RULES, labels: tuple = LISTED_LA
         keys = listed.select(F.col("host").alias("key")).filter("key is not null").distinct()
         hosts = hosts.join(keys, F.col("host") == F.col("key"), "left").select("host", (F.col("listed") | F.col("key").isNotNull()).alias("listed"))
     universe = cut(_hashed(hosts, F.col("host"), 1).drop("shard"), "hosts")
-    shards = max(1, -(-universe.filter("listed").count() // SHARD_KEYS))
+    n_listed, n_others = universe.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
+    shards = shards_for(n_listed, n_others)
     universe = cut(_hashed(universe.drop("h1", "h2"), F.col("host"), shards), "hosts-dealt") if shards > 1 else universe.withColumn("shard", F.lit(0))
     rows = _hashed(rows.select("id", host.alias("host"), path.alias("path")), F.col("host"), shards)
     out = None

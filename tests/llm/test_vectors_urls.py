@@ -122,6 +122,24 @@ def test_cascade_is_exact(spark, monkeypatch):
     assert (cascade.listed(rows.shard.to_numpy(), rows.h1.to_numpy(), rows.h2.to_numpy()) == rows.listed.to_numpy()).all()
 
 
+def test_shards_follow_both_sides(spark, monkeypatch):
+    """Few listed hosts and many others: the even levels hold the others' mistakes, and no filter grows with them."""
+    assert url_filter.shards_for(0, 10**12) == url_filter.shards_for(10, 10**6) == 1
+    assert url_filter.shards_for(10**6, 10**10) > 50 and url_filter.shards_for(5 * 10**6, 0) > 5
+    made = []
+    keep = url_filter._encode
+    monkeypatch.setattr(url_filter, "_encode", lambda *args: made.append(keep(*args)) or made[-1])
+    monkeypatch.setattr(url_filter, "SHARD_KEYS", 100)
+    monkeypatch.setattr(url_filter, "SHARDS_AT_ONCE", 2)
+    monkeypatch.setattr(url_filter, "BITS_PER_KEY", 4)
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit(".example/")).alias("url"))
+    keys = spark.range(0, 6000, 300).select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".example")).alias("host"))
+    got = {r.page_id for r in judge_urls(pages, listed=keys).filter("listed").collect()}
+    assert got == set(range(0, 6000, 300))
+    assert 5 < len({s for level in made for s in level}) <= url_filter.shards_for(20, 5980)
+    assert max(len(x) for level in made for x in level.values()) <= 2 * 100 * 4 // 8
+
+
 def test_hosts_of_a_table_are_listed(spark):
     """Keys beside the labels, with nulls, repeats and hosts that no page has; common and empty hosts, repeated ids and clashing columns."""
     urls = ["http://a.example/x", "https://B.example/", "ftp://c.example", None, "nothing", "http://a.example/y", "http://casino-win.example/"]
