@@ -24,8 +24,8 @@ FUNCTIONS, TABLES, WIDTH = 7, 4, 2.3
 CHANCE = 0.5
 #: Vectors of the sample that the distance is taken from, and the queries among them.
 SAMPLE, SAMPLE_QUERIES = 4096, 256
-#: Rows of a bucket that one group takes; a larger bucket is split.
-BUCKET_ROWS = 20_000
+#: Rows that one group takes, of one bucket or of several, and queries: larger buckets are split, and so are a group's queries.
+BUCKET_ROWS, GROUP_QUERIES = 20_000, 20_000
 
 
 def _finite(vector: Column) -> Column:
@@ -33,17 +33,17 @@ def _finite(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~F.exists(vector, bad)
 
 
-def _blobs(df: DataFrame, columns: str) -> DataFrame:
-    """The array column ``vec`` as bytes of doubles."""
+def _blobs(df: DataFrame, kind: str) -> DataFrame:
+    """The array column ``vec`` as bytes of numbers of a kind, without negative zeros."""
     kinds = ", ".join(f"{f.name} {'binary' if f.name == 'vec' else f.dataType.simpleString()}" for f in df.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.names.index("vec")
-            rows = [np.asarray(x, "<f8").tobytes() for x in batch.column(at).to_pylist()]
+            rows = [(np.asarray(x, kind) + np.dtype(kind).type(0)).tobytes() for x in batch.column(at).to_pylist()]
             yield batch.set_column(at, "vec", pa.array(rows, pa.binary()))
 
-    return df.mapInArrow(run, kinds).select(*columns.split())
+    return df.mapInArrow(run, kinds)
 
 
 def _phi(z: np.ndarray) -> np.ndarray:
@@ -94,21 +94,26 @@ def usual_distance(sample: np.ndarray, k: int = 10) -> float:
     return float(np.median(found)) or float(np.mean(found)) or 1.0
 
 
-def _nearest(k: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _nearest(k: int, kind: str) -> Callable[[tuple, pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Of each query the k nearest rows of a group among those in the buckets it asks for, ties to the smaller key."""
+
     def run(key: tuple, base: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(base) and len(asked):
             dims = base["vec"].str.len()
             for dim in dims.unique():
-                rows = base[dims == dim].sort_values("vkey")
-                x, keys, ids = np.stack([np.frombuffer(v, "<f8") for v in rows["vec"]]), rows["vkey"].to_numpy(), rows["ids"].to_numpy()
-                for qkey, vec in zip(asked["qkey"], asked["qvec"], strict=True):
+                rows = base[dims == dim].sort_values("code")
+                x = np.stack([np.frombuffer(v, kind) for v in rows["vec"]]).astype(np.float64)
+                code, keys, ids = rows["code"].to_numpy(), rows["vkey"].to_numpy(), rows["ids"].to_numpy()
+                for qkey, vec, codes in zip(asked["qkey"], asked["qvec"], asked["codes"], strict=True):
                     if len(vec) == dim:
-                        d = np.sqrt(((x - np.frombuffer(vec, "<f8")) ** 2).sum(1))
+                        ends = np.searchsorted(code, codes, "left"), np.searchsorted(code, codes, "right")
+                        own = np.concatenate([np.arange(a, b) for a, b in zip(*ends, strict=True)])
+                        d = np.sqrt(((x[own] - np.frombuffer(vec, kind).astype(np.float64)) ** 2).sum(1))
                         last = np.partition(d, k - 1)[k - 1] if len(d) > k else np.inf
                         near = np.flatnonzero(d <= last)
-                        near = near[np.argsort(d[near], kind="stable")][:k]
-                        out.extend((qkey, keys[i], d[i], ids[i]) for i in near)
+                        near = near[np.lexsort((keys[own[near]], d[near]))][:k]
+                        out.extend((qkey, keys[own[i]], d[i], ids[own[i]]) for i in near)
         return pd.DataFrame(out, columns=["qkey", "vkey", "score", "ids"])
 
     return run
@@ -118,31 +123,38 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, id_col
     """The k nearest found of every row whose id is divisible by ``every``: query_id, rank, vec_id, score.
 
     Equal vectors are one candidate with its k + 1 smallest ids, so that a vector held by
-    a third of all rows costs one.  Candidates of a bucket meet the bucket's queries in
-    one group and only the nearest k + 1 leave it, with exact distances; large buckets
-    are split.  A query for which fewer than k others turn up is compared with all
+    a third of all rows costs one; they are known by 128-bit digests.  Buckets share groups of bounded size, and large ones are
+    split; a group gets each query once, with the buckets it asks for, and only the nearest k + 1
+    leave it, with exact distances.  Probes travel without vectors until their bucket is known to
+    exist.  A query for which fewer than k others turn up is compared with all
     vectors, in blocks.  Null, zero and non-finite vectors, and null ids, take no part; rows
     repeated with the same id and vector count once; vectors of other lengths are not compared.
+    Vectors travel as they are stored, in single precision if that is their type; distances are in double precision.
     """
     spark, keep = vectors.sparkSession, k + 1
-    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].cast("array<double>").alias("vec")).filter(F.col("id").isNotNull() & _finite(F.col("vec")) & F.exists("vec", lambda x: x != 0)).distinct()
-    first = Window.partitionBy("vec").orderBy("id")
-    few = rows.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= keep)
-    classes = cut(_blobs(few.groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("vkey", F.col("ids")[0]), "vkey vec ids"), "ann-classes")
-    asked = rows.filter(F.col("id") % every == 0)
-    asked = cut(_blobs(asked.withColumnRenamed("id", "query_id"), "query_id vec").join(classes.select("vec", F.col("vkey").alias("qkey")), "vec").select("query_id", "qkey", "vec"), "ann-queries")
+    kind = "<f4" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "<f8"
+    vec = vectors[vec_col].cast("array<float>" if kind == "<f4" else "array<double>")
+    rows = vectors.select(vectors[id_col].cast("long").alias("id"), vec.alias("vec")).filter(F.col("id").isNotNull() & _finite(F.col("vec")) & F.exists("vec", lambda x: x != 0))
+    rows = cut(_blobs(rows, kind).withColumn("name", F.unhex(F.md5("vec"))), "ann-vectors")
+    first = Window.partitionBy("name").orderBy("id")
+    few = rows.select("id", "name").distinct().withColumn("n", F.row_number().over(first)).filter(F.col("n") <= keep)
+    heads = few.groupBy("name").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("vkey", F.col("ids")[0])
+    classes = cut(rows.groupBy("name").agg(F.first("vec").alias("vec")).join(heads, "name"), "ann-classes")
+    asked = rows.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "name", "vec").dropDuplicates(["query_id", "name"])
+    asked = cut(asked.join(classes.select("name", F.col("vkey").alias("qkey")), "name").select("query_id", "qkey", "vec"), "ann-queries")
     wanted = asked.groupBy("qkey").agg(F.first("vec").alias("qvec"))
-    sample = [np.frombuffer(r.vec, "<f8") for r in classes.orderBy(F.xxhash64("vkey"), "vkey").limit(SAMPLE).collect()]
+    sample = [np.frombuffer(r.vec, kind).astype(np.float64) for r in classes.select("vkey", "vec").orderBy(F.xxhash64("vkey"), "vkey").limit(SAMPLE).collect()]
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = max({len(x) for x in sample}, key=[len(x) for x in sample].count)
     index = PStable(dim, usual_distance(np.stack([x for x in sample if len(x) == dim])))
+    size = dim * np.dtype(kind).itemsize
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fit = batch.filter(pa.array([len(v) == 8 * index.directions.shape[1] for v in batch.column("vec").to_pylist()], pa.bool_()))
+            fit = batch.filter(pa.array([len(v) == size for v in batch.column("vec").to_pylist()], pa.bool_()))
             if fit.num_rows:
-                x = np.stack([np.frombuffer(v, "<f8") for v in fit.column("vec").to_pylist()])
+                x = np.stack([np.frombuffer(v, kind) for v in fit.column("vec").to_pylist()]).astype(np.float64)
                 for t in range(index.tables):
                     code = index.codes(np.floor(index.cells(t, x)))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), t, np.int32)), pa.array(code), *(fit.column(c) for c in ("vkey", "vec", "ids"))], ["t", "code", "vkey", "vec", "ids"])
@@ -150,23 +162,33 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, id_col
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for qkey, vec in zip(batch.column("qkey"), batch.column("qvec"), strict=True):
-                x = np.frombuffer(vec.as_py(), "<f8")
-                for t in range(index.tables) if len(x) == index.directions.shape[1] else ():
+                x = np.frombuffer(vec.as_py(), kind).astype(np.float64)
+                for t in range(index.tables) if len(x) == dim else ():
                     code = np.unique(index.probes(t, x, chance))
-                    n = len(code)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(code), pa.array([qkey.as_py()] * n, pa.int64()), pa.array([vec.as_py()] * n, pa.binary())], ["t", "code", "qkey", "qvec"])
-
-    def meet(base: DataFrame, probes: DataFrame) -> DataFrame:
-        key = ["t", "code", "part"]
-        return base.groupBy(*key).cogroup(probes.groupBy(*key)).applyInPandas(_nearest(keep), "qkey long, vkey long, score double, ids array<long>")
-
-    base = cut(classes.mapInArrow(post, "t int, code long, vkey long, vec binary, ids array<long>"), "ann-postings")
-    sizes = base.groupBy("t", "code").count()
-    parts = cut(sizes.select("t", "code", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("parts")), "ann-buckets")
-    large = parts.select(F.col("t").alias("t"), F.col("code").alias("code"), F.col("parts").alias("split")).filter("split > 1")
-    base = base.join(large, ["t", "code"], "left").withColumn("part", F.pmod(F.xxhash64("vkey"), F.coalesce("split", F.lit(1))).cast("int"))
-    probes = wanted.mapInArrow(probe, "t int, code long, qkey long, qvec binary").join(parts, ["t", "code"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    found = cut(meet(base, probes).dropDuplicates(["qkey", "vkey"]), "ann-found")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), t, np.int32)), pa.array(code), pa.array([qkey.as_py()] * len(code), pa.int64())], ["t", "code", "qkey"])
+
+    def meet(base: DataFrame, asked: DataFrame) -> DataFrame:
+        """Rows (code, vkey, vec, ids) and queries (qkey, qvec, codes) of the same group: t, at, part."""
+        key = ["t", "at", "part"]
+        loads = cut(asked.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / GROUP_QUERIES).cast("int").alias("turns")).filter("turns > 1"), "ann-loads")
+        split = F.coalesce("turns", F.lit(1))
+        asked = asked.join(loads, key, "left").withColumn("turn", F.pmod(F.xxhash64("qkey"), split).cast("int")).drop("turns")
+        base = base.join(loads, key, "left").withColumn("turn", F.explode(F.sequence(F.lit(0), split - 1))).drop("turns")
+        key = [*key, "turn"]
+        return base.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(_nearest(keep, kind), "qkey long, vkey long, score double, ids array<long>")
+
+    base = cut(classes.select("vkey", "vec", "ids").mapInArrow(post, "t int, code long, vkey long, vec binary, ids array<long>"), "ann-postings")
+    total = classes.count()
+    buckets = cut(base.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("split")), "ann-buckets")
+    groups = max(1, math.ceil(2 * total / BUCKET_ROWS))
+    shared = F.pmod(F.xxhash64("code"), F.lit(groups))
+    base = base.join(buckets.filter("split > 1"), ["t", "code"], "left")
+    base = base.withColumns({"at": F.when(F.col("split") > 1, F.col("code")).otherwise(shared), "part": F.when(F.col("split") > 1, 1 + F.pmod(F.xxhash64("vkey"), F.col("split")).cast("int")).otherwise(0)}).drop("split")
+    probes = wanted.mapInArrow(probe, "t int, code long, qkey long").join(buckets, ["t", "code"])
+    parts = F.when(F.col("split") > 1, F.sequence(F.lit(1), F.col("split"))).otherwise(F.array(F.lit(0)))
+    probes = probes.select("t", F.when(F.col("split") > 1, F.col("code")).otherwise(shared).alias("at"), F.explode(parts).alias("part"), "qkey", "code")
+    probes = cut(probes.groupBy("t", "at", "part", "qkey").agg(F.collect_list("code").alias("codes")), "ann-probes")
+    found = cut(meet(base, probes.join(wanted, "qkey")).dropDuplicates(["qkey", "vkey"]), "ann-found")
 
     def ranked(found: DataFrame) -> DataFrame:
         own = Window.partitionBy("qkey").orderBy("score", "vkey")
@@ -176,12 +198,11 @@ def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, id_col
         return best.groupBy("qkey").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("best"))
 
     best = ranked(found)
-    total = classes.count()
     short = wanted.join(best.filter(F.size("best") >= keep).select("qkey"), "qkey", "left_anti")
-    blocks = max(1, math.ceil(total / BUCKET_ROWS))
+    blocks, none = max(1, math.ceil(total / BUCKET_ROWS)), F.lit(0).cast("long")
     whole = meet(
-        classes.withColumns({"t": F.lit(-1), "code": F.pmod(F.xxhash64("vkey"), F.lit(blocks)).cast("long"), "part": F.lit(0)}),
-        short.withColumns({"t": F.lit(-1), "code": F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))), "part": F.lit(0)}),
+        classes.select("vkey", "vec", "ids").withColumns({"t": F.lit(-1), "at": F.pmod(F.xxhash64("vkey"), F.lit(blocks)).cast("long"), "part": F.lit(0), "code": none}),
+        short.withColumns({"t": F.lit(-1), "at": F.explode(F.sequence(none, F.lit(blocks - 1).cast("long"))), "part": F.lit(0), "codes": F.array(none)}),
     )
     best = ranked(found.join(short, "qkey", "left_anti").unionByName(whole))
     others = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k)

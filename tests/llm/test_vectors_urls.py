@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.llm import url_filter
+from corvane.llm import vectors as vectors_module
 from corvane.llm import vectors as searches
 from corvane.llm.url_filter import build_cascade, judge_urls
 from corvane.llm.vectors import BitSliced, nearest_neighbours, top_products
@@ -45,6 +46,23 @@ def test_few_vectors_are_all_found(spark):
     assert found == [(0, 1, 100), (0, 2, 2), (0, 3, 1), (100, 1, 0), (100, 2, 2), (100, 3, 1)]
 
 
+def test_split_buckets_and_queries_find_the_same(spark, monkeypatch):
+    """Buckets in parts, several to a group and queries in turns give the rows of one group; negative zeros, doubles and other lengths too."""
+    df, _ = vectors(spark, 300)
+    odd = [(i, [0.1, v] if i % 3 else [0.5], 0) for i, v in zip(range(10000, 10400, 20), [0.0, -0.0, 2.5, 7.0] * 5, strict=True)]
+    df = df.select("vec_id", "embedding").unionByName(spark.createDataFrame(odd, SCHEMA).select("vec_id", "embedding"))
+    both = [df, df.withColumn("embedding", F.col("embedding").cast("array<double>"))]
+    want = [sorted(map(tuple, nearest_neighbours(d, 20).collect())) for d in both]
+    assert [r[:3] for r in want[0]] == [r[:3] for r in want[1]] and np.allclose([r[3] for r in want[0]], [r[3] for r in want[1]], atol=1e-6)
+    by_length = {i: len(v) for i, v, _ in odd}
+    short = [r for r in want[0] if r[0] >= 10000]
+    assert {r[0] for r in short} == set(by_length) and all(by_length[r[0]] == by_length[r[2]] for r in short)
+    assert len(short) == sum(min(10, list(by_length.values()).count(n) - 1) for n in by_length.values())
+    monkeypatch.setattr(vectors_module, "BUCKET_ROWS", 10)
+    monkeypatch.setattr(vectors_module, "GROUP_QUERIES", 2)
+    assert sorted(map(tuple, nearest_neighbours(both[0], 20).collect())) == want[0]
+
+
 def test_empty_vectors(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert nearest_neighbours(none).count() == 0 and top_products(none).count() == 0
