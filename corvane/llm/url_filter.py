@@ -77,8 +77,8 @@ class Cascade:
 
 
 def _hashed(df: DataFrame, key: Column, shards: int) -> DataFrame:
-    out = df.withColumns({"h1": F.xxhash64(key), "h2": F.xxhash64(key, F.lit(1))})
-    return out.withColumn("shard", F.pmod(F.xxhash64(key, F.lit(2)), F.lit(shards)).cast("int"))
+    out = df.withColumns({"h1": F.xxhash64(key), "h2": F.xxhash64(F.lit(1), key)})
+    return out.withColumn("shard", F.pmod(F.xxhash64(F.lit(2), key), F.lit(shards)).cast("int"))
 
 
 def _encode(keys: DataFrame, level: int) -> dict[int, np.ndarray]:
