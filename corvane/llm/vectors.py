@@ -19,9 +19,9 @@ from corvane.llm.common import cut
 # ---------------------------------------------------------------- approximate nearest neighbours
 
 #: Hash functions a table, tables, cell width as a multiple of the usual neighbour distance.
-FUNCTIONS, TABLES, WIDTH = 7, 4, 2.3
+FUNCTIONS, TABLES, WIDTH = 7, 2, 2.3
 #: A query's probes of a table go on, likeliest bucket first, until this estimated chance that a neighbour is in one of them.
-CHANCE = 0.5
+CHANCE = 0.75
 #: Vectors of the sample that the distance is taken from, and the queries among them.
 SAMPLE, SAMPLE_QUERIES = 4096, 256
 #: Rows that one group takes, of one bucket or of several, and queries: larger buckets are split, and so are a group's queries.
