@@ -128,7 +128,8 @@ def epoch_order(spark, n: int, batch: int, steps: int, seed: int) -> DataFrame:
                     place = np.arange(at, at + len(part))
                     yield pd.DataFrame({"step": first + place // batch, "slot": (place % batch).astype(np.int32), "row_id": part})
 
-    return spark.range(1, numPartitions=1).mapInPandas(draw, "step long, slot int, row_id long")
+    # Spark takes what one task draws for a small table; without the hint a join would broadcast it through the driver.
+    return spark.range(1, numPartitions=1).mapInPandas(draw, "step long, slot int, row_id long").hint("merge")
 
 
 def repeats_too_much(tokens: Column, max_period: int = 13, min_period: int = 1, max_count: int = 32) -> Column:

@@ -62,6 +62,14 @@ def test_batches_and_resume(spark):
         corpus.epoch_order(spark, 3, 4, 1, 0)
 
 
+def test_an_epoch_order_is_not_broadcast(spark):
+    """A join with it shuffles: the driver holds no order."""
+    order = corpus.epoch_order(spark, 1000, 4, 500, 3)
+    rows = spark.range(1000).withColumnRenamed("id", "row_id")
+    joined = order.join(rows, "row_id").groupBy("step").count()
+    assert joined.count() == 500 and "Broadcast" not in joined._jdf.queryExecution().toString()
+
+
 def test_render_and_mask(spark):
     rows = [(1, 0, "system", "S"), (1, 1, "user", "U"), (1, 2, "assistant", "A"), (1, 3, "tool", "no"), (1, 4, "assistant", "B"), (2, 0, "user", "only")]
     chats = chat.messages(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string"))
