@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.operators.scans import running
-from corvane.sources.writers import exists, put_text
+from corvane.sources.shared import shared_path
+from corvane.sources.writers import delete, exists, names_in, put_text
 
 
 def manifest(lines: DataFrame, bucket_prefix: str = "s3://", url_prefix: str = "https://") -> DataFrame:
@@ -77,7 +78,8 @@ def permutation(spark, n: int, seed: int) -> DataFrame:
                 part = order[at : at + _CHUNK].astype(np.int64)
                 yield pd.DataFrame({"src_pos": part, "out_pos": np.arange(at, at + len(part), dtype=np.int64)})
 
-    return spark.range(1, numPartitions=1).mapInPandas(draw, "src_pos long, out_pos long")
+    # As in epoch_order: no broadcast of what only looks small.
+    return spark.range(1, numPartitions=1).mapInPandas(draw, "src_pos long, out_pos long").hint("merge")
 
 
 def shuffle_globally(rows: DataFrame, n: int, seed: int, shard_size: int, seq_col: str = "global_seq", order: DataFrame | None = None) -> DataFrame:
@@ -87,26 +89,52 @@ def shuffle_globally(rows: DataFrame, n: int, seed: int, shard_size: int, seq_co
     return rows.join(order, rows[seq_col] == order["src_pos"]).drop("src_pos").withColumns({"shard_id": shard, "row_in_shard": row})
 
 
+#: Shards that one job writes, and rows that one of its tasks takes, if shards are smaller.
+_JOB_SHARDS, _TASK_ROWS = 4096, 1 << 16
+
+
 def bake(placed: DataFrame, folder: str, n: int, shard_size: int, shards_per_batch: int = 4096) -> DataFrame:
     """Write rows of :func:`shuffle_globally` as one sorted file a shard; returns them read back, in which a file's rows stand in their order.
 
     Each row goes straight to its shard's task, which sorts it.  A batch of shards is checked (each place filled once) and then
-    committed by a marker beside the files; a restart passes over batches that have one and writes the others anew.
+    committed by a marker beside the files; a restart passes over batches that have one and writes the others anew.  A job writes
+    as many batches as make up 4096 shards; if it takes several jobs, the rows are first dealt by job, so that each reads only its own.
     """
-    spark, shards = placed.sparkSession, -(-n // shard_size)
-    for first in range(0, shards, shards_per_batch):
-        count = min(shards_per_batch, shards - first)
-        marker = f"{folder}/_batch_{first:07d}_{count}_COMPLETE"
-        if exists(spark, marker):
-            continue
-        own = placed.filter((F.col("shard_id") >= first) & (F.col("shard_id") < first + count))
-        own = own.withColumn("__to", (F.col("shard_id") - first).cast("int")).repartitionById(count, F.col("__to")).drop("__to").sortWithinPartitions("shard_id", "row_in_shard")
-        path = f"{folder}/batch={first}"
-        own.write.mode("overwrite").partitionBy("shard_id").parquet(path)
-        kind = placed.schema
-        check_whole(spark.read.schema(kind).parquet(path), n, shard_size, first, count)
-        put_text(spark, marker, "")
-    out = spark.read.schema(placed.schema.add("batch", "long")).option("basePath", folder).parquet(folder)
+    spark, shards, kind = placed.sparkSession, -(-n // shard_size), placed.schema
+    per_job = max(1, _JOB_SHARDS // shards_per_batch) * shards_per_batch
+    there = set(names_in(spark, folder))
+    marker = {first: f"_batch_{first:07d}_{min(shards_per_batch, shards - first)}_COMPLETE" for first in range(0, shards, shards_per_batch)}
+    jobs: dict[int, list[int]] = {}
+    for first in marker:
+        if marker[first] not in there:
+            jobs.setdefault(first // per_job, []).append(first)
+    batch = (F.floor(F.col("shard_id") / shards_per_batch) * shards_per_batch).cast("long")
+    if len(jobs) > 1:
+        job = F.floor(F.col("shard_id") / per_job).cast("long")
+        path = shared_path(spark, "placed")
+        dealt = placed.withColumn("__job", job).filter(F.col("__job").isin(*jobs))
+        dealt.repartition("__job", F.col("shard_id") % 64).write.partitionBy("__job").parquet(path)
+        placed = spark.read.schema(kind.add("__job", "long")).parquet(path)
+    for k, batches in jobs.items():
+        first, count = k * per_job, min(per_job, shards - k * per_job)
+        own = placed.filter(F.col("__job") == k).drop("__job") if len(jobs) > 1 else placed
+        own = own.withColumn("batch", batch).filter(F.col("batch").isin(*batches))
+        per_task = max(1, min(_TASK_ROWS // shard_size, count // spark.sparkContext.defaultParallelism))
+        own = own.withColumn("__to", F.floor((F.col("shard_id") - first) / per_task).cast("int")).repartitionById(-(-count // per_task), F.col("__to")).drop("__to")
+        for b in batches:
+            if f"batch={b}" in there:
+                delete(spark, f"{folder}/batch={b}")
+        own.sortWithinPartitions("batch", "shard_id", "row_in_shard").write.mode("append").partitionBy("batch", "shard_id").parquet(folder)
+        paths = [f"{folder}/batch={b}" for b in batches if exists(spark, f"{folder}/batch={b}")]
+        rows = spark.read.schema(kind).option("basePath", folder).parquet(*paths) if paths else own
+        bad = underfilled(rows, n, shard_size, first, count).withColumn("batch", batch).filter(F.col("batch").isin(*batches))
+        bad = {r.batch: r.worst for r in bad.groupBy("batch").agg(F.min(F.struct("shard_id", "filled", "expected")).alias("worst")).collect()}
+        for b in batches:
+            if b not in bad:
+                put_text(spark, f"{folder}/{marker[b]}", "")
+        if bad:
+            _raise_unfilled(bad[min(bad)])
+    out = spark.read.schema(kind.add("batch", "long")).option("basePath", folder).parquet(folder)
     return out.drop("batch")
 
 
@@ -228,10 +256,14 @@ def check_whole(rows: DataFrame, n: int, shard_size: int, first: int = 0, count:
     """``rows``; raises, naming a shard, if one is not filled exactly."""
     bad = underfilled(rows, n, shard_size, first, count).orderBy("shard_id").first()
     if bad:
-        raise ValueError(f"shard {bad.shard_id} has {bad.filled} of {bad.expected} rows")
+        _raise_unfilled(bad)
     return rows
 
 
+def _raise_unfilled(shard) -> None:
+    raise ValueError(f"shard {shard.shard_id} has {shard.filled} of {shard.expected} rows")
+
+
 def periodic_runs(rows: DataFrame, id_col: str, tokens_col: str = "tokens", max_period: int = 13, min_period: int = 1) -> DataFrame:
     """id_col, start, end, period, times: the longest runs in which every token equals the one a period before, of three whole periods or more.
 

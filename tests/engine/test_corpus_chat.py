@@ -148,6 +148,29 @@ def test_baked_shards_hold_the_seeded_order(spark, tmp_path):
         assert len(files) == 1 and pq.read_table(files[0], partitioning=None).column("global_seq").to_pylist() == order[shard * size : (shard + 1) * size].tolist()
 
 
+def test_baked_shards_take_few_jobs(spark, tmp_path, monkeypatch):
+    """Many batches of few shards are written together, each with its marker; several jobs hold the same rows, and what a broken run left is written anew."""
+    n, size = 400, 4
+    rows = spark.range(n).select(F.col("id").alias("global_seq"))
+    order = np.arange(n, dtype=np.uint32)
+    np.random.Generator(np.random.PCG64(42)).shuffle(order)
+    drawn = []
+    exists = corpus.exists
+    monkeypatch.setattr(corpus, "underfilled", lambda *a, f=corpus.underfilled: drawn.append(a[3:]) or f(*a))
+    for shards, jobs in ((4096, 1), (30, 4)):
+        monkeypatch.setattr(corpus, "_JOB_SHARDS", shards)
+        folder = f"{tmp_path}/few-{shards}"
+        placed = corpus.shuffle_globally(rows, n, 42, size)
+        assert "Broadcast" not in placed.groupBy("shard_id").count()._jdf.queryExecution().toString()
+        with pytest.raises(ValueError, match="shard 0 has 3 of 4"):
+            corpus.bake(placed.filter("out_pos <> 2"), folder, n, size, 7)
+        drawn.clear()
+        out = corpus.bake(placed, folder, n, size, 7)
+        assert len(drawn) == jobs and {r.out_pos: r.global_seq for r in out.collect()} == dict(enumerate(order.tolist())) and out.count() == n
+        assert all(exists(spark, f"{folder}/_batch_{k:07d}_{min(7, 100 - k)}_COMPLETE") for k in range(0, 100, 7))
+        assert all(len(list((tmp_path / f"few-{shards}").glob(f"batch=*/shard_id={k}/*.parquet"))) == 1 for k in range(100))
+
+
 def plain_runs(x, low, high):
     out = []
     for p in range(low, min(high, len(x) // 3) + 1):
