@@ -30,26 +30,36 @@ def _replace(v: Column, pairs) -> Column:
 
 def boxed(v: Column) -> Column:
     """What stands in the braces of the last ``\\boxed`` or ``\\fbox``; null without one, or if they do not close."""
-    rest = F.regexp_extract(v, r"(?s)^.*\\(?:boxed|fbox)(.*)$", 1)
+    return F.when(v.rlike(r"\\(boxed|fbox)"), T.once(F.regexp_extract(v, r"(?s)^.*\\(?:boxed|fbox)(.*)$", 1), lambda rest: _braced(v, rest)))
+
+
+def _braced(v: Column, rest: Column) -> Column:
     zero = F.struct(F.lit(0).alias("open"), F.lit(0).alias("at"), F.lit(0).alias("end"))
 
-    def step(s: Column, c: Column) -> Column:
-        now = s["open"] + (c == "{").cast("int") - (c == "}").cast("int")
-        closes = (s["end"] == 0) & (c == "}") & (now == 0)
-        return F.struct(now.alias("open"), (s["at"] + 1).alias("at"), F.when(closes, s["at"] + 1).otherwise(s["end"]).alias("end"))
+    def step(s: Column, piece: Column) -> Column:
+        """A piece goes up to a brace."""
+        now = s["open"] + piece.endswith("{").cast("int") - piece.endswith("}").cast("int")
+        at, closes = s["at"] + F.length(piece), (s["end"] == 0) & piece.endswith("}") & (now == 0)
+        return F.struct(now.alias("open"), at.alias("at"), F.when(closes, at).otherwise(s["end"]).alias("end"))
 
-    end = F.aggregate(F.filter(F.split(rest, ""), lambda c: c != ""), zero, step, lambda s: s["end"])
+    end = F.aggregate(F.split(rest, r"(?<=[{}])", -1), zero, step, lambda s: s["end"])
+    inside = T.once(end, lambda end: F.when(end > 0, F.substring(rest, F.lit(2), end - 2)))
     simple = F.when(v.rlike(r"\\boxed ") & ~rest.startswith("{"), F.split(F.regexp_extract(v, r"(?s)^.*\\boxed (.*)$", 1), r"\$")[0])
-    return F.coalesce(simple, F.when(v.rlike(r"\\(boxed|fbox)") & rest.startswith("{") & (end > 0), F.substring(rest, F.lit(2), end - 2)))
+    return F.coalesce(simple, F.when(rest.startswith("{"), inside))
 
 
 def final_form(v: Column) -> Column:
     """Text after the last ``=``, without units, words and markup."""
-    v = _replace(_replace(F.substring_index(v, "=", -1), REPLACED), [(x, "") for x in REMOVED])
+    # Whatever is replaced has a letter or one of these marks.
+    return T.once(F.substring_index(v, "=", -1), lambda v: F.when(v.rlike(r'[A-Za-z\\ $,"]'), _final(v)).otherwise(v))
+
+
+def _final(v: Column) -> Column:
+    v = _replace(_replace(v, REPLACED), [(x, "") for x in REMOVED])
     for pattern, new in ((r"(?d)(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$"), (r"(?d)(\\text\{)(.*?)(\})", "$2"), (r"(?d)(\\textbf\{)(.*?)(\})", "$2"), (r"(?d)(\\overline\{)(.*?)(\})", "$2"), (r"(?d)(\\boxed\{)(.*)(\})", "$2"), (r"(?d)(frac)([^{])(.)", "frac{$2}{$3}"), (r"(sqrt)([^{])", "sqrt{$2}")):
         v = F.regexp_replace(v, pattern, new)
     v = F.translate(v, "$", "")
-    return F.when(F.translate(v, ",", "").rlike(r"^\d+$"), F.translate(v, ",", "")).otherwise(v)
+    return T.once(v, lambda v: F.when(F.translate(v, ",", "").rlike(r"^\d+$"), F.translate(v, ",", "")).otherwise(v))
 
 
 def candidates(v: Column) -> Column:
@@ -59,26 +69,47 @@ def candidates(v: Column) -> Column:
     found = F.array_compact(F.array(stated, final_form(boxed(v))))
     parts = F.split(v, r"\$", -1)
     between = F.when(F.size(parts) > 2, final_form(F.element_at(parts, -2)))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.coalesce(between, final_form(v))))
+    return T.once(found, lambda found: F.when(F.size(found) > 0, found).otherwise(F.array(F.coalesce(between, final_form(v)))))
 
 
 def short_form(v: Column) -> Column:
     """Without spaces, units and degrees; fractions and roots with braces; ``a/b`` as a fraction."""
-    v = _replace(v, SHORTENED)
+    return T.once(v, lambda v: F.when(v.rlike(r"^\d+$") & ~v.endswith("\n"), v).otherwise(_short(v)))
+
+
+def _short(v: Column) -> Column:
+    steps = (_without_units, _leading_zeros, _right_side, _rooted, _fractions, _halves)
+    return reduce(lambda x, step: T.once(x, step), steps, _replace(v, SHORTENED))
+
+
+def _without_units(v: Column) -> Column:
     units = F.split(v, re.escape("\\text{ "), -1)
-    v = F.when(F.size(units) == 2, units[0]).otherwise(v)
-    v = _replace(v, (("\\%", ""), (" .", " 0."), ("{.", "{0.")))
-    v = F.when(v.startswith("."), F.concat(F.lit("0"), v)).otherwise(v)
+    return _replace(F.when(F.size(units) == 2, units[0]).otherwise(v), (("\\%", ""), (" .", " 0."), ("{.", "{0.")))
+
+
+def _leading_zeros(v: Column) -> Column:
+    return F.when(v.startswith("."), F.concat(F.lit("0"), v)).otherwise(v)
+
+
+def _right_side(v: Column) -> Column:
     sides = F.split(v, "=", -1)
-    v = F.when((F.size(sides) == 2) & (F.length(sides[0]) <= 2), sides[1]).otherwise(v)
-    v = F.regexp_replace(F.regexp_replace(v, r"\\sqrt([^{])", r"\\sqrt{$1}"), " ", "")
+    return F.when((F.size(sides) == 2) & (F.length(sides[0]) <= 2), sides[1]).otherwise(v)
+
+
+def _rooted(v: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(v, r"\\sqrt([^{])", r"\\sqrt{$1}"), " ", "")
+
+
+def _fractions(v: Column) -> Column:
     subs = F.split(v, re.escape("\\frac"), -1)
     odd = F.exists(F.slice(subs, 2, F.size(subs)), lambda x: ~x.startswith("{") & (F.length(x) < 2))
     full = F.regexp_replace(F.regexp_replace(v, r"\\frac([^{])([^{])", r"\\frac{$1}{$2}"), r"\\frac([^{])\{", r"\\frac{$1}{")
-    v = F.when(odd, v).otherwise(full)
-    v = F.when(v == "0.5", F.lit("\\frac{1}{2}")).otherwise(v)
+    return F.when(odd, v).otherwise(full)
+
+
+def _halves(v: Column) -> Column:
     plain = v.rlike(r"^(0|-?[1-9]\d*)/(0|-?[1-9]\d*)$")
-    return F.when(plain, F.regexp_replace(v, "^(.*)/(.*)$", r"\\frac{$1}{$2}")).otherwise(v)
+    return F.when(v == "0.5", F.lit("\\frac{1}{2}")).when(plain, F.regexp_replace(v, "^(.*)/(.*)$", r"\\frac{$1}{$2}")).otherwise(v)
 
 
 def equivalent(a: Column, b: Column, algebra: Callable[[Column, Column], Column] | None = None) -> Column:
@@ -94,5 +125,5 @@ def solved(answer: Column, gold: Column) -> Column:
 
 def solved_among(found: Column, gold: Column, algebra: bool = False) -> Column:
     """The same of an array of candidates; with ``algebra`` one may also equal ``gold`` as a function.  The array is best a column of its own, as it is read twice then."""
-    plain = F.exists(found, lambda c: equivalent(c, gold))
+    plain = T.once(gold, lambda gold: F.exists(found, lambda c: equivalent(c, gold)))
     return F.coalesce(plain, F.lit(False)) | algebraic_any(found, gold) if algebra else plain

@@ -119,3 +119,12 @@ def test_benchmark_items(spark):
     said = one(B.prompt_messages(lit("q2 A:"), shots, "sys", True, "D ", " F", "A:"))
     assert [(m.role, m.content) for m in said] == [("system", "sys"), ("user", "D q1 F"), ("assistant", "A: one"), ("user", "q2 F")]
     assert one(B.open_normal(lit("The Big-Cat, 5"))) == "big cat 5.0"
+
+
+def test_forms_stand_once_in_their_expressions(spark):
+    """No step of the normal forms is written out, and so worked out, again for each step after it."""
+    v = F.col("v")
+    assert str(M.short_form(v)).count("tfrac") == 1 and str(M.final_form(v)).count("childrentickets") == 1
+    rows = spark.createDataFrame([(r"so \boxed{a{b}c} and \boxed{\frac{1}{2}} x}", "k=1/2"), (r"\boxed{1{2}", "12\n"), (r"\fbox{é}", "0.5")], "v string, w string")
+    found = [tuple(r) for r in rows.select(M.boxed(v), M.short_form(F.col("w"))).collect()]
+    assert found == [(r"\frac{1}{2}", r"\frac{1}{2}"), (None, "12"), ("é", r"\frac{1}{2}")]
