@@ -50,6 +50,10 @@ def _all(xs: Column, f: Callable[[Column], Column]) -> Column:
 
 def _pairs(xs: Column, f: Callable[[Column, Column], Column]) -> Column:
     """Whether f holds for each element and the next."""
+    return T.once(xs, lambda xs: _pairs_of(xs, f))
+
+
+def _pairs_of(xs: Column, f: Callable[[Column, Column], Column]) -> Column:
     n = F.size(xs)
     both = F.zip_with(F.slice(xs, 1, F.greatest(n - 1, F.lit(0))), F.slice(xs, 2, F.greatest(n - 1, F.lit(0))), lambda a, b: F.coalesce(f(a, b), F.lit(False)))
     return (n < 2) | F.forall(both, lambda x: x)
@@ -169,7 +173,10 @@ def letter_frequency(v, letter, let_frequency, let_relation):
 
 @check("combination:two_responses")
 def two_responses(v):
-    parts = F.transform(F.split(v, r"\*{6}", -1), T.strip)
+    return T.once(F.transform(F.split(v, r"\*{6}", -1), T.strip), _two_parts)
+
+
+def _two_parts(parts: Column) -> Column:
     inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
     filled = F.filter(parts, lambda p: p != "")
     return ~F.exists(inner, lambda p: p == "") & (F.size(filled) == 2) & F.coalesce(F.get(filled, F.lit(0)) != F.get(filled, F.lit(1)), F.lit(False))
@@ -232,24 +239,23 @@ def stop_words(v, percentage, stop_list):
     return F.coalesce(F.try_divide(F.size(F.filter(tokens, lambda w: w.isin(*stop_list))) * F.lit(100.0), F.size(tokens)) <= percentage, F.lit(False))
 
 
-def _ending(v: Column, mark: str) -> Column:
-    return F.size(F.filter(T.sentences(v), lambda s: s.endswith(mark)))
+def _ending(sentences: Column, mark: str) -> Column:
+    return F.size(F.filter(sentences, lambda s: s.endswith(mark)))
 
 
 @check("ratio:sentence_type")
 def sentence_type(v):
-    return _ending(v, ".") == 2 * _ending(v, "?")
+    return T.once(T.sentences(v), lambda s: _ending(s, ".") == 2 * _ending(s, "?"))
 
 
 @check("ratio:sentence_balance")
 def sentence_balance(v):
-    return (_ending(v, ".") == _ending(v, "?")) & (_ending(v, ".") == _ending(v, "!"))
+    return T.once(T.sentences(v), lambda s: (_ending(s, ".") == _ending(s, "?")) & (_ending(s, ".") == _ending(s, "!")))
 
 
 @check("ratio:sentence_words")
 def sentence_lengths(v):
-    s = T.sentences(v)
-    return (F.size(s) == 3) & (F.size(F.array_distinct(F.transform(s, lambda x: F.length(T.strip(x))))) == 1)
+    return T.once(T.sentences(v), lambda s: (F.size(s) == 3) & (F.size(F.array_distinct(F.transform(s, lambda x: F.length(T.strip(x))))) == 1))
 
 
 @check("count:conjunctions")
@@ -275,8 +281,8 @@ def _trigrams(v: Column) -> Column:
 
 @check("ratio:overlap")
 def overlap(v, reference_text, percentage):
-    a, b = _trigrams(v), _trigrams(F.lit(reference_text))
-    return F.coalesce(F.abs(F.try_divide(F.size(F.array_intersect(a, b)) * F.lit(100.0), F.size(a)) - percentage) <= 2, F.lit(False))
+    b = _trigrams(F.lit(reference_text))
+    return F.coalesce(T.once(_trigrams(v), lambda a: F.abs(F.try_divide(F.size(F.array_intersect(a, b)) * F.lit(100.0), F.size(a)) - percentage) <= 2), F.lit(False))
 
 
 @check("count:numbers")
@@ -308,7 +314,9 @@ def consonant_cluster(v):
 @check("sentence:alliteration_increment")
 def alliteration(v):
     def score(s: Column) -> Column:
-        w = F.filter(F.transform(T.words(F.lower(s)), lambda x: F.regexp_replace(x, r"^[\p{Punct} ]+", "")), lambda x: x != "")
+        return T.once(F.filter(F.transform(T.words(F.lower(s)), lambda x: F.regexp_replace(x, r"^[\p{Punct} ]+", "")), lambda x: x != ""), runs)
+
+    def runs(w: Column) -> Column:
         n = F.greatest(F.size(w) - 1, F.lit(0))
         same = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.substring(a, 1, 1) == F.substring(b, 1, 1))
         zero = F.struct(F.lit(0).alias("n"), F.lit(False).alias("run"))
@@ -449,14 +457,14 @@ def no_consecutive(v):
 def line_indent(v):
     """Blank lines go, but the line after one that went is passed over while they are looked for."""
     lines = F.split(v, "\n", -1)
-    zero = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("skip"))
+    zero = F.struct(F.lit(-1).alias("last"), F.lit(False).alias("skip"), F.lit(True).alias("rises"))
 
     def step(s: Column, x: Column) -> Column:
-        gone = ~s["skip"] & (T.strip(x) == "")
-        return F.struct(F.when(gone, s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"), gone.alias("skip"))
+        gone = ~s["skip"] & T.blank(x)
+        at = F.length(x) - F.length(F.ltrim(x, F.lit(T.WHITE)))
+        return F.struct(F.when(gone, s["last"]).otherwise(at).alias("last"), gone.alias("skip"), (s["rises"] & (gone | (at > s["last"]))).alias("rises"))
 
-    kept = F.aggregate(lines, zero, step, lambda s: s["kept"])
-    return _pairs(F.transform(kept, lambda x: F.length(x) - F.length(F.regexp_replace(x, r"(?U)^\s+", ""))), lambda a, b: b > a)
+    return F.aggregate(lines, zero, step, lambda s: s["rises"])
 
 
 @check("format:quote_unquote")
@@ -491,9 +499,10 @@ def sentences_then_bullets(v):
 
     def step(st: Column, line: Column) -> Column:
         bullet = T.strip(line).startswith("*")
-        n = F.size(T.sentences(T.strip(line)))
         bad = st["bad"] | F.when(bullet, st["s"] < 2).otherwise(~st["text"])
-        return F.struct((~bullet & st["text"] & (n > 0)).alias("text"), (st["s"] + F.when(~bullet & st["text"], n).otherwise(0)).alias("s"), (st["b"] + bullet.cast("int")).alias("b"), bad.alias("bad"))
+        # A line's sentences count while text may come and nothing has failed.
+        n = F.when(~bullet & st["text"] & ~bad, F.size(T.sentences(T.strip(line)))).otherwise(0)
+        return T.once(n, lambda n: F.struct((n > 0).alias("text"), (st["s"] + n).alias("s"), (st["b"] + bullet.cast("int")).alias("b"), bad.alias("bad")))
 
     return F.aggregate(F.split(v, "\n", -1), zero, step, lambda st: ~st["bad"] & (st["b"] >= 2))
 
@@ -552,34 +561,43 @@ def capitals(v):
     return F.filter(F.transform(F.split(_ascii(v), ",", -1), T.strip), lambda x: x != "") == F.array(*map(F.lit, CAPITALS))
 
 
-def _csv_rows(v: Column, sep: str) -> Column:
-    """Rows of fields, quotes kept: a separator inside quotes divides nothing."""
-    rows = F.filter(F.split(v, r"\r?\n", -1), lambda r: r != "")
-    return F.transform(rows, lambda r: F.split(r, sep + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
+def _csv(v: Column, sep: str, n: int, header: list[str], holds: Callable[[Column], Column]) -> Column:
+    """``holds`` of n rows of fields, quotes kept: a separator inside quotes divides nothing.
+
+    A field looks for quotes up to its line's end, so lines are counted, and the first one read without quotes, before any is divided.
+    """
+
+    def fields(lines: Column) -> Column:
+        rows = F.transform(lines, lambda r: F.split(r, sep + r'(?=(?:[^"]*"[^"]*")*[^"]*$)', -1))
+        likely = (F.size(lines) == n) & F.coalesce(F.translate(F.get(lines, F.lit(0)), '"', "") == sep.join(header), F.lit(False))
+        return F.when(likely, T.once(rows, holds)).otherwise(F.lit(False))
+
+    return T.once(F.filter(F.split(v, r"\r?\n", -1), lambda r: r != ""), fields)
 
 
 _BARE = r'^"|"$'
 
 
+def _headed(rows: Column, names: list[str], quotes: str) -> Column:
+    return F.coalesce(F.transform(F.get(rows, F.lit(0)), lambda x: F.regexp_replace(x, quotes, "")) == F.array(*map(F.lit, names)), F.lit(False))
+
+
 @check("custom:csv_city")
 def csv_city(v):
-    rows = _csv_rows(v, ",")
-    header = F.transform(F.get(rows, F.lit(0)), lambda x: F.regexp_replace(x, _BARE, ""))
-    return (F.size(rows) == 8) & F.coalesce(header == F.array(*map(F.lit, ["ID", "Country", "City", "Year", "Count"])), F.lit(False)) & _all(rows, lambda r: F.size(r) == 5)
+    names = ["ID", "Country", "City", "Year", "Count"]
+    return _csv(v, ",", 8, names, lambda rows: _headed(rows, names, _BARE) & _all(rows, lambda r: F.size(r) == 5))
 
 
 @check("custom:csv_special_character")
 def csv_special(v):
-    rows = _csv_rows(v, ",")
-    header = F.transform(F.get(rows, F.lit(0)), lambda x: F.regexp_replace(x, _BARE, ""))
-    return (F.size(rows) == 15) & F.coalesce(header == F.array(*map(F.lit, ["ProductID", "Category", "Brand", "Price", "Stock"])), F.lit(False)) & _all(rows, lambda r: F.size(r) == 5) & F.exists(rows, lambda r: F.exists(r, lambda x: x.rlike(r'^".*[^\w\s"].*"$')))
+    names = ["ProductID", "Category", "Brand", "Price", "Stock"]
+    return _csv(v, ",", 15, names, lambda rows: _headed(rows, names, _BARE) & _all(rows, lambda r: F.size(r) == 5) & F.exists(rows, lambda r: F.exists(r, lambda x: x.rlike(r'^".*[^\w\s"].*"$'))))
 
 
 @check("custom:csv_quotes")
 def csv_quotes(v):
-    rows = _csv_rows(v, "\t")
-    header = F.transform(F.get(rows, F.lit(0)), lambda x: F.regexp_replace(x, '"', ""))
-    return (F.size(rows) == 4) & F.coalesce(header == F.array(*map(F.lit, ["StudentID", "Subject", "Grade", "Semester", "Score"])), F.lit(False)) & _all(rows, lambda r: (F.size(r) == 5) & _all(r, lambda x: x.startswith('"') & x.endswith('"')))
+    names = ["StudentID", "Subject", "Grade", "Semester", "Score"]
+    return _csv(v, "\t", 4, names, lambda rows: _headed(rows, names, '"') & _all(rows, lambda r: (F.size(r) == 5) & _all(r, lambda x: x.startswith('"') & x.endswith('"'))))
 
 
 @check("custom:date_format_list")
@@ -595,15 +613,15 @@ def date_list(v):
 
 @check("type:repeat")
 def repeat(v, prev_response):
-    a, b = _trigrams(v), _trigrams(F.lit(prev_response))
-    return (F.size(a) == 0) | F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(a)) > 0.7, F.lit(False))
+    b = _trigrams(F.lit(prev_response))
+    return T.once(_trigrams(v), lambda a: (F.size(a) == 0) | F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(a)) > 0.7, F.lit(False)))
 
 
 @check("type:repeat_N")
 def repeat_sentence(v, N, prev_response):
     """Sentences by the rule splitter."""
-    a, b = _trigrams(v), _trigrams(F.get(T.sentences(F.lit(prev_response)), F.lit(N - 1)))
-    return F.coalesce((F.size(a) == 0) | (F.try_divide(F.size(F.array_intersect(a, b)), F.size(a)) > 0.7), F.lit(False))
+    b = _trigrams(F.get(T.sentences(F.lit(prev_response)), F.lit(N - 1)))
+    return F.coalesce(T.once(_trigrams(v), lambda a: (F.size(a) == 0) | (F.try_divide(F.size(F.array_intersect(a, b)), F.size(a)) > 0.7)), F.lit(False))
 
 
 def _n_plain(v: Column) -> Column:
@@ -823,18 +841,21 @@ def applied(instruction: str, v: Column, kwargs: dict) -> Column:
 
 def strict(instruction: str, v: Column, kwargs: dict) -> Column:
     """The response is not blank and the predicate holds."""
-    return F.coalesce((T.strip(v) != "") & applied(instruction, v, kwargs), F.lit(False))
+    return F.coalesce(~T.blank(v) & applied(instruction, v, kwargs), F.lit(False))
 
 
 def variants(v: Column) -> Column:
     """The response, and without its first line, last line, or both; each also without asterisks."""
-    lines = F.split(v, "\n", -1)
+    return T.once(F.split(v, "\n", -1), lambda lines: _variants(v, lines))
+
+
+def _variants(v: Column, lines: Column) -> Column:
     n = F.size(lines)
     joined = lambda start, length: T.strip(F.array_join(F.slice(lines, start, F.greatest(length, F.lit(0))), "\n"))
     four = [v, joined(F.lit(2), n - 1), joined(F.lit(1), n - 1), joined(F.lit(2), n - 2)]
-    return F.array(*four, *[F.translate(x, "*", "") for x in four])
+    return T.once(F.array(*four), lambda xs: F.array_distinct(F.concat(xs, F.transform(xs, lambda x: F.translate(x, "*", "")))))
 
 
-def loose(instruction: str, v: Column, kwargs: dict) -> Column:
-    """Some variant of the response that is not blank satisfies the predicate."""
-    return F.exists(variants(v), lambda x: F.coalesce((T.strip(x) != "") & applied(instruction, x, kwargs), F.lit(False)))
+def loose(instruction: str, v: Column, kwargs: dict, made: Column | None = None) -> Column:
+    """Some variant of the response that is not blank satisfies the predicate; ``made``: a column of its variants, for several predicates."""
+    return F.exists(variants(v) if made is None else made, lambda x: F.coalesce(~T.blank(x) & applied(instruction, x, kwargs), F.lit(False)))

@@ -128,3 +128,27 @@ def test_forms_stand_once_in_their_expressions(spark):
     rows = spark.createDataFrame([(r"so \boxed{a{b}c} and \boxed{\frac{1}{2}} x}", "k=1/2"), (r"\boxed{1{2}", "12\n"), (r"\fbox{é}", "0.5")], "v string, w string")
     found = [tuple(r) for r in rows.select(M.boxed(v), M.short_form(F.col("w"))).collect()]
     assert found == [(r"\frac{1}{2}", r"\frac{1}{2}"), (None, "12"), ("é", r"\frac{1}{2}")]
+
+
+def test_sentences_are_found_once_in_a_predicate(spark):
+    v = F.col("v")
+    once = str(T.sentences(v)).count("Wherever")
+    for k in ("sentence:alliteration_increment", "words:last_first", "sentence:increment", "ratio:sentence_balance", "ratio:sentence_type", "format:no_bullets_bullets"):
+        arguments = {"small_n": 1} if k == "sentence:increment" else {}
+        assert str(C.strict(k, v, arguments)).count("Wherever") == once == 2, k
+
+
+def test_lines_of_csv_are_counted_before_they_are_divided(spark):
+    """A long line of separators costs one look; quotes around names and separators in quotes are read as before."""
+    city = "\n".join(["ID,\"Country\",City,Year,Count", *['1,"a, b",c,2,3'] * 7])
+    marked = "\n".join(["ProductID,Category,Brand,Price,Stock", *['1,"a!b",c,2,3'] * 14])
+    quoted = "\n".join('"' + '"\t"'.join(r) + '"' for r in [["StudentID", "Subject", "Grade", "Semester", "Score"], *[["a", "b\tc", "d", "e", "f"]] * 3])
+    rows = spark.createDataFrame([(0, city), (1, marked), (2, quoted), (3, "\n".join([",\t" * 100_000] * 8)), (4, city.replace("Year", "Yeah")), (5, city + "\n1,2")], "k int, v string")
+    out = [tuple(r) for r in rows.select("k", *[C.strict(f"custom:{x}", F.col("v"), {}) for x in ("csv_city", "csv_special_character", "csv_quotes")]).orderBy("k").collect()]
+    assert out == [(0, True, False, False), (1, False, True, False), (2, False, False, True), *[(k, False, False, False) for k in (3, 4, 5)]]
+
+
+def test_white_space_and_marks_at_the_ends(spark):
+    text = " \x85 a b.　\r\n"
+    row = spark.createDataFrame([(text, "..a.b-] \n", " \x0b", None)], "a string, b string, c string, d string").select(T.strip(F.col("a")), T.words(F.col("a")), T.strip_chars(F.col("b"), T.PUNCT + " "), T.blank(F.col("c")), T.blank(F.col("d")), T.blank(F.col("a"))).first()
+    assert tuple(row) == ("a b.", ["a", "b."], "a.b-] \n", True, None, False)
