@@ -550,8 +550,8 @@ _LINES = "trim(array_to_string({0}, chr(10)), chr(10) || chr(13) || chr(9) || '
     + f" FROM (SELECT doc_id, list_concat(four, list_transform(four, lambda x: replace(x, '*', ''))) AS vs FROM (SELECT doc_id, [text, {_LINES.format('l[2:]')}, {_LINES.format('l[1:-2]')}, {_LINES.format('l[2:-2]')}] AS four FROM (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents)))",
 )
 def checkers_loose(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", *[C.loose(_CHECKS[k][0], F.col("text"), _CHECKS[k][1]).alias(k) for k in _LOOSE])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", C.variants(F.col("text")).alias("made"))
+    return docs.select("doc_id", *[C.loose(_CHECKS[k][0], F.col("text"), _CHECKS[k][1], F.col("made")).alias(k) for k in _LOOSE])
 
 
 @query("instruction_accuracy", f"WITH f AS (SELECT [{', '.join(f'coalesce(({sql}), false)' for _, (_, _, sql) in list(_CHECKS.items())[:6])}] AS l FROM (SELECT text AS v FROM documents)) SELECT avg(CASE WHEN list_bool_and(l) THEN 1.0 ELSE 0 END) AS prompt_acc, CAST(sum(len(list_filter(l, lambda x: x))) AS DOUBLE) / sum(len(l)) AS instruction_acc FROM f")

@@ -152,3 +152,12 @@ def test_white_space_and_marks_at_the_ends(spark):
     text = " \x85 a b.　\r\n"
     row = spark.createDataFrame([(text, "..a.b-] \n", " \x0b", None)], "a string, b string, c string, d string").select(T.strip(F.col("a")), T.words(F.col("a")), T.strip_chars(F.col("b"), T.PUNCT + " "), T.blank(F.col("c")), T.blank(F.col("d")), T.blank(F.col("a"))).first()
     assert tuple(row) == ("a b.", ["a", "b."], "a.b-] \n", True, None, False)
+
+
+def test_loose_predicates_share_their_variants(spark):
+    rows = spark.createDataFrame([("Sure:\n*all of it*\nbye",), ("no lines",), ("  \n ",), (None,)], "v string").select("v", C.variants(F.col("v")).alias("made"))
+    for name, arguments in (("startend:end_checker", {"end_phrase": "it"}), ("punctuation:no_comma", {}), ("format:list", {"sep": "*"})):
+        assert "made" in str(C.loose(name, F.col("v"), arguments, F.col("made"))) and "split" not in str(C.loose(name, F.col("v"), arguments, F.col("made")))
+        got = rows.select(C.loose(name, F.col("v"), arguments), C.loose(name, F.col("v"), arguments, F.col("made"))).collect()
+        assert all(a == b for a, b in got)
+    assert rows.select(F.size("made")).first()[0] == 8 and rows.select("made").collect()[1][0] == ["no lines", ""]
