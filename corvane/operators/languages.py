@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,9 +14,16 @@ from pyspark.sql import functions as F
 from corvane.sources.shared import BROADCAST_BYTES
 
 LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_WORD = re.compile(LETTERS)
 LONGEST, RANKS = 3, 300
 
 
+@lru_cache(maxsize=50_000)
+def _grams(word: str, longest: int) -> tuple[str, ...]:
+    padded = f" {word} "
+    return tuple(padded[i : i + k] for k in range(1, longest + 1) for i in range(len(padded) - k + 1))
+
+
 def letter_words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0))
 
@@ -40,25 +49,27 @@ def detector(learned: DataFrame, longest: int = LONGEST, ranks: int = RANKS) ->
     A sequence that a profile lacks counts as ``ranks`` places off; equal sums go to the first language by name; texts without letters are null.
     The profiles (at most ``ranks`` rows a language) go to each task, and raise if they are more than a broadcast may hold.
     """
-    if learned.count() * (8 + 16 * longest) > BROADCAST_BYTES:
+    most = BROADCAST_BYTES // (8 + 16 * longest)
+    rows = learned.limit(most + 1).collect()
+    if len(rows) > most:
         raise ValueError("too many languages to hand their profiles to each task")
     places: dict[str, dict[str, int]] = {}
-    for r in learned.collect():
+    for r in rows:
         places.setdefault(r.lang, {})[r.gram] = r.place
 
-    def nearest(words: list[str] | None) -> str | None:
-        seen: Counter[str] = Counter()
-        for word, n in Counter([] if words is None else words).items():
-            padded = f" {word} "
-            for k in range(1, longest + 1):
-                for i in range(len(padded) - k + 1):
-                    seen[padded[i : i + k]] += n
-        own = sorted(seen, key=lambda g: (-seen[g], g))[:ranks]
+    def nearest(text: str | None) -> str | None:
+        seen: defaultdict[str, int] = defaultdict(int)
+        for word, n in Counter(_WORD.findall(text or "")).items():
+            for g in _grams(word, longest):
+                seen[g] += n
+        # Ties stand at the last rank kept: only what is as frequent as that is put in order.
+        least = sorted(seen.values(), reverse=True)[ranks - 1] if len(seen) > ranks else 0
+        own = sorted((g for g, n in seen.items() if n >= least), key=lambda g: (-seen[g], g))[:ranks]
         off = {lang: sum(abs(there[g] - i) if g in there else ranks for i, g in enumerate(own)) for lang, there in places.items()}
         return min(off, key=lambda lang: (off[lang], lang)) if own and off else None
 
     @F.pandas_udf("string")
-    def run(words: pd.Series) -> pd.Series:
-        return pd.Series([nearest(w) for w in words], dtype=object)
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([nearest(t) for t in texts], dtype=object)
 
-    return lambda text: run(letter_words(text))
+    return lambda text: run(F.lower(text))

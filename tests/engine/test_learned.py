@@ -84,3 +84,17 @@ def test_detected_languages_serve_the_predicate(spark, learned):
     assert {r.k for r in rows if r.fits} == {2, 4}
     none = languages.detector(learned[1].limit(0))
     assert asked.select(none(F.col("text")).alias("d")).filter("d is not null").count() == 0
+
+
+def test_profiles_are_learned_once_and_texts_sent_whole(spark, monkeypatch):
+    """The detector asks for its profiles in one query; texts reach it without their words taken apart."""
+    from pyspark.sql import functions as F
+
+    from corvane.operators import languages
+
+    docs = spark.createDataFrame([("a", "the water and the house"), ("b", "el agua y la casa"), (None, "x")], "lang string, text string")
+    learned = languages.profiles(docs)
+    monkeypatch.setattr(type(learned), "count", lambda self: pytest.fail("profiles were counted first"))
+    language = languages.detector(learned)
+    rows = spark.createDataFrame([("THE house and",), ("la CASA",), ("123 ,",), (None,)], "text string")
+    assert [r[0] for r in rows.select(language(F.col("text"))).collect()] == ["a", "b", None, None]
