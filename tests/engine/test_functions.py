@@ -161,3 +161,11 @@ def test_loose_predicates_share_their_variants(spark):
         got = rows.select(C.loose(name, F.col("v"), arguments), C.loose(name, F.col("v"), arguments, F.col("made"))).collect()
         assert all(a == b for a, b in got)
     assert rows.select(F.size("made")).first()[0] == 8 and rows.select("made").collect()[1][0] == ["no lines", ""]
+
+
+def test_the_gold_answer_is_named_once(spark):
+    """Each candidate is compared with a gold answer that is worked out once."""
+    made = F.concat(F.lit("goldpart"), "g")
+    assert str(M.solved_among(F.col("found"), made)).count("goldpart") == 1
+    rows = spark.createDataFrame([(["2", r"\frac12"], "1/2"), (["2", None], "3"), ([], "1")], "found array<string>, g string")
+    assert [r[0] for r in rows.select(F.coalesce(M.solved_among(F.col("found"), F.col("g")), F.lit(False))).collect()] == [True, False, False]
