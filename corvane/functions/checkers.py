@@ -61,8 +61,7 @@ def _pairs_of(xs: Column, f: Callable[[Column, Column], Column]) -> Column:
 
 def _bare_words(v: Column, lower: bool = True) -> Column:
     """Words without punctuation at their ends; none of them empty."""
-    v = F.lower(v) if lower else v
-    return F.filter(F.transform(T.words(v), lambda w: T.strip_chars(w, T.PUNCT + " ")), lambda w: w != "")
+    return T.cores(F.lower(v) if lower else v)
 
 
 def _plain_words(v: Column) -> Column:
@@ -90,9 +89,12 @@ def number_words(v, num_words, relation):
 
 @check("length_constraints:number_paragraphs")
 def number_paragraphs(v, num_paragraphs):
+    def divided(parts: Column) -> Column:
+        inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+        return ~F.exists(inner, lambda p: p == "") & (F.size(F.filter(parts, lambda p: p != "")) == num_paragraphs)
+
     parts = F.transform(F.split(v, r"\s?\*\*\*\s?", -1), T.strip)
-    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
-    return ~F.exists(inner, lambda p: p == "") & (F.size(F.filter(parts, lambda p: p != "")) == num_paragraphs)
+    return F.when(v.contains("***"), T.once(parts, divided)).otherwise((~T.blank(v)).cast("int") == num_paragraphs)
 
 
 @check("length_constraints:nth_paragraph_first_word")
@@ -112,8 +114,9 @@ def number_placeholders(v, num_placeholders):
 @check("detectable_content:postscript")
 def postscript(v, postscript_marker):
     marker = postscript_marker.strip()
-    pattern = {"P.P.S": r"\s*p\.\s?p\.\s?s.*", "P.S.": r"\s*p\.\s?s\..*"}.get(marker, r"\s*" + marker.lower() + ".*")
-    return F.lower(v).rlike("(?dm)" + pattern + "$")
+    # What may stand before and after the two usual ones decides nothing.
+    pattern = {"P.P.S": r"p\.\s?p\.\s?s", "P.S.": r"p\.\s?s\."}.get(marker, r"(?dm)\s*" + marker.lower() + ".*$")
+    return F.lower(v).rlike(pattern)
 
 
 @check("detectable_format:number_bullet_lists")
@@ -213,8 +216,8 @@ def english_lowercase(v):
 @check("change_case:capital_word_frequency")
 def capital_words(v, capital_frequency, capital_relation):
     """Words are runs of characters other than white space, punctuation at their ends apart."""
-    shout = F.filter(_bare_words(v, lower=False), lambda w: (w == F.upper(w)) & w.rlike(r"\p{Lu}"))
-    return _relation(F.size(shout), capital_relation, capital_frequency)
+    capital = F.regexp_extract_all(v, F.lit(rf"(?<![^{T.SPACE}])[^{T.SPACE}\p{{Lu}}]*+\p{{Lu}}[^{T.SPACE}]*+"), F.lit(0))
+    return _relation(F.size(F.filter(capital, lambda w: w == F.upper(w))), capital_relation, capital_frequency)
 
 
 @check("punctuation:no_comma")
@@ -229,14 +232,17 @@ def word_count_range(v, min_words, max_words):
 
 @check("count:unique_word_count")
 def unique_words(v, N):
-    return F.size(F.array_distinct(F.transform(T.words(F.lower(v)), lambda w: T.strip_chars(w, T.PUNCT + " ")))) >= N
+    """Words of punctuation alone count as one."""
+    marks = v.rlike(rf"(?<![^{T.SPACE}])\p{{Punct}}++(?![^{T.SPACE}])")
+    return F.size(F.array_distinct(_bare_words(v))) + marks.cast("int") >= N
 
 
 @check("ratio:stop_words")
 def stop_words(v, percentage, stop_list):
     """``stop_list``: the stop words, which come from outside."""
     tokens = F.regexp_extract_all(F.lower(v), F.lit(r"(?U)\w+"), F.lit(0))
-    return F.coalesce(F.try_divide(F.size(F.filter(tokens, lambda w: w.isin(*stop_list))) * F.lit(100.0), F.size(tokens)) <= percentage, F.lit(False))
+    share = T.once(tokens, lambda t: F.try_divide(F.size(F.filter(t, lambda w: w.isin(*stop_list))) * F.lit(100.0), F.size(t)))
+    return F.coalesce(share <= percentage, F.lit(False))
 
 
 def _ending(sentences: Column, mark: str) -> Column:
@@ -260,7 +266,8 @@ def sentence_lengths(v):
 
 @check("count:conjunctions")
 def conjunctions(v, small_n):
-    return F.size(F.array_distinct(F.filter(T.words(v), lambda w: F.lower(T.strip_chars(w, T.PUNCT + " ")).isin(*CONJUNCTIONS)))) >= small_n
+    found = rf"(?i)(?<![^{T.SPACE}])\p{{Punct}}*+(?:{'|'.join(CONJUNCTIONS)})\p{{Punct}}*+(?![^{T.SPACE}])"
+    return F.size(F.array_distinct(F.regexp_extract_all(v, F.lit(found), F.lit(0)))) >= small_n
 
 
 @check("count:person_names")
@@ -270,13 +277,7 @@ def person_names(v, N):
 
 def _trigrams(v: Column) -> Column:
     """Distinct runs of three characters; none of a shorter text."""
-    n = F.length(v) - 2
-
-    def runs(c: Column) -> Column:
-        joined = lambda x, y: F.concat(x, y)
-        return F.zip_with(F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), joined), F.slice(c, F.lit(3), n), joined)
-
-    return F.when(n < 1, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.array(_chars(v)), runs)[0]))
+    return F.array_distinct(F.regexp_extract_all(v, F.lit("(?s)(?=(...))."), F.lit(1)))
 
 
 @check("ratio:overlap")
@@ -409,15 +410,16 @@ def emoji(v):
 
 @check("count:words_japanese")
 def words_japanese(v, N):
-    return _all(F.filter(F.transform(T.words(v), lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: (x["i"] + 1) % N == 0), lambda x: x["w"].rlike(r"[぀-ヿ一-鿿]") | x["w"].rlike(r"^\d+$"))
+    return _all(F.filter(T.words(v), lambda w, i: (i + 1) % N == 0), lambda w: w.rlike(r"[぀-ヿ一-鿿]|^\d+$"))
 
 
 @check("words:repeats")
 def word_repeats(v, small_n):
-    w = _plain_words(v)
-    sorted_ = F.array_sort(w)
-    n = F.greatest(F.size(w) - F.lit(small_n), F.lit(0))
-    return ~F.exists(F.zip_with(F.slice(sorted_, 1, n), F.slice(sorted_, small_n + 1, n), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False)))
+    def repeated(w: Column) -> Column:
+        n = F.greatest(F.size(w) - F.lit(small_n), F.lit(0))
+        return F.exists(F.zip_with(F.slice(w, 1, n), F.slice(w, small_n + 1, n), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False)))
+
+    return ~T.once(F.sort_array(_plain_words(v)), repeated)
 
 
 @check("sentence:keyword")
@@ -450,7 +452,7 @@ def word_increment(v, small_n):
 
 @check("words:no_consecutive")
 def no_consecutive(v):
-    return _pairs(_plain_words(v), lambda a, b: F.substring(a, 1, 1) != F.substring(b, 1, 1))
+    return ~T.without_punctuation(F.lower(v)).rlike(rf"(?<![^{T.SPACE}])([^{T.SPACE}])[^{T.SPACE}]*+{T.SPACE}++\1")
 
 
 @check("format:line_indent")
@@ -641,10 +643,13 @@ def same_words_sentence(v, N, prev_response):
 
 @check("constraint:increment")
 def increments(v, small_n, prev_response):
-    whole = lambda t: F.transform(F.filter(T.words(t), lambda w: w.rlike(r"^[+-]?\d+$")), lambda w: w.cast("long"))
-    before, now = whole(F.lit(prev_response)), whole(v)
-    n = F.least(F.size(before), F.size(now))
-    return F.forall(F.zip_with(F.slice(before, F.lit(1), n), F.slice(now, F.lit(1), n), lambda a, b: a + small_n == b), lambda x: x)
+    whole = lambda t: F.regexp_extract_all(t, F.lit(rf"(?<![^{T.SPACE}])[+-]?+\d++(?![^{T.SPACE}])"), F.lit(0))
+
+    def rise(both: Column) -> Column:
+        n = F.least(F.size(both["before"]), F.size(both["now"]))
+        return F.forall(F.zip_with(F.slice(both["before"], F.lit(1), n), F.slice(both["now"], F.lit(1), n), lambda a, b: a.cast("long") + small_n == b.cast("long")), lambda x: x)
+
+    return T.once(F.struct(whole(F.lit(prev_response)).alias("before"), whole(v).alias("now")), rise)
 
 
 @check("constraint:digits")
