@@ -651,8 +651,8 @@ def math_solved_by_algebra(spark, sf_dir):
     q, k = F.col("l_quantity").cast("int").cast("string"), F.col("l_linenumber")
     answer = F.concat(F.lit(r"Thus \boxed{\frac{"), q, F.lit(r"}{7}+\sqrt{"), (k * k * 2).cast("string"), F.lit(r"}x}."))
     gold = F.concat(F.lit(r"\frac{x^2"), F.when(k % 3 == 1, F.lit("+1")).otherwise(F.lit("")), F.lit(" - x^2 + "), q, F.lit(r"}{7} + "), k.cast("string"), F.lit(r"x\sqrt{2}"))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", M.candidates(answer).alias("found"), gold.alias("gold"))
-    return rows.select("l_orderkey", "l_linenumber", M.solved_among(F.col("found"), F.col("gold"), algebra=True).alias("solved"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", answer.alias("answer"), gold.alias("gold"))
+    return M.with_solved(rows, "answer", "gold", "solved", algebra=True).select("l_orderkey", "l_linenumber", "solved")
 
 
 @query("exam_queries", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_type || chr(10) ELSE '' END || 'Question: ' || p_name || chr(10) || ' A. ' || p_brand || chr(10) || ' B. none' || chr(10) || 'Answer:' AS prompt FROM part")
