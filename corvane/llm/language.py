@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import cut, few, released, unused
+from corvane.llm.common import cut, few, giving_back, released, unused
 from corvane.llm.grams import code_points, gram_hashes
 
 SIZES, BITS = (1, 2, 3), 15
 #: Labelled texts of each language that the likelihoods are learned from, at most (expected, chosen by hash).
 FIT_ROWS = 2_000
+#: Tasks that count the grams of these texts, at most: their tables of a language meet in one group.
+FIT_TASKS = 8
 UNKNOWN = "und"
 #: Log-likelihood of a gram of each size under no known language.
 UNKNOWN_GRAM = (-5.0, -8.0, -9.5)
@@ -68,12 +70,8 @@ class Likelihoods:
         return total * min(1 / OVERLAP, MOST_EVIDENCE / n)
 
 
-def learn(docs: DataFrame) -> Likelihoods:
-    """Multinomial gram likelihoods from a bounded share of each language's rows (text, lang), each text once; null languages and texts are left out."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    sizes = known.groupBy("lang").count().select("lang", F.least(F.lit(1.0), FIT_ROWS / F.col("count")).alias("share"))
-    chosen = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
-    sample = known.join(F.broadcast(sizes), "lang").filter(chosen).select("text", "lang").distinct()
+def _gram_counts(sample: DataFrame) -> DataFrame:
+    """(lang, data): counts of hashed grams, a row for each language and task; the texts are few, and so are the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -85,10 +83,20 @@ def learn(docs: DataFrame) -> Likelihoods:
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([x.tobytes() for x in counts.values()], pa.binary())], ["lang", "data"])
 
+    return sample.coalesce(FIT_TASKS).mapInArrow(released(run), "lang string, data binary")
+
+
+def learn(docs: DataFrame) -> Likelihoods:
+    """Multinomial gram likelihoods from a bounded share of each language's rows (text, lang), each text once; null languages and texts are left out."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    sizes = known.groupBy("lang").count().select("lang", F.least(F.lit(1.0), FIT_ROWS / F.col("count")).alias("share"))
+    chosen = F.pmod(F.xxhash64("text", "lang"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    sample = known.join(F.broadcast(sizes), "lang").filter(chosen).select("text", "lang").distinct()
+
     def added(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"lang": pdf["lang"].iloc[:1], "data": [sum(np.frombuffer(x, np.int64) for x in pdf["data"]).tobytes()]})
 
-    rows = sorted(sample.mapInArrow(released(run), "lang string, data binary").groupBy("lang").applyInPandas(added, "lang string, data binary").collect())
+    rows = sorted(_gram_counts(sample).groupBy("lang").applyInPandas(added, "lang string, data binary").collect())
     table = np.empty((len(SIZES), 1 << BITS, len(rows) + 1), np.float32)
     for k, r in enumerate(rows):
         counts = np.frombuffer(r.data, np.int64).reshape(len(SIZES), -1) + 0.2
@@ -117,6 +125,7 @@ def with_language(docs: DataFrame, likelihoods: Likelihoods, text: Column, host:
     n = len(names)
 
     @F.pandas_udf("array<double>")
+    @giving_back
     def logs(texts: pd.Series) -> pd.Series:
         of = held.value.of
         return pd.Series([of(x) for x in texts], dtype=object)
@@ -143,6 +152,7 @@ def with_language(docs: DataFrame, likelihoods: Likelihoods, text: Column, host:
             out[rows, k] = trust
         return out
 
+    @giving_back
     def fuse(logs: pd.Series, host: pd.Series, domain: pd.Series, declared: pd.Series, suffix: pd.Series) -> pd.DataFrame:
         wordless = logs.isna().to_numpy()
         table = lambda xs: np.array([np.zeros(n) if x is None else np.asarray(x, float) for x in xs]).reshape(-1, n)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from corvane.llm.common import released
+from corvane.llm.common import release, released
 
 CAPACITY = 2048
 #: Pieces of at most CAPACITY / CLASSES tokens share bins filled one after the other.
@@ -72,7 +72,10 @@ class ChunkIds(dict):
 
 @lru_cache(maxsize=2)
 def chunk_ids(path: str) -> ChunkIds:
-    return ChunkIds(path)
+    """The tokenizer's ids; what reading its file took is given back at once, not at the end of the first task."""
+    out = ChunkIds(path)
+    release()
+    return out
 
 
 def pieces(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

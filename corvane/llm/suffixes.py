@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import STARTS, Scratch, few, from_planes, joined_by, least_places, mix64, planes, prefix_hash, release, released, span_hash
+from corvane.llm.common import STARTS, Scratch, few, from_planes, giving_back, joined_by, least_places, mix64, planes, prefix_hash, release, released, span_hash
 from corvane.llm.common import cut as common_cut
 
 #: Bytes of a string that counts as repeated, and of a passage: some fifty words.
@@ -500,6 +500,7 @@ def without_repeats(docs: DataFrame, length: int = PASSAGE, id_col: str = "doc_i
     rows = named(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row")))
 
     @F.pandas_udf("string")
+    @giving_back
     def cleaned(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([_kept(_bytes(t), f)[0].decode("utf-8", "ignore") for t, f in zip(texts, found.map(lambda f: () if f is None else list(f)), strict=True)], dtype=object)
 
