@@ -69,7 +69,8 @@ def _plain_words(v: Column) -> Column:
 
 
 def _n_words(v: Column) -> Column:
-    return _count(v, r"(?U)\w+")
+    r"""Runs of letters, marks, numbers and underscores; ``(?U)\w`` lacks numbers such as ² and ½, and has joiners, ties and circled letters."""
+    return _count(v, r"[\p{L}\p{M}\p{N}_]+")
 
 
 def _chars(v: Column) -> Column:
@@ -203,8 +204,8 @@ def quotation(v):
 
 @check("change_case:english_capital")
 def english_capital(v):
-    """Case alone; the language is not detected here."""
-    return (v == F.upper(v)) & v.rlike(r"\p{Lu}")
+    """Case alone, of a response with one of the letters A to Z at least; the language is not detected here."""
+    return (v == F.upper(v)) & v.rlike("[A-Z]")
 
 
 @check("change_case:english_lowercase")

@@ -163,6 +163,15 @@ def test_loose_predicates_share_their_variants(spark):
     assert rows.select(F.size("made")).first()[0] == 8 and rows.select("made").collect()[1][0] == ["no lines", ""]
 
 
+def test_loose_capitals_and_words_are_those_of_the_sql(spark):
+    """A line of accented capitals alone, left when others are dropped, is no English one in capitals; words are letters, marks, numbers and underscores."""
+    texts = ["one two\nÍ.", "Ñ!!\nsee there", "one two\nÍ. A", "one two\nÉTÉ 5", "É", "one\n12"]
+    for f, want in ((C.loose, [False, False, True, True, False, False]), (C.strict, [False] * 6)):
+        assert values(spark, texts, lambda v: f("change_case:english_capital", v, {})) == want  # noqa: B023
+    words = {"num_words": 3, "relation": "at least"}
+    assert values(spark, ["a ² ½", "a b ⓐ", "a‿b c", "a\u200db c", "é b_c 漢", "x\na²b c\ny"], lambda v: C.loose("length_constraints:number_words", v, words)) == [True, False, True, True, True, True]
+
+
 def test_the_gold_answer_is_named_once(spark):
     """Each candidate is compared with a gold answer that is worked out once."""
     made = F.concat(F.lit("goldpart"), "g")
